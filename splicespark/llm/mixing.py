@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from .common import text_of, running_sums, words_of, written
 
-BUCKET_DOCUMENTS = 100_000
+BUCKET_DOCUMENTS = 5_000
 
 
 def document_sizes(docs: DataFrame, *more: Column) -> DataFrame:
