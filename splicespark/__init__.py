@@ -1,0 +1 @@
+"""Spark jobs for alternative splicing at scale; see README.md."""
