@@ -20,7 +20,7 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
 PLACE = 24  # low bits of an anchor's key that hold its place
 SEGMENT = 1 << 23  # bytes of a text that are hashed at once; PLACE bits hold a place in it
 CHUNK = 1 << 20  # bytes of contexts that are refined at once
-HOT = 2_000  # different contexts of an anchor from which on its strings are compared by themselves
+HOT = 20_000  # contexts of an anchor from which on its strings are compared by themselves
 
 
 def power(n: int) -> np.uint64:
@@ -196,29 +196,34 @@ def refined(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
     sorted on; one alone stays alone.
     """
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    gram = np.zeros(len(data), np.uint64)
+    at = np.flatnonzero(inside >= 8).astype(np.int32)
+    gram = np.zeros(len(at), np.uint64)
     for k in range(8):
-        gram = gram << np.uint64(8) | padded[k : k + len(data)]
-    bucket = np.full(len(data), -1, np.int64)
-    at = np.flatnonzero(inside >= 8)
-    bucket[at] = np.unique(gram[at], return_inverse=True)[1]
+        gram = gram << np.uint64(8) | padded[at + k]
+    bucket = np.full(len(data), -1, np.int32)
+    bucket[at] = np.unique(gram, return_inverse=True)[1]
+    del gram
     length = 8
     while length < LENGTH:
         by = min(length, LENGTH - length)
-        at = np.flatnonzero((inside >= length + by) & (bucket >= 0))
-        shared = np.bincount(bucket[at], minlength=1)[bucket[at]] > 1
-        at = at[shared]
-        refine = bucket[at] * (len(data) + 1) + bucket[at + by]
-        new = np.full(len(data), -1, np.int64)
-        alone = np.flatnonzero(bucket >= 0)
-        new[alone] = np.arange(len(alone)) + len(data)  # numbers of their own
-        numbers = np.unique(refine, return_inverse=True)[1] if len(at) else at
-        new[at] = numbers
-        bucket = np.unique(new, return_inverse=True)[1] - (new.min() < 0) if len(new) else new
+        at = np.flatnonzero((inside >= length + by) & (bucket >= 0)).astype(np.int32)
+        at = at[np.bincount(bucket[at], minlength=1)[bucket[at]] > 1]
+        pairs = bucket[at].astype(np.int64) * len(data) + bucket[at + by]
+        bucket = renumbered(bucket, at, np.unique(pairs, return_inverse=True)[1] if len(at) else at)
         length += by
     return bucket
 
 
+def renumbered(bucket: np.ndarray, at: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The new buckets: `numbers` at the places `at`, one of its own for each other place that has a bucket, else -1."""
+    alone = bucket >= 0
+    alone[at] = False
+    found = np.full(len(bucket), -1, np.int32)
+    found[at] = numbers
+    found[alone] = np.arange(alone.sum()) + (int(numbers.max()) + 1 if len(numbers) else 0)
+    return found
+
+
 def repeats_of(chunk: pa.Table) -> pa.RecordBatch:
     """Ranges of the strings that stand in an earlier context (or earlier in it) of the chunk too."""
     doc, tie, first = (chunk[k].to_numpy() for k in ("doc", "tie", "first"))
