@@ -21,6 +21,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def narrowed(docs: DataFrame, *names: str, whole: bool = False) -> DataFrame:
+    """The columns names of docs and, if whole, all of them in the struct `row`, where no name of theirs can clash."""
+    return docs.select(*names, *([F.expr("struct(*)").alias("row")] if whole else []))
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 

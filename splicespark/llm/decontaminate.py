@@ -113,53 +113,59 @@ class Block:
                         yield int(k), covered, len(found)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, key: str, least: int = 5, share: float = 0.5) -> DataFrame:
-    """key, item_id, coverage, tiles: each document and benchmark item of which tiles cover `share` or more.
-
-    Tokens are runs of letters and digits in lower case. The benchmark is read in blocks of at most about BLOCK_BYTES of
-    text; each block is broadcast, and every document is searched once for each block, whatever the number of blocks.
-    Items without a token match nothing.
-    """
-    spark = docs.sparkSession
+def blocks_of(benchmark: DataFrame, least: int) -> Iterator[Block]:
+    """The benchmark in blocks of about BLOCK_BYTES of text at most, each read to the driver when it is its turn."""
     items = written(benchmark.select("item_id", text_of().alias("text")))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
-    kind = items.schema["item_id"].dataType.simpleString()
-    key_kind = docs.schema[key].dataType.simpleString()
-    found = None
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text")
-        block = spark.sparkContext.broadcast(Block([(x.item_id, x.text) for x in rows.toLocalIterator()], least))
-        item_type = pa.from_numpy_dtype(np.int64) if kind == "bigint" else None
-
-        def run(batches: Iterator[pa.RecordBatch], block=block, item_type=item_type) -> Iterator[pa.RecordBatch]:
-            own = block.value
-            for batch in batches:
-                out = [(i, *x) for i, t in enumerate(batch.column(1)) for x in own.search(t.as_py(), share)]
-                keys = batch.column(0).take(pa.array([x[0] for x in out], pa.int64()))
-                coverage = [x[2] / len(own.items[x[1]]) for x in out]
-                yield pa.RecordBatch.from_arrays([keys, pa.array([own.names[x[1]] for x in out], item_type), pa.array(coverage, pa.float64()), pa.array([x[3] for x in out], pa.int32())], [key, "item_id", "coverage", "tiles"])
-
-        part = docs.select(key, "text").mapInArrow(run, f"{key} {key_kind}, item_id {kind}, coverage double, tiles int")
-        found = part if found is None else found.unionByName(part)
-    return found
+        yield Block([(x.item_id, x.text) for x in rows.toLocalIterator()], least)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
     """doc_id, contaminated, item_ids (sorted), coverage (the greatest) and tiles (of all matched items) for each document.
 
-    A null or empty text matches nothing. Null and repeated doc_ids are documents of their own; repeated items are found
-    once each. Other columns are ignored; with an empty benchmark no document is contaminated.
+    An item is in a document when tiles cover `share` or more of its tokens, runs of letters and digits in lower case. The
+    benchmark is broadcast in blocks of bounded size; every document is searched once for each block, whatever their
+    number, and its row goes from block to block. A null or empty text matches nothing, nor does an item without tokens.
+    Null and repeated doc_ids are documents of their own; repeated items are found once each. Other columns are ignored;
+    with an empty benchmark no document is contaminated.
     """
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
-    rows = written(rows)
-    hits = matches(rows, benchmark, "_row", least, share).groupBy("_row").agg(F.sort_array(F.collect_list("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"), F.sum("tiles").alias("tiles"))
-    none = F.array().cast(hits.schema["item_ids"].dataType)
-    return rows.select("_row", "doc_id").join(hits, "_row", "left").select("doc_id", F.col("coverage").isNotNull().alias("contaminated"), F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("tiles", F.lit(0).cast("long")).alias("tiles"))
+    spark = docs.sparkSession
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    doc_kind = docs.schema["doc_id"].dataType.simpleString()
+    none = F.array().cast(f"array<{kind}>")
+    found = docs.select("doc_id", "text", none.alias("item_ids"), F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("tiles"))
+    for block in blocks_of(benchmark, least):
+        sent = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            for batch in batches:
+                ids, coverage, tiles_ = (batch.column(k).to_pylist() for k in (2, 3, 4))
+                for i, text in enumerate(batch.column(1)):
+                    for k, covered, n in own.search(text.as_py(), share):
+                        ids[i] = [*ids[i], own.names[k]]
+                        coverage[i] = max(coverage[i], covered / len(own.items[k]))
+                        tiles_[i] += n
+                columns = [batch.column(0), batch.column(1), pa.array(ids, batch.schema.field(2).type), pa.array(coverage, pa.float64()), pa.array(tiles_, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "item_ids", "coverage", "tiles"])
+
+        found = found.mapInArrow(run, f"doc_id {doc_kind}, text string, item_ids array<{kind}>, coverage double, tiles long")
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.sort_array("item_ids").alias("item_ids"), "coverage", "tiles")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
     """The documents that no benchmark item contaminates, with their columns."""
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    hits = written(matches(rows, benchmark, "_row", **options).select("_row").distinct())
-    return rows.join(hits, "_row", "left_anti").drop("_row")
+    at = docs.columns.index("text")
+    for block in blocks_of(benchmark, least):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = [next(sent.value.search(text.as_py(), share), None) is None for text in batch.column(at)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import text_of, running_sums, words_of, written
+from .common import running_sums, text_of, words_of, written
 
 BUCKET_DOCUMENTS = 5_000
 
 
 def document_sizes(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, source and size, the number of words of the text (null: 0)."""
-    return docs.select("doc_id", "source", F.size(words_of(text_of())).cast("long").alias("size"), *more)
+    return docs.select(*more, "doc_id", "source", F.size(words_of(text_of())).cast("long").alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -62,17 +62,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     equal rows are interchangeable. An empty table gives no rows. Other columns are ignored, unless
     `whole` asks for the row of docs too, in the struct `row`. Reruns agree.
     """
-    row = [F.struct(*docs.columns).alias("row")] if whole else []
-    sizes = written(document_sizes(docs, *row))
+    sizes = written(document_sizes(docs))
     targets = written(source_targets(sizes, weights, share, most))
-    same = lambda a, b: a.source.eqNullSafe(b.source)
     buckets = F.ceil(F.col("source_documents") / BUCKET_DOCUMENTS)
-    placed = sizes.join(targets, same(sizes, targets), "left").select(sizes["*"], "source_documents", "source_size", "target").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), buckets))
-    counts = placed.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        named = targets.withColumnRenamed("source", "_of")
+        return rows.join(named, F.col("source").eqNullSafe(F.col("_of")), "left").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), buckets)).drop("_of", "weight", "source_documents")
+
+    counts = placed(sizes).groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
     earlier = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), earlier.alias("start"))
-    ranked = placed.withColumn("rank", F.row_number().over(W.partitionBy("source", "bucket").orderBy(F.desc("size"), "doc_id")))
-    ranked = ranked.join(starts, ranked.source.eqNullSafe(F.col("_source")) & (ranked.bucket == F.col("_bucket")))
+    rows = placed(document_sizes(docs, F.expr("struct(*)").alias("row")) if whole else sizes)
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("source", "bucket").orderBy(F.desc("size"), "doc_id")))
+    ranked = ranked.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     upto = lambda rank: F.floor(rank * expected + offset_of(seed))
     copies = upto(F.col("start") + F.col("rank")) - upto(F.col("start") + F.col("rank") - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_of, words_of, written
+from .common import let, narrowed, text_of, words_of, written
 
 SYMBOLS = "#*$%&|<>"
 REPEAT_WORDS = 5
@@ -35,10 +35,16 @@ def words_in_repeats(words: Column) -> Column:
     return F.when(F.size(words) >= REPEAT_WORDS, some).otherwise(zero)
 
 
-def base_rules(docs: DataFrame, *more: Column) -> DataFrame:
+def lines_of(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """The columns, `_text` (null: empty) and `_lines`, its lines with a word."""
+    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return docs.select(*columns, text_of().alias("_text")).withColumn("_lines", lines)
+
+
+def base_rules(docs: DataFrame, *more: Column | str) -> DataFrame:
     """The base counts and base_failed of each document; more: further expressions over docs' columns and `_lines`."""
     text = text_of("_text")
-    rows = docs.select("*", text_of().alias("_text")).select("*", words_of(text).alias("_words"), F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
+    rows = lines_of(docs, "*").select("*", words_of(text).alias("_words"))
     counted = rows.select(
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
@@ -67,22 +73,25 @@ def judge(docs: DataFrame, share: float = 0.1, floor: int = 50, left_words: int
     Null texts count as empty and fail. Null and repeated doc_ids are documents of their own. An empty table gives no
     rows. Other columns are ignored, unless `whole` asks for the row of docs in the struct `row`.
     """
-    hashes = F.transform("_lines", lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("n")))
+    docs = narrowed(docs, "doc_id", "text", "source", whole=whole)
+    parts = lines_of(docs, F.col("source"))
     key = F.struct(F.xxhash64("_text").alias("a"), F.hash("_text").alias("b"), F.length("_text").alias("n"))
-    row = [F.struct(*docs.columns).alias("row")] if whole else []
-    marked = written(base_rules(docs, F.col("source"), hashes.alias("_hashes"), key.alias("_key"), *row).withColumn("_row", F.monotonically_increasing_id()))
-
-    texts = marked.select("source", "_key", F.array_distinct(F.transform("_hashes", lambda x: x["h"])).alias("h")).dropDuplicates(["source", "_key"])
+    texts = parts.select("source", key.alias("_key"), F.array_distinct(F.transform("_lines", line_hash)).alias("h")).dropDuplicates(["source", "_key"])
     hosts = texts.groupBy("source").agg(F.count(F.lit(1)).alias("host_documents")).withColumnRenamed("source", "_host")
     lines = texts.select("source", F.explode("h").alias("h")).groupBy("source", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > floor)
-    frequent = lines.join(hosts, lines.source.eqNullSafe(hosts._host)).filter(F.col("n") > share * F.col("host_documents")).select(F.col("source").alias("_host"), F.col("h").alias("_h"))
-
-    own = marked.select("_row", "source", F.explode("_hashes").alias("x")).select("_row", "source", "x.h", "x.n")
-    lost = own.join(frequent, own.source.eqNullSafe(frequent._host) & (own.h == frequent._h)).groupBy("_row").agg(F.sum("n").alias("n_frequent_words"))
+    # A frequent line is in over `share` of the host's documents, so a host has no more of them than 1 / share times the
+    # lines of a document.
+    frequent = lines.join(hosts, lines.source.eqNullSafe(hosts._host)).filter(F.col("n") > share * F.col("host_documents"))
+    listed = written(frequent.groupBy("_host").agg(F.collect_set("h").alias("_frequent")))
+
+    own = docs.join(listed, docs.source.eqNullSafe(listed._host), "left").select(docs["*"], "_frequent")
+    hit = lambda x: F.coalesce(F.array_contains("_frequent", line_hash(x)), F.lit(False))
+    words = F.aggregate(F.filter("_lines", hit), F.lit(0).cast("long"), lambda a, x: a + F.size(words_of(x)))
+    lost = F.when(F.col("_frequent").isNull(), F.lit(0).cast("long")).otherwise(words)
+    counted = base_rules(own, lost.alias("n_frequent_words"), *(["row"] if whole else []))
     left = F.col("n_words") - F.col("n_frequent_words")
-    found = marked.join(lost, "_row", "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
     depleted = (F.col("n_frequent_words") > 0) & ((left < left_words) | (left < left_share * F.col("n_words")))
-    return found.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_row", "_key", "_hashes", "source")
+    return counted.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:

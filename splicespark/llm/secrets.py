@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_of
+from .common import let, narrowed, text_of
 
 # The patterns of the base.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -82,20 +82,22 @@ def entropy_spans(text: Column) -> Column:
     return F.filter(F.transform(candidates, kind), lambda x: x["kind"].isNotNull())
 
 
-def scan(docs: DataFrame, *more: Column) -> DataFrame:
+def scan(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Secrets of each document: doc_id and the arrays base and found of structs start, end, rank, kind, in order.
 
     `base` are the pattern matches: assignments whose value has 6 characters or more, access keys, long hex runs. `found`
     adds the candidates whose entropy in some window reaches the bound of their character class and that no allow-list
     pattern matches; base spans always stay, and an added span that a base span covers is left out. Null texts have no
-    secrets. Null and repeated doc_ids are documents of their own; other columns are ignored.
+    secrets. Null and repeated doc_ids are documents of their own; other columns are ignored,
+    unless `whole` asks for the row of docs in the struct `row`.
     """
     text = F.col("_text")
     kinds = ("assign", "access", "hex")
     named = lambda spans, k: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kinds.index(k)).alias("rank"), x["end"].alias("end"), F.lit(k).alias("kind")))
     assigned = F.filter(spans_of(text, ASSIGN, 1), lambda x: F.length(x["value"]) >= 6)
     base = F.array_sort(F.concat(named(assigned, "assign"), named(spans_of(text, ACCESS), "access"), named(spans_of(text, HEX), "hex")))
-    rows = docs.select("*", text_of().alias("_text")).select("doc_id", *more, base.alias("base"), entropy_spans(text).alias("_added"))
+    names = ["doc_id", "row"] if whole else ["doc_id"]
+    rows = narrowed(docs, "doc_id", "text", whole=whole).select(*names, text_of().alias("_text")).select(*names, base.alias("base"), entropy_spans(text).alias("_added"))
     uncovered = F.filter("_added", lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
     added = F.transform(uncovered, lambda x: F.struct(x["start"].alias("start"), F.lit(len(kinds)).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
     return rows.withColumn("found", F.array_sort(F.concat("base", added))).drop("_added")
@@ -107,7 +109,7 @@ def listed(spans: str) -> Column:
 
 def masked_documents(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """The documents with each secret of their texts replaced by the mask; overlapping secrets by one mask."""
-    found = scan(docs, F.struct(*docs.columns).alias("row"))
+    found = scan(docs, whole=True)
     text = F.col("row.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import written
+from .common import narrowed, written
 from .graph import components
 
 SEED = 42
@@ -107,9 +108,9 @@ def joined_tries(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.
     whole = pa.Table.from_batches(parts)
     group, shift = whole["group"].to_numpy(), whole["shift"].to_numpy().astype(np.uint64)
     turned = whole["turned"].to_numpy().view(np.uint64)
-    order = np.lexsort((turned, group))
+    order = np.lexsort((turned, shift, group))
     group, shift, turned = group[order], shift[order], turned[order]
-    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    starts = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (shift[1:] != shift[:-1]))))
     ends = np.append(starts[1:], len(group))
     fp = (turned >> shift | turned << (np.uint64(64) - shift & np.uint64(63))).view(np.int64)
     chunk = np.searchsorted(ends, np.arange(0, ends[-1], 4 * GROUP))  # whole groups, about 4 * GROUP values at once
@@ -158,15 +159,16 @@ def near_fingerprints(distinct: DataFrame, budget: int) -> DataFrame:
         masks = F.array(*(F.lit(m).cast("long") for m in range(1 << SPLIT_BITS) if m.bit_count() <= budget))
         step = F.least(F.lit(SPLIT_BITS), 64 - F.col("depth"))
         depth = F.col("depth") + step
-        low = lambda d: F.expr(f"shiftleft(cast(-1 as bigint), cast(64 - {d} as int))")
-        inside = F.when(F.col("depth") + step < 64, low(f"(depth + least({SPLIT_BITS}, 64 - depth))")).otherwise(F.lit(-1).cast("long"))
-        mine = F.col("turned").bitwiseAND(low("depth"))
+        left = lambda value, bits: F.call_function("shiftleft", value, bits.cast("int"))
+        one, ones = F.lit(1).cast("long"), F.lit(-1).cast("long")
+        inside = F.when(depth < 64, left(ones, 64 - depth)).otherwise(ones)
+        mine = F.col("turned").bitwiseAND(left(ones, 64 - F.col("depth")))
         there = F.when(mine == F.col("p"), F.col("q")).otherwise(F.col("p"))
-        kept = F.filter(masks, lambda m: (m < F.shiftleft(F.lit(1).cast("long"), step)) & (F.bit_count(m) + F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= budget))
-        moved = large.select("shift", "turned", inside.alias("inside"), mine.alias("mine"), there.alias("there"), depth.alias("depth"), F.explode(kept).alias("m"))
+        kept = F.filter(masks, lambda m: (m < left(one, step)) & (F.bit_count(m) + F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= budget))
+        moved = large.select("shift", "turned", inside.alias("inside"), mine.alias("mine"), there.alias("there"), depth.alias("below"), F.explode(kept).alias("m"))
         child = F.col("turned").bitwiseAND(F.col("inside"))
-        far = F.col("there").bitwiseOR(child.bitwiseXOR(F.col("mine")).bitwiseXOR(F.expr("shiftleft(m, cast(64 - depth as int))")))
-        groups = written(pair(moved.select("shift", "turned", child.alias("p"), far.alias("q"), "depth")))
+        far = F.col("there").bitwiseOR(child.bitwiseXOR(F.col("mine")).bitwiseXOR(left(F.col("m"), 64 - F.col("below"))))
+        groups = written(pair(moved.select("shift", "turned", child.alias("p"), far.alias("q"), F.col("below").alias("depth"))))
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
@@ -203,8 +205,9 @@ def one_of_each(docs: DataFrame, words: int = 5, budget: int = 2, bands: int = 3
     sample with probability s ** per, some band with 1 - (1 - s ** per) ** bands, which is 0.997 at 0.8 and under 0.003
     at 0.3. Groups are connected components. Repeated rows are copies; an empty table stays empty.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    marked = written(fingerprints(rows.select("_row", "text"), "_row", words, bands, per))
+    key = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    named = docs.select(F.struct("doc_id", key.alias("key")).alias("_id"), "text")
+    marked = written(fingerprints(named, "_id", words, bands, per).select("_id.*", "fp", "bands").withColumn("_row", F.monotonically_increasing_id()))
     nodes = written(marked.groupBy("fp").agg(F.min("_row").alias("first")))
     close = near_fingerprints(nodes.select("fp"), budget)
     ends = lambda side: nodes.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}"))
@@ -214,8 +217,16 @@ def one_of_each(docs: DataFrame, words: int = 5, budget: int = 2, bands: int = 3
     shared = banded.groupBy("band", "value").agg(F.min("_row").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     edges = edges.unionByName(banded.join(shared, ["band", "value"]).select(F.col("_row").alias("a"), "b"))
     labels = components(edges.filter("a <> b").distinct())
-    grouped = rows.select("_row", "doc_id").join(labels, F.col("_row") == F.col("node"))
+    grouped = written(marked.select("_row", "doc_id", "key").join(labels, F.col("_row") == F.col("node")))
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("_row").alias("_row"))
     stay = grouped.groupBy("component").agg(F.min(order).alias("o")).select("o._row")
-    gone = grouped.select("_row").join(stay, "_row", "left_anti")
-    return rows.join(gone, "_row", "left_anti").drop("_row")
+    gone = grouped.join(stay, "_row", "left_anti").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_gone"))
+    # Rows of equal doc_id and text are copies: as many of them go as the table says, which is all but one at least.
+    gone = written(gone)
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key"))
+    keyed = narrowed(docs, "doc_id", "text", whole=True).select("row", "doc_id", key.alias("_k"))
+    repeated = marked.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        return keyed.join(gone, same, "left_anti").select("row.*")
+    rank = F.row_number().over(W.partitionBy("doc_id", "_k").orderBy("_k"))
+    return keyed.join(gone, same, "left").withColumn("_rank", rank).filter("_rank > coalesce(_gone, 0)").select("row.*")
