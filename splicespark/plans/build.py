@@ -29,9 +29,9 @@ def query(sql: str | None = None):
 WITH_SUMMARY = f"WITH {V.READ_HITS_SQL}, counts AS (SELECT experiment, grp, gene_id, lsv_id, junc_idx, position, count(*) AS reads FROM read_hits GROUP BY ALL), summary AS (SELECT experiment, grp, gene_id, lsv_id, junc_idx, CAST(sum(reads) AS BIGINT) AS reads, count(*) AS npos FROM counts GROUP BY ALL), flags AS (SELECT *, npos >= 2 AND reads >= 3 AS pass_build, npos >= 2 AND reads >= 5 AS pass_denovo FROM summary)"
 
 
-def summary_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def summary_of(spark: SparkSession, sf_dir: str, genes: int = 50) -> DataFrame:
     keys = ["experiment", "grp", *KEYS]
-    return E.summary(E.positional_counts(V.read_hits(spark, sf_dir), keys, "position"), keys)
+    return E.summary(E.positional_counts(V.read_hits(spark, sf_dir, genes), keys, "position"), keys)
 
 
 @query(f"{WITH_SUMMARY} SELECT * FROM counts")

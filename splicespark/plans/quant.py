@@ -41,12 +41,12 @@ FOLDS_SQL = f"""{QUANTIFIABLE_SQL},
   n AS (SELECT *, count(*) OVER (PARTITION BY grp, lsv_id, rep) AS n, sum(x) OVER (PARTITION BY grp, lsv_id, rep) AS total FROM folded)"""
 
 
-def pooled_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pooled_coverage(spark: SparkSession, sf_dir: str, genes: int = 50) -> DataFrame:
     """Replicates of the quantifiable LSVs, pooled by group."""
-    hits = V.read_hits(spark, sf_dir)
+    hits = V.read_hits(spark, sf_dir, genes)
     keys = ["grp", "lsv_id", "junc_idx"]
     counts = E.positional_counts(hits, keys, "position")
-    good = Q.quantifiable(summary_of(spark, sf_dir)).select("grp", "lsv_id")
+    good = Q.quantifiable(summary_of(spark, sf_dir, genes)).select("grp", "lsv_id")
     return Q.fold_replicates(counts.join(good, ["grp", "lsv_id"], "left_semi"), keys)
 
 
@@ -74,9 +74,9 @@ def both_group_lsvs(spark, sf_dir):
 
 
 @query(f"{FOLDS_SQL} SELECT grp, lsv_id, junc_idx, round(median((x + 1.0 / n) / (total + 1.0)), 6) AS mean_psi FROM n GROUP BY ALL")
-def psi_of_groups(spark, sf_dir):
+def psi_of_groups(spark, sf_dir, genes=50):
     """Flagship: PSI of every quantifiable LSV of both groups."""
-    return rounded(Q.mean_psi(pooled_coverage(spark, sf_dir), ["grp", "lsv_id"]), "mean_psi")
+    return rounded(Q.mean_psi(pooled_coverage(spark, sf_dir, genes), ["grp", "lsv_id"]), "mean_psi")
 
 
 @query(f"{FOLDS_SQL} SELECT lsv_id, junc_idx, CAST(rep AS INT) AS rep, sum(x) AS x FROM folded GROUP BY ALL")
