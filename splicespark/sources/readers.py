@@ -12,13 +12,14 @@ def parsed_gff(lines: DataFrame) -> DataFrame:
     """GFF3 lines (column value) as rows: `.` is null, percent signs are decoded, attributes a map; a repeated key's values
     are joined by commas. Comments and lines without nine columns are left out."""
     kept = lines.filter(~F.startswith("value", F.lit("#"))).select(F.split("value", "\t").alias("c")).filter(F.size("c") == 9)
-    field = lambda k: F.when(F.col("c")[k] != ".", F.col("c")[k])
+    at = lambda k: F.get("c", F.lit(k))
+    field = lambda k: F.when(at(k) != ".", at(k))
     decoded = lambda c: F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
-    pairs = F.filter(F.split(F.col("c")[8], ";"), lambda x: F.contains(x, F.lit("=")))
+    pairs = F.filter(F.split(at(8), ";"), lambda x: F.contains(x, F.lit("=")))
     entries = F.transform(pairs, lambda x: F.struct(decoded(F.trim(F.regexp_extract(x, "^([^=]*)=", 1))).alias("key"), decoded(F.regexp_extract(x, "=(.*)$", 1)).alias("value")))
     keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     grouped = F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_join(F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"]), ",")))
-    return kept.select(decoded(field(0)).alias("seqid"), field(1).alias("source"), field(2).alias("type"), field(3).try_cast("int").alias("start"), field(4).try_cast("int").alias("end"), field(5).try_cast("double").alias("score"), field(6).alias("strand"), field(7).alias("phase"), F.when(F.col("c")[8] != ".", grouped).alias("attributes"))
+    return kept.select(decoded(field(0)).alias("seqid"), field(1).alias("source"), field(2).alias("type"), field(3).try_cast("int").alias("start"), field(4).try_cast("int").alias("end"), field(5).try_cast("double").alias("score"), field(6).alias("strand"), field(7).alias("phase"), F.when(at(8) != ".", grouped).alias("attributes"))
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
@@ -50,8 +51,9 @@ def annotation(gff: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parsed_sam(lines: DataFrame, experiment: str) -> DataFrame:
     """SAM lines (column value) as alignments; header lines are left out."""
+    at = lambda k: F.get("c", F.lit(k))
     c = lines.filter(~F.startswith("value", F.lit("@"))).select(F.split("value", "\t").alias("c")).filter(F.size("c") >= 11)
-    return c.select(F.lit(experiment).alias("experiment"), F.col("c")[0].alias("read_id"), F.col("c")[1].cast("int").alias("flag"), F.col("c")[2].alias("chrom"), (F.col("c")[3].cast("int") - 1).alias("pos"), F.col("c")[5].alias("cigar"), F.length(F.col("c")[9]).alias("seq_len"))
+    return c.select(F.lit(experiment).alias("experiment"), at(0).alias("read_id"), at(1).cast("int").alias("flag"), at(2).alias("chrom"), (at(3).cast("int") - 1).alias("pos"), at(5).alias("cigar"), F.length(at(9)).alias("seq_len"))
 
 
 def read_sam(spark: SparkSession, path: str, experiment: str) -> DataFrame:

@@ -12,29 +12,27 @@ def count_stream(spark: SparkSession, path: str, schema: str, files: int = 100)
 
 
 def group_evidence(counts: DataFrame, min_reads: int = 3, min_pos: int = 2) -> DataFrame:
-    """grp, lsv_id, junc_idx, reads, passed: totals and the number of experiments that pass, for streams in update mode or
-    for tables. The state is one row for each group and connection, whatever the number of files; experiments are counted
-    as they come, so each may come once (give once_each() before if files may be sent again)."""
+    """grp, lsv_id, junc_idx, reads, passed: totals and the number of experiments that pass."""
     ok = ((F.col("npos") >= min_pos) & (F.col("reads") >= min_reads)).cast("long")
     return counts.groupBy("grp", "lsv_id", "junc_idx").agg(F.sum("reads").alias("reads"), F.sum(ok).alias("passed"))
 
 
 def once_each(counts: DataFrame) -> DataFrame:
-    """Counts without files that are sent again: the first row of each experiment and connection."""
+    """Counts of a table without rows that were sent twice: the first row of each experiment and connection."""
     return counts.dropDuplicates(["experiment", "lsv_id", "junc_idx"])
 
 
-def start(evidence: DataFrame, target: str, checkpoint: str):
-    """Runs the stream over what is there; each batch's changed rows go to a folder of its own under target, so that a
-    batch that is repeated after a failure writes the same folder again."""
+def start(counts: DataFrame, target: str, checkpoint: str, **limits):
+    """Runs the stream of counts over what is there. Each batch's evidence goes to a folder of its own under target, so a
+    batch that is repeated after a failure writes the same folder again; old files aren't read again. Sums of evidence are
+    evidence, so the stream keeps no state."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        group_evidence(batch, **limits).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return evidence.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, target: str) -> DataFrame:
-    """The newest row of each group and connection over all batches written so far."""
-    rows = spark.read.parquet(target)
-    return rows.groupBy("grp", "lsv_id", "junc_idx").agg(F.max_by(F.struct("reads", "passed"), "batch").alias("x")).select("grp", "lsv_id", "junc_idx", "x.*")
+def merged(spark: SparkSession, target: str) -> DataFrame:
+    """The evidence of all batches written so far."""
+    return spark.read.parquet(target).groupBy("grp", "lsv_id", "junc_idx").agg(F.sum("reads").alias("reads"), F.sum("passed").alias("passed"))
