@@ -57,4 +57,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_links, op3_html_extract, op4_lm_score, op5_secret_scan, op6_string_tiling, op7_url_filter, op8_source_mix, op9_token_counts, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+  w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+  p AS (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5),
+  t AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i:i + 4], ' ')) AS n FROM p),
+  n AS (SELECT r, count(DISTINCT i + k.k) AS n_repeat_words FROM t, (SELECT unnest(range(5)) AS k) k WHERE n > 1 GROUP BY r),
+  u AS (SELECT DISTINCT source, text, ls FROM w),
+  h AS (SELECT source, count(*) AS docs FROM u GROUP BY source),
+  l AS (SELECT DISTINCT source, text, lower(trim(regexp_replace(unnest(ls), '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM u),
+  f AS (SELECT l.source, line FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line, docs HAVING count(*) > 50 AND count(*) > 0.1 * docs),
+  x AS (SELECT r, source, unnest(ls) AS line FROM w),
+  g AS (SELECT r, sum(len(regexp_extract_all(x.line, '[^\x20\x09-\x0D]+'))) AS lost FROM x JOIN f ON x.source IS NOT DISTINCT FROM f.source AND lower(trim(regexp_replace(x.line, '[\x20\x09-\x0D]+', ' ', 'g'))) = f.line GROUP BY r),
+  b AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost FROM w LEFT JOIN n USING (r) LEFT JOIN g USING (r))
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (lost > 0 AND (n_words - lost < 10 OR n_words - lost < 0.3 * n_words)) AS kept FROM b""",
+}
