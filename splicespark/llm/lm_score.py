@@ -75,24 +75,32 @@ class Coder:
 
 
 def soft(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    return x / x.sum(1, keepdims=True)
+    """Softmax of rows, in place; hidden units are in (-1, 1), so that no row needs its maximum taken off."""
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def step(net: dict[str, np.ndarray], shape: Shape, context: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Log probability of each target given the tokens on both sides and, to learn, the gradients of their mean.
 
-    P(token) = P(its class) * P(token | class), each a softmax over what the hidden layer makes of the context.
+    P(token) = P(its class) * P(token | class), each a softmax over what the hidden layer makes of the context. The targets
+    are put in order of their classes first, so that each class's are a slice.
     """
     n = len(target)
     at = np.arange(n)
-    x = net["embed"][context].reshape(n, -1)
-    h = np.tanh(x @ net["mix"] + net["mix0"])
+    order = np.argsort((target // shape.size).astype(np.int16), kind="stable")
+    context, target = context[order], target[order]
     kind, word = target // shape.size, target % shape.size
+    edges = np.searchsorted(kind, np.arange(shape.classes + 1))
+    flat = context.ravel()
+    x = net["embed"].take(flat, axis=0).reshape(n, -1)
+    h = x @ net["mix"]
+    h += net["mix0"]
+    np.tanh(h, out=h)
     p = soft(h @ net["group"] + net["group0"])
-    score = np.log(p[at, kind] + 1e-20)
-    order = np.argsort(kind, kind="stable")
-    edges = np.searchsorted(kind[order], np.arange(shape.classes + 1))
+    chance = p[at, kind]
     slope: dict[str, np.ndarray] = {}
     if learn:
         p[at, kind] -= 1
@@ -100,25 +108,29 @@ def step(net: dict[str, np.ndarray], shape: Shape, context: np.ndarray, target:
         slope = {"group": h.T @ p, "group0": p.sum(0), "word": np.zeros_like(net["word"]), "word0": np.zeros_like(net["word0"])}
         back = p @ net["group"].T
     for c in range(shape.classes):
-        own = order[edges[c] : edges[c + 1]]
-        if len(own):
+        own = slice(edges[c], edges[c + 1])
+        if edges[c] < edges[c + 1]:
             q = soft(h[own] @ net["word"][c] + net["word0"][c])
-            mine = np.arange(len(own))
-            score[own] += np.log(q[mine, word[own]] + 1e-20)
+            mine = at[: len(q)]
+            inside = q[mine, word[own]]
+            chance[own] *= inside
             if learn:
                 q[mine, word[own]] -= 1
                 q /= n
                 slope["word"][c], slope["word0"][c] = h[own].T @ q, q.sum(0)
                 back[own] += q @ net["word"][c].T
+    score = np.empty(n, np.float32)
+    score[order] = np.log(chance + 1e-30)
     if learn:
-        back *= 1 - h * h
+        h *= h
+        back *= 1 - h
         slope["mix"], slope["mix0"] = x.T @ back, back.sum(0)
         each = (back @ net["mix"].T).reshape(-1, shape.width)
-        flat = context.ravel()
-        by = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], np.diff(flat[by]) != 0)))
+        by = np.argsort(flat.astype(np.int16 if shape.tokens < 32_000 else np.int32), kind="stable")
+        flat = flat[by]
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
         slope["embed"] = np.zeros_like(net["embed"])
-        slope["embed"][flat[by][first]] = np.add.reduceat(each[by], first)
+        slope["embed"][flat[first]] = np.add.reduceat(each.take(by, axis=0), first)
     return score, slope
 
 
