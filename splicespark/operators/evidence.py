@@ -157,3 +157,13 @@ def intron_bin(offset: Column, length: Column, eff_len: int) -> tuple[Column, Co
     edge = extra * (small + 1)
     found = F.when(offset < edge, F.floor(offset / (small + 1))).otherwise(extra + F.floor((offset - edge) / F.greatest(small, F.lit(1))))
     return found, F.when(found < extra, small + 1).otherwise(small)
+
+
+def intron_flags(bins: DataFrame, least: float = 0.01, share: float = 0.5, spread: int = 0) -> DataFrame:
+    """Adds covered (share of an intron's bins with a rate of `least` or more), passed (it is `share` or more) and reliable
+    (the same, when each covered bin also covers the `spread` bins behind it). bins: also rates array<double>."""
+    n = F.size("rates")
+    marked = F.transform("rates", lambda x: x >= least)
+    spread_out = F.transform(marked, lambda _, i: F.exists(F.slice(marked, F.greatest(F.lit(1), i + 1 - spread), F.least(i + 1, F.lit(spread + 1))), lambda y: y))
+    of = lambda a: F.size(F.filter(a, lambda x: x)) / n
+    return bins.withColumns({"covered": of(marked), "passed": of(marked) >= share, "reliable": of(spread_out) >= share})

@@ -117,3 +117,33 @@ def neighbour_genes(genes: DataFrame) -> DataFrame:
     w = W.partitionBy("chrom").orderBy("gene_id")
     every = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return genes.select("chrom", "gene_id", F.coalesce(F.lead("gene_id").over(w), F.first("gene_id").over(every)).alias("next_gene"), F.coalesce(F.lag("gene_id").over(w), F.last("gene_id").over(every)).alias("previous_gene"))
+
+
+def detected_exons(exons: DataFrame, junctions: DataFrame, reach: int = 400) -> DataFrame:
+    """gene_id, start, end, annotated_start, annotated_end, annotated: exons with what the junctions' splice sites tell.
+
+    A junction's end is an acceptor, its start a donor. A site that is in an annotated exon or up to `reach` outside the
+    side that it belongs to (of several the nearest, then the first) widens that exon. The other sites of a gene in order
+    of place, acceptors first, make de-novo exons: a run of acceptors and the run of donors behind it are one exon from the
+    first of these to the last of those; a run without its partner, or too far from it, is a half exon, -1 on that side.
+    """
+    acceptors = junctions.select("gene_id", F.col("end").alias("at"), F.lit(0).alias("donor"))
+    sites = acceptors.unionByName(junctions.select("gene_id", F.col("start").alias("at"), F.lit(1).alias("donor"))).distinct()
+    known = exons.select("gene_id", F.col("start").alias("a_start"), F.col("end").alias("a_end"))
+    at, donor = F.col("at"), F.col("donor") == 1
+    inside = (at >= F.col("a_start") - F.when(donor, 0).otherwise(reach)) & (at <= F.col("a_end") + F.when(donor, reach).otherwise(0))
+    far = F.greatest(F.col("a_start") - at, at - F.col("a_end"), F.lit(0))
+    pairs = sites.join(known, "gene_id").filter(inside).withColumn("r", F.row_number().over(W.partitionBy("gene_id", "at", "donor").orderBy(far, "a_start", "a_end"))).filter("r = 1")
+    wide = pairs.groupBy("gene_id", "a_start", "a_end").agg(F.min("at").alias("l"), F.max("at").alias("h"))
+    old = known.join(wide, ["gene_id", "a_start", "a_end"], "left").select("gene_id", F.least("a_start", F.coalesce("l", "a_start")).alias("start"), F.greatest("a_end", F.coalesce("h", "a_end")).alias("end"), F.col("a_start").alias("annotated_start"), F.col("a_end").alias("annotated_end"), F.lit(True).alias("annotated"))
+    free = sites.join(pairs, ["gene_id", "at", "donor"], "left_anti")
+    w = W.partitionBy("gene_id").orderBy("at", "donor")
+    opens = ((F.col("donor") == 0) & (F.coalesce(F.lag("donor").over(w), F.lit(1)) == 1)).cast("int")
+    runs = free.withColumn("new", opens).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    ends = runs.groupBy("gene_id", "run").agg(F.min(F.when(~donor, at)).alias("a"), F.max(F.when(~donor, at)).alias("last_a"), F.min(F.when(donor, at)).alias("first_d"), F.max(F.when(donor, at)).alias("d"))
+    together = F.col("first_d") - F.col("last_a") <= 2 * reach
+    half = lambda s, e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"))
+    none = F.lit(-1)
+    parts = F.when(together, F.array(half(F.col("a"), F.col("d")))).otherwise(F.array_compact(F.array(F.when(F.col("a").isNotNull(), half(F.col("a"), none)), F.when(F.col("d").isNotNull(), half(none, F.col("d"))))))
+    new = ends.select("gene_id", F.explode(parts).alias("p")).select("gene_id", "p.start", "p.end", none.alias("annotated_start"), none.alias("annotated_end"), F.lit(False).alias("annotated"))
+    return old.unionByName(new)

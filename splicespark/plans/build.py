@@ -234,3 +234,33 @@ def simplifier(spark, sf_dir):
     j = F.col("junc_idx")
     reads = summary_of(spark, sf_dir).select("grp", "experiment", F.col("lsv_id").alias("gene_id"), (j % 2).alias("src"), j.alias("dst"), j.alias("start"), (j + 10).alias("end"), "reads")
     return S.simplified(reads, None, share=0.3, min_reads=4, min_experiments=2)
+
+
+@query(
+    f"""{MERGED_SQL}, tj AS (SELECT DISTINCT gene_id, "end" + ("end" % 3) * 150 AS "start", nx - (nx % 4) * 170 AS "end" FROM (SELECT *, lead("start") OVER (PARTITION BY gene_id, transcript_id ORDER BY "start", "end") AS nx FROM transcript_exons) WHERE nx IS NOT NULL),
+    known AS (SELECT * FROM merged WHERE "start" % 3 = 0), sites AS (SELECT gene_id, "end" AS site, 0 AS donor FROM tj UNION SELECT gene_id, "start", 1 FROM tj),
+    pr AS (SELECT *, row_number() OVER (PARTITION BY gene_id, site, donor ORDER BY greatest(a_start - site, site - a_end, 0), a_start, a_end) AS r FROM (SELECT s.*, k."start" AS a_start, k."end" AS a_end FROM sites s JOIN known k ON s.gene_id = k.gene_id AND s.site >= k."start" - (CASE donor WHEN 1 THEN 0 ELSE 400 END) AND s.site <= k."end" + (CASE donor WHEN 1 THEN 400 ELSE 0 END))),
+    old AS (SELECT k.gene_id, least(k."start", coalesce(min(site), k."start")) AS "start", greatest(k."end", coalesce(max(site), k."end")) AS "end", k."start" AS annotated_start, k."end" AS annotated_end, true AS annotated FROM known k LEFT JOIN (SELECT * FROM pr WHERE r = 1) p ON p.gene_id = k.gene_id AND p.a_start = k."start" AND p.a_end = k."end" GROUP BY k.gene_id, k."start", k."end"),
+    free AS (SELECT * FROM sites s WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.gene_id = s.gene_id AND pr.site = s.site AND pr.donor = s.donor)),
+    o AS (SELECT *, CASE WHEN donor = 0 AND coalesce(lag(donor) OVER (PARTITION BY gene_id ORDER BY site, donor), 1) = 1 THEN 1 ELSE 0 END AS new FROM free),
+    ru AS (SELECT *, sum(new) OVER (PARTITION BY gene_id ORDER BY site, donor ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM o),
+    en AS (SELECT gene_id, run, min(site) FILTER (donor = 0) AS a, max(site) FILTER (donor = 0) AS la, min(site) FILTER (donor = 1) AS fd, max(site) FILTER (donor = 1) AS d FROM ru GROUP BY ALL)
+    SELECT * FROM old UNION ALL SELECT gene_id, a, d, -1, -1, false FROM en WHERE fd - la <= 800 UNION ALL SELECT gene_id, a, -1, -1, -1, false FROM en WHERE a IS NOT NULL AND (fd - la <= 800) IS NOT TRUE UNION ALL SELECT gene_id, -1, d, -1, -1, false FROM en WHERE d IS NOT NULL AND (fd - la <= 800) IS NOT TRUE"""
+)
+def detected_exons(spark, sf_dir):
+    tx = V.transcript_exons(spark, sf_dir)
+    j = S.transcript_junctions(tx).filter("start <> -2 and end <> -2").select("gene_id", (F.col("start") + F.col("start") % 3 * 150).alias("start"), (F.col("end") - F.col("end") % 4 * 170).alias("end")).distinct()
+    return S.detected_exons(S.merged_exons(tx).filter("start % 3 = 0"), j)
+
+
+@query(
+    f"""WITH {V.ALIGNMENTS_SQL}, c AS (SELECT experiment, chrom, pos // 1000 AS bin, count(*) AS n FROM alignments WHERE flag & 260 = 0 GROUP BY ALL), k AS (SELECT DISTINCT experiment, chrom FROM alignments WHERE flag & 260 = 0),
+    f AS (SELECT k.experiment, k.chrom, b.b AS bin, coalesce((SELECT n FROM c WHERE c.experiment = k.experiment AND c.chrom = k.chrom AND c.bin = b.b), 0) >= 3 AS m FROM k, (SELECT unnest(range(100)) AS b) b),
+    h AS (SELECT *, max(CAST(m AS INT)) OVER (PARTITION BY experiment, chrom ORDER BY bin ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM f)
+    SELECT experiment, chrom, round(avg(CAST(m AS INT)), 6) AS covered, avg(CAST(m AS INT)) >= 0.4 AS passed, avg(s) >= 0.4 AS reliable FROM h GROUP BY ALL"""
+)
+def intron_filters(spark, sf_dir):
+    reads = E.admissible(V.alignments(spark, sf_dir)).groupBy("experiment", "chrom", F.floor(F.col("pos") / 1000).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    rates = reads.groupBy("experiment", "chrom").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    dense = rates.select("experiment", "chrom", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")).cast("double")).alias("rates"))
+    return E.intron_flags(dense, 3.0, 0.4, 2).select("experiment", "chrom", F.round("covered", 6).alias("covered"), "passed", "reliable")
