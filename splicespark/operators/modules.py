@@ -273,3 +273,25 @@ def edge_quantification(edges: DataFrame, quant: DataFrame) -> DataFrame:
     first = quant.withColumn("_r", F.row_number().over(W.partitionBy("gene_id", "lsv_id", "start", "end").orderBy("file_order"))).filter("_r = 1")
     mean = first.groupBy("gene_id", "start", "end").agg(F.avg("value").alias("value"))
     return edges.select("gene_id", "start", "end").distinct().join(mean, ["gene_id", "start", "end"], "left").na.fill(-1.0, ["value"])
+
+
+def cassette_rows(found: DataFrame) -> DataFrame:
+    """Four rows for each cassette exon: the skipping and the including connection seen from both outer exons.
+
+    Columns: event_id, junction_name, side (s, t), start, end, event_size (the exon's length)."""
+    row = lambda name, side_, s, e: F.struct(F.lit(name).alias("junction_name"), F.lit(side_).alias("side"), F.col(s).alias("start"), F.col(e).alias("end"))
+    rows = F.array(row("C1_C2", "s", "s_start", "s_end"), row("C1_A", "s", "s_start", "a1_start"), row("C2_C1", "t", "s_start", "s_end"), row("C2_A", "t", "a1_end", "s_end"))
+    order = F.row_number().over(W.partitionBy(*KEY).orderBy("c1", "a1", "c2", "s_start", "s_end", "a1_start", "a1_end"))
+    named = found.withColumn("event_id", F.concat("gene_id", F.lit("_"), F.col("module_idx").cast("string"), F.lit("_CE_"), order.cast("string")))
+    return named.select("event_id", (F.col("a1_end") - F.col("a1_start") + 1).alias("event_size"), F.explode(rows).alias("r")).select("event_id", "r.*", "event_size")
+
+
+def trimmed_exons(exons: DataFrame, edges: DataFrame) -> DataFrame:
+    """Exons drawn in to the outermost coordinates that edges use; a side that an intron touches, or none, stays, and exons
+    without edges go. exons: gene_id, exon, e_start, e_end."""
+    into = edges.groupBy("gene_id", F.col("dst").alias("exon")).agg(F.min("end").alias("l"), F.bool_or("is_intron").alias("li"))
+    out = edges.groupBy("gene_id", F.col("src").alias("exon")).agg(F.max("start").alias("h"), F.bool_or("is_intron").alias("hi"))
+    both = into.join(out, ["gene_id", "exon"], "full").join(exons, ["gene_id", "exon"])
+    start = F.when(F.col("l").isNull() | F.col("li"), F.col("e_start")).otherwise(F.greatest("e_start", "l"))
+    end = F.when(F.col("h").isNull() | F.col("hi"), F.col("e_end")).otherwise(F.least("e_end", "h"))
+    return both.select("gene_id", "exon", start.alias("start"), end.alias("end"))

@@ -99,3 +99,39 @@ def built_types(connections: DataFrame) -> DataFrame:
 def browser_link(base: str, db: Column, chrom: Column, start: Column, end: Column) -> Column:
     """A genome browser's URL of a range; half exons (-1) are to be padded by the caller."""
     return F.concat(F.lit(base + "?db="), F.url_encode(db), F.lit("&position="), F.url_encode(F.concat(chrom, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))))
+
+
+def inconsistent_groups(files: DataFrame) -> DataFrame:
+    """Groups that don't hold the same experiments in every file. files: file, grp, experiment."""
+    sets = files.distinct().groupBy("file", "grp").agg(F.sort_array(F.collect_set("experiment")).alias("members"))
+    return sets.groupBy("grp").agg(F.count_distinct("members").alias("versions")).filter("versions > 1")
+
+
+def changing_lsvs(means: DataFrame, threshold: float = 0.2, prob: float | None = None) -> DataFrame:
+    """lsv with a connection whose mean is `threshold` or more and, if asked for, one that changes with enough probability.
+
+    means: lsv, mean, p."""
+    wanted = F.bool_or(F.abs("mean") >= threshold)
+    if prob is not None:
+        wanted = wanted & F.bool_or(F.col("p") >= prob)
+    return means.groupBy("lsv").agg(wanted.alias("ok")).filter("ok").select("lsv")
+
+
+def index_filter(index: DataFrame, text: str = "", **flags: bool) -> DataFrame:
+    """Rows that hold the text in any column, whatever the case, and have the given values of the boolean columns."""
+    for name, value in flags.items():
+        index = index.filter(F.col(name) == value)
+    return index.filter(F.contains(F.lower(F.concat_ws("\t", *(F.col(c).cast("string") for c in index.columns))), F.lit(text.lower()))) if text else index
+
+
+def introns_of(exons: DataFrame, introns: DataFrame) -> DataFrame:
+    """lsv_id with the introns that begin right behind one of its exons. exons: lsv_id, gene_id, end."""
+    i = introns.select("gene_id", F.col("start").alias("i_start"), F.col("end").alias("i_end"))
+    return exons.join(i, "gene_id").filter("i_start = end + 1").select("lsv_id", "gene_id", F.col("i_start").alias("start"), F.col("i_end").alias("end")).distinct()
+
+
+def merged_samples(files: DataFrame) -> DataFrame:
+    """psi by group, experiment, lsv_id and junc_idx over several files: the same result in two files counts once (that of
+    the first file). files: file and these."""
+    keys = ["grp", "experiment", "lsv_id", "junc_idx"]
+    return files.groupBy(*keys).agg(F.min_by("psi", "file").alias("psi"))

@@ -227,3 +227,16 @@ PATHS_SQL = EDGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, one AS (SELE
 @query(PATHS_SQL)
 def module_paths(spark, sf_dir):
     return M.paths(edges_of(spark, sf_dir))
+
+
+@query(f"""{EDGES_SQL}, c AS ({CASSETTE_SQL}), n AS (SELECT *, gene_id || '_' || module_idx || '_CE_' || row_number() OVER (PARTITION BY gene_id, module_idx ORDER BY c1, a1, c2, s_start, s_end, a1_start, a1_end) AS event_id, a1_end - a1_start + 1 AS event_size FROM c)
+  SELECT event_id, 'C1_C2' AS junction_name, 's' AS side, s_start AS "start", s_end AS "end", event_size FROM n UNION ALL SELECT event_id, 'C1_A', 's', s_start, a1_start, event_size FROM n UNION ALL SELECT event_id, 'C2_C1', 't', s_start, s_end, event_size FROM n UNION ALL SELECT event_id, 'C2_A', 't', a1_end, s_end, event_size FROM n""")
+def cassette_rows(spark, sf_dir):
+    return M.cassette_rows(M.cassette(edges_of(spark, sf_dir)))
+
+
+@query(f"""{EDGES_SQL}{EXONS_SQL}, t AS (SELECT gene_id, dst AS exon, min("end") AS l, bool_or(is_intron) AS li FROM e GROUP BY ALL), o AS (SELECT gene_id, src AS exon, max("start") AS h, bool_or(is_intron) AS hi FROM e GROUP BY ALL)
+  SELECT gene_id, exon, CASE WHEN l IS NULL OR li THEN e_start ELSE greatest(e_start, l) END AS "start", CASE WHEN h IS NULL OR hi THEN e_end ELSE least(e_end, h) END AS "end" FROM t FULL JOIN o USING (gene_id, exon) JOIN x USING (gene_id, exon)""")
+def trimmed_exons(spark, sf_dir):
+    e = edges_of(spark, sf_dir)
+    return M.trimmed_exons(exons_of(e), e)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import histogram as H
 from ..functions import lsv as L
 from ..operators import longread as R
 from ..operators import structure as S
@@ -16,7 +17,7 @@ from ..sources import driver_views as V
 from ..sources import readers
 from ..streaming import ingest
 from .build import MERGED_SQL, WITH_SUMMARY, summary_of
-from .quant import FOLDS_SQL, psi_of_groups
+from .quant import AREA, FOLDS_SQL, HISTOGRAM_SQL, SAMPLE_SQL, psi_of_groups, sample_psi, test_histograms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -223,3 +224,47 @@ def extended_modules(spark, sf_dir):
 @query(f"{WITH_SUMMARY} SELECT grp, lsv_id, junc_idx, CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(CASE WHEN npos >= 2 AND reads >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS passed FROM summary GROUP BY ALL")
 def group_evidence(spark, sf_dir):
     return ingest.group_evidence(ingest.once_each(summary_of(spark, sf_dir)))
+
+
+@query(f"""WITH {V.READ_HITS_SQL}, f AS (SELECT DISTINCT position % 9 AS file, grp, experiment FROM read_hits WHERE position <= 9 AND NOT (position % 9 = 4 AND experiment = 5)), m AS (SELECT file, grp, list_sort(list(experiment)) AS m FROM f GROUP BY ALL) SELECT grp, count(DISTINCT m) AS versions FROM m GROUP BY grp HAVING count(DISTINCT m) > 1""")
+def inconsistent_groups(spark, sf_dir):
+    hits = V.read_hits(spark, sf_dir).filter("position <= 9 and not (position % 9 = 4 and experiment = 5)")
+    return M.inconsistent_groups(hits.select((F.col("position") % 9).alias("file"), "grp", "experiment"))
+
+
+@query(f"""{HISTOGRAM_SQL}, m AS (SELECT gene, junc, round(sum(b * c), 6) AS mean, round(sum(b) - {AREA.format(t=0.2)}, 6) AS p FROM h GROUP BY ALL) SELECT gene AS lsv FROM m GROUP BY gene HAVING bool_or(abs(mean) >= 0.02) AND bool_or(p >= 0.844)""")
+def changing_lsvs(spark, sf_dir):
+    b = F.col("bins")
+    means = test_histograms(spark, sf_dir).select(F.col("gene").alias("lsv"), F.round(H.expected(b, 39, -1.0, 1.0), 6).alias("mean"), F.round(H.share_outside(b, 39, 0.2), 6).alias("p"))
+    return M.changing_lsvs(means, 0.02, 0.844)
+
+
+@query(f"""{HISTOGRAM_SQL}, m AS (SELECT gene, junc, round({AREA.format(t=0.05)}, 6) AS p FROM h GROUP BY ALL) SELECT gene, max(p) AS p FROM m GROUP BY gene HAVING max(p) >= 0.084""")
+def nonchanging_lsvs(spark, sf_dir):
+    p = test_histograms(spark, sf_dir).select("gene", F.round(H.share_within(F.col("bins"), 39, 0.05), 6).alias("p"))
+    return p.groupBy("gene").agg(F.max("p").alias("p")).filter("p >= 0.084")
+
+
+@query(f"SELECT lsv_type FROM ({SQL['lsv_type_columns']}) WHERE is_binary AND a5ss AND contains(lsv_type, 'e2.2')")
+def index_filter(spark, sf_dir):
+    return M.index_filter(M.type_columns(type_texts(spark, sf_dir)), "E2.2", is_binary=True, a5ss=True).select("lsv_type")
+
+
+@query(f"""{MERGED_SQL}, g2 AS (SELECT * FROM gaps WHERE "start" <= "end" + 1) SELECT DISTINCT m.gene_id || ':s:' || m."start" AS lsv_id, m.gene_id, g2."start", g2."end" FROM merged m JOIN g2 ON m.gene_id = g2.gene_id AND g2."start" = m."end" + 1 WHERE m."start" % 2 = 0""")
+def lsv_introns(spark, sf_dir):
+    e = S.merged_exons(V.transcript_exons(spark, sf_dir))
+    own = e.filter("start % 2 = 0").select(F.concat("gene_id", F.lit(":s:"), F.col("start").cast("string")).alias("lsv_id"), "gene_id", "end")
+    return M.introns_of(own, S.potential_introns(e))
+
+
+@query(f"{SAMPLE_SQL} SELECT grp, experiment, lsv_id, junc_idx, psi FROM samples")
+def merged_samples(spark, sf_dir):
+    one = sample_psi(spark, sf_dir)
+    later = one.filter("junc_idx < 2").withColumn("psi", F.lit(-1.0))
+    return M.merged_samples(one.withColumn("file", F.lit("a")).unionByName(later.withColumn("file", F.lit("b"))))
+
+
+@query(f"{WITH_SUMMARY} SELECT lsv_id, CAST(count(*) AS BIGINT) AS n FROM summary JOIN (SELECT DISTINCT 'G' || (p_partkey % 50) AS gene_id FROM part WHERE p_size = 7) USING (gene_id) GROUP BY lsv_id")
+def gene_subset(spark, sf_dir):
+    wanted = V.table(spark, sf_dir, "part").filter("p_size = 7").select(F.concat(F.lit("G"), (F.col("p_partkey") % 50).cast("string")).alias("gene_id"))
+    return readers.subset({"counts": summary_of(spark, sf_dir)}, wanted)["counts"].groupBy("lsv_id").agg(F.count(F.lit(1)).alias("n"))
