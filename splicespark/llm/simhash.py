@@ -38,8 +38,9 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def sampled(hashes: np.ndarray, bands: int, per: int) -> np.ndarray:
-    """For each band the SimHash of `per` shingles, each the least under a hash function of its own."""
+def sampled(hashes: np.ndarray, bands: int, per: int) -> tuple[np.ndarray, bytes]:
+    """For each band the SimHash of `per` shingles, each the least under a hash function of its own; and a byte of each of
+    these shingles' hashes: the share of equal bytes of two texts estimates their Jaccard similarity."""
     rng = np.random.default_rng(SEED)
     factor = rng.integers(0, 1 << 63, bands * per, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     offset = rng.integers(0, 1 << 63, bands * per, dtype=np.uint64)
@@ -50,22 +51,23 @@ def sampled(hashes: np.ndarray, bands: int, per: int) -> np.ndarray:
         mixed ^= mixed >> np.uint64(29)
         least = np.minimum(least, (mixed * np.uint64(0x9E3779B97F4A7C15) + offset).min(0))
     bits = np.unpackbits(least.astype(">u8").view(np.uint8).reshape(bands, per, 8), axis=2).sum(1)
-    return np.packbits(bits * 2 > per, axis=1).view(">u8")[:, 0].astype(np.int64)
+    return np.packbits(bits * 2 > per, axis=1).view(">u8")[:, 0].astype(np.int64), least.astype(np.uint8).tobytes()
 
 
 def fingerprints(docs: DataFrame, key: str, words: int, bands: int = 0, per: int = 0) -> DataFrame:
-    """key, fp (the 64 bits as a long; 0 without words) and, for bands > 0, `bands`: each band's sampled fingerprint."""
+    """key, fp (the 64 bits as a long; 0 without words) and, for bands > 0, `bands` and `sketch`: see sampled()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             each = [shingle_hashes(t.as_py(), words) for t in batch.column(1)]
             columns = [batch.column(0), pa.array(np.array([majority(h) for h in each], np.uint64).view(np.int64))]
             if bands:
-                columns.append(pa.array([sampled(h, bands, per) if len(h) else [] for h in each], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, [key, "fp", "bands"][: len(columns)])
+                found = [sampled(h, bands, per) if len(h) else ((), b"") for h in each]
+                columns += [pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "fp", "bands", "sketch"][: len(columns)])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, fp long" + ", bands array<long>" * bool(bands))
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, fp long" + ", bands array<long>, sketch binary" * bool(bands))
 
 
 def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,22 +194,37 @@ def linked(docs: DataFrame, words: int = 3, budget: int = 2) -> DataFrame:
     return marked.join(known, "fp").select("doc_id", "fp", "component_id", "n_same")
 
 
+def alike(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """The edges a, b whose texts' sketches (_row, sketch) are equal in `least` of their bytes or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3)) if batch.num_rows else (np.zeros((0, 1)),) * 2
+            near = pa.array((one == two).mean(1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
+
+    end = lambda side: sketches.select(F.col("_row").alias(side), F.col("sketch").alias(f"s{side}"))
+    return edges.join(end("a"), "a").join(end("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def bits_as_text(fp: str = "fp") -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, budget: int = 2, bands: int = 32, per: int = 8) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, budget: int = 2, bands: int = 32, per: int = 8, least: float = 0.5) -> DataFrame:
     """The documents, less those that have a near copy with a smaller doc_id (null last): one of each group stays.
 
     A fingerprint of a whole text within 2 bits finds only the closest copies: texts whose sets of five-word shingles
     have a Jaccard similarity of 0.8 differ in about 9 bits. So each document also has `bands` fingerprints of `per`
     min-wise sampled shingles, and documents with an equal one are linked too: a pair of similarity s shares a band's
     sample with probability s ** per, some band with 1 - (1 - s ** per) ** bands, which is 0.997 at 0.8 and under 0.003
-    at 0.3. Groups are connected components. Repeated rows are copies; an empty table stays empty.
+    at 0.3. Of the documents with an equal sample each is linked with the first of them, if their sketches agree in `least`
+    or more: many documents that share one passage would meet in its samples otherwise. `least` is below 0.8, so that two
+    copies of one text, each 0.8 similar to it, are linked although they differ more. Groups are connected components. Repeated rows are copies; an empty table stays empty.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
     named = docs.select(F.struct("doc_id", key.alias("key")).alias("_id"), "text")
-    marked = written(fingerprints(named, "_id", words, bands, per).select("_id.*", "fp", "bands").withColumn("_row", F.monotonically_increasing_id()))
+    marked = written(fingerprints(named, "_id", words, bands, per).select("_id.*", "fp", "bands", "sketch").withColumn("_row", F.monotonically_increasing_id()))
     nodes = written(marked.groupBy("fp").agg(F.min("_row").alias("first")))
     close = near_fingerprints(nodes.select("fp"), budget)
     ends = lambda side: nodes.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}"))
@@ -215,7 +232,8 @@ def one_of_each(docs: DataFrame, words: int = 5, budget: int = 2, bands: int = 3
     edges = edges.unionByName(marked.join(nodes, "fp").select(F.col("_row").alias("a"), F.col("first").alias("b")))
     banded = marked.select("_row", F.posexplode("bands").alias("band", "value"))
     shared = banded.groupBy("band", "value").agg(F.min("_row").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    edges = edges.unionByName(banded.join(shared, ["band", "value"]).select(F.col("_row").alias("a"), "b"))
+    met = banded.join(shared, ["band", "value"]).select(F.col("_row").alias("a"), "b").filter("a <> b").distinct()
+    edges = edges.unionByName(alike(met, marked.select("_row", "sketch"), least))
     labels = components(edges.filter("a <> b").distinct())
     grouped = written(marked.select("_row", "doc_id", "key").join(labels, F.col("_row") == F.col("node")))
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("_row").alias("_row"))
