@@ -117,6 +117,16 @@ def test_near_copies_go_and_others_stay(spark):
     assert len(set(range(40)) - copies - stay) <= 2  # the table has near copies of its own
 
 
+def test_a_shared_passage_makes_no_copies(spark):
+    import random
+
+    rng = random.Random(1)
+    make = lambda n: ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+    passage = make(60)
+    rows = [(k, " ".join(make(30) + passage + make(30))) for k in range(400)]
+    assert simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 400
+
+
 def wrapper_page(k, body, comments=True):
     return f"""<!doctype html><html><head><title>T{k}</title><script>var a="<p>no</p>";</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>
     <div id=main class="content"><h1>Title {k} &amp; more</h1>{body}<p>Subscribe to our paper today.<ul><li>one {k}<li>two</ul></div>
