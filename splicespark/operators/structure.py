@@ -26,6 +26,13 @@ def merged_exons(exons: DataFrame) -> DataFrame:
     return island.groupBy("gene_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
+def annotated_introns(exons: DataFrame) -> DataFrame:
+    """gene_id, start, end: gaps of a transcript that lie inside an exon of another one of the gene."""
+    gaps = transcript_junctions(exons).filter("start <> -2 and end <> -2").select("gene_id", (F.col("start") + 1).alias("start"), (F.col("end") - 1).alias("end")).filter("start <= end").distinct()
+    held = exons.select("gene_id", F.col("start").alias("e_start"), F.col("end").alias("e_end")).distinct()
+    return gaps.join(held, "gene_id").filter("e_start < start and end < e_end").select("gene_id", "start", "end").distinct()
+
+
 def gene_clusters(genes: DataFrame) -> DataFrame:
     """gene_id, cluster: genes of a chromosome that overlap directly or by way of others; cluster is the first start."""
     w = W.partitionBy("chrom").orderBy("start", "end", "gene_id")

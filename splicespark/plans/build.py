@@ -264,3 +264,14 @@ def intron_filters(spark, sf_dir):
     rates = reads.groupBy("experiment", "chrom").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
     dense = rates.select("experiment", "chrom", F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")).cast("double")).alias("rates"))
     return E.intron_flags(dense, 3.0, 0.4, 2).select("experiment", "chrom", F.round("covered", 6).alias("covered"), "passed", "reliable")
+
+
+@query(
+    f"""WITH {V.TRANSCRIPT_EXONS_SQL}, x AS (SELECT gene_id, transcript_id, "start", "end" FROM transcript_exons UNION ALL SELECT gene_id, transcript_id || 'l', "start", "start" + 1300 FROM transcript_exons WHERE "start" % 5 = 0),
+    g AS (SELECT DISTINCT gene_id, "end" + 1 AS "start", nx - 1 AS "end" FROM (SELECT *, lead("start") OVER (PARTITION BY gene_id, transcript_id ORDER BY "start", "end") AS nx FROM x) WHERE nx IS NOT NULL AND "end" + 1 <= nx - 1)
+    SELECT * FROM g WHERE EXISTS (SELECT 1 FROM x WHERE x.gene_id = g.gene_id AND x."start" < g."start" AND g."end" < x."end")"""
+)
+def annotated_introns(spark, sf_dir):
+    e = V.transcript_exons(spark, sf_dir)
+    long = e.filter("start % 5 = 0").select("gene_id", F.concat("transcript_id", F.lit("l")).alias("transcript_id"), "start", (F.col("start") + 1300).alias("end"))
+    return S.annotated_introns(e.unionByName(long))
