@@ -240,7 +240,8 @@ def one_of_each(docs: DataFrame, words: int = 5, budget: int = 2, bands: int = 3
     stay = grouped.groupBy("component").agg(F.min(order).alias("o")).select("o._row")
     gone = grouped.join(stay, "_row", "left_anti").groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_gone"))
     # Rows of equal doc_id and text are copies: as many of them go as the table says, which is all but one at least.
-    gone = written(gone)
+    # The table grows with the input, so it is never broadcast: the plan is the same at every size.
+    gone = written(gone).hint("merge")
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key"))
     keyed = narrowed(docs, "doc_id", "text", whole=True).select("row", "doc_id", key.alias("_k"))
     repeated = marked.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
