@@ -12,7 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UNIT = 1 << 20  # weights are averaged as integers of this unit, so that the order of sums doesn't matter
+SHARE_UNIT = 1 << 32  # words' logarithms in their buckets are summed as integers of this unit, for the same reason
 
 
 @dataclass(frozen=True)
@@ -45,9 +48,14 @@ class Shape:
             at += n
         return found
 
-    def start(self) -> np.ndarray:
+    def start(self, counts: np.ndarray) -> np.ndarray:
+        """Small random weights; the tokens' counts in the corpus, plus one, as the softmaxes' constants."""
         rng = np.random.default_rng(7)
-        return np.concatenate([(rng.standard_normal(int(np.prod(s))) * (0 if name.endswith("0") or name == "word" else 1 / np.sqrt(s[0] if name != "embed" else s[1]))).astype(np.float32) for name, s in self.parts().items()])
+        flat = np.concatenate([(rng.standard_normal(int(np.prod(s))) * (0 if name.endswith("0") or name == "word" else 1 / np.sqrt(s[0] if name != "embed" else s[1]))).astype(np.float32) for name, s in self.parts().items()])
+        net, n = self.split(flat), counts.reshape(self.classes, self.size) + 1.0
+        net["group0"][:] = np.log(n.sum(1) / n.sum())
+        net["word0"][:] = np.log(n / n.sum(1, keepdims=True))
+        return flat
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -60,8 +68,9 @@ class Coder:
     def __init__(self, known: list[bytes], shape: Shape):
         self.known, self.shape = {w: i for i, w in enumerate(known)}, shape
 
-    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All texts' tokens with padding between, the places of the tokens, and each text's number of tokens."""
+    def rows(self, texts: list[str | None], others: list[list[bytes]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All texts' tokens with padding between, the places of the tokens, and each text's number of tokens; others
+        gets each text's words that aren't known."""
         get, low, rest = self.known.get, self.shape.tokens - self.shape.rest, self.shape.rest
         pad = [self.shape.tokens] * self.shape.window
         ids, sizes = list(pad), []
@@ -70,6 +79,8 @@ class Coder:
             ids += [low + zlib.crc32(w) % rest if (i := get(w)) is None else i for w in own]
             ids += pad
             sizes.append(len(own))
+            if others is not None:
+                others.append([w for w in own if w not in self.known])
         ids = np.array(ids, np.int32)
         return ids, np.flatnonzero(ids != self.shape.tokens), np.array(sizes)
 
@@ -141,8 +152,8 @@ def batches_of(ids: np.ndarray, places: np.ndarray, shape: Shape) -> Iterator[tu
         yield ids[at[:, None] + sides], ids[at]
 
 
-def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
-    """The `most` most frequent words of all documents (ties: by bytes)."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: how often each word is found in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -154,19 +165,41 @@ def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
                 counts = Counter()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(x.word) for x in counted.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+    return written(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def frequent_words(counts: DataFrame, most: int) -> list[bytes]:
+    """The `most` most frequent words (ties: by bytes)."""
+    return [bytes(x.word) for x in counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()]
+
+
+def token_totals(counts: DataFrame, known: list[bytes], shape: Shape) -> np.ndarray:
+    """How often each of the network's tokens, words or buckets, is found."""
+    spark, found = counts.sparkSession, np.zeros(shape.tokens, np.int64)
+    own = counts.join(F.broadcast(spark.createDataFrame(list(zip(known, range(len(known)))), "word binary, i int")), "word", "left")
+    token = F.coalesce("i", shape.tokens - shape.rest + F.crc32("word") % shape.rest)
+    for x in own.groupBy(token.alias("token")).agg(F.sum("n").alias("n")).collect():
+        found[x.token] = x.n
+    return found
+
+
+def shares(counts: DataFrame, known: list[bytes], shape: Shape) -> DataFrame:
+    """word, share: of each word that isn't known, the log of its part of its bucket's tokens, in SHARE_UNITs."""
+    first = counts.sparkSession.createDataFrame([(w,) for w in known], "word binary")
+    others = counts.join(F.broadcast(first), "word", "left_anti").withColumn("bucket", F.crc32("word") % shape.rest)
+    totals = others.groupBy("bucket").agg(F.sum("n").alias("total"))
+    log = F.log(F.col("n") / F.col("total"))
+    return others.join(F.broadcast(totals), "bucket").select("word", F.round(log * SHARE_UNIT).cast("long").alias("share"))
 
 
-def train(docs: DataFrame, coder: Coder, shape: Shape) -> np.ndarray:
-    """The network's weights, learned from every token of every document, once.
+def train(docs: DataFrame, coder: Coder, shape: Shape, weights: np.ndarray) -> np.ndarray:
+    """The network's weights, learned, beginning with the given ones, from every token of every document, once.
 
     In each round every partition of the documents whose turn it is learns from them on its own (Adagrad), beginning with
     the weights of the round before; the weights of the next are the mean over the partitions, by their tokens. The sums
     are a Spark aggregate; what comes to the driver is one network, whatever the input.
     """
     spark = docs.sparkSession
-    weights = shape.start()
     for turn in range(shape.rounds):
         sent = spark.sparkContext.broadcast((coder, weights))
 
@@ -198,24 +231,37 @@ def score(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """doc_id, n_tokens, log_prob and mean_log_prob of each document under a network trained on all of them.
 
     log_prob is the sum over the tokens of the log probability that the network gives each of them from the `window`
-    tokens on both sides, the token itself masked. A text without words, or null, has 0 tokens, log_prob 0 and a null
-    mean. Null and repeated doc_ids are documents of their own; other columns are ignored; an empty table gives no rows.
+    tokens on both sides, the token itself masked. A word that the network doesn't know by itself has its bucket's
+    probability times its part of the bucket's tokens in the whole corpus, so all words have probabilities of their own;
+    the counts of all words are a table that is joined to these tokens. A text without words, or null, has 0 tokens,
+    log_prob 0 and a null mean. Null and repeated doc_ids are documents of their own; other columns are ignored; an empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
-    coder = Coder(frequent_words(texts.filter("text is not null"), shape.tokens - shape.rest), shape)
-    sent = spark.sparkContext.broadcast((coder, train(texts.filter("text is not null"), coder, shape)))
+    counts = word_counts(texts.filter("text is not null"))
+    known = frequent_words(counts, shape.tokens - shape.rest)
+    coder = Coder(known, shape)
+    start = shape.start(token_totals(counts, known, shape))
+    sent = spark.sparkContext.broadcast((coder, train(texts.filter("text is not null"), coder, shape, start)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, flat = sent.value
         net = shape.split(flat)
         for batch in batches:
-            ids, places, sizes = coder.rows(batch.column(1).to_pylist())
+            others: list[list[bytes]] = []
+            ids, places, sizes = coder.rows(batch.column(1).to_pylist(), others)
             scores = [step(net, shape, context, target, False)[0] for context, target in batches_of(ids, places, shape)]
             sums = np.concatenate([[0.0], np.cumsum(np.concatenate(scores or [np.zeros(0)]), dtype=np.float64)])
             ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(sums[ends] - sums[ends - sizes])], ["doc_id", "n_tokens", "log_prob"])
+            columns = [batch.column(0), pa.array(sizes.astype(np.int64)), pa.array(sums[ends] - sums[ends - sizes]), pa.array(others, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "_buckets", "_others"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_prob double")
-    return found.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+    found = texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, _buckets double, _others array<binary>")
+    found = written(found.withColumn("_row", F.monotonically_increasing_id()))
+    own = found.select("_row", F.explode("_others").alias("word")).join(shares(counts, known, shape), "word")
+    inside = own.groupBy("_row").agg(F.sum("share").alias("_inside"))
+    log_prob = F.col("_buckets") + F.coalesce(F.col("_inside") / SHARE_UNIT, F.lit(0.0))
+    whole = found.drop("_others").join(inside, "_row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"))
+    return whole.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
