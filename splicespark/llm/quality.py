@@ -63,13 +63,16 @@ def line_hash(line: Column) -> Column:
 
 
 def judge(docs: DataFrame, share: float = 0.1, floor: int = 50, left_words: int = 10, left_share: float = 0.3, whole: bool = False) -> DataFrame:
-    """The base counts, n_frequent_words (words in frequent lines) and kept for each document.
+    """The base counts, n_frequent_words (words in frequent lines), kept and `text` without frequent lines, by document.
 
     A host is a `source` (null is a host). A line, normalised and hashed, is frequent on a host when over `floor` of its
     documents and over `share` of them have it; documents of equal text count once, so that copies, which are for
     deduplication, don't make their own lines frequent. A document is rejected when it fails the base rules, or when
     without its frequent lines it has under `left_words` words or under `left_share` of its words.
 
+    The base counts are of the whole text. What is left of a text keeps its other lines, empty ones too, as they are; a
+    text without frequent lines, or null, is as before.
+
     Null texts count as empty and fail. Null and repeated doc_ids are documents of their own. An empty table gives no
     rows. Other columns are ignored, unless `whole` asks for the row of docs in the struct `row`.
     """
@@ -88,12 +91,15 @@ def judge(docs: DataFrame, share: float = 0.1, floor: int = 50, left_words: int
     hit = lambda x: F.coalesce(F.array_contains("_frequent", line_hash(x)), F.lit(False))
     words = F.aggregate(F.filter("_lines", hit), F.lit(0).cast("long"), lambda a, x: a + F.size(words_of(x)))
     lost = F.when(F.col("_frequent").isNull(), F.lit(0).cast("long")).otherwise(words)
-    counted = base_rules(own, lost.alias("n_frequent_words"), *(["row"] if whole else []))
+    rest = F.array_join(F.filter(F.split("_text", "\n", -1), lambda x: ~(x.rlike(r"[^\x20\x09-\x0D]") & hit(x))), "\n")
+    text = F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(F.when(F.col("text").isNotNull(), rest))
+    counted = base_rules(own, lost.alias("n_frequent_words"), text.alias("text"), *(["row"] if whole else []))
     left = F.col("n_words") - F.col("n_frequent_words")
     depleted = (F.col("n_frequent_words") > 0) & ((left < left_words) | (left < left_share * F.col("n_words")))
     return counted.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
-    return judge(docs, whole=True, **options).filter("kept").select("row.*")
+    """The documents that the rules keep, with their columns, `text` without frequent lines."""
+    kept = judge(docs, whole=True, **options).filter("kept")
+    return kept.select(*(F.col("text") if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns))

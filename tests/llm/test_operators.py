@@ -358,6 +358,16 @@ def test_quality_base(spark):
             assert x.kept == (not x.base_failed)
 
 
+def test_frequent_lines_are_removed(spark):
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(k, f"  BUY now\tat the shop \n\n{own(k)}\n \nlast {k}\n", "host") for k in range(60)] + [(100, f"Buy now at the shop\n{own(100)}", "other"), (101, None, "host")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {x.doc_id: x.text for x in quality.kept_documents(docs).collect()}
+    assert kept == {k: f"\n{own(k)}\n \nlast {k}\n" for k in range(60)} | {100: rows[60][1]}
+    judged = {x.doc_id: x for x in quality.judge(docs).collect()}
+    assert judged[3].text == kept[3] and judged[3].n_words == 37 and judged[3].n_frequent_words == 5 and judged[101].text is None
+
+
 def test_queries_have_their_columns(spark):
     assert len(QUERIES) == 10
     wanted = {"op5_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"], "op8_source_mix": ["doc_id", "size", "source_size", "target", "taken"]}
