@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from .graph import components
 SEED = 42
 GROUP = 50_000  # fingerprints in a trie that one task joins; larger ones are split along the trie
 SPLIT_BITS = 8
+BAND_ROWS = 32  # texts with one band's sample that are all compared; those of larger sets meet by their rarest shingles
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -55,7 +57,8 @@ def sampled(hashes: np.ndarray, bands: int, per: int) -> tuple[np.ndarray, bytes
 
 
 def fingerprints(docs: DataFrame, key: str, words: int, bands: int = 0, per: int = 0) -> DataFrame:
-    """key, fp (the 64 bits as a long; 0 without words) and, for bands > 0, `bands` and `sketch`: see sampled()."""
+    """key, fp (the 64 bits as a long; 0 without words) and, for bands > 0, `bands` and `sketch`: see sampled(), and
+    `digest` of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,11 +66,12 @@ def fingerprints(docs: DataFrame, key: str, words: int, bands: int = 0, per: int
             columns = [batch.column(0), pa.array(np.array([majority(h) for h in each], np.uint64).view(np.int64))]
             if bands:
                 found = [sampled(h, bands, per) if len(h) else ((), b"") for h in each]
-                columns += [pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, [key, "fp", "bands", "sketch"][: len(columns)])
+                digests = [hashlib.blake2b(np.unique(h).tobytes(), digest_size=16).digest() for h in each]
+                columns += [pa.array([x[0] for x in found], pa.list_(pa.int64())), pa.array([x[1] for x in found], pa.binary()), pa.array(digests, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "fp", "bands", "sketch", "digest"][: len(columns)])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, fp long" + ", bands array<long>, sketch binary" * bool(bands))
+    return docs.select(key, "text").mapInArrow(run, f"{key} {kind}, fp long" + ", bands array<long>, sketch binary, digest binary" * bool(bands))
 
 
 def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,6 +211,46 @@ def alike(edges: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return edges.join(end("a"), "a").join(end("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def shingle_sets(docs: DataFrame, rows: DataFrame, key: Column, words: int) -> DataFrame:
+    """_row and `set`, the distinct shingles' hashes, of the rows (_row, doc_id, key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_row", "set"])
+
+    wanted = rows.select("_row", F.col("doc_id").alias("_doc"), F.col("key").alias("_key"))
+    texts = docs.select("doc_id", "text", key.alias("_k")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_k") == F.col("_key")))
+    found = texts.select("_row", "text").mapInArrow(run, "_row long, set array<long>")
+    return written(found.groupBy("_row").agg(F.first("set").alias("set")))
+
+
+def rarest_meet(sets: DataFrame) -> DataFrame:
+    """Pairs a, b of the rows of sets with every pair of Jaccard similarity 0.8 or more among them that isn't in one
+    `component` already.
+
+    With the shingles of all in one order, rarest first, such a pair shares one of the first n - ceil(4n / 5) + 1 of the
+    larger set and one of the first m - ceil(8m / 9) + 1 of the smaller. A passage in many texts comes last in this order.
+    """
+    each = sets.select("_row", "component", F.size("set").alias("n"), F.explode("set").alias("h"))
+    counted = each.join(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "h")
+    place = F.row_number().over(W.partitionBy("_row").orderBy("c", "h"))
+    first = counted.withColumn("place", place).filter("c > 1 and place <= n - (4 * n + 4) div 5 + 1")
+    first = written(first.select("_row", "component", "n", "h", "place"))
+    mixed = first.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("h")
+    first = first.join(mixed, "h")
+    large = first.select(F.col("_row").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), "h")
+    small = first.filter("place <= n - (8 * n + 8) div 9 + 1").select(F.col("_row").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), "h")
+    return large.join(small, "h").filter("ca <> cb and (nb < na or nb = na and b < a) and 5 * nb >= 4 * na").select("a", "b").distinct()
+
+
+def similar(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges a, b whose sets' Jaccard similarity is 0.8 or more."""
+    end = lambda side: sets.select(F.col("_row").alias(side), F.col("set").alias(f"s{side}"))
+    both = edges.join(end("a"), "a").join(end("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return both.filter(5 * F.col("both") >= 4 * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+
+
 def bits_as_text(fp: str = "fp") -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
@@ -214,26 +258,50 @@ def bits_as_text(fp: str = "fp") -> Column:
 def one_of_each(docs: DataFrame, words: int = 5, budget: int = 2, bands: int = 32, per: int = 8, least: float = 0.5) -> DataFrame:
     """The documents, less those that have a near copy with a smaller doc_id (null last): one of each group stays.
 
-    A fingerprint of a whole text within 2 bits finds only the closest copies: texts whose sets of five-word shingles
-    have a Jaccard similarity of 0.8 differ in about 9 bits. So each document also has `bands` fingerprints of `per`
-    min-wise sampled shingles, and documents with an equal one are linked too: a pair of similarity s shares a band's
-    sample with probability s ** per, some band with 1 - (1 - s ** per) ** bands, which is 0.997 at 0.8 and under 0.003
-    at 0.3. Of the documents with an equal sample each is linked with the first of them, if their sketches agree in `least`
-    or more: many documents that share one passage would meet in its samples otherwise. `least` is below 0.8, so that two
-    copies of one text, each 0.8 similar to it, are linked although they differ more. Groups are connected components. Repeated rows are copies; an empty table stays empty.
+    Near copies have a Jaccard similarity of 0.8 or more of their sets of five-word shingles; groups are the connected
+    components of such pairs. Texts of equal sets are one node. Candidates are nodes within `budget` bits of the
+    fingerprints of whole texts, and nodes that share one of `bands` fingerprints of `per` min-wise sampled shingles: a
+    pair of similarity s shares one with probability 1 - (1 - s ** per) ** bands, which is 0.997 at 0.8. In bands of over
+    BAND_ROWS nodes each is compared with the first; what these links leave apart comes from rarest_meet(), which misses
+    no pair. Candidates
+    whose sketches agree in under `least` are far from 0.8; the sets of the others are compared. Repeated rows are copies;
+    an empty table stays empty.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
     named = docs.select(F.struct("doc_id", key.alias("key")).alias("_id"), "text")
-    marked = written(fingerprints(named, "_id", words, bands, per).select("_id.*", "fp", "bands", "sketch").withColumn("_row", F.monotonically_increasing_id()))
-    nodes = written(marked.groupBy("fp").agg(F.min("_row").alias("first")))
+    marked = written(fingerprints(named, "_id", words, bands, per).select("_id.*", "fp", "bands", "sketch", "digest").withColumn("_row", F.monotonically_increasing_id()))
+    firsts = written(marked.groupBy("digest").agg(F.min("_row").alias("first")))
+    edges = marked.join(firsts, "digest").select(F.col("_row").alias("a"), F.col("first").alias("b"))
+    alone = written(marked.join(firsts.select(F.col("first").alias("_row")), "_row", "left_semi").filter(F.size("bands") > 0))
+    nodes = written(alone.groupBy("fp").agg(F.min("_row").alias("first")))
     close = near_fingerprints(nodes.select("fp"), budget)
     ends = lambda side: nodes.select(F.col("fp").alias(side), F.col("first").alias(f"_{side}"))
-    edges = close.join(ends("a"), "a").join(ends("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    edges = edges.unionByName(marked.join(nodes, "fp").select(F.col("_row").alias("a"), F.col("first").alias("b")))
-    banded = marked.select("_row", F.posexplode("bands").alias("band", "value"))
-    shared = banded.groupBy("band", "value").agg(F.min("_row").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = banded.join(shared, ["band", "value"]).select(F.col("_row").alias("a"), "b").filter("a <> b").distinct()
-    edges = edges.unionByName(alike(met, marked.select("_row", "sketch"), least))
+    met = close.join(ends("a"), "a").join(ends("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    met = met.unionByName(alone.join(nodes, "fp").select(F.col("_row").alias("a"), F.col("first").alias("b")))
+    banded = alone.select("_row", F.posexplode("bands").alias("band", "value"))
+    shared = banded.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    banded = written(banded.join(shared, ["band", "value"]))
+    few = banded.filter(F.col("n") <= BAND_ROWS).groupBy("band", "value").agg(F.collect_list("_row").alias("rows"))
+    pairs = few.select("rows", F.explode("rows").alias("a")).select("a", F.explode(F.filter("rows", lambda x: x < F.col("a"))).alias("b"))
+    met = met.unionByName(pairs)
+    many = banded.filter(F.col("n") > BAND_ROWS)
+    star = many.groupBy("band", "value").agg(F.min("_row").alias("b"))
+    met = met.unionByName(many.join(star, ["band", "value"]).select(F.col("_row").alias("a"), "b"))
+    identity = alone.select("_row", "doc_id", "key")
+
+    def verified(met: DataFrame) -> DataFrame:
+        met = met.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        near = written(alike(met, alone.select("_row", "sketch"), least))
+        wanted = near.select(F.explode(F.array("a", "b")).alias("_row")).distinct()
+        return written(similar(near, shingle_sets(docs, identity.join(wanted, "_row"), key, words)))
+
+    links = verified(met)
+    rows = written(many.select("_row").distinct())
+    if not rows.isEmpty():
+        known = components(links).withColumnRenamed("node", "_row")
+        sets = shingle_sets(docs, identity.join(rows, "_row"), key, words).join(known, "_row", "left")
+        links = links.unionByName(verified(rarest_meet(sets.withColumn("component", F.coalesce("component", "_row")))))
+    edges = edges.unionByName(links)
     labels = components(edges.filter("a <> b").distinct())
     grouped = written(marked.select("_row", "doc_id", "key").join(labels, F.col("_row") == F.col("node")))
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("_row").alias("_row"))

@@ -128,6 +128,30 @@ def test_a_shared_passage_makes_no_copies(spark):
     assert simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 400
 
 
+@pytest.mark.parametrize("limit", [simhash.BAND_ROWS, 2])
+def test_only_copies_of_similarity_go(spark, monkeypatch, limit):
+    import random
+
+    monkeypatch.setattr(simhash, "BAND_ROWS", limit)
+    rng = random.Random(2)
+    make = lambda n: ["".join(rng.choices("abcdefgh", k=7)) for _ in range(n)]
+    passage = make(200)
+    texts = [passage + make(40) for _ in range(60)]  # 0.69: a shared passage, no copies
+    for k in range(60):
+        text = make(200)
+        texts += [text, text + make(25 + k), text[: 190 - k % 30] + make(5)]  # on both sides of 0.8
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    value = lambda a, b: len(a & b) / len(a | b)
+    label = groups(sets, lambda a, b: value(a, b) >= 0.8)
+    assert len(set(label[:60])) == 60 and 100 < len(set(label)) < len(texts)
+    rng.shuffle(order := list(range(len(texts))))
+    docs = spark.createDataFrame([(k, " ".join(texts[k])) for k in order], "doc_id long, text string")
+    stay = {x.doc_id for x in simhash.one_of_each(docs).collect()}
+    assert set(range(60)) <= stay and stay <= {k for k in range(len(texts))}
+    missed = stay - set(label)
+    assert set(label) <= stay and len(missed) <= 2  # a band is met with probability 0.997 at 0.8
+
+
 def wrapper_page(k, body, comments=True):
     return f"""<!doctype html><html><head><title>T{k}</title><script>var a="<p>no</p>";</script></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>
     <div id=main class="content"><h1>Title {k} &amp; more</h1>{body}<p>Subscribe to our paper today.<ul><li>one {k}<li>two</ul></div>
