@@ -62,11 +62,11 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))))
 
 
-def judge(docs: DataFrame, share: float = 0.1, floor: int = 50, left_words: int = 10, left_share: float = 0.3, whole: bool = False) -> DataFrame:
+def judge(docs: DataFrame, limit: int = 10, left_words: int = 10, left_share: float = 0.3, whole: bool = False) -> DataFrame:
     """The base counts, n_frequent_words (words in frequent lines), kept and `text` without frequent lines, by document.
 
-    A host is a `source` (null is a host). A line, normalised and hashed, is frequent on a host when over `floor` of its
-    documents and over `share` of them have it; documents of equal text count once, so that copies, which are for
+    A host is a `source` (null is a host). A line, normalised and hashed, is frequent on a host when over `limit` of its
+    documents have it, however many these are; documents of equal text count once, so that copies, which are for
     deduplication, don't make their own lines frequent. A document is rejected when it fails the base rules, or when
     without its frequent lines it has under `left_words` words or under `left_share` of its words.
 
@@ -74,20 +74,21 @@ def judge(docs: DataFrame, share: float = 0.1, floor: int = 50, left_words: int
     text without frequent lines, or null, is as before.
 
     Null texts count as empty and fail. Null and repeated doc_ids are documents of their own. An empty table gives no
-    rows. Other columns are ignored, unless `whole` asks for the row of docs in the struct `row`.
+    rows; long texts are counted whole. Other columns are ignored, unless `whole` asks for the row of docs in the struct
+    `row`.
     """
     docs = narrowed(docs, "doc_id", "text", "source", whole=whole)
-    parts = lines_of(docs, F.col("source"))
-    key = F.struct(F.xxhash64("_text").alias("a"), F.hash("_text").alias("b"), F.length("_text").alias("n"))
-    texts = parts.select("source", key.alias("_key"), F.array_distinct(F.transform("_lines", line_hash)).alias("h")).dropDuplicates(["source", "_key"])
-    hosts = texts.groupBy("source").agg(F.count(F.lit(1)).alias("host_documents")).withColumnRenamed("source", "_host")
-    lines = texts.select("source", F.explode("h").alias("h")).groupBy("source", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > floor)
-    # A frequent line is in over `share` of the host's documents, so a host has no more of them than 1 / share times the
-    # lines of a document.
-    frequent = lines.join(hosts, lines.source.eqNullSafe(hosts._host)).filter(F.col("n") > share * F.col("host_documents"))
-    listed = written(frequent.groupBy("_host").agg(F.collect_set("h").alias("_frequent")))
-
-    own = docs.join(listed, docs.source.eqNullSafe(listed._host), "left").select(docs["*"], "_frequent")
+    full = text_of()
+    key = F.struct(F.xxhash64(full).alias("a"), F.hash(full).alias("b"), F.length(full).alias("n"))
+    parts = lines_of(docs, F.col("source"), key.alias("_key"))
+    texts = written(parts.select("source", "_key", F.array_distinct(F.transform("_lines", line_hash)).alias("h")).dropDuplicates(["source", "_key"]))
+    lines = texts.select("source", "_key", F.explode("h").alias("h"))
+    # Written, so that in the join both sides are shuffled and a line in very many documents can be split.
+    often = written(lines.groupBy("source", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select(F.col("source").alias("_host"), F.col("h").alias("_h")))
+    hits = lines.join(often, lines.source.eqNullSafe(often._host) & (lines.h == often._h))
+    listed = written(hits.groupBy(F.col("source").alias("_host"), F.col("_key").alias("_text_key")).agg(F.collect_set("h").alias("_frequent")))
+
+    own = docs.join(listed, docs.source.eqNullSafe(listed._host) & (key == listed._text_key), "left").select(docs["*"], "_frequent")
     hit = lambda x: F.coalesce(F.array_contains("_frequent", line_hash(x)), F.lit(False))
     words = F.aggregate(F.filter("_lines", hit), F.lit(0).cast("long"), lambda a, x: a + F.size(words_of(x)))
     lost = F.when(F.col("_frequent").isNull(), F.lit(0).cast("long")).otherwise(words)

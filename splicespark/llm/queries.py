@@ -64,9 +64,8 @@ ORACLE_SQL: dict[str, str] = {
   t AS (SELECT r, i, count(*) OVER (PARTITION BY r, array_to_string(ws[i:i + 4], ' ')) AS n FROM p),
   n AS (SELECT r, count(DISTINCT i + k.k) AS n_repeat_words FROM t, (SELECT unnest(range(5)) AS k) k WHERE n > 1 GROUP BY r),
   u AS (SELECT DISTINCT source, text, ls FROM w),
-  h AS (SELECT source, count(*) AS docs FROM u GROUP BY source),
   l AS (SELECT DISTINCT source, text, lower(trim(regexp_replace(unnest(ls), '[\x20\x09-\x0D]+', ' ', 'g'))) AS line FROM u),
-  f AS (SELECT l.source, line FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line, docs HAVING count(*) > 50 AND count(*) > 0.1 * docs),
+  f AS (SELECT source, line FROM l GROUP BY source, line HAVING count(*) > 10),
   x AS (SELECT r, source, unnest(ls) AS line FROM w),
   g AS (SELECT r, sum(len(regexp_extract_all(x.line, '[^\x20\x09-\x0D]+'))) AS lost FROM x JOIN f ON x.source IS NOT DISTINCT FROM f.source AND lower(trim(regexp_replace(x.line, '[\x20\x09-\x0D]+', ' ', 'g'))) = f.line GROUP BY r),
   b AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,

@@ -3,7 +3,6 @@
 import hashlib
 import math
 import re
-import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -173,39 +172,96 @@ def test_html(spark):
         assert one[0].text == "x"
 
 
-def test_lm_prefers_held_out_text_in_order(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en'").select("doc_id", "text").collect()
-    test = [d for d in docs if d.doc_id % 10 == 0 and len(d.text.split()) > 60]
+def test_lm_knows_held_out_text_better_than_word_counts_do(spark):
     import random
 
-    shuffled = [(-d.doc_id - 1, " ".join(random.Random(d.doc_id).sample(d.text.split(), len(d.text.split())))) for d in test]
-    texts = [(d.doc_id, d.text) for d in docs if d.doc_id % 10]
-    noise = [(100_000 + d.doc_id, re.sub(r"\w", lambda m: "qxzjk"[ord(m[0]) % 5], d.text)) for d in test]
-    found = {x.doc_id: x.mean_log_prob for x in lm_score.score(spark.createDataFrame(texts + [(d.doc_id, d.text) for d in test] + noise[:3], "doc_id long, text string").repartition(2)).collect()}
-    assert all(v < 0 for v in found.values())
-    assert sum(found[d.doc_id] for d in test[:3]) / 3 > -math.log(48 * 48) and max(found.values()) < 0
-    again = {x.doc_id: x.mean_log_prob for x in lm_score.score(spark.createDataFrame(texts[:50], "doc_id long, text string").coalesce(1)).collect()}
-    once = {x.doc_id: x.mean_log_prob for x in lm_score.score(spark.createDataFrame(texts[:50], "doc_id long, text string").coalesce(1)).collect()}
-    assert again == once and shuffled
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null").select("doc_id", "text").collect()
+    test = [d for d in docs if d.doc_id % 10 == 0 and len(d.text.split()) > 60]
+    seen = [(d.doc_id, d.text) for d in docs if d.doc_id % 10]
+    schema = "doc_id long, text string"
+    model = lm_score.fit(spark.createDataFrame(seen, schema).coalesce(1), lm_score.Shape(batch=1024))
+    rng = random.Random(1)
+    mixed = [(-d.doc_id - 1, " ".join(rng.sample(d.text.split(), len(d.text.split())))) for d in test]
+    found = {x.doc_id: x for x in lm_score.scored(spark.createDataFrame([(d.doc_id, d.text) for d in test] + mixed, schema), model).collect()}
+    assert all(x.log_prob < 0 for x in found.values())
+    total = lambda ids: sum(found[i].log_prob for i in ids) / sum(found[i].n_tokens for i in ids)
+    words = lambda t: t.encode().lower().split()
+    counts = Counter(w for _, t in seen for w in words(t))
+    n = sum(counts.values())
+    plain = [math.log(max(counts[w], 1) / n) for d in test for w in words(d.text)]
+    in_order, shuffled = total([d.doc_id for d in test]), total([i for i, _ in mixed])
+    assert in_order > shuffled + 0.1 and in_order > sum(plain) / len(plain) + 0.4, (in_order, shuffled, sum(plain) / len(plain))
+
+
+def test_lm_doesnt_vary(spark):
+    texts = spark.createDataFrame([(d.doc_id, d.text) for d in rows_of(spark, "documents")], "doc_id long, text string").coalesce(1)
+    first, again = ({x.doc_id: x.log_prob for x in lm_score.score(texts).collect()} for _ in range(2))
+    assert first == again
+
+
+def plain_step(net, shape, context, target):
+    """Log probabilities of targets, one by one, in double precision."""
+    found = []
+    for row, t in zip(context, target):
+        x = [float(v) for k in row for v in net["embed"][k]]
+        h = [sum(x[i] * net["mix"][i][j] for i in range(len(x))) + net["mix0"][j] for j in range(shape.hidden)]
+        h = [v / (1 + abs(v)) for v in h]
+        c, w = divmod(int(t), shape.size)
+        group = [sum(h[i] * net["group"][i][j] for i in range(shape.hidden)) + net["group0"][j] for j in range(shape.classes)]
+        word = [sum(h[i] * net["word"][c][i][j] for i in range(shape.hidden)) + net["word0"][c][j] for j in range(shape.size)]
+        part = lambda v, j: v[j] - math.log(sum(math.exp(y) for y in v))
+        found.append(part(group, c) + part(word, w))
+    return found
+
+
+def test_lm_step_and_gradient():
+    import numpy as np
+
+    shape = lm_score.Shape(classes=3, size=4, rest=2, width=3, hidden=5, window=2)
+    rng = np.random.default_rng(3)
+    flat = rng.standard_normal(len(shape.start(np.ones(shape.tokens)))).astype(np.float32)
+    context, target = rng.integers(0, shape.tokens + 1, (7, 4)), rng.integers(0, shape.tokens, 7)
+    room = lm_score.Room()
+    score, slope = lm_score.step(shape.split(flat.copy()), shape, context, target, True, room)
+    assert score == pytest.approx(plain_step(shape.split(flat), shape, context, target), abs=1e-4)
+    assert lm_score.step(shape.split(flat.copy()), shape, context[:3], target[:3], False, room)[0] == pytest.approx(score[:3], abs=1e-5)
+    mean = lambda f: -sum(plain_step(shape.split(f), shape, context, target)) / len(target)
+    at = 0
+    for name, s in slope.items():
+        assert s.shape == shape.parts()[name]
+    for name, size in shape.parts().items():
+        whole = slope[name].ravel()
+        for k in rng.choice(len(whole), min(len(whole), 8), replace=False):
+            up, down = flat.astype(float), flat.astype(float)
+            up[at + k] += 1e-4
+            down[at + k] -= 1e-4
+            assert whole[k] == pytest.approx((mean(up) - mean(down)) / 2e-4, abs=1e-3), name
+        at += int(np.prod(size))
 
 
 def test_lm_gives_each_word_its_own_probability(spark):
-    shape = lm_score.Shape(classes=3, size=4, rest=2)  # ten known words, two buckets
     texts = [" ".join(f"known{k}" for k in range(10))] * 50 + ["often seen " * 6, "known0 known1 seldom known2", None, "known0 known1 often known2"]
-    words = Counter(w for t in texts for w in (t or "").split())
-    bucket = lambda w: zlib.crc32(w.encode()) % 2
-    others = {w: n for w, n in words.items() if not w.startswith("known")}
+    bucket = lambda w: xxhash.xxh64_intdigest(w, 42) % 2
     twin = {b: next(f"new{k}" for k in range(99) if bucket(f"new{k}") == b) for b in (0, 1)}
     texts += [f"known0 known1 {twin[bucket('often')]} known2"]
-    others[twin[bucket("often")]] = 1
-    found = {x.doc_id: x.log_prob for x in lm_score.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shape).collect()}
-    # the same context and bucket: the words differ by their counts alone
-    assert found[53] - found[54] == pytest.approx(math.log(others["often"]), abs=1e-6)
-    counts = lm_score.word_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
-    shares = {x.word.decode(): x.share / lm_score.SHARE_UNIT for x in lm_score.shares(counts, lm_score.frequent_words(counts, 10), shape).collect()}
-    assert set(shares) == set(others)
-    for b in {bucket(w) for w in others}:
-        assert sum(math.exp(v) for w, v in shares.items() if bucket(w) == b) == pytest.approx(1)
+    words = Counter(w for t in texts for w in (t or "").split())
+    others = {w: n for w, n in words.items() if not w.startswith("known")}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = []
+    for near in (10, 11, 100):  # ten known words, two buckets; none, one and all of the others are near
+        shape = lm_score.Shape(classes=3, size=4, rest=2, near=near)
+        model = lm_score.fit(docs, shape)
+        every.append({x.doc_id: x.log_prob for x in lm_score.scored(docs, model).collect()})
+        # the same context and bucket: the words differ by their counts alone
+        assert every[-1][53] - every[-1][54] == pytest.approx(math.log(others["often"]), abs=1e-6)
+        far = {x.h: x.log / lm_score.LOG_UNIT for x in model.far.collect()}
+        signed = lambda w: int.from_bytes(xxhash.xxh64_digest(w, 42), "big", signed=True)
+        told = [w for w in others if w.encode() not in model.coder.place]
+        assert far == pytest.approx({signed(w): math.log(others[w]) for w in told if others[w] > 1})
+        for b in {bucket(w) for w in others}:
+            logs = [model.coder.share[model.coder.place[w.encode()]] if w not in told else model.coder.share[len(model.coder.place) + 1 + b] + math.log(others[w]) for w in others if bucket(w) == b]
+            assert sum(map(math.exp, logs)) == pytest.approx(1)
+    assert every[0] == pytest.approx(every[1], abs=1e-6) and every[0] == pytest.approx(every[2], abs=1e-6)
 
 
 SECRETS = [
@@ -382,6 +438,21 @@ def test_quality_base(spark):
             assert x.kept == (not x.base_failed)
 
 
+def test_lines_are_frequent_by_one_limit_on_small_large_and_hot_hosts(spark):
+    rows = [(k, f"Line of all\nOnly {host} line {k % spread}\nown {k} " + " ".join(f"w{k}x{j}" for j in range(2 + k % 25)), host) for host, n, spread in (("small", 11, 2), ("less", 10, 1), ("hot", 900, 70), (None, 40, 3)) for k in range(n)]
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)] + [(5000 + k, rows[5][1], "less") for k in range(30)]  # copies count once
+    own = lambda t: [" ".join(x.lower().split()) for x in t.split("\n") if x.strip()]
+    counts = Counter((s, x) for s, t in {(s, t) for _, t, s in rows} for x in set(own(t)))
+    found = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {s for s, _ in (k for k, n in counts.items() if n > 10)} == {"small", "hot", None, "less"} - ({"less"} if counts["less", "line of all"] <= 10 else set())
+    for i, text, source in rows:
+        lost = sum(len(x.split()) for x in own(text) if counts[source, x] > 10)
+        n = len(text.split())
+        assert found[i].n_frequent_words == lost
+        assert found[i].kept == (not found[i].base_failed and not (lost and (n - lost < 10 or n - lost < 0.3 * n)))
+        assert found[i].text == "\n".join(x for x in text.split("\n") if counts[source, " ".join(x.lower().split())] <= 10)
+
+
 def test_frequent_lines_are_removed(spark):
     own = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
     rows = [(k, f"  BUY now\tat the shop \n\n{own(k)}\n \nlast {k}\n", "host") for k in range(60)] + [(100, f"Buy now at the shop\n{own(100)}", "other"), (101, None, "host")]
