@@ -10,45 +10,52 @@ def total(bins: Column) -> Column:
     return F.aggregate(bins, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once: a lambda computes what stands outside it again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalised(bins: Column) -> Column:
-    sum_ = total(bins)
-    return F.aggregate(F.array(bins), F.array().cast("array<double>"), lambda _, b: F.transform(b, lambda x: x / sum_))
+    return let(bins, lambda b: let(total(b), lambda t: F.transform(b, lambda x: x / t)))
+
+
+def weighted(bins: Column, weights: list[float]) -> Column:
+    """Sum of the bins, each times its fixed weight."""
+    return total(F.zip_with(bins, F.lit(weights), lambda x, w: x * w))
 
 
-def centre(i: Column, n: int, low: float, high: float) -> Column:
-    return low + (i + 0.5) * ((high - low) / n)
+def centres(n: int, low: float, high: float) -> list[float]:
+    return [low + (i + 0.5) * ((high - low) / n) for i in range(n)]
 
 
 def expected(bins: Column, n: int, low: float = 0.0, high: float = 1.0) -> Column:
     """Mean of the histogram over n bins on [low, high]."""
-    return total(F.transform(bins, lambda x, i: x * centre(i, n, low, high)))
+    return weighted(bins, centres(n, low, high))
 
 
 def expected_absolute(bins: Column, n: int, low: float = -1.0, high: float = 1.0) -> Column:
-    return total(F.transform(bins, lambda x, i: x * F.abs(centre(i, n, low, high))))
+    return weighted(bins, [abs(c) for c in centres(n, low, high)])
 
 
 def variance(bins: Column, n: int, low: float = 0.0, high: float = 1.0) -> Column:
     """E[x^2] - E[x]^2, at least 0."""
-    square = total(F.transform(bins, lambda x, i: x * centre(i, n, low, high) * centre(i, n, low, high)))
-    mean = expected(bins, n, low, high)
-    return F.greatest(F.lit(0.0), square - mean * mean)
+    square = weighted(bins, [c * c for c in centres(n, low, high)])
+    return let(expected(bins, n, low, high), lambda mean: F.greatest(F.lit(0.0), square - mean * mean))
 
 
-def share_within(bins: Column, n: int, threshold: float) -> Column:
-    """Mass of a histogram on [-1, 1] within +-threshold: the cumulative sum, interpolated inside the bins of both ends."""
+def parts_within(n: int, threshold: float) -> list[float]:
+    """How much of each of n bins on [-1, 1] is within +-threshold."""
     width = 2.0 / n
+    return [max(0.0, min(1.0, (min(-1.0 + (i + 1) * width, threshold) - max(-1.0 + i * width, -threshold)) / width)) for i in range(n)]
 
-    def inside(i: Column) -> Column:
-        low = -1.0 + i * width
-        part = F.least(low + width, F.lit(threshold)) - F.greatest(low, F.lit(-threshold))
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), part / width))
 
-    return total(F.transform(bins, lambda x, i: x * inside(i)))
+def share_within(bins: Column, n: int, threshold: float) -> Column:
+    """Mass of a histogram on [-1, 1] within +-threshold: the cumulative sum, interpolated inside the bins of both ends."""
+    return weighted(bins, parts_within(n, threshold))
 
 
 def share_outside(bins: Column, n: int, threshold: float) -> Column:
-    return total(bins) - share_within(bins, n, threshold)
+    return weighted(bins, [1 - x for x in parts_within(n, threshold)])
 
 
 def without_prior(bins: Column, prior: Column) -> Column:

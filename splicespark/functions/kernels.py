@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 
@@ -24,8 +25,10 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return np.where(small, mirrored, found)
 
 
-def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, passes: int = 300) -> np.ndarray:
-    """Regularised incomplete beta function, by its continued fraction on the side where that converges fast."""
+def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function, by its continued fraction on the side where that converges fast.
+
+    The fraction needs about as many passes as the root of the larger parameter; it runs until all values stand."""
     x, a, b = np.broadcast_arrays(np.asarray(x, float), np.asarray(a, float), np.asarray(b, float))
     turned = x > (a + 1) / (a + b + 2)
     p, q, y = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
@@ -36,7 +39,7 @@ def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, passes: int = 300) ->
     d = 1 - (p + q) * z / (p + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, passes):
+    for m in count(1):
         for even in (True, False):
             step = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)) if even else -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
             d = 1 + step * d
@@ -45,7 +48,7 @@ def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, passes: int = 300) ->
             c = np.where(np.abs(c) < tiny, tiny, c)
             change = c * d
             h = h * change
-        if np.all(np.abs(change - 1) < 1e-14):
+        if not np.any(np.abs(change - 1) > 1e-14):
             break
     front = np.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * np.log(z) + q * np.log1p(-z))
     part = np.where(inside, front * h / p, np.where(y <= 0, 0.0, 1.0))
@@ -59,20 +62,38 @@ def t_two_sided(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
 
 
 def poisson_above(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """P(X > k) of a Poisson variable."""
-    k, mean = np.broadcast_arrays(np.asarray(k, int), np.asarray(mean, float))
+    """P(X > k) of a Poisson variable: the regularised incomplete gamma function P(k + 1, mean).
+
+    Below the mean of the gamma variable by its series, above it as 1 less the other tail's continued fraction; both begin
+    with a factor that is taken in logarithms, so that means of millions neither vanish nor overflow.
+    """
+    k, mean = np.broadcast_arrays(np.asarray(k, float), np.asarray(mean, float))
     if not k.size:
         return np.zeros(k.shape)
-    log_mean = np.log(np.maximum(mean, 1e-300))
-    term = np.exp((k + 1) * log_mean - mean - log_gamma(k + 2.0))
-    found, n = np.zeros_like(term), k + 1.0
-    for _ in range(10_000):  # the tail's terms fall once n is past the mean
-        found += term
-        n = n + 1
-        term = term * mean / n
-        if np.all((term <= 1e-17 * np.maximum(found, 1e-300)) & (n > mean)):
+    a, x = k + 1, np.maximum(mean, 1e-300)
+    front = np.exp(a * np.log(x) - x - log_gamma(a))
+    low = x < a + 1
+    term = 1 / a
+    series = term.copy()
+    y = np.where(low, x, 0.0)
+    for n in count(1):
+        term = term * y / (a + n)
+        series += term
+        if np.all(term <= 1e-17 * series):
+            break
+    z = np.where(low, a + 2, x)
+    b = z + 1 - a
+    c, d = np.full(a.shape, 1e300), 1 / b
+    h = d.copy()
+    for n in count(1):
+        step = -n * (n - a)
+        b = b + 2
+        d = 1 / (step * d + b)
+        c = b + step / c
+        h = h * (c * d)
+        if not np.any(np.abs(c * d - 1) > 1e-14):
             break
-    return np.minimum(found, 1.0)
+    return np.clip(np.where(low, front * series, 1 - front * h), 0, 1)
 
 
 def normal_two_sided(z: np.ndarray) -> np.ndarray:

@@ -100,30 +100,50 @@ def bins(start: Column, end: Column, width: int = BIN) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
 
 
-def junction_genes(junctions: DataFrame, genes: DataFrame, exons: DataFrame, annotated: DataFrame, reach: int = 10_000, near: int = 400) -> DataFrame:
+def junction_genes(junctions: DataFrame, genes: DataFrame, exons: DataFrame, annotated: DataFrame, reach: int = 10_000, near: int = 400, full_intergene: bool = False) -> DataFrame:
     """chrom, strand, start, end, gene_id, stage: the genes of each distinct junction, of the first stage that has any.
 
     Candidates lie on the chromosome, on a matching strand (`.` matches both), within the gene widened by `reach`, and not
-    with both ends outside it. Stage 1: the gene has the junction annotated; 2: both ends are near exons of it (start up to
-    `near` after an exon's start side, end up to `near` before); 3: inside only. Genes and junctions meet by chromosome
-    and coordinate bin, a junction in the one bin of its start, a gene in all that its widened range touches.
+    with both ends outside it. Stage 1: the gene has the junction annotated; 2: both ends are near full exons of it (start
+    up to `near` after an exon's start side, end up to `near` before); 3: inside only. For stages 2 and 3 a junction with
+    one end outside the gene needs an end in a full exon, unless `full_intergene`.
+
+    Stage 1 is an equi-join. What it leaves meets genes by chromosome and coordinate bin, a junction in the one bin of its
+    start, a gene, with its exons, in all that its widened range touches; the genes of a bin are one array (annotation
+    bounds it), so that no pair is shuffled.
     """
     distinct = junctions.select("chrom", "strand", "start", "end").distinct()
     wide = 10 * BIN
-    placed = genes.select("gene_id", F.col("chrom").alias("g_chrom"), F.col("strand").alias("g_strand"), F.col("start").alias("g_start"), F.col("end").alias("g_end"), bins(F.col("start") - reach, F.col("end") + reach, wide).alias("bin"))
-    at = distinct.withColumn("at", F.floor(F.col("start") / wide))
-    outside = (F.col("start") < F.col("g_start")) & (F.col("end") > F.col("g_end"))
-    inside = (F.col("start") >= F.col("g_start") - reach) & (F.col("end") <= F.col("g_end") + reach) & ~outside
-    pairs = at.join(placed, (at.chrom == F.col("g_chrom")) & (F.col("at") == F.col("bin")) & ((F.col("strand") == ".") | (F.col("strand") == F.col("g_strand"))) & inside).select("chrom", "strand", "start", "end", "gene_id")
-    known = annotated.select("gene_id", "start", "end").distinct().withColumn("known", F.lit(True))
-    e = exons.select("gene_id", F.col("start").alias("e_start"), F.col("end").alias("e_end"))
-    sides = pairs.join(e, "gene_id", "left").groupBy("chrom", "strand", "start", "end", "gene_id").agg(
-        F.coalesce(F.bool_or((F.col("start") > F.col("e_start")) & (F.col("start") <= F.col("e_end") + near)), F.lit(False)).alias("left_near"),
-        F.coalesce(F.bool_or((F.col("end") >= F.col("e_start") - near) & (F.col("end") < F.col("e_end"))), F.lit(False)).alias("right_near"),
-    )
-    staged = sides.join(known, ["gene_id", "start", "end"], "left").withColumn("stage", F.when(F.col("known"), 1).when(F.col("left_near") & F.col("right_near"), 2).otherwise(3))
-    best = W.partitionBy("chrom", "strand", "start", "end")
-    return staged.withColumn("best", F.min("stage").over(best)).filter("stage = best").select("chrom", "strand", "start", "end", "gene_id", "stage")
+
+    def fits(j_strand: Column, start: Column, end: Column, g) -> Column:
+        outside = (start < g("start")) & (end > g("end"))
+        return ((j_strand == ".") | (j_strand == g("strand"))) & (start >= g("start") - reach) & (end <= g("end") + reach) & ~outside
+
+    place = genes.select("gene_id", "chrom", *(F.col(c).alias(f"g_{c}") for c in ("strand", "start", "end")))
+    known = annotated.select("gene_id", "start", "end").distinct().join(place, "gene_id")
+    first = distinct.join(known, ["chrom", "start", "end"]).filter(fits(F.col("strand"), F.col("start"), F.col("end"), lambda c: F.col(f"g_{c}"))).select("chrom", "strand", "start", "end", "gene_id")
+
+    full = exons.filter("start >= 0 and end >= 0").groupBy("gene_id").agg(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"))).alias("exons"))
+    gene = F.struct("gene_id", "strand", "start", "end", F.coalesce("exons", F.array().cast(full.schema["exons"].dataType)).alias("exons"))
+    placed = genes.join(full, "gene_id", "left").select("chrom", gene.alias("g"), bins(F.col("start") - reach, F.col("end") + reach, wide).alias("bin"))
+    placed = placed.groupBy("chrom", "bin").agg(F.collect_list("g").alias("genes"))
+    rest = distinct.join(first, ["chrom", "strand", "start", "end"], "left_anti").withColumn("bin", F.floor(F.col("start") / wide))
+    start, end = F.col("start"), F.col("end")
+
+    def candidate(g: Column) -> Column:
+        beyond = (start < g["start"]) | (end > g["end"])
+        inside = lambda x: F.exists(g["exons"], lambda e: x.between(e["s"], e["e"]))
+        return fits(F.col("strand"), start, end, lambda c: g[c]) & (F.lit(full_intergene) | ~beyond | inside(start) | inside(end))
+
+    def staged(g: Column) -> Column:
+        left = F.exists(g["exons"], lambda e: (start > e["s"]) & (start <= e["e"] + near))
+        right = F.exists(g["exons"], lambda e: (end >= e["s"] - near) & (end < e["e"]))
+        return F.struct(F.when(left & right, 2).otherwise(3).alias("stage"), g["gene_id"].alias("gene_id"))
+
+    met = rest.join(placed, ["chrom", "bin"]).select("chrom", "strand", "start", "end", F.transform(F.filter("genes", candidate), staged).alias("found"))
+    best = met.withColumn("best", F.array_min(F.transform("found", lambda x: x["stage"])))
+    later = best.select("chrom", "strand", "start", "end", F.explode(F.filter("found", lambda x: x["stage"] == F.col("best"))).alias("x"))
+    return first.withColumn("stage", F.lit(1)).unionByName(later.select("chrom", "strand", "start", "end", "x.gene_id", "x.stage"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, on: list[str], by: Column | None = None, width: int = BIN) -> DataFrame:

@@ -144,9 +144,10 @@ def neighbour_genes(spark, sf_dir):
     f"""WITH {V.JUNCTION_INTERVALS_SQL}, {V.GENE_INTERVALS_SQL}, j AS (SELECT DISTINCT chrom, strand, "start", "end" FROM junction_intervals),
     pairs AS (SELECT j.*, g.gene_id, g."start" AS gs, g."end" AS ge FROM j JOIN gene_intervals g ON j.chrom = g.chrom AND (j.strand = '.' OR j.strand = g.strand)
       AND j."start" >= g."start" - 10000 AND j."end" <= g."end" + 10000 AND NOT (j."start" < g."start" AND j."end" > g."end")),
-    staged AS (SELECT *, CASE WHEN "start" % 7 = 0 AND "start" >= gs AND "start" <= ge THEN 1
-      WHEN ("start" > gs AND "start" <= gs + 200 + 400 AND "end" >= gs - 400 AND "end" < gs + 200) OR ("start" > gs AND "start" <= gs + 200 + 400 AND "end" >= ge - 200 - 400 AND "end" < ge)
-        OR ("start" > ge - 200 AND "start" <= ge + 400 AND "end" >= gs - 400 AND "end" < gs + 200) OR ("start" > ge - 200 AND "start" <= ge + 400 AND "end" >= ge - 200 - 400 AND "end" < ge) THEN 2 ELSE 3 END AS stage FROM pairs)
+    x AS (SELECT gene_id, "start" AS es, "start" + 200 AS ee FROM gene_intervals UNION ALL SELECT gene_id, "end" - 200, "end" FROM gene_intervals WHERE "end" >= 200),
+    sides AS (SELECT p.*, bool_or(p."start" > es AND p."start" <= ee + 400) AS l, bool_or(p."end" >= es - 400 AND p."end" < ee) AS r, bool_or(p."start" BETWEEN es AND ee OR p."end" BETWEEN es AND ee) AS touching FROM pairs p JOIN x USING (gene_id) GROUP BY ALL),
+    staged AS (SELECT *, CASE WHEN "start" % 7 = 0 AND "start" >= gs AND "start" <= ge THEN 1 WHEN l AND r THEN 2 ELSE 3 END AS stage FROM sides
+      WHERE ("start" % 7 = 0 AND "start" >= gs AND "start" <= ge) OR ("start" >= gs AND "end" <= ge) OR touching)
     SELECT chrom, strand, "start", "end", gene_id, stage FROM (SELECT *, min(stage) OVER (PARTITION BY chrom, strand, "start", "end") AS best FROM staged) WHERE stage = best"""
 )
 def junction_genes(spark, sf_dir):

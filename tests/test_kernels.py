@@ -93,3 +93,23 @@ def test_histograms():
     d = Q.collapsed(joint)
     assert np.allclose(d.sum(1), 1) and np.allclose(d, d[:, ::-1])
     assert np.exp(Q.default_prior()).sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("mean", [0.01, 3.0, 40.0, 1e3, 1e4, 1e6])
+def test_poisson_tail_of_large_means(mean):
+    spread = math.sqrt(mean)
+    for k in {max(0, int(mean + d * spread)) for d in (-8, -3, -1, 0, 1, 3, 6)}:
+        if k <= 20_000:
+            logs = [i * math.log(mean) - mean - math.lgamma(i + 1) for i in range(k + 1)]
+            below = math.fsum(math.exp(x) for x in logs)
+            assert K.poisson_above(k, mean) == pytest.approx(1 - below, abs=1e-9)
+        z = (k + 0.5 - mean) / spread
+        if mean >= 1e4:
+            assert K.poisson_above(k, mean) == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), abs=3e-3)
+    assert K.poisson_above(10, 1250) == pytest.approx(1.0)
+    assert K.poisson_above(0, 1e-9) == pytest.approx(1e-9)
+
+
+def test_beta_of_large_parameters():
+    for n in (1e3, 1e5, 1e7):
+        assert K.beta_cdf(0.5, n, n) == pytest.approx(0.5, abs=1e-6)

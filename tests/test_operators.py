@@ -101,6 +101,38 @@ def test_bootstrap_and_samples_dont_depend_on_partitions(spark):
     assert sum(a[10]) / 30 == pytest.approx(23, rel=0.4)
 
 
+@pytest.mark.parametrize("stack", [9_000, 1_000_000])
+def test_a_stack_of_reads_goes_alone(spark, stack):
+    df = spark.createDataFrame([(0, [3, 4, 5, 6, stack]), (1, [1000, 1100, 990, 1010]), (2, [stack]), (3, [2, 3, 2, 1, 700, 800])], "k int, counts array<int>")
+    got = {r.k: (r.reads, r.npos) for r in Q.bootstrap(df, ["k"]).collect()}
+    # 800 and 700 are each judged by the mean of all others, stacks too: 800 is above 141.6, 700 above 161.6.
+    assert got == {0: (18, 4), 1: (4100, 4), 2: (0, 0), 3: (8, 4)}
+
+
+def test_bootstrap_moments(spark):
+    df = spark.createDataFrame([(0, [2, 9, 4, 30, 1, 8, 12])], "k int, counts array<int>")
+    boots = Q.bootstrap(df, ["k"], replicates=4000, limit=0).first().boots
+    n, values = 7, [2, 9, 4, 30, 1, 8, 12]
+    mean, var = sum(values) / n, sum(v * v for v in values) / n - (sum(values) / n) ** 2
+    found = sum(boots) / len(boots)
+    assert found == pytest.approx(mean * n, rel=0.03)
+    assert sum((b - found) ** 2 for b in boots) / len(boots) == pytest.approx(var * (n - 1) * (n / (n - 1)) ** 2, rel=0.1)
+
+
+JUNCTIONS = "chrom string, strand string, start int, end int"
+
+
+def test_stages_of_junction_genes(spark):
+    genes = spark.createDataFrame([("a", "c", "+", 20_000, 30_000), ("b", "c", "-", 20_000, 30_000)], "gene_id string, chrom string, strand string, start int, end int")
+    exons = spark.createDataFrame([("a", 20_000, 20_100), ("a", 29_000, 30_000), ("b", -1, 25_000)], "gene_id string, start int, end int")
+    known = spark.createDataFrame([("a", 22_000, 23_000)], "gene_id string, start int, end int")
+    rows = [("c", ".", 22_000, 23_000), ("c", "-", 22_000, 23_000), ("c", ".", 20_200, 28_700), ("c", "+", 21_000, 22_500), ("c", "+", 15_000, 20_050), ("c", "+", 15_000, 22_000), ("c", "-", 15_000, 20_050), ("c", "+", 15_000, 35_000), ("c", "+", 5_000, 20_050), ("d", "+", 21_000, 22_500)]
+    run = lambda **k: sorted(tuple(r)[1:] for r in E.junction_genes(spark.createDataFrame(rows, JUNCTIONS), genes, exons, known, **k).collect())
+    expected = [("+", 15_000, 20_050, "a", 3), ("+", 21_000, 22_500, "a", 3), ("-", 22_000, 23_000, "b", 3), (".", 20_200, 28_700, "a", 2), (".", 22_000, 23_000, "a", 1)]
+    assert run() == expected
+    assert run(full_intergene=True) == sorted([*expected, ("+", 15_000, 22_000, "a", 3), ("-", 15_000, 20_050, "b", 3)])
+
+
 def test_statistics_of_empty_groups(spark):
     psi = spark.createDataFrame([("A", 0, "l", 0, 0.5), ("A", 1, "l", 0, 0.5)], "grp string, experiment int, lsv_id string, junc_idx int, psi double")
     assert tuple(S.welch(psi).first())[2:] == (None, None)
