@@ -5,12 +5,12 @@ quant: comparison, gene_id, lsv_id, lsv_type, junc_idx, start, end, dpsi, prob,
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .tables import kept
+
 LSV = ["comparison", "lsv_id"]
 
 
@@ -144,34 +144,21 @@ def non_redundant_sets(quant: DataFrame, dpsi: float = 0.1) -> DataFrame:
     Labels go from LSVs to junctions and back until none changes; a junction's label is a minimum by key, so a junction of
     many LSVs costs no pairs. Every round is a written table, so that lost executors cost one round at most.
     """
-    spark = quant.sparkSession
     used = quant.filter(F.abs("dpsi") >= dpsi).select("lsv_id", F.concat_ws(":", "gene_id", "start", "end").alias("j")).distinct()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    keep = lambda df: df.checkpoint() if folder is None else _table(df, folder)
-    if folder is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="splice-"))
-    used = keep(used)
-    labels = keep(quant.select("lsv_id").distinct().withColumn("set_id", F.col("lsv_id")))
+    used = kept(used)
+    labels = kept(quant.select("lsv_id").distinct().withColumn("set_id", F.col("lsv_id")))
     while True:
         by_junction = used.join(labels, "lsv_id").groupBy("j").agg(F.min("set_id").alias("m"))
         near = used.join(by_junction, "j").groupBy("lsv_id").agg(F.min("m").alias("m"))
         # The label's own label: halves the way that is left.
         step = labels.join(near, "lsv_id", "left").select("lsv_id", F.col("set_id").alias("old"), F.least("set_id", "m").alias("set_id"))
         up = step.select(F.col("lsv_id").alias("set_id"), F.col("set_id").alias("up"))
-        new = keep(step.join(up, "set_id", "left").select("lsv_id", "old", F.least("set_id", "up").alias("set_id")))
+        new = kept(step.join(up, "set_id", "left").select("lsv_id", "old", F.least("set_id", "up").alias("set_id")))
         labels = new.select("lsv_id", "set_id")
         if new.filter("old <> set_id").isEmpty():
             return labels
 
 
-def _table(df: DataFrame, folder: str) -> DataFrame:
-    path = f"{folder.rstrip('/')}/sets/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def set_classes(sets: DataFrame, genes: DataFrame) -> DataFrame:
     """set_id, lsvs, gene_id (the commonest; of equal ones the first), gene_lsvs, set_class. genes: lsv_id, gene_id."""
     n = sets.join(genes, "lsv_id").groupBy("set_id", "gene_id").agg(F.count(F.lit(1)).alias("n"))

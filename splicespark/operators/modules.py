@@ -5,13 +5,12 @@ edges: gene_id, strand, src, dst (exon order in the gene), start, end, is_intron
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .tables import kept
+
 KEY = ["gene_id", "module_idx"]
 
 
@@ -20,8 +19,9 @@ def with_modules(edges: DataFrame) -> DataFrame:
     before = F.max("dst").over(W.partitionBy("gene_id").orderBy("src").rangeBetween(W.unboundedPreceding, -1))
     cut = edges.withColumn("_cut", F.col("src") >= F.coalesce(before, F.lit(-1)))
     # One cut for each exon that begins a module: edges of one exon count once.
-    module = F.size(F.collect_set(F.when(F.col("_cut"), F.col("src"))).over(W.partitionBy("gene_id").orderBy("src").rangeBetween(W.unboundedPreceding, 0)))
-    numbered = cut.withColumn("_m", module).drop("_cut")
+    first = F.row_number().over(W.partitionBy("gene_id", "src").orderBy("dst", "start", "end")) == 1
+    module = F.sum((F.col("_cut") & F.col("_first")).cast("int")).over(W.partitionBy("gene_id").orderBy("src").rangeBetween(W.unboundedPreceding, 0)).cast("int")
+    numbered = cut.withColumn("_first", first).withColumn("_m", module).drop("_cut", "_first")
     last = F.max("_m").over(W.partitionBy("gene_id"))
     return numbered.withColumn("module_idx", F.when(F.col("strand") == "-", last - F.col("_m") + 1).otherwise(F.col("_m"))).drop("_m")
 
@@ -145,7 +145,7 @@ def orphans(edges: DataFrame, exons: DataFrame) -> DataFrame:
 
 
 def primer_regions(edges: DataFrame) -> DataFrame:
-    """Exons that two or more edges leave or enter, with how long a chain of single edges leads there from upstream."""
+    """Exons that two or more edges leave or enter: n_out, n_in."""
     out = edges.groupBy("gene_id", F.col("src").alias("exon")).agg(F.count(F.lit(1)).alias("n_out"))
     into = edges.groupBy("gene_id", F.col("dst").alias("exon")).agg(F.count(F.lit(1)).alias("n_in"))
     both = out.join(into, ["gene_id", "exon"], "full").na.fill(0, ["n_out", "n_in"])
@@ -208,39 +208,31 @@ def event_changing_by_comparison(junctions: DataFrame, comparisons: list[str], p
     return one.groupBy("event").pivot("comparison", comparisons).agg(F.first("c"))
 
 
-def paths(edges: DataFrame, most: int = 10_000) -> DataFrame:
-    """gene_id, module_idx, path, length, frame: all ways from each exon that nothing enters to each that nothing leaves.
+def paths(edges: DataFrame) -> DataFrame:
+    """gene_id, module_idx, path, junctions, length, frame: all ways from each exon that nothing enters to each that nothing
+    leaves, through every different connection.
 
-    path: exon numbers with dashes; frame: the sum of the inner exons' lengths (an exon is [entered at, left at]) mod 3,
-    for the first way between each pair of exons. A module with over `most` paths gives an error, since their number is
-    exponential in the module's size.
+    path: exon numbers with dashes; junctions: start-end of each connection, an intron with an `i`; length: exons; frame:
+    the sum of the inner exons' lengths (an exon is [entered at, left at]) mod 3. Ways grow by one connection in each
+    round, an equi-join of their last exons with the module's connections, written, so that no task holds a module's ways.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for gene, module, found in zip(batch["gene_id"], batch["module_idx"], batch["edges"]):
-                after: dict = {}
-                for e in found:
-                    after.setdefault(e["src"], []).append(e)
-                starts = sorted(set(after) - {e["dst"] for e in found})
-                todo = [((s,), 0, None) for s in starts]
-                n = 0
-                while todo:
-                    way, length, left = todo.pop()
-                    if way[-1] not in after:
-                        n += 1
-                        if n > most:
-                            raise ValueError(f"{gene} module {module} has over {most} paths")
-                        rows.append((gene, module, "-".join(map(str, way)), len(way), length % 3))
-                    for e in after.get(way[-1], ()):
-                        inner = e["start"] - left + 1 if left is not None else 0
-                        todo.append(((*way, e["dst"]), length + inner, e["end"]))
-            yield pd.DataFrame(rows, columns=["gene_id", "module_idx", "path", "length", "frame"])
-
-    one = edges.groupBy(*KEY, "src", "dst").agg(F.min("start").alias("start"), F.min("end").alias("end"))
-    grouped = one.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("src", "dst", "start", "end"))).alias("edges"))
-    return grouped.mapInPandas(run, "gene_id string, module_idx int, path string, length int, frame int")
+    step = edges.select(*KEY, F.col("src").alias("at"), F.col("dst").alias("to"), "start", "end", F.concat(F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.when(F.col("is_intron"), "i").otherwise("")).alias("j")).distinct()
+    step = kept(step)
+    here = step.select(*KEY, "at").distinct()
+    entered = step.select(*KEY, F.col("to").alias("at")).distinct()
+    none = F.array().cast("array<string>")
+    ways = here.join(entered, [*KEY, "at"], "left_anti").select(*KEY, "at", F.array(F.col("at").cast("string")).alias("path"), none.alias("junctions"), F.lit(0).alias("bases"), F.lit(None).cast("int").alias("in_at"))
+    ways, done = kept(ways), []
+    while not ways.isEmpty():
+        inner = F.when(F.col("in_at").isNull(), 0).otherwise(F.col("start") - F.col("in_at") + 1)
+        longer = ways.join(step, [*KEY, "at"]).select(*KEY, F.col("to").alias("at"), F.concat("path", F.array(F.col("to").cast("string"))).alias("path"), F.concat("junctions", F.array("j")).alias("junctions"), (F.col("bases") + inner).alias("bases"), F.col("end").alias("in_at"))
+        longer = kept(longer.join(here.withColumn("open", F.lit(True)), [*KEY, "at"], "left"))
+        done.append(longer.filter("open is null"))
+        ways = longer.filter("open").drop("open")
+    found = ways.withColumn("open", F.lit(True)) if not done else done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found.select(*KEY, F.array_join("path", "-").alias("path"), F.array_join("junctions", ",").alias("junctions"), F.size("path").alias("length"), F.pmod("bases", F.lit(3)).alias("frame"))
 
 
 def adjacency(edges: DataFrame, value: Column | None = None) -> DataFrame:

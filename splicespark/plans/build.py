@@ -29,9 +29,9 @@ def query(sql: str | None = None):
 WITH_SUMMARY = f"WITH {V.READ_HITS_SQL}, counts AS (SELECT experiment, grp, gene_id, lsv_id, junc_idx, position, count(*) AS reads FROM read_hits GROUP BY ALL), summary AS (SELECT experiment, grp, gene_id, lsv_id, junc_idx, CAST(sum(reads) AS BIGINT) AS reads, count(*) AS npos FROM counts GROUP BY ALL), flags AS (SELECT *, npos >= 2 AND reads >= 3 AS pass_build, npos >= 2 AND reads >= 5 AS pass_denovo FROM summary)"
 
 
-def summary_of(spark: SparkSession, sf_dir: str, genes: int = 50) -> DataFrame:
+def summary_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["experiment", "grp", *KEYS]
-    return E.summary(E.positional_counts(V.read_hits(spark, sf_dir, genes), keys, "position"), keys)
+    return E.summary(E.positional_counts(V.read_hits(spark, sf_dir), keys, "position"), keys)
 
 
 @query(f"{WITH_SUMMARY} SELECT * FROM counts")
@@ -199,12 +199,12 @@ def lsv_detection(spark, sf_dir):
 
 
 @query(
-    f"""WITH {V.MODULE_EDGES_SQL}, p AS (SELECT *, (("start" + "end") // 10) % 3 <> 0 AS passed FROM module_edges WHERE ("start" * 7 + "end" * 3 + CAST(substr(gene_id, 2) AS INT)) % 31 < 4),
+    f"""WITH {V.MODULE_EDGES_SQL}, p AS (SELECT *, (("start" + "end") // 10) % 3 <> 0 AS passed FROM module_edges),
     o AS (SELECT gene_id, src, count(*) AS n_out FROM p GROUP BY ALL), i AS (SELECT gene_id, dst, count(*) AS n_in FROM p GROUP BY ALL)
     SELECT gene_id, src, dst, "start", "end", is_intron, passed FROM p JOIN o USING (gene_id, src) JOIN i USING (gene_id, dst) WHERE n_out = 1 AND n_in = 1 AND passed"""
 )
 def constitutive_junctions(spark, sf_dir):
-    edges = V.module_edges(spark, sf_dir).withColumn("passed", F.floor((F.col("start") + F.col("end")) / 10) % 3 != 0).filter("(start * 7 + end * 3 + cast(substr(gene_id, 2) as int)) % 31 < 4")
+    edges = V.module_edges(spark, sf_dir).withColumn("passed", F.floor((F.col("start") + F.col("end")) / 10) % 3 != 0)
     return S.constitutive(edges).select("gene_id", "src", "dst", "start", "end", "is_intron", "passed")
 
 
@@ -238,8 +238,8 @@ def simplifier(spark, sf_dir):
 
 
 @query(
-    f"""{MERGED_SQL}, tj AS (SELECT DISTINCT gene_id, "end" + ("end" % 3) * 150 AS "start", nx - (nx % 4) * 170 AS "end" FROM (SELECT *, lead("start") OVER (PARTITION BY gene_id, transcript_id ORDER BY "start", "end") AS nx FROM transcript_exons) WHERE nx IS NOT NULL),
-    known AS (SELECT * FROM merged WHERE "start" % 3 = 0), sites AS (SELECT gene_id, "end" AS site, 0 AS donor FROM tj UNION SELECT gene_id, "start", 1 FROM tj),
+    f"""{MERGED_SQL}, tj AS (SELECT DISTINCT gene_id, "end" + ("end" % 3) * 350 AS "start", nx - (nx % 4) * 370 AS "end" FROM (SELECT *, lead("start") OVER (PARTITION BY gene_id, transcript_id ORDER BY "start", "end") AS nx FROM transcript_exons) WHERE nx IS NOT NULL),
+    known AS (SELECT * FROM merged), sites AS (SELECT gene_id, "end" AS site, 0 AS donor FROM tj UNION SELECT gene_id, "start", 1 FROM tj),
     pr AS (SELECT *, row_number() OVER (PARTITION BY gene_id, site, donor ORDER BY greatest(a_start - site, site - a_end, 0), a_start, a_end) AS r FROM (SELECT s.*, k."start" AS a_start, k."end" AS a_end FROM sites s JOIN known k ON s.gene_id = k.gene_id AND s.site >= k."start" - (CASE donor WHEN 1 THEN 0 ELSE 400 END) AND s.site <= k."end" + (CASE donor WHEN 1 THEN 400 ELSE 0 END))),
     old AS (SELECT k.gene_id, least(k."start", coalesce(min(site), k."start")) AS "start", greatest(k."end", coalesce(max(site), k."end")) AS "end", k."start" AS annotated_start, k."end" AS annotated_end, true AS annotated FROM known k LEFT JOIN (SELECT * FROM pr WHERE r = 1) p ON p.gene_id = k.gene_id AND p.a_start = k."start" AND p.a_end = k."end" GROUP BY k.gene_id, k."start", k."end"),
     free AS (SELECT * FROM sites s WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.gene_id = s.gene_id AND pr.site = s.site AND pr.donor = s.donor)),
@@ -250,8 +250,8 @@ def simplifier(spark, sf_dir):
 )
 def detected_exons(spark, sf_dir):
     tx = V.transcript_exons(spark, sf_dir)
-    j = S.transcript_junctions(tx).filter("start <> -2 and end <> -2").select("gene_id", (F.col("start") + F.col("start") % 3 * 150).alias("start"), (F.col("end") - F.col("end") % 4 * 170).alias("end")).distinct()
-    return S.detected_exons(S.merged_exons(tx).filter("start % 3 = 0"), j)
+    j = S.transcript_junctions(tx).filter("start <> -2 and end <> -2").select("gene_id", (F.col("start") + F.col("start") % 3 * 350).alias("start"), (F.col("end") - F.col("end") % 4 * 370).alias("end")).distinct()
+    return S.detected_exons(S.merged_exons(tx), j)
 
 
 @query(

@@ -28,13 +28,14 @@ def query(sql: str | None = None):
 
 
 def quant_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results of three comparisons: an order is an LSV, its lines are connections; values from the keys."""
+    """Results of three comparisons: an order is an LSV, its lines are connections; values from the keys. Forty orders are
+    a gene; an order lacks one of the comparisons or none, so every line is in two or three."""
     o, n, p, s = (F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-    t = V.table(spark, sf_dir, "lineitem").filter(n <= 4).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter((o + F.col("k")) % 5 != 0)
+    t = V.table(spark, sf_dir, "lineitem").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter((o + F.col("k")) % 5 != 0)
     k = F.col("k")
     dpsi = (((p * 7 + s * 3 + k * 41 + n * 13) % 201 - 100) / 200.0).cast("double")
     first = t.withColumn("_r", F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber", "k").orderBy("l_partkey", "l_suppkey"))).filter("_r = 1")
-    gene = o % 40
+    gene = F.expr("l_orderkey div 40")
     return first.select(
         F.element_at(F.array(*map(F.lit, NAMES)), k + 1).alias("comparison"),
         F.concat(F.lit("g"), gene.cast("string")).alias("gene_id"),
@@ -50,8 +51,8 @@ def quant_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUANT_SQL = """WITH q0 AS (SELECT l.*, k.k AS k, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, k.k ORDER BY l_partkey, l_suppkey) AS r FROM lineitem l, (SELECT unnest(range(3)) AS k) k WHERE l_linenumber <= 4 AND (l_orderkey + k.k) % 5 <> 0),
-  q AS (SELECT ['a_b', 'a_c', 'b_c'][k + 1] AS comparison, 'g' || (l_orderkey % 40) AS gene_id, 'g' || (l_orderkey % 40) || ':s:' || (l_orderkey * 10) || '-' || (l_orderkey * 10 + 5) AS lsv_id,
+QUANT_SQL = """WITH q0 AS (SELECT l.*, k.k AS k, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, k.k ORDER BY l_partkey, l_suppkey) AS r FROM lineitem l, (SELECT unnest(range(3)) AS k) k WHERE (l_orderkey + k.k) % 5 <> 0),
+  q AS (SELECT ['a_b', 'a_c', 'b_c'][k + 1] AS comparison, 'g' || (l_orderkey // 40) AS gene_id, 'g' || (l_orderkey // 40) || ':s:' || (l_orderkey * 10) || '-' || (l_orderkey * 10 + 5) AS lsv_id,
     CASE WHEN l_orderkey % 3 = 0 THEN 's|1e1.1o1|i' ELSE 's|1e1.1o1|1e2.1o1' END AS lsv_type, CAST(l_linenumber AS INT) AS junc_idx, CAST(l_partkey % 97 * 100 AS INT) AS "start", CAST(l_partkey % 97 * 100 + 50 + l_linenumber * 500 AS INT) AS "end",
     ((l_partkey * 7 + l_suppkey * 3 + k * 41 + l_linenumber * 13) % 201 - 100) / 200.0::DOUBLE AS dpsi, (l_partkey + l_suppkey + k) % 101 / 100.0::DOUBLE AS prob, (l_partkey * 3 + l_linenumber) % 101 / 100.0::DOUBLE AS psi1, (l_partkey * 5 + l_linenumber + k) % 101 / 100.0::DOUBLE AS psi2
     FROM q0 WHERE r = 1)"""

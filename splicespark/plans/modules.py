@@ -25,13 +25,12 @@ def query(sql: str | None = None):
 
 
 def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Connections with their modules: of each gene those that a rule on the coordinates picks, about two in three."""
+    """All connections with their modules."""
     number = F.substring("gene_id", 2, 9).cast("int")
-    e = V.module_edges(spark, sf_dir).filter((F.col("src") * 5 + F.col("dst") * 3 + number) % 7 < 5)
-    return M.with_modules(e.withColumn("strand", F.when(number % 2 == 0, "+").otherwise("-")))
+    return M.with_modules(V.module_edges(spark, sf_dir).withColumn("strand", F.when(number % 2 == 0, "+").otherwise("-")))
 
 
-EDGES_SQL = f"""WITH {V.MODULE_EDGES_SQL}, picked AS (SELECT *, CASE WHEN CAST(substr(gene_id, 2) AS INT) % 2 = 0 THEN '+' ELSE '-' END AS strand FROM module_edges WHERE (src * 5 + dst * 3 + CAST(substr(gene_id, 2) AS INT)) % 7 < 5),
+EDGES_SQL = f"""WITH {V.MODULE_EDGES_SQL}, picked AS (SELECT *, CASE WHEN CAST(substr(gene_id, 2) AS INT) % 2 = 0 THEN '+' ELSE '-' END AS strand FROM module_edges),
   cuts AS (SELECT *, src >= coalesce(max(dst) OVER (PARTITION BY gene_id ORDER BY src RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS cut FROM picked),
   firsts AS (SELECT DISTINCT gene_id, src FROM cuts WHERE cut),
   m AS (SELECT p.*, (SELECT count(*) FROM firsts f WHERE f.gene_id = p.gene_id AND f.src <= p.src) AS m FROM picked p),
@@ -118,14 +117,14 @@ def event_constitutive(spark, sf_dir):
     return M.constitutive(edges_of(spark, sf_dir))
 
 
-EXONS_SQL = """, x AS (SELECT 'M' || g.g AS gene_id, CAST(k.k AS INT) AS exon, CAST(1000 * k.k + 90 AS INT) AS e_start, CAST(1000 * k.k + CASE WHEN (g.g + k.k) % 5 = 0 THEN 1400 ELSE 265 END AS INT) AS e_end FROM (SELECT unnest(range(97)) AS g) g, (SELECT unnest(range(0, 6, 2)) AS k) k)"""
+EXONS_SQL = """, x AS (SELECT gene_id, CAST(k.k AS INT) AS exon, CAST(1000 * k.k + 90 AS INT) AS e_start, CAST(1000 * k.k + CASE WHEN (CAST(substr(gene_id, 2) AS INT) + k.k) % 5 = 0 THEN 1400 ELSE 265 END AS INT) AS e_end FROM (SELECT DISTINCT gene_id FROM e), (SELECT unnest(range(0, 17, 2)) AS k) k)"""
 
 
 def exons_of(edges: DataFrame) -> DataFrame:
     genes = edges.select("gene_id").distinct()
     k = F.col("exon")
     number = F.substring("gene_id", 2, 9).cast("int")
-    return genes.select("gene_id", F.explode(F.array(*map(F.lit, (0, 2, 4)))).alias("exon")).select("gene_id", "exon", (1000 * k + 90).alias("e_start"), (1000 * k + F.when((number + k) % 5 == 0, 1400).otherwise(265)).alias("e_end"))
+    return genes.select("gene_id", F.explode(F.array(*map(F.lit, range(0, 17, 2)))).alias("exon")).select("gene_id", "exon", (1000 * k + 90).alias("e_start"), (1000 * k + F.when((number + k) % 5 == 0, 1400).otherwise(265)).alias("e_end"))
 
 
 @query(f'{EDGES_SQL}{EXONS_SQL} SELECT DISTINCT gene_id, exon, "start", "end" FROM j JOIN x USING (gene_id) WHERE "start" > e_start AND "end" < e_end')
@@ -218,10 +217,10 @@ def resolved_junctions(spark, sf_dir):
     return M.resolved_junctions(edges_of(spark, sf_dir)).select("gene_id", "module_idx", "src", "dst", "start", "end", "exon_start", "exon_end")
 
 
-PATHS_SQL = EDGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, one AS (SELECT gene_id, module_idx, src, dst, min("start") AS s, min("end") AS t FROM e GROUP BY ALL),
-  p AS (SELECT gene_id, module_idx, src AS at, CAST(src AS VARCHAR) AS path, 1 AS length, 0 AS bases, CAST(NULL AS INT) AS entered FROM (SELECT DISTINCT gene_id, module_idx, src FROM one a WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.gene_id = a.gene_id AND b.module_idx = a.module_idx AND b.dst = a.src))
-    UNION ALL SELECT p.gene_id, p.module_idx, o.dst, p.path || '-' || o.dst, p.length + 1, p.bases + coalesce(o.s - p.entered + 1, 0), o.t FROM p JOIN one o ON o.gene_id = p.gene_id AND o.module_idx = p.module_idx AND o.src = p.at)
-  SELECT gene_id, module_idx, path, length, bases % 3 AS frame FROM p WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.gene_id = p.gene_id AND o.module_idx = p.module_idx AND o.src = p.at)"""
+PATHS_SQL = EDGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, one AS (SELECT DISTINCT gene_id, module_idx, src, dst, "start" AS s, "end" AS t, "start" || '-' || "end" || CASE WHEN is_intron THEN 'i' ELSE '' END AS j FROM e),
+  p AS (SELECT gene_id, module_idx, src AS at, CAST(src AS VARCHAR) AS path, '' AS junctions, 1 AS length, 0 AS bases, CAST(NULL AS INT) AS entered FROM (SELECT DISTINCT gene_id, module_idx, src FROM one a WHERE NOT EXISTS (SELECT 1 FROM one b WHERE b.gene_id = a.gene_id AND b.module_idx = a.module_idx AND b.dst = a.src))
+    UNION ALL SELECT p.gene_id, p.module_idx, o.dst, p.path || '-' || o.dst, p.junctions || CASE WHEN p.length > 1 THEN ',' ELSE '' END || o.j, p.length + 1, p.bases + coalesce(o.s - p.entered + 1, 0), o.t FROM p JOIN one o ON o.gene_id = p.gene_id AND o.module_idx = p.module_idx AND o.src = p.at)
+  SELECT gene_id, module_idx, path, junctions, length, CAST(((bases % 3) + 3) % 3 AS INT) AS frame FROM p WHERE NOT EXISTS (SELECT 1 FROM one o WHERE o.gene_id = p.gene_id AND o.module_idx = p.module_idx AND o.src = p.at)"""
 
 
 @query(PATHS_SQL)

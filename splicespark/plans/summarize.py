@@ -180,12 +180,14 @@ def long_read_junctions(spark, sf_dir):
     return R.junction_counts(V.transcript_exons(spark, sf_dir), transcript_counts(spark, sf_dir))
 
 
-LONG_EXONS = 'long AS (SELECT DISTINCT gene_id, transcript_id, "start" - 500 AS "start", "end" + ("start" % 3) * 400 AS "end" FROM transcript_exons WHERE CAST(substr(transcript_id, 3) AS BIGINT) % 4 = 0)'
+LONG_EXONS = 'long AS (SELECT DISTINCT gene_id, transcript_id, "start" - 500 + far AS "start", "end" + ("start" % 3) * 400 + far AS "end" FROM (SELECT *, CASE WHEN CAST(substr(transcript_id, 3) AS BIGINT) % 5 = 0 THEN 50000 ELSE 0 END AS far FROM transcript_exons))'
 
 
 def long_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = V.transcript_exons(spark, sf_dir).filter(F.substring("transcript_id", 3, 12).cast("long") % 4 == 0)
-    return e.select("gene_id", "transcript_id", (F.col("start") - 500).alias("start"), (F.col("end") + F.col("start") % 3 * 400).alias("end")).distinct()
+    """Exons of long reads: wider ones; those of every fifth transcript lie behind all others."""
+    e = V.transcript_exons(spark, sf_dir)
+    far = F.when(F.substring("transcript_id", 3, 12).cast("long") % 5 == 0, 50_000).otherwise(0)
+    return e.select("gene_id", "transcript_id", (F.col("start") - 500 + far).alias("start"), (F.col("end") + F.col("start") % 3 * 400 + far).alias("end")).distinct()
 
 
 @query(f"""{LONG_SQL}, {LONG_EXONS}, gp AS (SELECT * FROM gaps WHERE "start" <= "end" + 1), h AS (SELECT DISTINCT gene_id, transcript_id, gp."start" AS s, gp."end" AS t FROM long JOIN gp USING (gene_id) WHERE long."start" <= gp."start" AND gp."end" <= long."end") SELECT gene_id, s AS "start", t AS "end", CAST(sum(ceil(c)) AS BIGINT) AS reads FROM h JOIN cnt USING (transcript_id) GROUP BY ALL""")
@@ -201,10 +203,10 @@ def long_read_exon_parts(spark, sf_dir):
     return R.exon_parts(long_exons(spark, sf_dir), S.merged_exons(V.transcript_exons(spark, sf_dir)))
 
 
-@query(f"""{LONG_SQL}, {LONG_EXONS}, sh AS (SELECT * FROM merged WHERE "start" % 2 = 0), d AS (SELECT DISTINCT gene_id, "start", "end" FROM long), p AS (SELECT d.*, s."start" AS s, s."end" AS e FROM d JOIN sh s ON d.gene_id = s.gene_id AND s."start" <= d."end" AND d."start" <= s."end"), w AS (SELECT gene_id, s, e, min("start") AS l, max("end") AS h FROM p GROUP BY ALL)
+@query(f"""{LONG_SQL}, {LONG_EXONS}, sh AS (SELECT * FROM merged), d AS (SELECT DISTINCT gene_id, "start", "end" FROM long), p AS (SELECT d.*, s."start" AS s, s."end" AS e FROM d JOIN sh s ON d.gene_id = s.gene_id AND s."start" <= d."end" AND d."start" <= s."end"), w AS (SELECT gene_id, s, e, min("start") AS l, max("end") AS h FROM p GROUP BY ALL)
   SELECT sh.gene_id, least("start", coalesce(l, "start")) AS "start", greatest("end", coalesce(h, "end")) AS "end", CASE WHEN l IS NULL THEN 'short' ELSE 'both' END AS source FROM sh LEFT JOIN w ON sh.gene_id = w.gene_id AND sh."start" = w.s AND sh."end" = w.e UNION ALL SELECT gene_id, "start", "end", 'long' FROM d WHERE (gene_id, "start", "end") NOT IN (SELECT (gene_id, "start", "end") FROM p)""")
 def combined_exons(spark, sf_dir):
-    return R.combined_exons(S.merged_exons(V.transcript_exons(spark, sf_dir)).filter("start % 2 = 0"), long_exons(spark, sf_dir))
+    return R.combined_exons(S.merged_exons(V.transcript_exons(spark, sf_dir)), long_exons(spark, sf_dir))
 
 
 @query(f"""{TX_SQL}, lj AS (SELECT gene_id, "start", "end", 'x' || ("start" % 5) AS transcript_id, "end" % 90 AS reads FROM tj WHERE "end" % 4 > 0) SELECT gene_id || ':s:' || tj."start" AS lsv_id, CAST(row_number() OVER (PARTITION BY gene_id, tj."start" ORDER BY tj."end") - 1 AS INT) AS junc_idx, CAST(coalesce(reads, 0) AS BIGINT) AS reads FROM tj LEFT JOIN lj USING (gene_id, "start", "end")""")
@@ -226,10 +228,11 @@ def group_evidence(spark, sf_dir):
     return ingest.group_evidence(ingest.once_each(summary_of(spark, sf_dir)))
 
 
-@query(f"""WITH {V.READ_HITS_SQL}, f AS (SELECT DISTINCT position % 9 AS file, grp, experiment FROM read_hits WHERE position <= 9 AND NOT (position % 9 = 4 AND experiment = 5)), m AS (SELECT file, grp, list_sort(list(experiment)) AS m FROM f GROUP BY ALL) SELECT grp, count(DISTINCT m) AS versions FROM m GROUP BY grp HAVING count(DISTINCT m) > 1""")
+@query(f"""WITH {V.READ_HITS_SQL}, f AS (SELECT DISTINCT gene_id || '/' || (position % 9) AS file, grp, CASE WHEN position % 9 = 4 AND experiment = 5 THEN 7 ELSE experiment END AS experiment FROM read_hits), m AS (SELECT file, grp, list_sort(list(experiment)) AS m FROM f GROUP BY ALL) SELECT grp, count(DISTINCT m) AS versions FROM m GROUP BY grp HAVING count(DISTINCT m) > 1""")
 def inconsistent_groups(spark, sf_dir):
-    hits = V.read_hits(spark, sf_dir).filter("position <= 9 and not (position % 9 = 4 and experiment = 5)")
-    return M.inconsistent_groups(hits.select((F.col("position") % 9).alias("file"), "grp", "experiment"))
+    file = F.col("position") % 9
+    experiment = F.when((file == 4) & (F.col("experiment") == 5), 7).otherwise(F.col("experiment"))
+    return M.inconsistent_groups(V.read_hits(spark, sf_dir).select(F.concat_ws("/", "gene_id", file.cast("string")).alias("file"), "grp", experiment.alias("experiment")))
 
 
 @query(f"""{HISTOGRAM_SQL}, m AS (SELECT gene, junc, round(sum(b * c), 6) AS mean, round(sum(b) - {AREA.format(t=0.2)}, 6) AS p FROM h GROUP BY ALL) SELECT gene AS lsv FROM m GROUP BY gene HAVING bool_or(abs(mean) >= 0.02) AND bool_or(p >= 0.844)""")
@@ -250,10 +253,10 @@ def index_filter(spark, sf_dir):
     return M.index_filter(M.type_columns(type_texts(spark, sf_dir)), "E2.2", is_binary=True, a5ss=True).select("lsv_type")
 
 
-@query(f"""{MERGED_SQL}, g2 AS (SELECT * FROM gaps WHERE "start" <= "end" + 1) SELECT DISTINCT m.gene_id || ':s:' || m."start" AS lsv_id, m.gene_id, g2."start", g2."end" FROM merged m JOIN g2 ON m.gene_id = g2.gene_id AND g2."start" = m."end" + 1 WHERE m."start" % 2 = 0""")
+@query(f"""{MERGED_SQL}, g2 AS (SELECT * FROM gaps WHERE "start" <= "end" + 1) SELECT DISTINCT m.gene_id || ':s:' || m."start" AS lsv_id, m.gene_id, g2."start", g2."end" FROM merged m JOIN g2 ON m.gene_id = g2.gene_id AND g2."start" = m."end" + 1""")
 def lsv_introns(spark, sf_dir):
     e = S.merged_exons(V.transcript_exons(spark, sf_dir))
-    own = e.filter("start % 2 = 0").select(F.concat("gene_id", F.lit(":s:"), F.col("start").cast("string")).alias("lsv_id"), "gene_id", "end")
+    own = e.select(F.concat("gene_id", F.lit(":s:"), F.col("start").cast("string")).alias("lsv_id"), "gene_id", "end")
     return M.introns_of(own, S.potential_introns(e))
 
 
@@ -264,7 +267,7 @@ def merged_samples(spark, sf_dir):
     return M.merged_samples(one.withColumn("file", F.lit("a")).unionByName(later.withColumn("file", F.lit("b"))))
 
 
-@query(f"{WITH_SUMMARY} SELECT lsv_id, CAST(count(*) AS BIGINT) AS n FROM summary JOIN (SELECT DISTINCT 'G' || (p_partkey % 50) AS gene_id FROM part WHERE p_size = 7) USING (gene_id) GROUP BY lsv_id")
+@query(f"{WITH_SUMMARY} SELECT lsv_id, CAST(count(*) AS BIGINT) AS n FROM summary JOIN (SELECT DISTINCT 'G' || (p_partkey // 8) AS gene_id FROM part WHERE p_size = 7) USING (gene_id) GROUP BY lsv_id")
 def gene_subset(spark, sf_dir):
-    wanted = V.table(spark, sf_dir, "part").filter("p_size = 7").select(F.concat(F.lit("G"), (F.col("p_partkey") % 50).cast("string")).alias("gene_id"))
+    wanted = V.table(spark, sf_dir, "part").filter("p_size = 7").select(F.concat(F.lit("G"), F.expr("p_partkey div 8").cast("string")).alias("gene_id"))
     return readers.subset({"counts": summary_of(spark, sf_dir)}, wanted)["counts"].groupBy("lsv_id").agg(F.count(F.lit(1)).alias("n"))

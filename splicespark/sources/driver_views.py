@@ -13,32 +13,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_hits(spark: SparkSession, sf_dir: str, genes: int = 50) -> DataFrame:
+def read_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each read on a connection: experiment, grp, gene_id, lsv_id, junc_idx, position.
 
-    Experiments 0-3 are group A, 4-7 group B; in B connection 1 of every fifth part has fewer reads.
+    Eight parts are a gene, so genes grow with the tables; a line is 1 to 16 reads, by gene, since genes differ in how well
+    they are covered. Experiments 0-3 are group A, 4-7 group B; in B reads of connection 1 of every fifth part mostly go
+    to connection 2.
     """
-    t = table(spark, sf_dir, "lineitem")
+    gene, lsv = F.expr("l_partkey div 8"), F.col("l_orderkey") % 4
+    t = table(spark, sf_dir, "lineitem").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), gene % 16)))
     exp = F.col("l_suppkey") % 8
-    dropped = (exp >= 4) & (F.col("l_partkey") % 5 == 0) & (F.col("l_linenumber") % 4 == 1) & (F.col("l_quantity") > 10)
-    gene, lsv = F.col("l_partkey") % genes, F.col("l_orderkey") % 4
-    return t.filter(~dropped).select(
+    moved = (exp >= 4) & (F.col("l_partkey") % 5 == 0) & (F.col("l_linenumber") % 4 == 1) & (F.col("l_quantity") > 10)
+    return t.select(
         exp.cast("int").alias("experiment"),
         F.when(exp < 4, "A").otherwise("B").alias("grp"),
         F.concat(F.lit("G"), gene.cast("string")).alias("gene_id"),
         F.concat(F.lit("G"), gene.cast("string"), F.when(lsv % 2 == 0, ":s:").otherwise(":t:"), (1000 * lsv + 100).cast("string"), F.lit("-"), (1000 * lsv + 300).cast("string")).alias("lsv_id"),
-        (F.col("l_linenumber") % 4).cast("int").alias("junc_idx"),
-        F.col("l_quantity").cast("int").alias("position"),
+        F.when(moved, 2).otherwise(F.col("l_linenumber") % 4).cast("int").alias("junc_idx"),
+        ((F.col("l_quantity").cast("int") + F.col("k") * 7) % 50).cast("int").alias("position"),
     )
 
 
 READ_HITS_SQL = """read_hits AS (
   SELECT CAST(l_suppkey % 8 AS INT) AS experiment, CASE WHEN l_suppkey % 8 < 4 THEN 'A' ELSE 'B' END AS grp,
-    'G' || (l_partkey % 50) AS gene_id,
-    'G' || (l_partkey % 50) || CASE WHEN (l_orderkey % 4) % 2 = 0 THEN ':s:' ELSE ':t:' END || (1000 * (l_orderkey % 4) + 100) || '-' || (1000 * (l_orderkey % 4) + 300) AS lsv_id,
-    CAST(l_linenumber % 4 AS INT) AS junc_idx, CAST(l_quantity AS INT) AS position
-  FROM lineitem
-  WHERE NOT (l_suppkey % 8 >= 4 AND l_partkey % 5 = 0 AND l_linenumber % 4 = 1 AND l_quantity > 10))"""
+    'G' || (l_partkey // 8) AS gene_id,
+    'G' || (l_partkey // 8) || CASE WHEN (l_orderkey % 4) % 2 = 0 THEN ':s:' ELSE ':t:' END || (1000 * (l_orderkey % 4) + 100) || '-' || (1000 * (l_orderkey % 4) + 300) AS lsv_id,
+    CAST(CASE WHEN l_suppkey % 8 >= 4 AND l_partkey % 5 = 0 AND l_linenumber % 4 = 1 AND l_quantity > 10 THEN 2 ELSE l_linenumber % 4 END AS INT) AS junc_idx, CAST((CAST(l_quantity AS INT) + k.k * 7) % 50 AS INT) AS position
+  FROM lineitem, LATERAL (SELECT unnest(range(1 + (l_partkey // 8) % 16)) AS k) k)"""
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,33 +99,36 @@ JUNCTION_INTERVALS_SQL = """junction_intervals AS (
 
 
 def transcript_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gene_id, transcript_id, start, end: an order is a transcript of one of 400 genes, its lines are exons."""
+    """gene_id, transcript_id, start, end: an order is a transcript, its lines are exons; twelve orders are a gene."""
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
-    gene = o % 400
-    start = 1000 * n + (F.col("l_partkey") % 7) * 40 + gene * 10
-    rows = table(spark, sf_dir, "lineitem").filter(o % 3 == 0)
+    gene = F.expr("l_orderkey div 12")
+    start = 1000 * n + (F.col("l_partkey") % 7) * 40 + gene % 400 * 10
+    rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.concat(F.lit("T"), gene.cast("string")).alias("gene_id"), F.concat(F.lit("TX"), o.cast("string")).alias("transcript_id"), start.cast("int").alias("start"), (start + 60 + F.col("l_quantity").cast("int") * 8).cast("int").alias("end"))
 
 
 TRANSCRIPT_EXONS_SQL = """transcript_exons AS (
-  SELECT 'T' || (l_orderkey % 400) AS gene_id, 'TX' || l_orderkey AS transcript_id,
-    CAST(1000 * l_linenumber + (l_partkey % 7) * 40 + (l_orderkey % 400) * 10 AS INT) AS "start",
-    CAST(1000 * l_linenumber + (l_partkey % 7) * 40 + (l_orderkey % 400) * 10 + 60 + CAST(l_quantity AS INT) * 8 AS INT) AS "end"
-  FROM lineitem WHERE l_orderkey % 3 = 0)"""
+  SELECT 'T' || (l_orderkey // 12) AS gene_id, 'TX' || l_orderkey AS transcript_id,
+    CAST(1000 * l_linenumber + (l_partkey % 7) * 40 + (l_orderkey // 12) % 400 * 10 AS INT) AS "start",
+    CAST(1000 * l_linenumber + (l_partkey % 7) * 40 + (l_orderkey // 12) % 400 * 10 + 60 + CAST(l_quantity AS INT) * 8 AS INT) AS "end"
+  FROM lineitem)"""
 
 
 def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gene_id, src, dst, start, end, is_intron: connections between exons 0..5 at [1000 k + 100, 1000 k + 300]."""
+    """gene_id, src, dst, start, end, is_intron: connections between exons 0..16 at [1000 k + 100, 1000 k + 300].
+
+    Three customers are a gene, their orders its connections: about half of all pairs of exons at most three apart, so a
+    gene has modules of several sizes, and single connections."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    src = o % 5
-    dst = src + 1 + c % 3
-    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("M"), (c % 97).cast("string")).alias("gene_id"), src.cast("int").alias("src"), dst.cast("int").alias("dst"), (1000 * src + 300 - (o % 3 == 0).cast("int") * (c % 2) * 40).cast("int").alias("start"), (1000 * dst + 100 + (o % 4 == 0).cast("int") * (c % 2) * 30).cast("int").alias("end"), ((o % 6 == 0) & (dst == src + 1)).alias("is_intron"))
-    return rows.filter("dst <= 5").distinct()
+    src = o % 14
+    dst = src + 1 + F.expr("o_orderkey div 14") % 3
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("M"), F.expr("o_custkey div 3").cast("string")).alias("gene_id"), src.cast("int").alias("src"), dst.cast("int").alias("dst"), (1000 * src + 300 - (o % 3 == 0).cast("int") * (c % 2) * 40).cast("int").alias("start"), (1000 * dst + 100 + (o % 4 == 0).cast("int") * (c % 2) * 30).cast("int").alias("end"), ((o % 6 == 0) & (dst == src + 1)).alias("is_intron"))
+    return rows.distinct()
 
 
 MODULE_EDGES_SQL = """module_edges AS (
-  SELECT DISTINCT 'M' || (o_custkey % 97) AS gene_id, CAST(o_orderkey % 5 AS INT) AS src, CAST(o_orderkey % 5 + 1 + o_custkey % 3 AS INT) AS dst,
-    CAST(1000 * (o_orderkey % 5) + 300 - (CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) * (o_custkey % 2) * 40 AS INT) AS "start",
-    CAST(1000 * (o_orderkey % 5 + 1 + o_custkey % 3) + 100 + (CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) * (o_custkey % 2) * 30 AS INT) AS "end",
-    (o_orderkey % 6 = 0 AND o_custkey % 3 = 0) AS is_intron
-  FROM orders WHERE o_orderkey % 5 + 1 + o_custkey % 3 <= 5)"""
+  SELECT DISTINCT 'M' || (o_custkey // 3) AS gene_id, CAST(o_orderkey % 14 AS INT) AS src, CAST(o_orderkey % 14 + 1 + (o_orderkey // 14) % 3 AS INT) AS dst,
+    CAST(1000 * (o_orderkey % 14) + 300 - (CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) * (o_custkey % 2) * 40 AS INT) AS "start",
+    CAST(1000 * (o_orderkey % 14 + 1 + (o_orderkey // 14) % 3) + 100 + (CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END) * (o_custkey % 2) * 30 AS INT) AS "end",
+    (o_orderkey % 6 = 0 AND (o_orderkey // 14) % 3 = 0) AS is_intron
+  FROM orders)"""

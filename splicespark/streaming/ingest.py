@@ -18,21 +18,23 @@ def group_evidence(counts: DataFrame, min_reads: int = 3, min_pos: int = 2) -> D
 
 
 def once_each(counts: DataFrame) -> DataFrame:
-    """Counts of a table without rows that were sent twice: the first row of each experiment and connection."""
-    return counts.dropDuplicates(["experiment", "lsv_id", "junc_idx"])
+    """Counts of a table without rows that were sent twice: of an experiment and connection the row with most reads."""
+    keys = ["grp", "experiment", "lsv_id", "junc_idx"]
+    most = counts.groupBy(*keys).agg(F.max(F.struct("reads", "npos")).alias("x"))
+    return most.select(*keys, "x.reads", "x.npos")
 
 
-def start(counts: DataFrame, target: str, checkpoint: str, **limits):
-    """Runs the stream of counts over what is there. Each batch's evidence goes to a folder of its own under target, so a
-    batch that is repeated after a failure writes the same folder again; old files aren't read again. Sums of evidence are
-    evidence, so the stream keeps no state."""
+def start(counts: DataFrame, target: str, checkpoint: str):
+    """Runs the stream of counts over what is there. Each batch's counts go to a folder of its own under target, so a batch
+    that is repeated after a failure writes the same folder again; old files aren't read again, and the stream keeps no
+    state. What was sent twice in one batch is dropped here, across batches by merged()."""
 
     def write(batch: DataFrame, number: int) -> None:
-        group_evidence(batch, **limits).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        once_each(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return counts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merged(spark: SparkSession, target: str) -> DataFrame:
-    """The evidence of all batches written so far."""
-    return spark.read.parquet(target).groupBy("grp", "lsv_id", "junc_idx").agg(F.sum("reads").alias("reads"), F.sum("passed").alias("passed"))
+def merged(spark: SparkSession, target: str, **limits) -> DataFrame:
+    """The evidence of all batches written so far, each experiment's connections once."""
+    return group_evidence(once_each(spark.read.parquet(target)), **limits)

@@ -76,11 +76,11 @@ def test_modules_are_numbered_from_the_5_end(spark):
         assert [r.module_idx for r in rows.orderBy("src", "dst", "end").collect()] == numbers
 
 
-def test_paths_have_a_limit(spark):
-    e = edges(spark, "+", (0, 1, 10, 20), (1, 2, 30, 40), (0, 2, 10, 40))
-    assert sorted((r.path, r.frame) for r in M.paths(e).collect()) == [("0-1-2", 11 % 3), ("0-2", 0)]
-    with pytest.raises(Exception, match="over 1 paths"):
-        M.paths(e, most=1).collect()
+def test_paths_take_every_connection(spark):
+    e = edges(spark, "+", (0, 1, 10, 20), (0, 1, 12, 20), (0, 1, 13, 19, True), (1, 2, 30, 40), (0, 2, 10, 40))
+    found = sorted((r.path, r.junctions, r.length, r.frame) for r in M.paths(e).collect())
+    assert found == [("0-1-2", "10-20,30-40", 3, 11 % 3), ("0-1-2", "12-20,30-40", 3, 11 % 3), ("0-1-2", "13-19i,30-40", 3, 12 % 3), ("0-2", "10-40", 2, 0)]
+    assert M.paths(e.filter("src > 5")).count() == 0
 
 
 def test_redundant_lsvs(spark):
@@ -166,5 +166,13 @@ def test_incremental_ingest(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame([("A", k, "l", 0, 3 + k, 2), ("B", k, "l", 0, 1, 1)], schema).write.mode("append").parquet(folder)
         ingest.start(ingest.count_stream(spark, folder, schema, 1), target, str(tmp_path / "ck")).awaitTermination()
+    # an experiment that is sent again in a later batch, and a connection twice in one, count once
+    again = [("A", 1, "l", 0, 4, 2)] * 2 + [("A", 1, "m", 0, 9, 3)]
+    spark.createDataFrame(again, schema).write.mode("append").parquet(folder)
+    ingest.start(ingest.count_stream(spark, folder, schema, 1), target, str(tmp_path / "ck")).awaitTermination()
     got = sorted(tuple(r) for r in ingest.merged(spark, target).collect())
+    assert got.pop(1) == ("A", "m", 0, 9, 1)
+    folder = str(tmp_path / "once")
+    for k in range(3):
+        spark.createDataFrame([("A", k, "l", 0, 3 + k, 2), ("B", k, "l", 0, 1, 1)], schema).write.mode("append").parquet(folder)
     assert got == sorted(tuple(r) for r in ingest.group_evidence(spark.read.parquet(folder)).collect()) == [("A", "l", 0, 12, 3), ("B", "l", 0, 3, 0)]
