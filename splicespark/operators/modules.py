@@ -51,20 +51,26 @@ def cassette(edges: DataFrame) -> DataFrame:
     return found.select(*KEY, F.col("s_src").alias("c1"), F.col("a_dst").alias("a1"), F.col("s_dst").alias("c2"), "s_start", "s_end", F.col("a_end").alias("a1_start"), F.col("b_start").alias("a1_end")).distinct()
 
 
-def tandem_cassette(edges: DataFrame) -> DataFrame:
-    """A connection past two exons or more of which each is joined to the next, the outer ones at its coordinates."""
+def tandem_cassette(edges: DataFrame, inner: bool = False) -> DataFrame:
+    """A connection past two exons or more of which each is joined to the next, the outer ones at its coordinates; inner: also
+    first_end and last_start, where the inner exons begin and end."""
     s, n = side(edges, "s"), side(edges, "n")
     steps = s.filter("s_dst - s_src > 2").join(n, KEY).filter("n_dst = n_src + 1 and n_src >= s_src and n_dst <= s_dst")
     fits = F.when(F.col("n_src") == F.col("s_src"), F.col("n_start") == F.col("s_start")).otherwise(True) & F.when(F.col("n_dst") == F.col("s_dst"), F.col("n_end") == F.col("s_end")).otherwise(True)
-    counted = steps.filter(fits).groupBy(*KEY, "s_src", "s_dst", "s_start", "s_end").agg(F.count_distinct("n_src").alias("n"))
-    return counted.filter("n = s_dst - s_src").select(*KEY, F.col("s_src").alias("c1"), F.col("s_dst").alias("c2"), "s_start", "s_end", (F.col("n") - 1).alias("exons"))
+    counted = steps.filter(fits).groupBy(*KEY, "s_src", "s_dst", "s_start", "s_end").agg(
+        F.count_distinct("n_src").alias("n"), F.min(F.when(F.col("n_src") == F.col("s_src"), F.col("n_end"))).alias("first_end"), F.max(F.when(F.col("n_dst") == F.col("s_dst"), F.col("n_start"))).alias("last_start")
+    )
+    return counted.filter("n = s_dst - s_src").select(*KEY, F.col("s_src").alias("c1"), F.col("s_dst").alias("c2"), "s_start", "s_end", (F.col("n") - 1).alias("exons"), *(["first_end", "last_start"] if inner else []))
 
 
 def multi_exon_spanning(edges: DataFrame) -> DataFrame:
-    """Connections past two exons or more, with the nearest connection from the same exon inside, if any."""
-    s, i = side(edges, "s"), side(edges, "i")
-    found = s.filter("s_dst - s_src > 2").join(i, KEY, "left").withColumn("near", F.when((F.col("i_src") == F.col("s_src")) & (F.col("i_dst") < F.col("s_dst")), F.col("i_dst")))
-    return found.groupBy(*KEY, F.col("s_src").alias("c1"), F.col("s_dst").alias("c2"), "s_start", "s_end").agg(F.min("near").alias("nearest"))
+    """Connections past two exons or more, with the nearest exon inside that the first exon is joined to (nearest) and the
+    nearest that is joined to the second (nearest_in), by junctions or introns; null where none is."""
+    s, i = side(edges, "s"), side(edges, "i", None)
+    found = s.filter("s_dst - s_src > 2").join(i, KEY, "left")
+    out = F.when((F.col("i_src") == F.col("s_src")) & (F.col("i_dst") < F.col("s_dst")), F.col("i_dst"))
+    into = F.when((F.col("i_dst") == F.col("s_dst")) & (F.col("i_src") > F.col("s_src")), F.col("i_src"))
+    return found.groupBy(*KEY, F.col("s_src").alias("c1"), F.col("s_dst").alias("c2"), "s_start", "s_end").agg(F.min(out).alias("nearest"), F.max(into).alias("nearest_in"))
 
 
 def mutually_exclusive(edges: DataFrame) -> DataFrame:
@@ -92,15 +98,16 @@ def alternative_sites(edges: DataFrame) -> DataFrame:
     return pairs.join(strands, "gene_id").select(*KEY, kind.alias("kind"), F.col("a_src").alias("e1"), F.col("a_dst").alias("e2"), F.col("a_start").alias("proximal_start"), F.col("a_end").alias("proximal_end"), F.col("b_start").alias("distal_start"), F.col("b_end").alias("distal_end"))
 
 
-def putative_alternative_sites(edges: DataFrame) -> DataFrame:
-    """As a cassette, but one side of the middle exon is joined by an intron: kind p_alt5 (intron first, on plus) or p_alt3."""
+def putative_alternative_sites(edges: DataFrame, inner: bool = False) -> DataFrame:
+    """As a cassette, but one side of the middle exon is joined by an intron: kind p_alt5 (intron first, on plus) or p_alt3;
+    inner: also whether the intron is left and the junction's coordinates."""
     s, i, j = side(edges, "s"), side(edges, "i", True), side(edges, "j")
     first = s.join(i, KEY).filter("i_src = s_src and i_dst < s_dst").join(j, KEY).filter("j_src = i_dst and j_dst = s_dst and j_end = s_end").withColumn("left", F.lit(True)).withColumn("mid", F.col("i_dst"))
     second = s.join(j, KEY).filter("j_src = s_src and j_dst < s_dst and j_start = s_start").join(i, KEY).filter("i_src = j_dst and i_dst = s_dst").withColumn("left", F.lit(False)).withColumn("mid", F.col("j_dst"))
-    cols = [*KEY, "left", F.col("s_src").alias("c1"), F.col("mid").alias("a1"), F.col("s_dst").alias("c2"), "s_start", "s_end"]
+    cols = [*KEY, "left", F.col("s_src").alias("c1"), F.col("mid").alias("a1"), F.col("s_dst").alias("c2"), "s_start", "s_end", "j_start", "j_end"]
     strands = edges.select("gene_id", "strand").distinct()
     both = first.select(*cols).unionByName(second.select(*cols)).join(strands, "gene_id")
-    return both.withColumn("kind", F.when(F.col("left") == (F.col("strand") == "+"), "p_alt5").otherwise("p_alt3")).select(*KEY, "kind", "c1", "a1", "c2", "s_start", "s_end").distinct()
+    return both.withColumn("kind", F.when(F.col("left") == (F.col("strand") == "+"), "p_alt5").otherwise("p_alt3")).select(*KEY, "kind", "c1", "a1", "c2", "s_start", "s_end", *(["left", "j_start", "j_end"] if inner else [])).distinct()
 
 
 def alternative_introns(edges: DataFrame) -> DataFrame:

@@ -203,9 +203,9 @@ def summed_change(spark, sf_dir):
     return C.summed_change(quant_of(spark, sf_dir))
 
 
-@query(f"{QUANT_SQL}, g AS (SELECT comparison, gene_id, round(sum(dpsi), 6) AS log2fold, round(avg(prob), 6) AS padj FROM q GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY comparison ORDER BY padj, gene_id) AS INT) AS rank FROM g WHERE abs(log2fold) >= 1.2 AND padj <= 0.5")
+@query(f"{QUANT_SQL}, g AS (SELECT comparison, gene_id, round(sum(dpsi), 6) AS log2fold, floor(CAST(sum(CAST(round(prob * 100) AS BIGINT)) AS BIGINT) * 10000 / CAST(count(*) AS DOUBLE)) / 1000000 AS padj FROM q GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY comparison ORDER BY padj, gene_id) AS INT) AS rank FROM g WHERE abs(log2fold) >= 1.2 AND padj <= 0.5")
 def expressed_genes(spark, sf_dir):
-    g = quant_of(spark, sf_dir).groupBy("comparison", "gene_id").agg(F.round(F.sum("dpsi"), 6).alias("log2fold"), F.round(F.avg("prob"), 6).alias("padj"))
+    g = quant_of(spark, sf_dir).groupBy("comparison", "gene_id").agg(F.round(F.sum("dpsi"), 6).alias("log2fold"), (F.floor(F.sum(F.round(F.col("prob") * 100).cast("long")) * 10_000 / F.count(F.lit(1))) / 1_000_000).alias("padj"))
     return C.expressed_genes(g, padj=0.5)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import event_rows as R
 from ..operators import modules as M
 from ..sources import driver_views as V
 
@@ -40,7 +41,7 @@ CASSETTE_SQL = """SELECT DISTINCT s.gene_id, s.module_idx, s.src AS c1, a.dst AS
   WHERE a.src = s.src AND a."start" = s."start" AND a.dst < s.dst AND b.src = a.dst AND b.dst = s.dst AND b."end" = s."end" """
 TANDEM_SQL = """SELECT gene_id, module_idx, s_src AS c1, s_dst AS c2, s_start, s_end, n - 1 AS exons FROM (SELECT s.gene_id, s.module_idx, s.src AS s_src, s.dst AS s_dst, s."start" AS s_start, s."end" AS s_end, count(DISTINCT n.src) AS n FROM j s JOIN j n USING (gene_id, module_idx)
   WHERE s.dst - s.src > 2 AND n.dst = n.src + 1 AND n.src >= s.src AND n.dst <= s.dst AND (n.src <> s.src OR n."start" = s."start") AND (n.dst <> s.dst OR n."end" = s."end") GROUP BY ALL) WHERE n = s_dst - s_src"""
-SPANNING_SQL = """SELECT s.gene_id, s.module_idx, s.src AS c1, s.dst AS c2, s."start" AS s_start, s."end" AS s_end, min(CASE WHEN x.src = s.src AND x.dst < s.dst THEN x.dst END) AS nearest FROM j s JOIN j x USING (gene_id, module_idx) WHERE s.dst - s.src > 2 GROUP BY ALL"""
+SPANNING_SQL = """SELECT s.gene_id, s.module_idx, s.src AS c1, s.dst AS c2, s."start" AS s_start, s."end" AS s_end, min(CASE WHEN x.src = s.src AND x.dst < s.dst THEN x.dst END) AS nearest, max(CASE WHEN x.dst = s.dst AND x.src > s.src THEN x.src END) AS nearest_in FROM j s JOIN e x USING (gene_id, module_idx) WHERE s.dst - s.src > 2 GROUP BY ALL"""
 MXE_SQL = """SELECT DISTINCT p.gene_id, p.module_idx, p.src AS c1, p.dst AS a1, q.dst AS a2, r.dst AS c2 FROM j p JOIN j q USING (gene_id, module_idx) JOIN j r USING (gene_id, module_idx) JOIN j t USING (gene_id, module_idx)
   WHERE p.src = q.src AND p.dst < q.dst AND r.src = p.dst AND t.src = q.dst AND t.dst = r.dst AND r.dst > q.dst AND NOT EXISTS (SELECT 1 FROM e x WHERE x.gene_id = p.gene_id AND x.module_idx = p.module_idx AND x.src = p.dst AND x.dst = q.dst)"""
 SITES_SQL = """SELECT a.gene_id, a.module_idx, CASE WHEN (a.strand = '-' AND a."start" = b."start") OR (a.strand = '+' AND a."end" = b."end") THEN 'alt5' WHEN (a.strand = '-' AND a."end" = b."end") OR (a.strand = '+' AND a."start" = b."start") THEN 'alt3' ELSE 'alt3and5' END AS kind,
@@ -239,3 +240,53 @@ def cassette_rows(spark, sf_dir):
 def trimmed_exons(spark, sf_dir):
     e = edges_of(spark, sf_dir)
     return M.trimmed_exons(exons_of(e), e)
+
+
+def ranged(*rows: tuple[str, str, str, str, str]) -> str:
+    """SQL for an event's rows: name, side, exon, start, end of each."""
+    return "[" + ", ".join(f"{{'junction_name': '{n}', 'side': {repr(s) if s in ('s', 't') else s}, 'exon': {x}, 's': {a}, 'e': {b}}}" for n, s, x, a, b in rows) + "]"
+
+
+ONE = """SELECT gene_id, module_idx, src, dst, min((("start"), ("end"))) AS x FROM j GROUP BY ALL"""
+SITES_FROM = f"""(SELECT *, proximal_start = distal_start OR kind = 'alt3and5' AS l FROM ({SITES_SQL}))"""
+sites = lambda names: ranged(*((n, "CASE WHEN l THEN 's' ELSE 't' END", "CASE WHEN l THEN e1 ELSE e2 END", f"{p}_start", f"{p}_end") for n, p in zip(names, ("proximal", "distal"))))
+ends = lambda kind: f"""SELECT z.gene_id, z.module_idx, concat_ws('_', ref, proximal_exon, distal_exon, sd) AS event, NULL::INT AS event_size, {ranged(('Proximal', 'sd', 'ref', 'p.x[1]', 'p.x[2]'), ('Distal', 'sd', 'ref', 'd.x[1]', 'd.x[2]'))} AS rows
+  FROM (SELECT q.*, CASE WHEN ('{kind}' = 'last') = (strand = '+') THEN 's' ELSE 't' END AS sd FROM ({ENDS_SQL}) q JOIN (SELECT DISTINCT gene_id, strand FROM e) USING (gene_id) WHERE kind = '{kind}') z
+  JOIN ({ONE}) p ON p.gene_id = z.gene_id AND p.module_idx = z.module_idx AND p.src = CASE WHEN sd = 's' THEN ref ELSE proximal_exon END AND p.dst = CASE WHEN sd = 's' THEN proximal_exon ELSE ref END
+  JOIN ({ONE}) d ON d.gene_id = z.gene_id AND d.module_idx = z.module_idx AND d.src = CASE WHEN sd = 's' THEN ref ELSE distal_exon END AND d.dst = CASE WHEN sd = 's' THEN distal_exon ELSE ref END"""
+putative = lambda kind: f"""SELECT DISTINCT gene_id, module_idx, concat_ws('_', c1, a1, c2, s_start, s_end, j_start, j_end) AS event, NULL::INT AS event_size, {ranged(*((n, "CASE WHEN is_left THEN 't' ELSE 's' END", "CASE WHEN is_left THEN c2 ELSE c1 END", f"{p}_start", f"{p}_end") for n, p in (("Distal", "s"), ("Proximal", "j"))))} AS rows
+  FROM ({PUTATIVE_SQL[PUTATIVE_SQL.index('FROM (') + 6:].rstrip()[:-1].replace('s."end" AS s_end FROM', 's."end" AS s_end, x."start" AS j_start, x."end" AS j_end FROM').replace('s."start", s."end" FROM', 's."start", s."end", x."start", x."end" FROM')}) WHERE CASE WHEN is_left = (strand = '+') THEN 'p_alt5' ELSE 'p_alt3' END = '{kind}'"""
+EVENT_SQL = {
+    "cassette": f"""SELECT gene_id, module_idx, concat_ws('_', c1, a1, c2, s_start, s_end, a1_start, a1_end) AS event, a1_end - a1_start + 1 AS event_size, {ranged(("C1_C2", "s", "c1", "s_start", "s_end"), ("C1_A", "s", "c1", "s_start", "a1_start"), ("C2_C1", "t", "c2", "s_start", "s_end"), ("C2_A", "t", "c2", "a1_end", "s_end"))} AS rows FROM ({CASSETTE_SQL})""",
+    "tandem_cassette": f"""SELECT gene_id, module_idx, concat_ws('_', c1, c2, s_start, s_end) AS event, l - f + 1 AS event_size, {ranged(("C1_C2", "s", "c1", "s_start", "s_end"), ("C1_A", "s", "c1", "s_start", "f"), ("C2_C1", "t", "c2", "s_start", "s_end"), ("C2_A_Last", "t", "c2", "l", "s_end"))} AS rows
+      FROM (SELECT t.*, (SELECT min("end") FROM j x WHERE x.gene_id = t.gene_id AND x.module_idx = t.module_idx AND x.src = c1 AND x.dst = c1 + 1 AND x."start" = s_start) AS f, (SELECT max("start") FROM j x WHERE x.gene_id = t.gene_id AND x.module_idx = t.module_idx AND x.dst = c2 AND x.src = c2 - 1 AND x."end" = s_end) AS l FROM ({TANDEM_SQL}) t)""",
+    "mutually_exclusive": f"""SELECT m.gene_id, m.module_idx, concat_ws('_', c1, a1, a2, c2) AS event, u.x[1] - x.x[2] + 1 AS event_size, {ranged(("C1_A1", "s", "c1", "x.x[1]", "x.x[2]"), ("C1_A2", "s", "c1", "y.x[1]", "y.x[2]"), ("C2_A1", "t", "c2", "u.x[1]", "u.x[2]"), ("C2_A2", "t", "c2", "v.x[1]", "v.x[2]"))} AS rows FROM ({MXE_SQL}) m
+      """ + " ".join(f"JOIN ({ONE}) {p} ON {p}.gene_id = m.gene_id AND {p}.module_idx = m.module_idx AND {p}.src = {a} AND {p}.dst = {b}" for p, a, b in (("x", "c1", "a1"), ("y", "c1", "a2"), ("u", "a1", "c2"), ("v", "a2", "c2"))),
+    **{k: f"""SELECT gene_id, module_idx, concat_ws('_', e1, e2, proximal_start, proximal_end, distal_start, distal_end) AS event, abs(proximal_start - distal_start) + abs(proximal_end - distal_end) AS event_size, {sites(("J1", "J2") if k == "alt3and5" else ("Proximal", "Distal"))} AS rows FROM {SITES_FROM} WHERE kind = '{k}'""" for k in ("alt5", "alt3", "alt3and5")},
+    "alternative_intron": f"""SELECT gene_id, module_idx, concat_ws('_', c1, c2, "start", "end") AS event, "end" - "start" + 1 AS event_size, {ranged(("C1_C2_intron", "s", "c1", '"start"', '"end"'), ("C2_C1_intron", "t", "c2", '"start"', '"end"'))} AS rows FROM ({INTRON_SQL})
+      UNION ALL SELECT i.gene_id, i.module_idx, concat_ws('_', c1, c2, i."start", i."end"), i."end" - i."start" + 1, {ranged(("C1_C2_spliced", "s", "c1", 'j."start"', 'j."end"'))} FROM ({INTRON_SQL}) i JOIN j ON j.gene_id = i.gene_id AND j.module_idx = i.module_idx AND j.src = c1
+      UNION ALL SELECT i.gene_id, i.module_idx, concat_ws('_', c1, c2, i."start", i."end"), i."end" - i."start" + 1, {ranged(("C2_C1_spliced", "t", "c2", 'j."start"', 'j."end"'))} FROM ({INTRON_SQL}) i JOIN j ON j.gene_id = i.gene_id AND j.module_idx = i.module_idx AND j.dst = c2""",
+    "first": ends("first"),
+    "last": ends("last"),
+    "multi_exon_spanning": f"""SELECT gene_id, module_idx, concat_ws('_', c1, c2, s_start, s_end) AS event, c2 - c1 - 1 AS event_size, {ranged(("C1_C2", "s", "c1", "s_start", "s_end"), ("C2_C1", "t", "c2", "s_start", "s_end"))} AS rows FROM ({SPANNING_SQL})""",
+    "p_alt5": putative("p_alt5"),
+    "p_alt3": putative("p_alt3"),
+    "constitutive": f"""SELECT gene_id, module_idx, concat_ws('_', src, dst, "start", "end") AS event, NULL::INT AS event_size, {ranged(("C1_C2", "s", "src", '"start"', '"end"'), ("C2_C1", "t", "dst", '"start"', '"end"'))} AS rows FROM (SELECT *, count(*) OVER (PARTITION BY gene_id, src) AS o, count(*) OVER (PARTITION BY gene_id, dst) AS t FROM e) WHERE o = 1 AND t = 1""",
+}
+
+
+def rows_query(kind: str) -> None:
+    sql = f"""{EDGES_SQL}{ENDS_WITH}, ev AS ({EVENT_SQL[kind]}), r AS (SELECT gene_id, concat_ws('_', gene_id, module_idx, '{kind}', event) AS event_id, event_size, unnest(rows) AS r FROM ev),
+      lv AS (SELECT gene_id, 's' AS side, src AS exon FROM e GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT gene_id, 't', dst FROM e GROUP BY gene_id, dst HAVING count(*) > 1), mk AS (SELECT gene_id, "start", "end", min(strand) AS strand, bool_and(("start" + "end") % 7 = 0) AS de_novo FROM e GROUP BY ALL)
+      SELECT event_id, r.junction_name AS junction_name, r.side AS side, mk."start", mk."end", CASE WHEN strand = '-' THEN mk."end" || '-' || mk."start" ELSE mk."start" || '-' || mk."end" END AS along, CAST(event_size AS INT) AS event_size, de_novo, CASE WHEN lv.exon IS NOT NULL THEN r.gene_id || ':' || lv.side || ':' || lv.exon END AS lsv_id
+      FROM r JOIN mk ON mk.gene_id = r.gene_id AND mk."start" = r.r.s AND mk."end" = r.r.e LEFT JOIN lv ON lv.gene_id = r.gene_id AND lv.side = r.r.side AND lv.exon = r.r.exon"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = edges_of(spark, sf_dir).withColumn("de_novo", (F.col("start") + F.col("end")) % 7 == 0)
+        return R.event_rows(e, kind).withColumn("event_size", F.col("event_size").cast("int"))
+
+    QUERIES[f"rows_{kind}"], SQL[f"rows_{kind}"] = run, sql
+
+
+for _kind in R.TYPES:
+    rows_query(_kind)
