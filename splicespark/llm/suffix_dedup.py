@@ -132,23 +132,24 @@ def batch_anchors(docs: list, ties: list, texts: list[bytes]) -> tuple[np.ndarra
     return gram.view(np.int64), context.view(np.int64), doc, tie, pos, new
 
 
-def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each gram and context the first anchor of a batch: later ones are repeats already."""
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each gram and context the first anchor of a batch, and the other ones, repeats already, as ranges of bytes by
+    document. Both come from one pass, so that they are of the same batches."""
     for batch in batches:
         for part in parts_of(batch):
-            *columns, new = batch_anchors(*part)
-            yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in columns], ["h", "ctx", "doc", "tie", "pos"])
-
-
-def repeats_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The anchors that candidates() leaves out, as ranges of bytes by document."""
-    for batch in batches:
-        for part in parts_of(batch):
-            _, _, doc, tie, pos, new = batch_anchors(*part)
+            h, ctx, doc, tie, pos, new = batch_anchors(*part)
+            first = [pa.array(c[new]) for c in (h, ctx, doc, tie, pos)]
+            none = pa.nulls(int(new.sum()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*first, none, none], MARKED)
             # A repeated row of a document is that document: its anchors aren't after themselves.
             head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             own = ~new & ((doc != doc[head]) | (tie != tie[head]) | (pos != pos[head]))
-            yield by_document(doc[own], tie[own], *strings_of(pos[own]))
+            ranges = by_document(doc[own], tie[own], *strings_of(pos[own]))
+            blank = pa.nulls(ranges.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([blank, blank, ranges["doc"], ranges["tie"], blank, ranges["starts"], ranges["ends"]], MARKED)
+
+
+MARKED = ["h", "ctx", "doc", "tie", "pos", "starts", "ends"]
 
 
 def by_document(doc: np.ndarray, tie: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
@@ -193,7 +194,8 @@ def refined(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
     data: bytes; inside: how many bytes from each place are in its context. First come buckets of 8 bytes. A bucket of n
     bytes is refined to 2 n by sorting on the bucket that stands n bytes later; the new buckets take the place of the old
     ones and refine the next pass, at last at the distance that makes LENGTH. Only places whose bucket has others are
-    sorted on; one alone stays alone.
+    sorted on; one alone stays alone. New buckets aren't used within their own pass: a bucket of over LENGTH bytes would
+    tell strings of LENGTH equal bytes apart.
     """
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     at = np.flatnonzero(inside >= 8).astype(np.int32)
@@ -316,7 +318,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     texts = keyed(docs)
     own = texts.select("doc", "tie", "text")
-    found = own.mapInArrow(candidates, "h long, ctx long, doc long, tie long, pos long").repartition("h")
+    seen = written(own.mapInArrow(marked, "h long, ctx long, doc long, tie long, pos long, starts array<long>, ends array<long>"))
+    found = seen.filter("h is not null").drop("starts", "ends").repartition("h")
     anchor = F.struct("doc", "tie", "pos")
     same, gram = W.partitionBy("h", "ctx"), W.partitionBy("h")
     ranked = found.withColumns({"first": F.min(anchor).over(same), "low": F.min("ctx").over(gram), "high": F.max("ctx").over(gram), "n": F.count(F.lit(1)).over(gram)})
@@ -336,7 +339,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     one = lambda d, s, e: d.select("doc", "tie", F.array(s).alias("starts"), F.array(e).alias("ends"))
     place = F.shiftright("pos", 14)
     plain = one(flagged.filter("h is null"), place - F.shiftright("pos", 7).bitwiseAND(127), place - F.col("pos").bitwiseAND(127) + LENGTH)
-    ranges = plain.unionByName(own.mapInArrow(repeats_in_batch, RANGES)).unionByName(compared).unionByName(one(hot, F.col("start"), F.col("start") + LENGTH))
+    ranges = plain.unionByName(seen.filter("h is null").select(*KEY, "starts", "ends")).unionByName(compared).unionByName(one(hot, F.col("start"), F.col("start") + LENGTH))
     listed = ranges.groupBy(*KEY).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     whole = texts.join(listed, KEY, "left").select("doc_id", "text", "starts", "ends")

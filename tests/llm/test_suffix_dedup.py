@@ -78,3 +78,30 @@ def test_repeated_and_null_ids(spark):
 def test_empty_table_and_extra_columns(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, tie int, h string, pos long")
     assert S.dedup(docs).count() == 0
+
+
+@pytest.mark.parametrize("rows_in_batch", [1, 2, 5])
+def test_batches_dont_matter(spark, rows_in_batch):
+    rows = texts(7) + [(200 + k, "the same long text " * 12) for k in range(5)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_in_batch)
+    try:
+        assert found(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_scans_that_differ_lose_nothing(spark):
+    """Rows come in another order, and so in other batches, in every scan."""
+    from pyspark.sql import functions as F
+
+    text = "".join(random.Random(4).choices("abcdefghij ", k=300))
+    docs = spark.createDataFrame([(k, text) for k in range(40)], "doc_id long, text string")
+    shuffled = docs.repartition(6, F.rand())
+    assert sorted(x.n_removed for x in S.dedup(shuffled).collect()) == [0] + [len(text)] * 39
+
+
+def test_clashing_columns(spark):
+    text = "y" * 150
+    docs = spark.createDataFrame([(k, text, k, "h", k, [k], "e") for k in range(3)], "doc_id long, text string, tie int, h string, pos long, starts array<int>, ctx string")
+    assert sorted(x.n_removed for x in S.dedup(docs).collect()) == [49, 150, 150]
