@@ -23,6 +23,7 @@ SCOPE = frozenset("html body table td th ul ol dl div article section main aside
 NO_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 NO_WORD = frozenset("ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored sponsors promo promotion nav navbar navigation menu topbar breadcrumb breadcrumbs sidebar sidenav widget widgets footer masthead comment comments commentlist discussion reply replies respond disqus cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar skip copyright".split())
 SHAPING = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style"))
+NEUTRAL = frozenset("area bar block body bottom box btn button buttons container content content1 form group header heading holder icons id inner item items left links list main outer page posts primary right row secondary section slot site text title top unit wrap wrapper".split())
 MODELS = 64  # trees of model pages that a task keeps
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -44,15 +45,20 @@ def kind_of(tag: str, attrs: tuple, inside: bool) -> tuple[bool, bool, str]:
     """Whether such an element holds no main text, whether it marks main text, and its label; inside: of a main element."""
     given = {k: v or "" for k, v in attrs }
     names = f"{given.get('class', '')} {given.get('id', '')}"
-    words = {w.lower() for w in WORDS.findall(names)} | {re.sub("[_-]", "", w.lower()) for w in names.split()}
     role = given.get("role", "").lower()
     hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
-    named = bool(words & NO_WORD) and tag not in ("html", "body", "main")
+    named = any(map(says_no, names.split())) and tag not in ("html", "body", "main")
     out = tag in NO_TEXT or role in NO_ROLE or hidden or named or (tag == "header" and not inside)
     main = tag in ("article", "main") or role in ("main", "article")
     return out, main, f"{tag}.{'.'.join(sorted(given.get('class', '').split()))}"
 
 
+def says_no(name: str) -> bool:
+    """Whether a class or id names a part that holds no main text, and nothing else: share-buttons, not share-price."""
+    words = {w.lower() for w in WORDS.findall(name) if not w.isdigit()}
+    return re.sub("[_-]", "", name.lower()) in NO_WORD or bool(words & NO_WORD) and words <= NO_WORD | NEUTRAL
+
+
 class Tree(HTMLParser):
     """The elements of a page, where ends that HTML lets one leave out are put in."""
 
@@ -108,27 +114,36 @@ def align(page: Node, model: Node, path: str = "") -> None:
     todo = [(page, model, path)]
     memo: dict[tuple[int, int], int] = {}
 
-    def size(a: Node, b: Node, depth: int = 0) -> int:
-        """Elements in the best matching of two subtrees; below 12 levels only the labels count."""
-        if a.label != b.label:
-            return 0
-        key = (id(a), id(b))
-        if key not in memo:
-            memo[key] = 1 + (table(a, b, depth)[-1][-1] if depth < 12 else 0)
-        return memo[key]
+    def size(a: Node, b: Node) -> int:
+        """Elements in the best matching of two subtrees; the pairs below come first, on a stack of their own."""
+        wait = [(a, b, False)]
+        while wait:
+            x, y, ready = wait.pop()
+            key = (id(x), id(y))
+            if key in memo:
+                continue
+            if x.label != y.label:
+                memo[key] = 0
+            elif ready:
+                memo[key] = 1 + table(x, y)[-1][-1]
+            else:
+                wait.append((x, y, True))
+                wait += [(i, j, False) for i in folded(x) for j in folded(y) if i.label == j.label and (id(i), id(j)) not in memo]
+        return memo[id(a), id(b)]
 
-    def table(a: Node, b: Node, depth: int) -> list[list[int]]:
+    def table(a: Node, b: Node) -> list[list[int]]:
         xs, ys = folded(a), folded(b)
         m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
         for i, x in enumerate(xs, 1):
             for j, y in enumerate(ys, 1):
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + size(x, y, depth + 1))
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + (memo[id(x), id(y)] if x.label == y.label else 0))
         return m
 
     while todo:
         a, b, place = todo.pop()
         a.home = place
-        xs, ys, m = folded(a), folded(b), table(a, b, 0)
+        size(a, b)
+        xs, ys, m = folded(a), folded(b), table(a, b)
         i, j, partner = len(xs), len(ys), {}
         while i and j:
             if m[i][j] == m[i - 1][j]:
@@ -146,43 +161,39 @@ def align(page: Node, model: Node, path: str = "") -> None:
                     todo.append((child, *run))
 
 
-def blocks(root: Node) -> list[tuple[str, str, bool, bool]]:
-    """The page's blocks in order: text (white space as one space), place in the wrapper, whether in a main element, and
-    whether over half of it is links. Blocks of elements that hold no main text are left out."""
-    found: list[tuple[str, str, bool, bool]] = []
-    buffer: list[tuple[str, bool]] = []
+def blocks(root: Node) -> list[tuple[str, str, bool]]:
+    """The page's blocks in order: text (white space as one space), place in the wrapper, and whether in a main element.
+    Blocks of elements that hold no main text are left out."""
+    found: list[tuple[str, str, bool]] = []
+    buffer: list[str] = []
     owner = [root]
 
     def flush() -> None:
-        text = SPACE.sub(" ", "".join(x for x, _ in buffer)).strip()
+        text = SPACE.sub(" ", "".join(buffer)).strip()
         if text:
-            linked = sum(len(x) for x, link in buffer if link)
-            found.append((text, owner[0].home or "", owner[0].main, 2 * linked > len(text)))
+            found.append((text, owner[0].home or "", owner[0].main))
         buffer.clear()
 
     # Depth first without recursion, for deep pages: entries are a text or an element and whether it starts or ends.
-    todo: list[tuple] = [(root, True, False, root)]
+    todo: list[tuple] = [(root, True, root)]
     while todo:
-        item, start, link, block = todo.pop()
+        item, start, block = todo.pop()
         if isinstance(item, str):
             if not buffer:
                 owner[0] = block
-            buffer.append((item, link))
+            buffer.append(item)
             continue
         breaks = item.tag in BLOCK or item.tag == ""
         if breaks:
             flush()
-        if not start:
-            continue
-        if item.out:
+        if not start or item.out:
             continue
         if item.tag == "br":
-            buffer.append((" ", link))
+            buffer.append(" ")
         if breaks:
-            todo.append((item, False, link, block))
+            todo.append((item, False, block))
         block = item if breaks else block
-        link = link or item.tag == "a"
-        todo.extend((c, True, link, block) for c in reversed(item.children))
+        todo.extend((c, True, block) for c in reversed(item.children))
     flush()
     return found
 
@@ -196,12 +207,6 @@ def slot_hash(home: str, text: str) -> int:
     return signed(xxhash.xxh64_intdigest(f"{home}\0{text}".encode("utf-8", "surrogatepass"))) or 1
 
 
-def main_blocks(found: list[tuple[str, str, bool, bool]], constant: frozenset[int]) -> list[str]:
-    """The blocks of main elements, or of the whole page less link lists if it has none, less the wrapper's constants."""
-    inside = any(x[2] for x in found)
-    return [text for text, home, main, links in found if (main if inside else not links) and slot_hash(home, text) not in constant]
-
-
 def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?s)(.*?)://([^/?#]*)", 2), F.lit("")))
 
@@ -212,49 +217,44 @@ def extract(pages: DataFrame, share: float = 0.5, least: int = 3) -> DataFrame:
     Each host has a model page, its page of the smallest page_id (ties: html). Every page is aligned with its host's model
     by simple tree matching. A block's text that at one place of the model stands in over `share` of the host's distinct
     pages, and in `least` at least, is constant: template, and dropped. Of the varying slots, those that hold no main text
-    by their role (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are dropped; if
-    the page marks main elements, only what is in these stays. Copies of a page count once, lest they make their own
-    article constant.
+    by their role (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments; known by element,
+    ARIA role, or a class or id that names nothing else) are dropped; if the page marks main elements, only what is in
+    these stays. Copies of a page count once, lest they make their own article constant.
 
     Null html is empty. Repeated page_ids are rows of their own; a null url has the empty host; other columns are ignored.
+    Long and deep pages are taken whole; an empty table gives no rows.
     """
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     first = F.struct(F.col("page_id").isNull().alias("a"), F.col("page_id").alias("b"), F.xxhash64("html").alias("c"))
     models = written(rows.filter("html is not null").groupBy("host").agg(F.min_by("html", first).alias("model")))
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = lru_cache(MODELS)(lambda model: Tree(model).root)
-        for batch in batches:
-            hosts, found, seen = [], [], []
-            for host, html, model in zip(*(c.to_pylist() for c in batch.columns)):
-                tree = Tree(html).root
-                align(tree, trees(model))
-                slots = {slot_hash(home, text) for text, home, _, _ in blocks(tree)} | {0}  # 0: the page itself
-                page = signed(xxhash.xxh64_intdigest(html))
-                hosts += [host] * len(slots)
-                found += slots
-                seen += [page] * len(slots)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(seen, pa.int64())], ["host", "slot", "page"])
-
-    modelled = rows.filter("html is not null").join(models, "host").select("host", "html", "model")
-    votes = modelled.mapInArrow(vote, "host string, slot long, page long").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("n"))
-    votes = written(votes.filter((F.col("n") >= least) | (F.col("slot") == 0)))
-    sizes = votes.filter("slot = 0").select("host", F.col("n").alias("pages"))
-    # Each is in over `share` of the pages, so there are no more of them than 1 / share times the blocks of a page.
-    constant = votes.filter("slot <> 0").join(sizes, "host").filter(F.col("n") > share * F.col("pages")).groupBy("host").agg(F.collect_list("slot").alias("constant"))
-    wrappers = written(models.join(constant, "host", "left"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = lru_cache(MODELS)(lambda model: Tree(model).root)
         for batch in batches:
-            texts = []
-            for html, model, slots in zip(*(c.to_pylist() for c in batch.columns[2:])):
+            seen, slots, texts, mains = [], [], [], []
+            for html, model in zip(*(c.to_pylist() for c in batch.columns[3:])):
                 tree = Tree(html or "").root
                 if model:
                     align(tree, trees(model))
-                texts.append("\n".join(main_blocks(blocks(tree), frozenset(slots or ()))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+                found = blocks(tree)
+                seen.append(None if html is None else signed(xxhash.xxh64_intdigest(html)))
+                texts.append([text for text, _, _ in found])
+                slots.append([slot_hash(home, text) for text, home, _ in found])
+                mains.append([main for _, _, main in found])
+            parts = (pa.array(seen, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(slots, pa.list_(pa.int64())), pa.array(mains, pa.list_(pa.bool_())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *parts], ["page_id", "url", "host", "page", "text", "slot", "main"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    whole = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "model", "constant")
-    return whole.mapInArrow(run, f"page_id {kind}, url string, text string")
+    whole = rows.join(models, "host", "left").select("page_id", "url", "host", "html", "model")
+    parsed = written(whole.mapInArrow(run, f"page_id {kind}, url string, host string, page long, text array<string>, slot array<long>, main array<boolean>"))
+
+    each = F.explode(F.array_distinct(F.concat("slot", F.array(F.lit(0).cast("long")))))  # 0: the page itself
+    votes = parsed.filter("page is not null").select("host", each.alias("slot"), "page").distinct().groupBy("host", "slot").agg(F.count(F.lit(1)).alias("n"))
+    votes = written(votes.filter((F.col("n") >= least) | (F.col("slot") == 0)))
+    sizes = votes.filter("slot = 0").select("host", F.col("n").alias("pages"))
+    # Each is in over `share` of the pages, so there are no more of them than 1 / share times the blocks of a page.
+    constant = written(votes.filter("slot <> 0").join(sizes, "host").filter(F.col("n") > share * F.col("pages")).groupBy("host").agg(F.collect_list("slot").alias("constant")))
+    inside = F.exists("main", lambda x: x)
+    varying = lambda x: (x["main"] | ~F.col("inside")) & ~F.coalesce(F.array_contains("constant", x["slot"]), F.lit(False))
+    left = parsed.join(constant, "host", "left").withColumns({"inside": inside, "blocks": F.arrays_zip("text", "slot", "main")})
+    return left.select("page_id", "url", F.array_join(F.transform(F.filter("blocks", varying), lambda x: x["text"]), "\n").alias("text"))
