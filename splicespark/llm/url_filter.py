@@ -57,24 +57,25 @@ def log_ratios(labelled: DataFrame, order: int, strength: float) -> DataFrame:
             low = shorter.select(F.col("context").alias("_context"), F.col("sign").alias("_sign"), F.col("p_a").alias("low_a"), F.col("p_r").alias("low_r"))
             own = own.join(low, (F.substring("context", 2, k) == F.col("_context")) & (F.col("sign") == F.col("_sign")))
         smooth = lambda x: (F.col(x) + strength * F.col(f"low_{x}")) / (F.col(f"all_{x}") + strength)
-        shorter = own.select("context", "sign", smooth("a").alias("p_a"), smooth("r").alias("p_r"))
+        shorter = written(own.select("context", "sign", smooth("a").alias("p_a"), smooth("r").alias("p_r")))
         levels.append(shorter.select("context", "sign", F.log(F.col("p_a") / F.col("p_r")).alias("ratio")))
     for level in levels[1:]:
         levels[0] = levels[0].unionByName(level)
-    return written(levels[0])
+    return levels[0]
 
 
 def mean_ratios(urls: DataFrame, model: DataFrame, order: int) -> DataFrame:
     """key, score: the mean over the url's characters of the ratio of the longest known context (0 where none knows the sign).
 
-    Ratios are looked up for each kind of context and sign once, not for each place where it stands.
+    Ratios are looked up for each kind of context and sign once, not for each place where it stands, and written: the
+    places of a very common kind are shuffled for the join alone, so that Spark can split them.
     """
     places = grams(urls, order)
     kinds = places.groupBy("context", "sign").agg(F.count(F.lit(1)).alias("n"))
     suffixes = F.transform(F.sequence(F.lit(0), F.length("context")), lambda k: F.substring("context", F.length("context") - k + 1, k))
     tried = kinds.select("context", "sign", F.explode(suffixes).alias("suffix"))
     known = model.select(F.col("context").alias("suffix"), "sign", "ratio")
-    best = tried.join(known, ["suffix", "sign"]).groupBy("context", "sign").agg(F.max_by("ratio", F.length("suffix")).alias("ratio"))
+    best = written(tried.join(known, ["suffix", "sign"]).groupBy("context", "sign").agg(F.max_by("ratio", F.length("suffix")).alias("ratio")))
     return places.join(best, ["context", "sign"], "left").groupBy("key").agg((F.sum(F.coalesce("ratio", F.lit(0.0))) / F.count(F.lit(1))).alias("score"))
 
 
@@ -103,7 +104,8 @@ def judge(pages: DataFrame, rules=RULES, order: int = 4, strength: float = 1.0,
     for blocked urls. A url that no rule fits is allowed when its mean log ratio is over a threshold, which is set on one
     in `held_out` of the labelled urls that the models didn't see. Equal urls are learned from and scored once. Without
     urls of both labels all are allowed. Null urls have empty host and path and are scored as empty; repeated page_ids are
-    rows of their own; other columns are ignored; an empty table gives no rows.
+    rows of their own; other columns are ignored; long urls are scored whole; an empty table
+    gives no rows.
     """
     host, path = parts_of(F.col("url"))
     split = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url")).withColumns({"host": host, "path": path}).withColumn("found", rule_of(F.col("host"), F.col("path"), rules))

@@ -407,6 +407,57 @@ def test_url_rules(spark):
     assert {x.verdict for x in url_filter.judge(spark.createDataFrame([(1, "http://q/"), (1, "http://q/")], "page_id long, url string")).collect()} == {"allow"}
 
 
+def plain_ratios(labelled, order, strength):
+    """(context, sign) -> log ratio, by counting every context of every place."""
+    counts = {True: Counter(), False: Counter()}
+    for url, accepted in labelled:
+        for i in range(len(url) + 1):
+            sign = url[i : i + 1]
+            for k in range(min(i, order) + 1):
+                counts[accepted][url[i - k : i], sign] += 1
+    signs = len({s for c in counts.values() for _, s in c})
+    total = {v: Counter() for v in counts}
+    for v, c in counts.items():
+        for (context, _), n in c.items():
+            total[v][context] += n
+
+    def p(v, context, sign):
+        shorter = p(v, context[1:], sign) if context else 1 / signs
+        return (counts[v][context, sign] + strength * shorter) / (total[v][context] + strength)
+
+    return {k: math.log(p(True, *k) / p(False, *k)) for k in counts[True] | counts[False]}
+
+
+def test_url_model_against_brute_force(spark):
+    good, bad = [f"http://g{k}.net/de/{k * k}" for k in range(25)], [f"http://b{k}.com/en/x{k}y" for k in range(25)]
+    labelled = [(u, True) for u in good] + [(u, False) for u in bad]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(labelled)], "key long, url string, accepted boolean")
+    model = url_filter.log_ratios(df, 3, 1.0)
+    expected = plain_ratios(labelled, 3, 1.0)
+    assert {(x.context, x.sign): x.ratio for x in model.collect()} == pytest.approx(expected)
+    asked = [*good[:3], *bad[:3], "", "http://zzz/", "ftp:é"]
+    found = {x.key: x.score for x in url_filter.mean_ratios(spark.createDataFrame(list(enumerate(asked)), "key long, url string"), model, 3).collect()}
+    for k, url in enumerate(asked):
+        values = []
+        for i in range(len(url) + 1):
+            sign = url[i : i + 1]
+            values.append(next((expected[url[i - n : i], sign] for n in range(min(i, 3), -1, -1) if (url[i - n : i], sign) in expected), 0.0))
+        assert found[k] == pytest.approx(sum(values) / len(values))
+
+
+def test_url_threshold_is_the_best_cut(spark):
+    rows = [(0.31, True), (0.25, True), (0.09, False), (-0.2, False), (-0.11, True), (0.29, False)] + [(0.4, True)] * 4 + [(-0.5, False)] * 4
+    cut = url_filter.threshold_of(spark.createDataFrame(rows, "score double, accepted boolean")).first().threshold
+    gain = lambda t: sum(s >= t for s, a in rows if a) / 7 + sum(s < t for s, a in rows if not a) / 7
+    assert gain(cut) == max(gain(k / 100) for k in range(-60, 60))
+
+
+def test_urls_of_clashing_columns(spark):
+    schema = "page_id long, url string, host string, path string, rule string, label string, key int, score double, found string"
+    rows = [(k, f"http://a.com/en/{k}", "h", "p", "r", "l", 1, 0.5, "f") for k in range(3)]
+    assert [(x.host, x.rule) for x in url_filter.judge(spark.createDataFrame(rows, schema)).collect()] == [("a.com", "com/en/")] * 3
+
+
 @pytest.mark.parametrize("bucket", [mixing.BUCKET_DOCUMENTS, 7])
 def test_mixing(spark, monkeypatch, bucket):
     monkeypatch.setattr(mixing, "BUCKET_DOCUMENTS", bucket)
