@@ -157,7 +157,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: f
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5) -> DataFrame:
-    """The documents that no benchmark item contaminates, with their columns."""
+    """The documents that no benchmark item contaminates, with their columns. Null and empty texts are clean; long texts are
+    searched whole; repeated rows stay or go together; an empty table or benchmark changes nothing."""
     at = docs.columns.index("text")
     for block in blocks_of(benchmark, least):
         sent = docs.sparkSession.sparkContext.broadcast(block)

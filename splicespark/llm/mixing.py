@@ -84,6 +84,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the mix takes, with their columns and `copies`, how often each is taken (once at least)."""
+    """The documents that the mix takes, with their columns and `copies`, how often each is taken (once at least); a column
+    `copies` of docs is replaced. Null and empty texts have size 0 and aren't taken; long texts, null and repeated doc_ids
+    are documents like any other, ties go by doc_id and size as in mix(); an empty table gives no rows."""
     taken = mix(docs.drop("copies"), whole=True, **options).filter("copies > 0")
     return taken.select("row.*", "copies")

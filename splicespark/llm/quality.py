@@ -101,6 +101,7 @@ def judge(docs: DataFrame, limit: int = 10, left_words: int = 10, left_share: fl
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with their columns, `text` without frequent lines."""
+    """The documents that the rules keep, with their columns, `text` without frequent lines; see judge() for null, empty and
+    long texts, null and repeated doc_ids and the empty table. Documents without a word are rejected."""
     kept = judge(docs, whole=True, **options).filter("kept")
     return kept.select(*(F.col("text") if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns))

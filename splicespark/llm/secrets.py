@@ -108,7 +108,9 @@ def listed(spans: str) -> Column:
 
 
 def masked_documents(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """The documents with each secret of their texts replaced by the mask; overlapping secrets by one mask."""
+    """The documents with each secret of their texts replaced by the mask; overlapping secrets by one mask. Null texts stay
+    null, empty ones empty; long texts are scanned whole; repeated rows and doc_ids stay as they are, and so does an empty
+    table."""
     found = scan(docs, whole=True)
     text = F.col("row.text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

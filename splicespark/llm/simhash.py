@@ -262,10 +262,10 @@ def one_of_each(docs: DataFrame, words: int = 5, budget: int = 2, bands: int = 3
     components of such pairs. Texts of equal sets are one node. Candidates are nodes within `budget` bits of the
     fingerprints of whole texts, and nodes that share one of `bands` fingerprints of `per` min-wise sampled shingles: a
     pair of similarity s shares one with probability 1 - (1 - s ** per) ** bands, which is 0.997 at 0.8. In bands of over
-    BAND_ROWS nodes each is compared with the first; what these links leave apart comes from rarest_meet(), which misses
-    no pair. Candidates
-    whose sketches agree in under `least` are far from 0.8; the sets of the others are compared. Repeated rows are copies;
-    an empty table stays empty.
+    BAND_ROWS nodes each is compared with the first; bands whose nodes these links leave in several components go to
+    rarest_meet(), which misses no pair. Candidates whose sketches agree in under `least` are far from 0.8; the sets of
+    the others are compared. Repeated rows are copies; null and empty texts are copies of each other and of texts without
+    words; long texts are compared whole; an empty table stays empty.
     """
     key = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
     named = docs.select(F.struct("doc_id", key.alias("key")).alias("_id"), "text")
@@ -296,9 +296,11 @@ def one_of_each(docs: DataFrame, words: int = 5, budget: int = 2, bands: int = 3
         return written(similar(near, shingle_sets(docs, identity.join(wanted, "_row"), key, words)))
 
     links = verified(met)
-    rows = written(many.select("_row").distinct())
+    known = written(components(links).withColumnRenamed("node", "_row"))
+    labelled = written(many.join(known, "_row", "left").select("band", "value", "_row", F.coalesce("component", "_row").alias("component")))
+    apart = labelled.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band", "value")
+    rows = written(labelled.join(apart, ["band", "value"]).select("_row").distinct())
     if not rows.isEmpty():
-        known = components(links).withColumnRenamed("node", "_row")
         sets = shingle_sets(docs, identity.join(rows, "_row"), key, words).join(known, "_row", "left")
         links = links.unionByName(verified(rarest_meet(sets.withColumn("component", F.coalesce("component", "_row")))))
     edges = edges.unionByName(links)
