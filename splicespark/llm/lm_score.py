@@ -89,9 +89,9 @@ class Coder:
         counts = np.array([n for _, n in near], float)
         self.share = np.concatenate((np.where(known, 0.0, np.log(np.maximum(counts, 1)) - inside[bucket]), [0.0], -inside))
 
-    def rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """All texts' tokens with padding between, the places of the tokens, each text's number of tokens, the sum of its
-        words' logarithms in their buckets, and the hashes of its far words."""
+    def rows(self, texts: pa.Array, score: bool = True) -> tuple:
+        """All texts' tokens with padding between, and the places of the tokens; to score also each text's number of tokens,
+        the sum of its words' logarithms in their buckets, and the hashes of its far words."""
         words, sizes = split_words(texts)
         kinds = words.dictionary_encode()
         found = [w.encode() for w in kinds.dictionary.to_pylist()]
@@ -102,14 +102,17 @@ class Coder:
         hashes[new] = np.fromiter((xxh64_intdigest(found[k], 42) for k in new), np.uint64, len(new))
         codes[new] = pad + 1 + buckets(hashes[new], self.shape.rest)
         index = kinds.indices.to_numpy()
-        own, ends = codes[index], np.cumsum(sizes)
+        own = codes[index]
+        places = np.arange(len(own)) + window * np.repeat(np.arange(1, len(sizes) + 1), sizes)
+        ids = np.full(len(own) + window * (len(sizes) + 1), self.shape.tokens, np.int32)
+        ids[places] = self.token[own]
+        if not score:
+            return ids, places
+        ends = np.cumsum(sizes)
         sums = np.concatenate(([0.0], np.cumsum(self.share[own])))
         far = own > pad
         cuts = np.concatenate(([0], np.cumsum(far)))[np.concatenate(([0], ends))]
         lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(hashes[index[far]].view(np.int64)))
-        places = np.arange(len(own)) + window * np.repeat(np.arange(1, len(sizes) + 1), sizes)
-        ids = np.full(len(own) + window * (len(sizes) + 1), self.shape.tokens, np.int32)
-        ids[places] = self.token[own]
         return ids, places, sizes, sums[ends] - sums[ends - sizes], lists
 
 
@@ -117,9 +120,15 @@ def buckets(hashes: np.ndarray, rest: int) -> np.ndarray:
     return (hashes % np.uint64(rest)).astype(np.int64)
 
 
-def exps(x: np.ndarray) -> np.ndarray:
-    """exp of rows, in place; gives their sums. Hidden units are in (-1, 1), so no row needs its maximum taken off."""
-    np.minimum(x, 60, out=x)
+def tame(net: dict[str, np.ndarray]) -> bool:
+    """Whether no input of a softmax can be over 60: hidden units are in (-1, 1)."""
+    return max((np.abs(net[k]).sum(-2) + np.abs(net[f"{k}0"])).max() for k in ("group", "word")) < 60
+
+
+def exps(x: np.ndarray, small: bool) -> np.ndarray:
+    """exp of rows, in place, cut at 60 unless they are known to be small; gives their sums."""
+    if not small:
+        np.minimum(x, 60, out=x)
     np.exp(x, out=x)
     return x @ np.ones(x.shape[1], x.dtype)
 
@@ -155,7 +164,8 @@ def step(net: dict[str, np.ndarray], shape: Shape, context: np.ndarray, target:
     h /= bent
     p = np.matmul(h, net["group"], out=room.of("p", n, shape.classes))
     p += net["group0"]
-    sums = exps(p)
+    small = tame(net)
+    sums = exps(p, small)
     chance = p[at, kind] / sums
     slope: dict[str, np.ndarray] = {}
     back = room.of("back", n, shape.hidden)
@@ -170,7 +180,7 @@ def step(net: dict[str, np.ndarray], shape: Shape, context: np.ndarray, target:
         if k:
             q = np.matmul(h[own], net["word"][c], out=room.of("q", k, shape.size))
             q += net["word0"][c]
-            sums = exps(q)
+            sums = exps(q, small)
             chance[own] *= q[at[:k], word[own]] / sums
             if learn:
                 q *= (1 / (n * sums))[:, None]
@@ -193,10 +203,11 @@ def step(net: dict[str, np.ndarray], shape: Shape, context: np.ndarray, target:
     return score, slope
 
 
-def batches_of(ids: np.ndarray, places: np.ndarray, shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def batches_of(ids: np.ndarray, places: np.ndarray, shape: Shape, times: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sides = np.array([k for k in range(-shape.window, shape.window + 1) if k])
-    for i in range(0, len(places), shape.batch):
-        at = places[i : i + shape.batch]
+    size = shape.batch * times
+    for i in range(0, len(places), size):
+        at = places[i : i + size]
         yield ids[at[:, None] + sides], ids[at]
 
 
@@ -255,7 +266,7 @@ def train(docs: DataFrame, coder: Coder, shape: Shape, weights: np.ndarray) -> n
             flat = flat.copy()
             net, seen, total, room = shape.split(flat), shape.split(np.full_like(flat, 1e-6)), 0, Room()
             for batch in batches:
-                ids, places, *_ = coder.rows(batch.column(0))
+                ids, places = coder.rows(batch.column(0), False)
                 for context, target in batches_of(ids, places, shape):
                     _, slope = step(net, shape, context, target, True, room)
                     for name, s in slope.items():
@@ -305,7 +316,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         net, room = shape.split(flat), Room()
         for batch in batches:
             ids, places, sizes, inside, far = coder.rows(batch.column(1))
-            scores = [step(net, shape, context, target, False, room)[0] for context, target in batches_of(ids, places, shape)]
+            scores = [step(net, shape, context, target, False, room)[0] for context, target in batches_of(ids, places, shape, 2)]
             sums = np.concatenate([[0.0], np.cumsum(np.concatenate(scores or [np.zeros(0)]), dtype=np.float64)])
             ends = np.cumsum(sizes)
             columns = [batch.column(0), pa.array(sizes), pa.array(sums[ends] - sums[ends - sizes] + inside), far]
