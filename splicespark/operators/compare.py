@@ -238,3 +238,33 @@ def looked_up(quant: DataFrame, name: str | Column) -> DataFrame:
     """Rows of a gene or LSV by id, whatever the case."""
     wanted = F.lower(F.lit(name) if isinstance(name, str) else name)
     return quant.filter((F.lower("gene_id") == wanted) | (F.lower("lsv_id") == wanted))
+
+
+def nonchanging_connections(quant: DataFrame, most: float = 0.05) -> DataFrame:
+    """lsv_id, junc_idx, comparisons: connections within `most` in every comparison, of LSVs that all comparisons have."""
+    every = quant.agg(F.count_distinct("comparison").alias("every"))
+    one = quant.groupBy("lsv_id", "junc_idx").agg(F.max(F.abs("dpsi")).alias("m"), F.count_distinct("comparison").alias("comparisons"))
+    return one.crossJoin(F.broadcast(every)).filter((F.col("m") <= most) & (F.col("comparisons") == F.col("every"))).select("lsv_id", "junc_idx", "comparisons")
+
+
+def without_genes(quant: DataFrame, genes: DataFrame) -> DataFrame:
+    """Rows of all genes but the given ones (gene_id)."""
+    return quant.join(genes.select("gene_id").distinct(), "gene_id", "left_anti")
+
+
+def of_types(quant: DataFrame, intron: bool | None = None, connections: int | None = None) -> DataFrame:
+    """Rows of LSVs with or without an intron, and of so many connections in their type."""
+    t = F.col("lsv_type")
+    if intron is not None:
+        quant = quant.filter(F.endswith(t, F.lit("|i")) == intron)
+    return quant if connections is None else quant.filter(F.size(F.split(t, r"\|")) - 1 == connections)
+
+
+def dpsi_rows(quant: DataFrame) -> DataFrame:
+    """A row for each LSV of a comparison: its connections' values as texts with semicolons, in order; NA where a value is
+    missing, and probabilities as d.ddde-dd."""
+    c = F.sort_array(F.collect_list(F.struct("junc_idx", "dpsi", "prob", "psi1", "psi2", "start", "end")))
+    rows = quant.groupBy("comparison", "gene_id", "lsv_id", "lsv_type").agg(c.alias("c"))
+    text = lambda name, form: F.array_join(F.transform("c", lambda x: F.when(x[name].isNull(), "NA").otherwise(F.format_string(form, x[name]))), ";")
+    at = F.array_join(F.transform("c", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ";")
+    return rows.select(*LSV, "gene_id", "lsv_type", F.size("c").alias("num_junctions"), text("dpsi", "%.4f").alias("mean_dpsi"), text("prob", "%.3e").alias("probability_changing"), text("psi1", "%.4f").alias("mean_psi_1"), text("psi2", "%.4f").alias("mean_psi_2"), at.alias("junctions_coords"))

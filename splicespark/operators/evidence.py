@@ -187,3 +187,38 @@ def intron_flags(bins: DataFrame, least: float = 0.01, share: float = 0.5, sprea
     spread_out = F.transform(marked, lambda _, i: F.exists(F.slice(marked, F.greatest(F.lit(1), i + 1 - spread), F.least(i + 1, F.lit(spread + 1))), lambda y: y))
     of = lambda a: F.size(F.filter(a, lambda x: x)) / n
     return bins.withColumns({"covered": of(marked), "passed": of(marked) >= share, "reliable": of(spread_out) >= share})
+
+
+def junction_id(chrom: Column, strand: Column, start: Column, end: Column) -> Column:
+    """chrom:strand:start-end, a junction's id in count files."""
+    return F.concat(chrom, F.lit(":"), strand, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
+
+
+def parsed_junction_id(name: Column) -> Column:
+    """struct chrom, strand, start, end of an id; the chromosome's name may hold colons."""
+    part = lambda k: F.regexp_extract(name, r"^(.*):([-+.]):(\d+)-(\d+)$", k)
+    return F.struct(part(1).alias("chrom"), part(2).alias("strand"), part(3).try_cast("int").alias("start"), part(4).try_cast("int").alias("end"))
+
+
+def matched_counts(counts: DataFrame, junctions: DataFrame) -> DataFrame:
+    """gene_id, start, end, experiment, reads, npos: counts by chrom, strand, start, end and experiment given to the
+    splicegraph's junctions (gene_id, chrom, strand, start, end) of equal coordinates, where the counts' strand is the
+    gene's or `.`."""
+    own = junctions.select("gene_id", "chrom", F.col("strand").alias("g_strand"), "start", "end")
+    met = counts.join(own, ["chrom", "start", "end"]).filter((F.col("strand") == ".") | (F.col("strand") == F.col("g_strand")))
+    return met.groupBy("gene_id", "start", "end", "experiment").agg(F.sum("reads").alias("reads"), F.sum("npos").alias("npos"))
+
+
+def source_lsvs(junctions: DataFrame) -> DataFrame:
+    """gene_id, lsv_id, junc_idx, start, end: junctions of a gene that leave one place, where there are two or more."""
+    w = W.partitionBy("gene_id", "start")
+    ranked = junctions.select("gene_id", "start", "end").distinct().withColumns({"n": F.count(F.lit(1)).over(w), "junc_idx": F.row_number().over(w.orderBy("end")) - 1})
+    return ranked.filter("n > 1").select("gene_id", F.concat_ws(":", "gene_id", F.lit("s"), F.col("start").cast("string")).alias("lsv_id"), "junc_idx", "start", "end")
+
+
+def lsv_coverage(lsvs: DataFrame, counts: DataFrame, experiments: DataFrame) -> DataFrame:
+    """lsv_id, junc_idx, experiment, reads, npos for every experiment, 0 where an experiment lacks the junction. experiments:
+    the few experiments of a build."""
+    every = lsvs.crossJoin(F.broadcast(experiments.select("experiment").distinct()))
+    found = every.join(counts, ["gene_id", "start", "end", "experiment"], "left")
+    return found.select("lsv_id", "junc_idx", "experiment", F.coalesce("reads", F.lit(0).cast("long")).alias("reads"), F.coalesce("npos", F.lit(0).cast("long")).alias("npos"))

@@ -155,3 +155,22 @@ def group_heat_map(summary: DataFrame) -> DataFrame:
     one = summary.select(*KEY, F.col("grp").alias("g1"), F.col("median_psi").alias("m1"))
     two = summary.select(*KEY, F.col("grp").alias("g2"), F.col("median_psi").alias("m2"))
     return one.join(two, KEY).filter("g1 < g2").select(*KEY, "g1", "g2", (F.col("m2") - F.col("m1")).alias("dpsi"))
+
+
+def heterogen_index(summary: DataFrame) -> DataFrame:
+    """lsv_id, max_abs_dpsi (over connections and pairs of groups), max_iqr, min_quantified: what an index shows of an LSV."""
+    change = group_heat_map(summary).groupBy("lsv_id").agg(F.max(F.abs("dpsi")).alias("max_abs_dpsi"))
+    own = summary.groupBy("lsv_id").agg(F.max("iqr").alias("max_iqr"), F.min("n").alias("min_quantified"))
+    return own.join(change, "lsv_id", "left").select("lsv_id", "max_abs_dpsi", "max_iqr", "min_quantified")
+
+
+def heterogen_rows(summary: DataFrame, groups: list[str]) -> DataFrame:
+    """A row for each LSV: for each group its connections' medians, quartiles and numbers of samples as texts with
+    semicolons, in order; a group without the LSV has NA for each connection."""
+    wanted = summary.select("lsv_id", "junc_idx").distinct().select("*", F.explode(F.array(*map(F.lit, groups))).alias("grp"))
+    whole = wanted.join(summary, [*KEY, "grp"], "left")
+    text = lambda c: F.when(F.col(c).isNull(), "NA").otherwise(F.format_string("%.4f", F.round(c, 4))).alias(c)
+    each = whole.select("lsv_id", "grp", F.struct("junc_idx", text("median_psi"), text("q25"), text("q75"), F.coalesce("n", F.lit(0)).cast("string").alias("n")).alias("x"))
+    listed = each.groupBy("lsv_id").pivot("grp", groups).agg(F.sort_array(F.collect_list("x")))
+    names = {"median_psi": "median_psi", "q25": "percentile25_psi", "q75": "percentile75_psi", "n": "num_quantified"}
+    return listed.select("lsv_id", *(F.array_join(F.col(g).getField(c), ";").alias(f"{g.lower()}_{name}") for g in groups for c, name in names.items()))

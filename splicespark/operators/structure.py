@@ -154,3 +154,14 @@ def detected_exons(exons: DataFrame, junctions: DataFrame, reach: int = 400) ->
     parts = F.when(together, F.array(half(F.col("a"), F.col("d")))).otherwise(F.array_compact(F.array(F.when(F.col("a").isNotNull(), half(F.col("a"), none)), F.when(F.col("d").isNotNull(), half(none, F.col("d"))))))
     new = ends.select("gene_id", F.explode(parts).alias("p")).select("gene_id", "p.start", "p.end", none.alias("annotated_start"), none.alias("annotated_end"), F.lit(False).alias("annotated"))
     return old.unionByName(new)
+
+
+def without_simplified(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """Edges that aren't simplified. marks: gene_id, start, end, simplify."""
+    gone = marks.filter("simplify").select("gene_id", "start", "end").distinct()
+    return edges.join(gone, ["gene_id", "start", "end"], "left_anti")
+
+
+def gene_distance(junctions: DataFrame) -> DataFrame:
+    """Adds distance: how far a junction's ends lie outside the gene at most; 0 inside. junctions: also g_start, g_end."""
+    return junctions.withColumn("distance", F.greatest(F.lit(0), F.col("g_start") - F.col("start"), F.col("end") - F.col("g_end")))

@@ -140,25 +140,63 @@ def neighbour_genes(spark, sf_dir):
     return S.neighbour_genes(V.gene_intervals(spark, sf_dir))
 
 
-@query(
-    f"""WITH {V.JUNCTION_INTERVALS_SQL}, {V.GENE_INTERVALS_SQL}, j AS (SELECT DISTINCT chrom, strand, "start", "end" FROM junction_intervals),
-    pairs AS (SELECT j.*, g.gene_id, g."start" AS gs, g."end" AS ge FROM j JOIN gene_intervals g ON j.chrom = g.chrom AND (j.strand = '.' OR j.strand = g.strand)
+# After j (distinct chrom, strand, start, end): staged, the genes of each junction.
+STAGED_SQL = """pairs AS (SELECT j.*, g.gene_id, g."start" AS gs, g."end" AS ge FROM j JOIN gene_intervals g ON j.chrom = g.chrom AND (j.strand = '.' OR j.strand = g.strand)
       AND j."start" >= g."start" - 10000 AND j."end" <= g."end" + 10000 AND NOT (j."start" < g."start" AND j."end" > g."end")),
     x AS (SELECT gene_id, "start" AS es, "start" + 200 AS ee FROM gene_intervals UNION ALL SELECT gene_id, "end" - 200, "end" FROM gene_intervals WHERE "end" >= 200),
     sides AS (SELECT p.*, bool_or(p."start" > es AND p."start" <= ee + 400) AS l, bool_or(p."end" >= es - 400 AND p."end" < ee) AS r, bool_or(p."start" BETWEEN es AND ee OR p."end" BETWEEN es AND ee) AS touching FROM pairs p JOIN x USING (gene_id) GROUP BY ALL),
     staged AS (SELECT *, CASE WHEN "start" % 7 = 0 AND "start" >= gs AND "start" <= ge THEN 1 WHEN l AND r THEN 2 ELSE 3 END AS stage FROM sides
-      WHERE ("start" % 7 = 0 AND "start" >= gs AND "start" <= ge) OR ("start" >= gs AND "end" <= ge) OR touching)
-    SELECT chrom, strand, "start", "end", gene_id, stage FROM (SELECT *, min(stage) OVER (PARTITION BY chrom, strand, "start", "end") AS best FROM staged) WHERE stage = best"""
-)
-def junction_genes(spark, sf_dir):
+      WHERE ("start" % 7 = 0 AND "start" >= gs AND "start" <= ge) OR ("start" >= gs AND "end" <= ge) OR touching),
+    found AS (SELECT chrom, strand, "start", "end", gene_id, stage FROM (SELECT *, min(stage) OVER (PARTITION BY chrom, strand, "start", "end") AS best FROM staged) WHERE stage = best)"""
+
+
+def genes_of(spark: SparkSession, sf_dir: str, junctions: DataFrame) -> DataFrame:
+    """The genes of junctions: those of the parts, with an exon at each end; every seventh junction inside is annotated."""
     genes = V.gene_intervals(spark, sf_dir)
-    junctions = V.junction_intervals(spark, sf_dir)
     exons = genes.select("gene_id", F.col("start"), (F.col("start") + 200).alias("end")).unionByName(genes.select("gene_id", (F.col("end") - 200).alias("start"), "end"))
     every_seventh = junctions.filter("start % 7 = 0").select("chrom", "start", "end").distinct()
     inside = E.overlaps(every_seventh, genes, ["chrom"]).filter("start >= r_start and start <= r_end").select(F.col("r_gene_id").alias("gene_id"), "start", "end")
     return E.junction_genes(junctions, genes, exons, inside)
 
 
+@query(f"""WITH {V.JUNCTION_INTERVALS_SQL}, {V.GENE_INTERVALS_SQL}, j AS (SELECT DISTINCT chrom, strand, "start", "end" FROM junction_intervals), {STAGED_SQL} SELECT * FROM found""")
+def junction_genes(spark, sf_dir):
+    return genes_of(spark, sf_dir, V.junction_intervals(spark, sf_dir))
+
+
+@query(
+    f"""{CIGAR_SQL}, {V.GENE_INTERVALS_SQL}, h AS (SELECT experiment, chrom, CASE WHEN ((flag & 16) <> 0) = ((flag & 128) <> 0) THEN '+' ELSE '-' END AS strand, CAST(pos + g AS INT) AS "start", CAST(pos + g + n + 1 AS INT) AS "end", r + clip AS o FROM walked WHERE c = 'N' AND r >= 8 AND length - r >= 8),
+    k AS (SELECT experiment, chrom, strand, "start", "end", count(*) AS reads, count(DISTINCT o) AS npos FROM h GROUP BY ALL), j AS (SELECT DISTINCT chrom, strand, "start", "end" FROM k), {STAGED_SQL},
+    own AS (SELECT DISTINCT gene_id, "start", "end" FROM found), lsv AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY gene_id, "start") AS n, row_number() OVER (PARTITION BY gene_id, "start" ORDER BY "end") - 1 AS junc_idx FROM own) WHERE n > 1),
+    c AS (SELECT gene_id, f."start", f."end", experiment, sum(reads) AS reads, sum(npos) AS npos FROM found f JOIN k ON k.chrom = f.chrom AND k.strand = f.strand AND k."start" = f."start" AND k."end" = f."end" GROUP BY ALL)
+    SELECT lsv.gene_id || ':s:' || lsv."start" AS lsv_id, CAST(junc_idx AS INT) AS junc_idx, x.experiment, CAST(coalesce(reads, 0) AS BIGINT) AS reads, CAST(coalesce(npos, 0) AS BIGINT) AS npos
+    FROM lsv, (SELECT DISTINCT experiment FROM alignments) x LEFT JOIN c ON c.gene_id = lsv.gene_id AND c."start" = lsv."start" AND c."end" = lsv."end" AND c.experiment = x.experiment"""
+)
+def alignment_lsv_coverage(spark, sf_dir):
+    """From alignments to the coverage of LSVs: CIGAR walks, positional counts, genes of junctions, LSVs, all experiments."""
+    reads = V.alignments(spark, sf_dir)
+    keys = ["experiment", "chrom", "strand", "start", "end"]
+    counts = E.summary(E.positional_counts(E.junction_hits(reads, protocol="forward"), keys, "offset"), keys)
+    found = genes_of(spark, sf_dir, counts)
+    return E.lsv_coverage(E.source_lsvs(found), E.matched_counts(counts, found), reads.select("experiment"))
+
+
+@query(f"""WITH {V.JUNCTION_INTERVALS_SQL} SELECT DISTINCT chrom || ':' || strand || ':' || "start" || '-' || "end" AS sj_id, chrom, strand, "start", "end" FROM junction_intervals""")
+def junction_ids(spark, sf_dir):
+    ids = V.junction_intervals(spark, sf_dir).select(E.junction_id(*(F.col(c) for c in ("chrom", "strand", "start", "end"))).alias("sj_id")).distinct()
+    return ids.select("sj_id", E.parsed_junction_id(F.col("sj_id")).alias("x")).select("sj_id", "x.*")
+
+
+@query(
+    f"""WITH {V.JUNCTION_INTERVALS_SQL}, {V.GENE_INTERVALS_SQL}, j AS (SELECT DISTINCT chrom, strand, "start", "end" FROM junction_intervals), {STAGED_SQL}
+    SELECT f.gene_id, greatest(0, g."start" - f."start", f."end" - g."end") AS distance, count(*) AS junctions FROM found f JOIN gene_intervals g USING (gene_id) GROUP BY ALL"""
+)
+def junction_gene_distances(spark, sf_dir):
+    genes = V.gene_intervals(spark, sf_dir).select("gene_id", F.col("start").alias("g_start"), F.col("end").alias("g_end"))
+    found = genes_of(spark, sf_dir, V.junction_intervals(spark, sf_dir)).join(genes, "gene_id")
+    return S.gene_distance(found).groupBy("gene_id", "distance").agg(F.count(F.lit(1)).alias("junctions"))
+
+
 @query(
     f"""{CIGAR_SQL}, {V.GENE_INTERVALS_SQL}, spans AS (SELECT experiment, read_id, chrom, pos + 1 AS "start", pos + sum(CASE WHEN c IN ('M','D','N') THEN n ELSE 0 END) AS "end" FROM walked GROUP BY experiment, read_id, chrom, pos),
     js AS (SELECT read_id, pos + g AS js, pos + g + n + 1 AS je FROM walked WHERE c = 'N'),
@@ -276,3 +314,9 @@ def annotated_introns(spark, sf_dir):
     e = V.transcript_exons(spark, sf_dir)
     long = e.filter("start % 5 = 0").select("gene_id", F.concat("transcript_id", F.lit("l")).alias("transcript_id"), "start", (F.col("start") + 1300).alias("end"))
     return S.annotated_introns(e.unionByName(long))
+
+
+@query(f"""WITH {V.MODULE_EDGES_SQL} SELECT gene_id, src, dst, "start", "end", is_intron FROM module_edges WHERE ("start" + "end") % 30 <> 0""")
+def unsimplified_edges(spark, sf_dir):
+    edges = V.module_edges(spark, sf_dir)
+    return S.without_simplified(edges, edges.select("gene_id", "start", "end", ((F.col("start") + F.col("end")) % 30 == 0).alias("simplify")))

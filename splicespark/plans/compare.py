@@ -220,3 +220,28 @@ def exploded_lists(spark, sf_dir):
     rows = quant_of(spark, sf_dir).groupBy("comparison", "lsv_id").agg(F.sort_array(F.collect_list(F.struct("junc_idx", "dpsi", "prob"))).alias("c"))
     text = rows.select("comparison", "lsv_id", *(joined(F.col("c").getField(n), "%.4f").alias(n) for n in ("dpsi", "prob")))
     return C.exploded(text, ["dpsi", "prob"], ["dpsi", "prob"])
+
+
+@query(f"{QUANT_SQL} SELECT lsv_id, junc_idx, count(DISTINCT comparison) AS comparisons FROM q GROUP BY ALL HAVING max(abs(dpsi)) <= 0.25 AND count(DISTINCT comparison) = 3")
+def nonchanging_connections(spark, sf_dir):
+    return C.nonchanging_connections(quant_of(spark, sf_dir), 0.25)
+
+
+@query(f"{QUANT_SQL} SELECT comparison, lsv_id, junc_idx FROM q WHERE gene_id NOT IN (SELECT 'g' || p_partkey FROM part WHERE p_size = 7)")
+def without_genes(spark, sf_dir):
+    genes = V.table(spark, sf_dir, "part").filter("p_size = 7").select(F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("gene_id"))
+    return C.without_genes(quant_of(spark, sf_dir), genes).select("comparison", "lsv_id", "junc_idx")
+
+
+@query(f"{QUANT_SQL} SELECT comparison, lsv_id, junc_idx FROM q WHERE ends_with(lsv_type, '|i')")
+def intron_type_lsvs(spark, sf_dir):
+    return C.of_types(quant_of(spark, sf_dir), intron=True, connections=2).select("comparison", "lsv_id", "junc_idx")
+
+
+LISTED = lambda form, c: f"string_agg(printf('{form}', {c}), ';' ORDER BY junc_idx)"
+
+
+@query(f"""{QUANT_SQL} SELECT comparison, lsv_id, gene_id, lsv_type, CAST(count(*) AS INT) AS num_junctions, {LISTED('%.4f', 'dpsi')} AS mean_dpsi, {LISTED('%.3e', 'prob')} AS probability_changing, {LISTED('%.4f', 'psi1')} AS mean_psi_1, {LISTED('%.4f', 'psi2')} AS mean_psi_2,
+  string_agg("start" || '-' || "end", ';' ORDER BY junc_idx) AS junctions_coords FROM q GROUP BY ALL""")
+def dpsi_rows(spark, sf_dir):
+    return C.dpsi_rows(quant_of(spark, sf_dir))

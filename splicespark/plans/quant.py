@@ -259,3 +259,18 @@ def delta_psi(spark, sf_dir):
 def heterogen_tests(spark, sf_dir):
     samples = Q.psi_samples(experiment_coverage(spark, sf_dir), samples=20)
     return S.tests_of_samples(samples.withColumn("grp", F.when(F.col("experiment") < 4, "A").otherwise("B")), ["ALL"])
+
+
+@query(f"{SUMMARY_SQL}, d AS (SELECT a.lsv_id, max(abs(b.median_psi - a.median_psi)) AS m FROM gs a JOIN gs b ON a.lsv_id = b.lsv_id AND a.junc_idx = b.junc_idx AND a.grp < b.grp GROUP BY ALL) SELECT lsv_id, round(any_value(m), 6) AS max_abs_dpsi, round(max(q75 - q25), 6) AS max_iqr, min(n) AS min_quantified FROM gs LEFT JOIN d USING (lsv_id) GROUP BY lsv_id")
+def heterogen_index(spark, sf_dir):
+    return rounded(S.heterogen_index(S.group_summary(sample_psi(spark, sf_dir))), "max_abs_dpsi", "max_iqr")
+
+
+def heterogen_list(g: str, c: str, name: str) -> str:
+    value = f"CAST(coalesce({g}.{c}, 0) AS VARCHAR)" if c == "n" else f"coalesce(printf('%.4f', round(round({g}.{c}, 6), 4)), 'NA')"
+    return f"string_agg({value}, ';' ORDER BY k.junc_idx) AS {g}_{name}"
+
+
+@query(f"{SUMMARY_SQL}, k AS (SELECT DISTINCT lsv_id, junc_idx FROM gs) SELECT k.lsv_id, " + ", ".join(heterogen_list(g, c, n) for g in "ab" for c, n in (("median_psi", "median_psi"), ("q25", "percentile25_psi"), ("q75", "percentile75_psi"), ("n", "num_quantified"))) + " FROM k " + " ".join(f"LEFT JOIN gs {g} ON {g}.lsv_id = k.lsv_id AND {g}.junc_idx = k.junc_idx AND {g}.grp = '{g.upper()}'" for g in "ab") + " GROUP BY k.lsv_id")
+def heterogen_rows(spark, sf_dir):
+    return S.heterogen_rows(rounded(S.group_summary(sample_psi(spark, sf_dir)), "median_psi", "q25", "q75"), ["A", "B"])
