@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import modules as M
+from .tables import kept
 
 KEY = M.KEY
 TYPES = ("cassette", "tandem_cassette", "mutually_exclusive", "alt5", "alt3", "alt3and5", "alternative_intron", "first", "last", "multi_exon_spanning", "p_alt5", "p_alt3", "constitutive")
@@ -102,19 +103,66 @@ def constitutive(edges: DataFrame) -> DataFrame:
     return M.constitutive(edges).select(*KEY, F.concat_ws("_", "src", "dst", "start", "end").alias("event"), F.lit(None).cast("int").alias("event_size"), rows.alias("rows"))
 
 
+def connections(edges: DataFrame, kind: str) -> DataFrame:
+    """gene_id, module_idx, event, event_size, junction_name, side, exon, start, end of all events of a type."""
+    find = {"alt5": alternative_sites, "alt3": alternative_sites, "alt3and5": alternative_sites, "first": alternative_ends, "last": alternative_ends, "p_alt5": putative_sites, "p_alt3": putative_sites}.get(kind)
+    found = find(edges, kind) if find else globals()[kind](edges)
+    return found.select(*KEY, "event", "event_size", F.explode("rows").alias("r")).select(*KEY, "event", "event_size", "r.*")
+
+
+def lsv_sides(edges: DataFrame) -> DataFrame:
+    """gene_id, module_idx, exon, side, lsv_id: exons that two or more connections leave (s) or enter (t)."""
+    many = lambda c, s: edges.groupBy("gene_id", F.col(c).alias("exon")).agg(F.count(F.lit(1)).alias("n"), F.min("module_idx").alias("module_idx")).filter("n > 1").select(*KEY, "exon", F.lit(s).alias("side"), F.concat_ws(":", "gene_id", F.lit(s), F.col("exon").cast("string")).alias("lsv_id"))
+    return many("src", "s").unionByName(many("dst", "t"))
+
+
 def event_rows(edges: DataFrame, kind: str) -> DataFrame:
     """event_id, junction_name, side, start, end, along, event_size, de_novo, lsv_id of all events of a type.
 
     along: the range in the direction of the strand; lsv_id: the LSV of the reference exon, null where fewer than two
     connections are on that side; de_novo: of the connection (edges' column, false without it).
     """
-    find = {"alt5": alternative_sites, "alt3": alternative_sites, "alt3and5": alternative_sites, "first": alternative_ends, "last": alternative_ends, "p_alt5": putative_sites, "p_alt3": putative_sites}.get(kind)
-    found = find(edges, kind) if find else globals()[kind](edges)
-    each = found.select(*KEY, F.concat_ws("_", "gene_id", F.col("module_idx").cast("string"), F.lit(kind), "event").alias("event_id"), "event_size", F.explode("rows").alias("r")).select("gene_id", "event_id", "event_size", "r.*")
-    many = lambda c, s: edges.groupBy("gene_id", F.col(c).alias("exon")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gene_id", "exon", F.lit(s).alias("side"), F.concat_ws(":", "gene_id", F.lit(s), F.col("exon").cast("string")).alias("lsv_id"))
-    lsvs = many("src", "s").unionByName(many("dst", "t"))
+    each = connections(edges, kind).withColumn("event_id", F.concat_ws("_", "gene_id", F.col("module_idx").cast("string"), F.lit(kind), "event")).drop("module_idx", "event")
+    lsvs = lsv_sides(edges).drop("module_idx")
     novel = (F.col("de_novo") if "de_novo" in edges.columns else F.lit(False)).alias("de_novo")
     marks = edges.select("gene_id", "strand", "start", "end", novel).groupBy("gene_id", "start", "end").agg(F.first("strand").alias("strand"), F.bool_and("de_novo").alias("de_novo"))
     whole = each.join(marks, ["gene_id", "start", "end"]).join(lsvs, ["gene_id", "exon", "side"], "left")
     along = F.when(F.col("strand") == "-", F.concat_ws("-", "end", "start")).otherwise(F.concat_ws("-", "start", "end"))
     return whole.select("event_id", "junction_name", "side", "start", "end", along.alias("along"), "event_size", "de_novo", "lsv_id")
+
+
+def classified(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """used (gene_id, module_idx, event_type, event, side, exon, start, end): every connection of every event; others
+    (gene_id, module_idx, lsvs, junctions): for the modules with LSVs that no event is quantified at, these LSVs and the
+    connections in no event, as texts with semicolons in order. Both are read often, so they are written once."""
+    edges = kept(edges)
+    named = lambda k: connections(edges, k).select(*KEY, F.lit(k).alias("event_type"), "event", "side", "exon", "start", "end")
+    used = named(TYPES[0])
+    for k in TYPES[1:]:
+        used = used.unionByName(named(k))
+    used = kept(used)
+    listed = lambda df, c, name: df.groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_set(c)), ";").alias(name))
+    lsvs = lsv_sides(edges).join(used.select("gene_id", "side", "exon").distinct(), ["gene_id", "side", "exon"], "left_anti")
+    free = edges.select(*KEY, "start", "end").join(used.select("gene_id", "start", "end").distinct(), ["gene_id", "start", "end"], "left_anti")
+    others = listed(lsvs, "lsv_id", "lsvs").join(listed(free, F.concat_ws("-", "start", "end"), "junctions"), KEY, "left")
+    return used, others.na.fill("", ["junctions"])
+
+
+def other_events(edges: DataFrame) -> DataFrame:
+    return classified(edges)[1]
+
+
+def module_complexity(edges: DataFrame) -> DataFrame:
+    """gene_id, module_idx, total (events that aren't constitutive, and the other event), is_complex.
+
+    Over one event is complex, but for a tandem cassette with the multi-exon spanning of the same module and for an
+    alternative intron with one kind of putative sites; so are LSVs and connections that no event explains.
+    """
+    used, others = classified(edges)
+    events = used.filter("event_type <> 'constitutive'").select(*KEY, "event_type", "event").distinct()
+    one = lambda t: F.count(F.when(F.col("event_type") == t, 1)) == 1
+    pair = (one("multi_exon_spanning") & one("tandem_cassette")) | (one("alternative_intron") & (one("p_alt3") | one("p_alt5")))
+    counts = events.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), pair.alias("pair"))
+    whole = edges.select(*KEY).distinct().join(counts, KEY, "left").na.fill(0, ["n"]).na.fill(False, ["pair"]).join(others, KEY, "left")
+    many = (F.col("n") > 1) & ~((F.col("n") == 2) & F.col("pair"))
+    return whole.select(*KEY, (F.col("n") + F.col("lsvs").isNotNull().cast("int")).alias("total"), (many | F.coalesce(F.col("junctions") != "", F.lit(False))).alias("is_complex"))

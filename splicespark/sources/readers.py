@@ -49,6 +49,28 @@ def annotation(gff: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked, exons.join(known, "transcript_id").select("gene_id", "transcript_id", "start", "end")
 
 
+def parsed_gtf(lines: DataFrame) -> DataFrame:
+    """GTF lines (column value) of long reads: type, gene_id, transcript_id, chrom, strand, start, end. Comments and lines
+    without nine columns are left out; an attribute that is missing is null."""
+    kept = lines.filter(~F.startswith("value", F.lit("#"))).select(F.split("value", "\t").alias("c")).filter(F.size("c") == 9)
+    at = lambda k: F.get("c", F.lit(k))
+    attribute = lambda k: F.nullif(F.regexp_extract(at(8), f'(?:^|[; ]){k} +"([^"]*)"', 1), F.lit(""))
+    return kept.select(at(2).alias("type"), attribute("gene_id").alias("gene_id"), attribute("transcript_id").alias("transcript_id"), at(0).alias("chrom"), at(6).alias("strand"), at(3).try_cast("int").alias("start"), at(4).try_cast("int").alias("end"))
+
+
+def parsed_counts(lines: DataFrame) -> DataFrame:
+    """transcript_id, count (rounded up) from tab-separated lines whose first two columns these are, whatever their names;
+    a line whose second column is no number is the header."""
+    c = lines.select(F.split("value", "\t").alias("c")).select(F.get("c", F.lit(0)).alias("transcript_id"), F.ceil(F.get("c", F.lit(1)).try_cast("double")).alias("count"))
+    return c.filter("count is not null")
+
+
+def read_long_reads(spark: SparkSession, gtf: str, counts: str) -> tuple[DataFrame, DataFrame]:
+    """exons (gene_id, transcript_id, start, end) and counts (transcript_id, count) of a long-read run."""
+    exons = parsed_gtf(spark.read.text(gtf)).filter("type = 'exon' and gene_id is not null and transcript_id is not null")
+    return exons.select("gene_id", "transcript_id", "start", "end"), parsed_counts(spark.read.text(counts))
+
+
 def parsed_sam(lines: DataFrame, experiment: str) -> DataFrame:
     """SAM lines (column value) as alignments; header lines are left out."""
     at = lambda k: F.get("c", F.lit(k))
