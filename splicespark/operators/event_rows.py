@@ -131,14 +131,16 @@ def event_rows(edges: DataFrame, kind: str) -> DataFrame:
     return whole.select("event_id", "junction_name", "side", "start", "end", along.alias("along"), "event_size", "de_novo", "lsv_id")
 
 
-def classified(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def classified(edges: DataFrame, keep_constitutive: bool = False) -> tuple[DataFrame, DataFrame]:
     """used (gene_id, module_idx, event_type, event, side, exon, start, end): every connection of every event; others
     (gene_id, module_idx, lsvs, junctions): for the modules with LSVs that no event is quantified at, these LSVs and the
-    connections in no event, as texts with semicolons in order. Both are read often, so they are written once."""
+    connections in no event, as texts with semicolons in order. Constitutive connections are events if they are kept. Both
+    tables are read often, so they are written once."""
     edges = kept(edges)
     named = lambda k: connections(edges, k).select(*KEY, F.lit(k).alias("event_type"), "event", "side", "exon", "start", "end")
-    used = named(TYPES[0])
-    for k in TYPES[1:]:
+    kinds = [k for k in TYPES if keep_constitutive or k != "constitutive"]
+    used = named(kinds[0])
+    for k in kinds[1:]:
         used = used.unionByName(named(k))
     used = kept(used)
     listed = lambda df, c, name: df.groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_set(c)), ";").alias(name))
@@ -148,17 +150,18 @@ def classified(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return used, others.na.fill("", ["junctions"])
 
 
-def other_events(edges: DataFrame) -> DataFrame:
-    return classified(edges)[1]
+def other_events(edges: DataFrame, keep_constitutive: bool = False) -> DataFrame:
+    """gene_id, module_idx, lsvs, junctions of the modules that events don't explain."""
+    return classified(edges, keep_constitutive)[1]
 
 
-def module_complexity(edges: DataFrame) -> DataFrame:
+def module_complexity(edges: DataFrame, keep_constitutive: bool = False) -> DataFrame:
     """gene_id, module_idx, total (events that aren't constitutive, and the other event), is_complex.
 
     Over one event is complex, but for a tandem cassette with the multi-exon spanning of the same module and for an
     alternative intron with one kind of putative sites; so are LSVs and connections that no event explains.
     """
-    used, others = classified(edges)
+    used, others = classified(edges, keep_constitutive)
     events = used.filter("event_type <> 'constitutive'").select(*KEY, "event_type", "event").distinct()
     one = lambda t: F.count(F.when(F.col("event_type") == t, 1)) == 1
     pair = (one("multi_exon_spanning") & one("tandem_cassette")) | (one("alternative_intron") & (one("p_alt3") | one("p_alt5")))
