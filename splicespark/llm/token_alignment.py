@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,7 +18,8 @@ from .common import written
 
 FIRST = "/opt/tokenizers/byte_bpe_50k.json"
 SECOND = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 4 << 20  # bytes of text that are aligned at a time; a longer text is a chunk of its own
+CHUNK = 2 << 20  # bytes of text that are aligned at a time; a longer text is a chunk of its own
+RUN, SHORT = 8192, 32  # words that the first and the second tokenizer encode together
 SPACE = "▁"  # stands for a space in the second vocabulary
 
 
@@ -31,18 +32,28 @@ def byte_table() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Both tokenizers; `bytes` and `sizes` of their entries; `names`: texts of entries with what follows them in a digest."""
+    """Both tokenizers; `bytes` and `sizes` of their entries; `names`: texts of entries with what follows them in a digest.
+
+    The first vocabulary's merges are in the order of its ids, so its entries' ids are the ranks that an encoder of ranks
+    takes; special tokens aren't among them, so that their strings are ordinary text.
+    """
 
     def __init__(self, first: str, second: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import public_tokenizers
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        self.a, self.b = Tokenizer.from_file(first), SentencePieceProcessor(model_file=second)
-        self.a.encode_special_tokens = True  # their strings in a text are then ordinary text
-        table, n_a, self.n_b = byte_table(), self.a.get_vocab_size(), self.b.get_piece_size()
+        from tiktoken import Encoding
+
+        with open(first, encoding="utf-8") as file:
+            model = json.load(file)
+        special, table = {t["content"] for t in model["added_tokens"] if t["special"]}, byte_table()
+        ranks = {bytes(table[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        self.a = Encoding("first", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = SentencePieceProcessor(model_file=second)
+        n_a, self.n_b = max(ranks.values()) + 1, self.b.get_piece_size()
+        found_a = [b""] * n_a
+        for token, i in ranks.items():
+            found_a[i] = token
         pieces = self.b.id_to_piece(list(range(self.n_b)))
-        found_a = [bytes(table[c] for c in self.a.id_to_token(i)) for i in range(n_a)]
         found_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.bytes = tuple(pa.array(x, pa.large_binary()) for x in (found_a, found_b))
         self.sizes = tuple(np.array([len(x) for x in found], np.int64) for found in (found_a, found_b))
@@ -50,16 +61,46 @@ class Vocabulary:
         self.after_a = 2 * n_a
         self.blank = self.b.piece_to_id(SPACE)
 
-    def encoded(self, words: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        """The ids of each word, which begins with a space, in both vocabularies."""
-        out: tuple[list, list] = ([], [])
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            one = [x.ids for x in self.a.encode_batch_fast(some, add_special_tokens=False)]
-            two = [x or [self.blank] for x in self.b.encode([w[1:] for w in some], num_threads=1)]  # it adds the space
-            for side, ids in zip(out, (one, two)):
-                side.append(pa.array(ids, pa.large_list(pa.int32())))
-        return tuple(pa.concat_arrays(x) if x else pa.array([], pa.large_list(pa.int32())) for x in out)
+    def first(self, text: str) -> np.ndarray:
+        return self.a.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
+
+    def second(self, texts: list[str]) -> list[np.ndarray]:
+        """Of texts that begin with a space, which the tokenizer adds."""
+        return [np.array(x or [self.blank], np.int32) for x in self.b.encode([t[1:] for t in texts], num_threads=1)]
+
+    def encoded(self, words: pa.LargeStringArray) -> tuple[np.ndarray, list[pa.LargeListArray]]:
+        """The ids of each word, which begins with a space, in both vocabularies, and the place of each word in these.
+
+        Words after which another can stand without changing any token are encoded together, a run at a time, and cut
+        where their bytes end; the others, and those with the second vocabulary's sign for a space, one by one.
+        """
+        bounds, data = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1], np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        alone = ~solid(data, bounds[1:]) | pc.match_substring(words, SPACE).to_numpy(zero_copy_only=False)
+        order = np.concatenate((np.flatnonzero(~alone), np.flatnonzero(alone)))
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        plain, rest = words.filter(pa.array(~alone)), words.filter(pa.array(alone)).to_pylist()
+        at, text = np.frombuffer(plain.buffers()[1], np.int64)[: len(plain) + 1], memoryview(plain.buffers()[2] or b"")
+        ids, counts = ([], []), ([], [])
+        for begin in range(0, len(plain), RUN):
+            cuts = at[begin : begin + RUN + 1]
+            steps = [*cuts[:-1:SHORT].tolist(), int(cuts[-1])]
+            runs = [str(text[x:y], "utf-8") for x, y in zip(steps[:-1], steps[1:])]
+            ends = cuts[1:] - cuts[0]
+            for k, found in enumerate((self.first("".join(runs)), np.concatenate(self.second(runs)))):
+                upto = np.cumsum(self.sizes[k][found])
+                last = np.searchsorted(upto, ends)
+                if upto[-1] != ends[-1] or (upto[last] != ends).any():
+                    own = plain.slice(begin, RUN).to_pylist()
+                    each = [self.first(w) for w in own] if k == 0 else self.second(own)
+                    found, last = np.concatenate(each), np.cumsum([len(e) for e in each]) - 1
+                ids[k].append(found)
+                counts[k].append(np.diff(last, prepend=-1))
+        for k, each in enumerate(([self.first(w) for w in rest], self.second(rest))):
+            ids[k].extend(each)
+            counts[k].append(np.array([len(e) for e in each], np.int64))
+        whole = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        return place, [pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(whole(n, np.int64))))), pa.array(whole(i, np.int32))) for i, n in zip(ids, counts)]
 
 
 @lru_cache(maxsize=1)
@@ -67,20 +108,22 @@ def vocabulary(first: str, second: str) -> Vocabulary:
     return Vocabulary(first, second)
 
 
+def solid(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each place surely isn't white space: ASCII, or one of U+00C0 to U+07FF."""
+    before, lead = data[at - 1], data[np.maximum(at - 2, 0)]
+    return ((before > 0x20) & (before < 0x7F)) | ((before >= 0x80) & (before < 0xC0) & (lead >= 0xC3) & (lead < 0xE0))
+
+
 def word_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Where texts can be cut without changing their tokens: before a space after anything that surely isn't white space.
     data: the UTF-8 bytes of texts that each begin with a space, at `starts`. Tokens of the first vocabulary don't cross
     from other characters into white space, pieces of the second have spaces at their beginning only."""
-    before, lead = data[:-1], np.concatenate(([0], data[:-2])) if len(data) > 1 else data[:0]
-    solid = ((before > 0x20) & (before < 0x7F)) | ((before >= 0x80) & (before < 0xC0) & (lead >= 0xC3) & (lead < 0xE0))
-    cuts = np.flatnonzero(solid & (data[1:] == 0x20)) + 1
-    return np.union1d(cuts, starts)
-
-
-def taken(words: pa.Array, index: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The flat ids of the words at index, and how many each has."""
-    lists = words.take(index)
-    return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    cut = np.zeros(len(data) + 1, bool)
+    cut[starts] = True
+    at = np.flatnonzero(data == 0x20)
+    at = at[at > 0]
+    cut[at[solid(data, at)]] = True
+    return np.flatnonzero(cut[:-1])
 
 
 def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -94,7 +137,8 @@ def align(texts: pa.Array, words: Vocabulary) -> dict:
     """For each text n_a, n_b, n_links and digest, and for all texts in order the `pairs` (a id * size of B + b id) linked.
 
     Lists of ids are flattened with their parent texts; running sums of token sizes, less the sum at the text's beginning,
-    are the ends; tokens of both sides that end together come from a hash join on (text, end). Each end cuts a group.
+    are the ends; tokens of both sides that end together come from a hash join on text and end, which are one number.
+    Each such end cuts a group.
     """
     spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.fill_null(texts.cast(pa.large_string()), ""), pa.scalar("", pa.large_string()))
     bounds = np.frombuffer(spaced.buffers()[1], np.int64)[: len(texts) + 1]
@@ -104,9 +148,12 @@ def align(texts: pa.Array, words: Vocabulary) -> dict:
     parent = np.searchsorted(bounds, starts, "right") - 1
     sides, n = [], len(texts)
     fits = np.diff(bounds) > 1
-    for known, entries, sizes in zip(words.encoded(parts.dictionary.to_pylist()), words.bytes, words.sizes):
-        ids, each = taken(known, parts.indices)
-        doc = np.repeat(parent, each)
+    place, lists = words.encoded(parts.dictionary)
+    index = pa.array(place[parts.indices.to_numpy()])
+    for known, entries, sizes in zip(lists, words.bytes, words.sizes):
+        own = known.take(index)
+        ids = own.flatten().to_numpy()
+        doc = np.repeat(parent, np.diff(own.offsets.to_numpy()))
         count = np.bincount(doc, minlength=n)
         found = entries.take(pa.array(ids))
         joined = np.frombuffer(found.buffers()[2] or b"", np.uint8)
@@ -122,15 +169,15 @@ def align(texts: pa.Array, words: Vocabulary) -> dict:
         ends = np.cumsum(sizes[ids])
         count = np.bincount(doc, minlength=n)
         base = np.concatenate(([0], ends))[np.cumsum(count) - count]
-        tables.append(pa.table({"doc": doc, "end": ends - base[doc], "at": np.arange(len(ids))}))
+        tables.append(pa.table({"document_end": doc << 40 | ends - base[doc], "at": np.arange(len(ids))}))
         kept.append((ids, count))
-    met = tables[0].join(tables[1], ["doc", "end"], join_type="inner", right_suffix="_b", use_threads=False)
+    met = tables[0].join(tables[1], "document_end", join_type="inner", right_suffix="_b", use_threads=False)
     (a, n_a), (b, n_b) = kept
     partner = np.full(len(a), -1)
     partner[met["at"].to_numpy()] = met["at_b"].to_numpy()
     last_a = np.flatnonzero(partner >= 0)
     last_b = partner[last_a]
-    links = np.bincount(tables[0]["doc"].to_numpy()[last_a], minlength=n)
+    links = np.bincount(tables[0]["document_end"].to_numpy()[last_a] >> 40, minlength=n)
     return {"n_a": n_a, "n_b": n_b, "n_links": links, "digest": digests(a, b, last_a, last_b, n_a, n_b, words), "pairs": a[last_a].astype(np.int64) * words.n_b + b[last_b]}
 
 
@@ -207,7 +254,7 @@ def totals(partial: DataFrame, size: int) -> DataFrame:
 def align_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str = FIRST, second: str = SECOND) -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum (all long), groups_sha256 of every document.
 
-    A text is encoded, with a space before it, by a byte-level BPE (first) and a BPE with byte fallback (second, which adds
+    A text is encoded, with a space before it, by a byte-level BPE (first, a file of the tokenizers library) and a BPE with byte fallback (second, which adds
     the space itself); strings of special tokens are plain text. Offsets where tokens of both end cut them into groups;
     every such pair of tokens is a link. A pair of ids counts its links over all documents; count_sum adds these counts up
     over a document's links and n_best counts the links whose count is the highest of their second token's, ties included.

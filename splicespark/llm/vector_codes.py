@@ -246,8 +246,8 @@ def compress(table: DataFrame, key: str = "vec_id", value: str = "embedding", la
 
     A row whose vector is null or holds a null or non-finite component is dropped. Components are floor(scale * x), within
     +-2^28. A codebook starts as its part of the vectors of the `entries` smallest keys (nulls last, ties by vector); of
-    fewer vectors it has as many entries. Vectors must have one length: those that haven't the length of the first of
-    these are dropped too. A length that isn't a multiple of `parts` is cut at p * length // parts. Equal keys are rows of
+    fewer vectors it has as many entries. Vectors must have one length: those that haven't the most common one (of equally
+    common ones the largest) are dropped too. A length that isn't a multiple of `parts` is cut at p * length // parts. Equal keys are rows of
     their own, a null label is a label like any other, and other columns are ignored. An empty table gives no rows.
 
     A round is one pass of batches: bounds are moved by how far the entries moved, what they can't decide is decided by
@@ -257,10 +257,10 @@ def compress(table: DataFrame, key: str = "vec_id", value: str = "embedding", la
     """
     spark = table.sparkSession
     whole = written(integers(table, key, value, label, shape.scale))
-    first = [r["v"] for r in whole.orderBy(F.col("key").asc_nulls_last(), "v").select("v").limit(shape.entries).collect()]
-    dimension = len(first[0]) if first else 0
+    common = whole.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
+    dimension = common["n"] if common else 0
     of = whole.filter(F.size("v") == dimension)
-    first = [v for v in first if len(v) == dimension]
+    first = [r["v"] for r in of.orderBy(F.col("key").asc_nulls_last(), "v").select("v").limit(shape.entries).collect()]
     cuts = shape.cuts(dimension)
     book: Book = [np.array([v[cuts[p] : cuts[p + 1]] for v in first], np.int64).reshape(len(first), cuts[p + 1] - cuts[p]) for p in range(shape.parts)]
     if not first:
