@@ -18,7 +18,7 @@ from .common import written
 
 FIRST = "/opt/tokenizers/byte_bpe_50k.json"
 SECOND = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 2 << 20  # bytes of text that are aligned at a time; a longer text is a chunk of its own
+CHUNK = 1 << 20  # bytes of text that are aligned at a time; a longer text is a chunk of its own
 RUN, SHORT = 8192, 32  # words that the first and the second tokenizer encode together
 SPACE = "▁"  # stands for a space in the second vocabulary
 
@@ -233,6 +233,7 @@ def aligned_chunks(docs: DataFrame, key: str, text: str, first: str, second: str
                 columns = [pa.array([task << 32 | number], pa.int64()), one_list(some.column(0)), *(one_list(got[c].astype(np.int64)) for c in ("n_a", "n_b", "n_links")), one_list(pa.array(got["digest"], pa.string())), one_list(codes), one_list(distinct), one_list(counts)]
                 yield pa.RecordBatch.from_arrays(columns, ["chunk", "keys", "n_a", "n_b", "n_links", "digests", "codes", "pairs", "counts"])
                 number += 1
+            pa.default_memory_pool().release_unused()  # a worker that waits holds the vocabularies only
 
     return written(docs.select(key, text).mapInArrow(run, f"chunk long, keys array<{kind}>, n_a array<long>, n_b array<long>, n_links array<long>, digests array<string>, codes array<int>, pairs array<long>, counts array<long>"))
 
@@ -280,6 +281,7 @@ def align_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fi
                 else:
                     sums = [np.zeros(len(sizes), np.int64)] * 2
                 yield pa.RecordBatch.from_arrays([keys, n_a, n_b, links, links, *map(pa.array, sums), digest], [key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+            pa.default_memory_pool().release_unused()
 
     return whole.mapInArrow(run, f"{key} {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
