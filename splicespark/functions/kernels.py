@@ -25,16 +25,10 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return np.where(small, mirrored, found)
 
 
-def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function, by its continued fraction on the side where that converges fast.
-
-    The fraction needs about as many passes as the root of the larger parameter; it runs until all values stand."""
-    x, a, b = np.broadcast_arrays(np.asarray(x, float), np.asarray(a, float), np.asarray(b, float))
-    turned = x > (a + 1) / (a + b + 2)
-    p, q, y = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+def beta_fraction(p: np.ndarray, q: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """The continued fraction of the incomplete beta function, on flat arrays; values that stand leave the passes."""
     tiny = 1e-300
-    inside = (y > 0) & (y < 1)
-    z = np.where(inside, y, 0.5)
+    found, place = np.empty(len(z)), np.arange(len(z))
     c = np.ones_like(z)
     d = 1 - (p + q) * z / (p + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
@@ -48,10 +42,30 @@ def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             c = np.where(np.abs(c) < tiny, tiny, c)
             change = c * d
             h = h * change
-        if not np.any(np.abs(change - 1) > 1e-14):
-            break
-    front = np.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * np.log(z) + q * np.log1p(-z))
-    part = np.where(inside, front * h / p, np.where(y <= 0, 0.0, 1.0))
+        moving = np.abs(change - 1) > 1e-14
+        left = np.count_nonzero(moving)
+        if not left:
+            found[place] = h
+            return found
+        if left < 0.75 * len(h):
+            found[place[~moving]] = h[~moving]
+            place, p, q, z, c, d, h = (x[moving] for x in (place, p, q, z, c, d, h))
+
+
+def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function, by its continued fraction on the side where that converges fast.
+
+    The fraction needs about as many passes as the root of the larger parameter; it runs until all values stand."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    scale = log_gamma(a + b) - log_gamma(a) - log_gamma(b)
+    x, a, b, scale = np.broadcast_arrays(np.asarray(x, float), a, b, scale)
+    turned = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, 1 - x, x)
+    part = np.where(y <= 0, 0.0, 1.0)
+    inside = (y > 0) & (y < 1)
+    p, q, z = p[inside], q[inside], y[inside]
+    if len(z):
+        part[inside] = np.exp(scale[inside] + p * np.log(z) + q * np.log1p(-z)) * beta_fraction(p, q, z) / p
     return np.clip(np.where(turned, 1 - part, part), 0, 1)
 
 
@@ -125,6 +139,30 @@ def u_test(u: float, n: int, m: int, ties: list[int], exact_upto: int = 64) -> f
     return 1.0 if spread <= 0 else float(normal_two_sided(np.array((abs(u - n * m / 2) - 0.5) / math.sqrt(spread))))
 
 
+@lru_cache(4096)
+def u_shares(n: int, m: int) -> np.ndarray:
+    """P(U <= u) for u = 0, 1, ... when all orders are as likely."""
+    whole, upto, found = math.comb(n + m, n), 0, []
+    for ways in u_counts(n, m):
+        upto += ways
+        found.append(upto / whole)
+    return np.array(found)
+
+
+def u_tests(u: np.ndarray, n: int, m: int, ties: np.ndarray, exact_upto: int = 64) -> np.ndarray:
+    """u_test of many values of U with equal n and m; ties: of each the sum of t^3 - t over its groups of equal values."""
+    if not n or not m:
+        return np.ones(len(u))
+    u = np.minimum(u, n * m - u)
+    if n + m <= exact_upto:
+        return np.minimum(1.0, 2 * u_shares(n, m)[np.floor(u).astype(int)])
+    total = n + m
+    spread = n * m / 12 * ((total + 1) - ties / (total * (total - 1)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        z = (np.abs(u - n * m / 2) - 0.5) / np.sqrt(spread)
+    return np.where(spread <= 0, 1.0, normal_two_sided(np.where(spread <= 0, 0.0, z)))
+
+
 @lru_cache(4096)
 def split_counts(n: int, m: int, least: int) -> int:
     """Orders of n and m labels for which every threshold mislabels `least` or more.

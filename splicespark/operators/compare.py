@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .evidence import overlaps
 from .tables import kept
 
 LSV = ["comparison", "lsv_id"]
@@ -202,13 +203,17 @@ def singly_unique(quant: DataFrame, dead: float = 0.05, prob: float = 0.95) -> D
 
 
 def cassette_groups(binary: DataFrame) -> DataFrame:
-    """gene_id, excl_start, excl_end, lsvs, kind: binary LSVs by their exclusion junction, the longest connection: 1 is
-    single, 2 a cassette or matched (by whether they share an alternative exon), more complex.
-
-    binary: gene_id, lsv_id, junc_idx, start, end, alt_exon."""
-    each = binary.groupBy("gene_id", "lsv_id").agg(F.max_by(F.struct("start", "end"), F.struct(F.col("end") - F.col("start"), -F.col("start"))).alias("x"), F.collect_set("alt_exon").alias("alts"))
-    grouped = each.groupBy("gene_id", F.col("x.start").alias("excl_start"), F.col("x.end").alias("excl_end")).agg(F.count(F.lit(1)).alias("lsvs"), F.min("alts").alias("a"), F.max("alts").alias("b"))
-    kind = F.when(F.col("lsvs") == 1, "single").when(F.col("lsvs") > 2, "complex").when(F.arrays_overlap("a", "b"), "cassette").otherwise("matched")
+    """gene_id, excl_start, excl_end, lsvs, kind: binary LSVs by their exclusion junction, the one to the exon that lies
+    farthest from the reference exon (ties: the longer, then the first); 1 is single, 2 a cassette or matched (by whether
+    their other connections join the same exon), more complex.
+
+    binary: gene_id, lsv_id, ref_start, ref_end (the reference exon), start, end, alt_start, alt_end: the exon that the
+    connection joins to it."""
+    far = F.greatest(F.col("alt_start") - F.col("ref_end"), F.col("ref_start") - F.col("alt_end"), F.lit(0))
+    order = F.struct(far, F.col("end") - F.col("start"), -F.col("start"))
+    each = binary.groupBy("gene_id", "lsv_id").agg(F.max_by(F.struct("start", "end"), order).alias("x"), F.min_by(F.struct("alt_start", "alt_end"), order).alias("alt"))
+    grouped = each.groupBy("gene_id", F.col("x.start").alias("excl_start"), F.col("x.end").alias("excl_end")).agg(F.count(F.lit(1)).alias("lsvs"), F.count_distinct("alt").alias("alts"))
+    kind = F.when(F.col("lsvs") == 1, "single").when(F.col("lsvs") > 2, "complex").when(F.col("alts") == 1, "cassette").otherwise("matched")
     return grouped.select("gene_id", "excl_start", "excl_end", "lsvs", kind.alias("kind"))
 
 
@@ -218,10 +223,35 @@ def uses_intron(quant: DataFrame, psi: float = 0.05) -> DataFrame:
     return introns.filter(F.greatest("psi1", "psi2") > psi).select("lsv_id").distinct()
 
 
-def exon_index(quant: DataFrame, width: int = 1000) -> DataFrame:
-    """gene_id, exon, lsvs: for each exon (here a stretch of coordinates) how many LSVs a connection joins to it."""
-    ends = quant.select("gene_id", "lsv_id", F.explode(F.array("start", "end")).alias("at"))
-    return ends.groupBy("gene_id", F.floor(F.col("at") / width).alias("exon")).agg(F.count_distinct("lsv_id").alias("lsvs"))
+def touched_exons(connections: DataFrame, exons: DataFrame) -> DataFrame:
+    """gene_id, lsv_id, junc_idx, side (start, end), e_start, e_end: the exons that the ends of LSVs' connections lie in.
+
+    connections: gene_id, lsv_id, junc_idx, start, end; exons: gene_id, start, end, full (-1: half exons hold nothing).
+    Ends meet exons by gene and coordinate bin.
+    """
+    ends = connections.select("gene_id", "lsv_id", "junc_idx", F.explode(F.array(F.struct(F.lit("start").alias("side"), F.col("start").alias("at")), F.struct(F.lit("end").alias("side"), F.col("end").alias("at")))).alias("x"))
+    points = ends.select("gene_id", "lsv_id", "junc_idx", "x.side", F.col("x.at").alias("start"), F.col("x.at").alias("end")).distinct()
+    full = exons.filter("start <> -1 and end <> -1 and end >= start").select("gene_id", "start", "end").distinct()
+    return overlaps(points, full, ["gene_id"]).select("gene_id", "lsv_id", "junc_idx", "side", F.col("r_start").alias("e_start"), F.col("r_end").alias("e_end"))
+
+
+def exon_index(touched: DataFrame) -> DataFrame:
+    """gene_id, e_start, e_end, lsvs, lsv_ids: the LSVs that a connection joins to each exon. touched: of touched_exons."""
+    return touched.groupBy("gene_id", "e_start", "e_end").agg(F.count_distinct("lsv_id").alias("lsvs"), F.array_join(F.sort_array(F.collect_set("lsv_id")), ";").alias("lsv_ids"))
+
+
+def lsvs_at(touched: DataFrame, places: DataFrame) -> DataFrame:
+    """gene_id, place, e_start, e_end, lsv_id: the LSVs of the exons that hold a coordinate. places: gene_id, place."""
+    own = touched.select("gene_id", "lsv_id", "e_start", "e_end").distinct()
+    return own.join(places.select("gene_id", "place").distinct(), "gene_id").filter("place between e_start and e_end").select("gene_id", "place", "e_start", "e_end", "lsv_id")
+
+
+def lsvs_of_all(touched: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query, gene_id, lsv_id: LSVs that touch every exon of a query. wanted: query, gene_id, e_start, e_end."""
+    keys = ["gene_id", "e_start", "e_end"]
+    asked = wanted.select("query", *keys).distinct().withColumn("n", F.count(F.lit(1)).over(W.partitionBy("query", "gene_id")))
+    met = touched.select("lsv_id", *keys).distinct().join(asked, keys)
+    return met.groupBy("query", "gene_id", "lsv_id", "n").agg(F.count(F.lit(1)).alias("k")).filter("k = n").select("query", "gene_id", "lsv_id")
 
 
 def summed_change(quant: DataFrame, threshold: float = 0.2) -> DataFrame:
@@ -268,3 +298,27 @@ def dpsi_rows(quant: DataFrame) -> DataFrame:
     text = lambda name, form: F.array_join(F.transform("c", lambda x: F.when(x[name].isNull(), "NA").otherwise(F.format_string(form, x[name]))), ";")
     at = F.array_join(F.transform("c", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ";")
     return rows.select(*LSV, "gene_id", "lsv_type", F.size("c").alias("num_junctions"), text("dpsi", "%.4f").alias("mean_dpsi"), text("prob", "%.3e").alias("probability_changing"), text("psi1", "%.4f").alias("mean_psi_1"), text("psi2", "%.4f").alias("mean_psi_2"), at.alias("junctions_coords"))
+
+
+CASSETTES = ("s|1e1.1o1|1e2.1o1", "t|1e1.1o1|1e2.1o1")  # fixed values: the types of single cassette exons
+
+
+def of_events(quant: DataFrame, threshold: float = 0.2, cassettes: bool = False, introns: bool = True, ids: DataFrame | None = None) -> DataFrame:
+    """Rows of the LSVs of a comparison whose largest change is `threshold` or more; cassettes: of the exact types of single
+    cassette exons only; introns: also of LSVs with an intron; ids: only of these (lsv_id)."""
+    rows = quant if introns else quant.filter(~F.endswith("lsv_type", F.lit("i")))
+    rows = rows.filter(F.col("lsv_type").isin(*CASSETTES)) if cassettes else rows
+    rows = rows if ids is None else rows.join(ids.select("lsv_id").distinct(), "lsv_id", "left_semi")
+    large = rows.groupBy(*LSV).agg(F.max(F.abs("dpsi")).alias("m")).filter(F.col("m") >= threshold).select(*LSV)
+    return rows.join(large, LSV, "left_semi")
+
+
+def with_junction(quant: DataFrame, junctions: DataFrame) -> DataFrame:
+    """comparison, lsv_id, junc_idx, start, end of the connections at given coordinates (gene_id, start, end)."""
+    return quant.join(junctions.select("gene_id", "start", "end").distinct(), ["gene_id", "start", "end"], "left_semi").select(*LSV, "junc_idx", "start", "end")
+
+
+def intron_coordinates(quant: DataFrame) -> DataFrame:
+    """comparison, lsv_id, start, end of the intron of each LSV with one: its last connection."""
+    last = F.max_by(F.struct("start", "end"), "junc_idx").alias("x")
+    return quant.filter(F.endswith("lsv_type", F.lit("i"))).groupBy(*LSV).agg(last).select(*LSV, "x.start", "x.end")

@@ -9,6 +9,8 @@ from . import modules as M
 from .tables import kept
 
 KEY = M.KEY
+NEED_EXONS = ("exitron", "orphan")
+NEED_HALF = ("p_first", "p_last")
 TYPES = ("cassette", "tandem_cassette", "mutually_exclusive", "alt5", "alt3", "alt3and5", "alternative_intron", "first", "last", "multi_exon_spanning", "p_alt5", "p_alt3", "constitutive")
 
 
@@ -18,16 +20,27 @@ def row(name: str, side: str | Column, exon: str, start: str | Column, end: str
     return F.struct(F.lit(name).alias("junction_name"), (F.lit(side) if side in ("s", "t") else F.col(side)).alias("side"), at(exon, "exon"), at(start, "start"), at(end, "end"))
 
 
-def shortest(edges: DataFrame, p: str) -> DataFrame:
-    """The junction that stands for two exons: the one with the least start, then end."""
-    one = edges.filter("not is_intron").groupBy(*KEY, F.col("src").alias(f"{p}_src"), F.col("dst").alias(f"{p}_dst")).agg(F.min(F.struct("start", "end")).alias("_x"))
+def shortest(edges: DataFrame, p: str, introns: bool = False) -> DataFrame:
+    """The junction (or, with introns, connection) that stands for two exons: the one with the least start, then end."""
+    one = edges.filter(F.lit(introns) | ~F.col("is_intron")).groupBy(*KEY, F.col("src").alias(f"{p}_src"), F.col("dst").alias(f"{p}_dst")).agg(F.min(F.struct("start", "end")).alias("_x"))
     return one.select(*KEY, f"{p}_src", f"{p}_dst", F.col("_x.start").alias(f"{p}_start"), F.col("_x.end").alias(f"{p}_end"))
 
 
-def between(events: DataFrame, edges: DataFrame, p: str, src: str, dst: str) -> DataFrame:
-    """Adds the coordinates p_start and p_end of the junction that stands for the exons src and dst."""
-    e = shortest(edges, p).withColumnsRenamed({f"{p}_src": src, f"{p}_dst": dst})
-    return events.join(e, [*KEY, src, dst])
+def between(events: DataFrame, edges: DataFrame, p: str, src: str, dst: str, how: str = "inner", introns: bool = False) -> DataFrame:
+    """Adds the coordinates p_start and p_end of the connection that stands for the exons src and dst."""
+    e = shortest(edges, p, introns).withColumnsRenamed({f"{p}_src": src, f"{p}_dst": dst})
+    return events.join(e, [*KEY, src, dst], how)
+
+
+def extents(edges: DataFrame) -> DataFrame:
+    """gene_id, a1, x_start, x_end: the outermost coordinates that connections enter and leave an exon at."""
+    into = edges.groupBy("gene_id", F.col("dst").alias("a1")).agg(F.min("end").alias("x_start"))
+    return into.join(edges.groupBy("gene_id", F.col("src").alias("a1")).agg(F.max("start").alias("x_end")), ["gene_id", "a1"])
+
+
+def none() -> Column:
+    """No event size: these types have none."""
+    return F.lit(None).cast("int").alias("event_size")
 
 
 def cassette(edges: DataFrame) -> DataFrame:
@@ -37,7 +50,7 @@ def cassette(edges: DataFrame) -> DataFrame:
 
 def tandem_cassette(edges: DataFrame) -> DataFrame:
     rows = F.array(row("C1_C2", "s", "c1", "s_start", "s_end"), row("C1_A", "s", "c1", "s_start", "first_end"), row("C2_C1", "t", "c2", "s_start", "s_end"), row("C2_A_Last", "t", "c2", "last_start", "s_end"))
-    return M.tandem_cassette(edges, inner=True).select(*KEY, F.concat_ws("_", "c1", "c2", "s_start", "s_end").alias("event"), (F.col("last_start") - F.col("first_end") + 1).alias("event_size"), rows.alias("rows"))
+    return M.tandem_cassette(edges, inner=True).select(*KEY, F.concat_ws("_", "c1", "c2", "s_start", "s_end").alias("event"), F.col("bases").cast("int").alias("event_size"), rows.alias("rows"))
 
 
 def mutually_exclusive(edges: DataFrame) -> DataFrame:
@@ -45,31 +58,36 @@ def mutually_exclusive(edges: DataFrame) -> DataFrame:
     for p, src, dst in (("x", "c1", "a1"), ("y", "c1", "a2"), ("u", "a1", "c2"), ("v", "a2", "c2")):
         found = between(found, edges, p, src, dst)
     rows = F.array(row("C1_A1", "s", "c1", "x_start", "x_end"), row("C1_A2", "s", "c1", "y_start", "y_end"), row("C2_A1", "t", "c2", "u_start", "u_end"), row("C2_A2", "t", "c2", "v_start", "v_end"))
-    return found.select(*KEY, F.concat_ws("_", "c1", "a1", "a2", "c2").alias("event"), (F.col("u_start") - F.col("x_end") + 1).alias("event_size"), rows.alias("rows"))
-
-
-def alternative_sites(edges: DataFrame, kind: str) -> DataFrame:
-    """The side that both share is the reference: the source of alternative 3' sites, the target of 5' ones, on the plus
-    strand; of both kinds at once the source."""
-    own = M.alternative_sites(edges).filter(F.col("kind") == kind).join(edges.select("gene_id", "strand").distinct(), "gene_id")
-    left = (F.col("proximal_start") == F.col("distal_start")) | (F.lit(kind) == "alt3and5")
-    own = own.withColumn("side", F.when(left, "s").otherwise("t")).withColumn("ref", F.when(left, F.col("e1")).otherwise(F.col("e2")))
+    return found.select(*KEY, F.concat_ws("_", "c1", "a1", "a2", "c2").alias("event"), none(), rows.alias("rows"))
+
+
+def alternative_sites(edges: DataFrame, kind: str, lsvs: DataFrame) -> DataFrame:
+    """Alternative 3' sites are quantified at their common source if that is an LSV, else at the target; 5' sites the other
+    way round (on the plus strand); at neither there are no rows. Both kinds at once have rows at the source and the target."""
+    own = M.alternative_sites(edges).filter(F.col("kind") == kind)
+    event = F.concat_ws("_", "e1", "e2", "proximal_start", "proximal_end", "distal_start", "distal_end").alias("event")
+    if kind == "alt3and5":
+        rows = F.array(*(row(f"{e}_{f}_{j}", side, e.lower(), f"{p}_start", f"{p}_end") for e, f, side in (("E1", "E2", "s"), ("E2", "E1", "t")) for j, p in (("J1", "proximal"), ("J2", "distal"))))
+        return own.select(*KEY, event, none(), rows.alias("rows"))
+    there = lambda side, exon, name: lsvs.filter(F.col("side") == side).select("gene_id", F.col("exon").alias(exon), F.lit(True).alias(name))
+    own = own.join(there("s", "e1", "at_source"), ["gene_id", "e1"], "left").join(there("t", "e2", "at_target"), ["gene_id", "e2"], "left")
+    left = F.col("proximal_start") == F.col("distal_start")  # the source is common
+    source = F.when(left, F.col("at_source").isNotNull()).otherwise(F.col("at_target").isNull())
+    own = own.filter("at_source or at_target").withColumn("side", F.when(source, "s").otherwise("t")).withColumn("ref", F.when(F.col("side") == "s", F.col("e1")).otherwise(F.col("e2")))
     size = F.abs(F.col("proximal_start") - F.col("distal_start")) + F.abs(F.col("proximal_end") - F.col("distal_end"))
-    names = ("J1", "J2") if kind == "alt3and5" else ("Proximal", "Distal")
-    rows = F.array(row(names[0], "side", "ref", "proximal_start", "proximal_end"), row(names[1], "side", "ref", "distal_start", "distal_end"))
-    return own.select(*KEY, F.concat_ws("_", "e1", "e2", "proximal_start", "proximal_end", "distal_start", "distal_end").alias("event"), size.alias("event_size"), rows.alias("rows"))
+    rows = F.array(row("Proximal", "side", "ref", "proximal_start", "proximal_end"), row("Distal", "side", "ref", "distal_start", "distal_end"))
+    return own.select(*KEY, event, size.alias("event_size"), rows.alias("rows"))
 
 
 def alternative_intron(edges: DataFrame) -> DataFrame:
-    found = M.alternative_introns(edges)
-    own = found.select(*KEY, "c1", "c2", "start", "end")
-    j = edges.filter("not is_intron").select(*KEY, "src", "dst", F.col("start").alias("j_start"), F.col("end").alias("j_end"))
-    size = (F.col("end") - F.col("start") + 1).alias("event_size")
-    event = F.concat_ws("_", "c1", "c2", "start", "end").alias("event")
-    intron = own.select(*KEY, event, size, F.array(row("C1_C2_intron", "s", "c1", "start", "end"), row("C2_C1_intron", "t", "c2", "start", "end")).alias("rows"))
-    out = own.join(j, KEY).filter("src = c1").select(*KEY, event, size, F.array(row("C1_C2_spliced", "s", "c1", "j_start", "j_end")).alias("rows"))
-    into = own.join(j, KEY).filter("dst = c2").select(*KEY, event, size, F.array(row("C2_C1_spliced", "t", "c2", "j_start", "j_end")).alias("rows"))
-    return intron.unionByName(out).unionByName(into)
+    """An event for each intron and junction beside it, quantified at one exon: the target if the junction enters it too, else
+    the source."""
+    i = M.side(edges, "i", True)
+    found = i.join(M.side(edges, "j"), KEY).filter("j_src = i_src or j_dst = i_dst").distinct()
+    target = F.col("j_dst") == F.col("i_dst")
+    at = lambda name: F.array(*(row(f"{name}_{k}", "side", "ref", f"{p}_start", f"{p}_end") for k, p in (("intron", "i"), ("spliced", "j"))))
+    own = found.withColumns({"side": F.when(target, "t").otherwise("s"), "ref": F.when(target, F.col("i_dst")).otherwise(F.col("i_src"))})
+    return own.select(*KEY, F.concat_ws("_", "i_src", "i_dst", "i_start", "i_end", "j_src", "j_dst", "j_start", "j_end").alias("event"), (F.col("i_end") - F.col("i_start") + 1).alias("event_size"), F.when(target, at("C2_C1")).otherwise(at("C1_C2")).alias("rows"))
 
 
 def alternative_ends(edges: DataFrame, kind: str) -> DataFrame:
@@ -84,18 +102,46 @@ def alternative_ends(edges: DataFrame, kind: str) -> DataFrame:
 
 
 def multi_exon_spanning(edges: DataFrame) -> DataFrame:
-    rows = F.array(row("C1_C2", "s", "c1", "s_start", "s_end"), row("C2_C1", "t", "c2", "s_start", "s_end"))
-    return M.multi_exon_spanning(edges).select(*KEY, F.concat_ws("_", "c1", "c2", "s_start", "s_end").alias("event"), (F.col("c2") - F.col("c1") - 1).alias("event_size"), rows.alias("rows"))
+    """From both ends the connection past the exons and the one to the nearest of them, without coordinates if there is none."""
+    found = between(between(M.multi_exon_spanning(edges), edges, "x", "c1", "nearest", "left", True), edges, "y", "nearest_in", "c2", "left", True)
+    rows = F.array(row("C1_C2", "s", "c1", "s_start", "s_end"), row("C1_A", "s", "c1", "x_start", "x_end"), row("C2_C1", "t", "c2", "s_start", "s_end"), row("A_C2", "t", "c2", "y_start", "y_end"))
+    return found.select(*KEY, F.concat_ws("_", "c1", "c2", "s_start", "s_end").alias("event"), none(), rows.alias("rows"))
 
 
 def putative_sites(edges: DataFrame, kind: str) -> DataFrame:
-    """Distal: the connection past the middle exon; Proximal: the junction between it and one neighbour."""
-    own = M.putative_alternative_sites(edges, inner=True).filter(F.col("kind") == kind)
-    side = F.when(F.col("left"), "t").otherwise("s")
-    ref = F.when(F.col("left"), F.col("c2")).otherwise(F.col("c1"))
-    own = own.withColumns({"side": side, "ref": ref})
-    rows = F.array(row("Distal", "side", "ref", "s_start", "s_end"), row("Proximal", "side", "ref", "j_start", "j_end"))
-    return own.select(*KEY, F.concat_ws("_", "c1", "a1", "c2", "s_start", "s_end", "j_start", "j_end").alias("event"), F.lit(None).cast("int").alias("event_size"), rows.alias("rows")).distinct()
+    """From both outer exons the connection past the middle one (Distal), and the intron or the junction (Proximal) to it. The
+    size is that of the intron and the middle exon."""
+    own = M.putative_alternative_sites(edges, inner=True).filter(F.col("kind") == kind).join(extents(edges), ["gene_id", "a1"])
+    past = [row("Distal", s, e, "s_start", "s_end") for s, e in (("s", "c1"), ("t", "c2"))]
+    way = lambda side, exon, intron: row("Intron" if intron else "Proximal", side, exon, "i_start" if intron else "j_start", "i_end" if intron else "j_end")
+    rows = F.when(F.col("left"), F.array(past[0], way("s", "c1", True), past[1], way("t", "c2", False))).otherwise(F.array(past[0], way("s", "c1", False), past[1], way("t", "c2", True)))
+    size = F.col("i_end") - F.col("i_start") + 1 + F.abs(F.col("x_end") - F.col("x_start")) + 1
+    return own.select(*KEY, F.concat_ws("_", "c1", "a1", "c2", "s_start", "s_end", "j_start", "j_end", "i_start", "i_end").alias("event"), size.alias("event_size"), rows.alias("rows")).distinct()
+
+
+def putative_ends(edges: DataFrame, kind: str, half: DataFrame) -> DataFrame:
+    """The half exon's connection and the other one of their reference exon, the shorter one Proximal."""
+    own = M.putative_ends(edges, half).filter(F.col("kind") == kind).withColumn("side", F.when(F.col("right"), "s").otherwise("t"))
+    pair = lambda a, b: F.array(row("Proximal", "side", "ref", f"{a}_start", f"{a}_end"), row("Distal", "side", "ref", f"{b}_start", f"{b}_end"))
+    event = F.concat_ws("_", "ref", "half", "other", "half_start", "half_end", "other_start", "other_end").alias("event")
+    return own.select(*KEY, event, none(), F.when(F.col("distal"), pair("other", "half")).otherwise(pair("half", "other")).alias("rows"))
+
+
+def exitron(edges: DataFrame, exons: DataFrame) -> DataFrame:
+    """Junctions inside an exon, seen from both sides of it. exons: gene_id, exon, e_start, e_end."""
+    own = edges.filter("not is_intron").join(exons, "gene_id").filter("start > e_start and end < e_end").select(*KEY, "exon", "start", "end").distinct()
+    rows = F.array(row("exitron", "s", "exon", "start", "end"), row("exitron", "t", "exon", "start", "end"))
+    return own.select(*KEY, F.concat_ws("_", "exon", "start", "end").alias("event"), none(), rows.alias("rows"))
+
+
+def orphan(edges: DataFrame, exons: DataFrame, lsvs: DataFrame) -> DataFrame:
+    """Junctions between half exons, quantified at the source if that is an LSV, else at the target; at neither there is no
+    row."""
+    own = edges.filter("not is_intron").join(M.orphans(edges, exons), ["gene_id", "start", "end"]).select(*KEY, "src", "dst", "start", "end").distinct()
+    there = lambda side, exon, name: lsvs.filter(F.col("side") == side).select("gene_id", F.col("exon").alias(exon), F.lit(True).alias(name))
+    own = own.join(there("s", "src", "at_source"), ["gene_id", "src"], "left").join(there("t", "dst", "at_target"), ["gene_id", "dst"], "left").filter("at_source or at_target")
+    own = own.withColumns({"side": F.when(F.col("at_source"), "s").otherwise("t"), "ref": F.when(F.col("at_source"), F.col("src")).otherwise(F.col("dst"))})
+    return own.select(*KEY, F.concat_ws("_", "src", "dst", "start", "end").alias("event"), none(), F.array(row("Orphan", "side", "ref", "start", "end")).alias("rows"))
 
 
 def constitutive(edges: DataFrame) -> DataFrame:
@@ -103,10 +149,26 @@ def constitutive(edges: DataFrame) -> DataFrame:
     return M.constitutive(edges).select(*KEY, F.concat_ws("_", "src", "dst", "start", "end").alias("event"), F.lit(None).cast("int").alias("event_size"), rows.alias("rows"))
 
 
-def connections(edges: DataFrame, kind: str) -> DataFrame:
-    """gene_id, module_idx, event, event_size, junction_name, side, exon, start, end of all events of a type."""
-    find = {"alt5": alternative_sites, "alt3": alternative_sites, "alt3and5": alternative_sites, "first": alternative_ends, "last": alternative_ends, "p_alt5": putative_sites, "p_alt3": putative_sites}.get(kind)
-    found = find(edges, kind) if find else globals()[kind](edges)
+def connections(edges: DataFrame, kind: str, exons: DataFrame | None = None, lsvs: DataFrame | None = None, half: DataFrame | None = None) -> DataFrame:
+    """gene_id, module_idx, event, event_size, junction_name, side, exon, start, end of all events of a type.
+
+    exons: gene_id, exon, e_start, e_end, which exitrons and orphans need; half: gene_id, exon of half exons, which putative
+    ends need; lsvs: gene_id, exon, side of those LSVs that are quantified, all by default."""
+    if kind in NEED_EXONS and exons is None or kind in NEED_HALF and half is None:
+        raise ValueError(f"{kind} needs {'exons' if kind in NEED_EXONS else 'half exons'}")
+    there = lsv_sides(edges) if lsvs is None else lsvs
+    find = {"alt5": alternative_sites, "alt3": alternative_sites, "alt3and5": alternative_sites}.get(kind)
+    by_kind = {"first": alternative_ends, "last": alternative_ends, "p_alt5": putative_sites, "p_alt3": putative_sites}.get(kind)
+    if find:
+        found = find(edges, kind, there)
+    elif by_kind:
+        found = by_kind(edges, kind)
+    elif kind == "orphan":
+        found = orphan(edges, exons, there)
+    elif kind in NEED_HALF:
+        found = putative_ends(edges, kind, half)
+    else:
+        found = exitron(edges, exons) if kind == "exitron" else globals()[kind](edges)
     return found.select(*KEY, "event", "event_size", F.explode("rows").alias("r")).select(*KEY, "event", "event_size", "r.*")
 
 
@@ -116,18 +178,19 @@ def lsv_sides(edges: DataFrame) -> DataFrame:
     return many("src", "s").unionByName(many("dst", "t"))
 
 
-def event_rows(edges: DataFrame, kind: str) -> DataFrame:
+def event_rows(edges: DataFrame, kind: str, exons: DataFrame | None = None, lsvs: DataFrame | None = None, half: DataFrame | None = None) -> DataFrame:
     """event_id, junction_name, side, start, end, along, event_size, de_novo, lsv_id of all events of a type.
 
     along: the range in the direction of the strand; lsv_id: the LSV of the reference exon, null where fewer than two
-    connections are on that side; de_novo: of the connection (edges' column, false without it).
+    connections are on that side; de_novo: of the connection (edges' column, false without it). A row without coordinates
+    has none of these.
     """
-    each = connections(edges, kind).withColumn("event_id", F.concat_ws("_", "gene_id", F.col("module_idx").cast("string"), F.lit(kind), "event")).drop("module_idx", "event")
+    each = connections(edges, kind, exons, lsvs, half).withColumn("event_id", F.concat_ws("_", "gene_id", F.col("module_idx").cast("string"), F.lit(kind), "event")).drop("module_idx", "event")
     lsvs = lsv_sides(edges).drop("module_idx")
     novel = (F.col("de_novo") if "de_novo" in edges.columns else F.lit(False)).alias("de_novo")
     marks = edges.select("gene_id", "strand", "start", "end", novel).groupBy("gene_id", "start", "end").agg(F.first("strand").alias("strand"), F.bool_and("de_novo").alias("de_novo"))
-    whole = each.join(marks, ["gene_id", "start", "end"]).join(lsvs, ["gene_id", "exon", "side"], "left")
-    along = F.when(F.col("strand") == "-", F.concat_ws("-", "end", "start")).otherwise(F.concat_ws("-", "start", "end"))
+    whole = each.join(marks, ["gene_id", "start", "end"], "left").join(lsvs, ["gene_id", "exon", "side"], "left")
+    along = F.when(F.col("strand") == "-", F.concat_ws("-", "end", "start")).when(F.col("start").isNotNull(), F.concat_ws("-", "start", "end"))
     return whole.select("event_id", "junction_name", "side", "start", "end", along.alias("along"), "event_size", "de_novo", "lsv_id")
 
 
@@ -142,7 +205,7 @@ def classified(edges: DataFrame, keep_constitutive: bool = False) -> tuple[DataF
     used = named(kinds[0])
     for k in kinds[1:]:
         used = used.unionByName(named(k))
-    used = kept(used)
+    used = kept(used.filter("start is not null"))
     listed = lambda df, c, name: df.groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_set(c)), ";").alias(name))
     lsvs = lsv_sides(edges).join(used.select("gene_id", "side", "exon").distinct(), ["gene_id", "side", "exon"], "left_anti")
     free = edges.select(*KEY, "start", "end").join(used.select("gene_id", "start", "end").distinct(), ["gene_id", "start", "end"], "left_anti")

@@ -159,17 +159,88 @@ def overlaps(left: DataFrame, right: DataFrame, on: list[str], by: Column | None
     return pairs if by is None else pairs.filter(by)
 
 
-def intron_reads(spans: DataFrame, introns: DataFrame, bases: int = 8) -> DataFrame:
-    """gene_id, start, end, experiment, reads: reads with `bases` or more inside an intron, unless a junction of the read
-    meets it. spans: experiment, read_id, chrom, start, end, junctions array<struct<start, end>>."""
-    pairs = overlaps(spans, introns, ["chrom"])
-    shared = F.least("end", "r_end") - F.greatest("start", "r_start") + 1
-    crossed = F.exists("junctions", lambda j: (j["start"] < F.col("r_end")) & (j["end"] > F.col("r_start")))
-    hits = pairs.filter((shared >= bases) & ~crossed)
-    return hits.groupBy("r_gene_id", "r_start", "r_end", "experiment").agg(F.count_distinct("read_id").alias("reads")).select(F.col("r_gene_id").alias("gene_id"), F.col("r_start").alias("start"), F.col("r_end").alias("end"), "experiment", "reads")
+def intron_spans(reads: DataFrame, bases: int = 8, protocol: str = "none") -> DataFrame:
+    """experiment, read_id, chrom, strand, pos, first, last, gaps, junctions, length, clip of each admissible read, spliced
+    or not: what tells which introns it is evidence for.
+
+    An intron counts that ends at `first` or behind and starts at `last` or before: then `bases` of the read lie before its
+    end and behind its start. gaps: where the read and the reference part, as places on both, from the beginning; length:
+    bases without clips; clip: clipped bases behind; junctions: the read's own. Reads under `bases` have last -10.
+    """
+    ops = admissible(reads).select("experiment", "read_id", "chrom", "pos", read_strand(F.col("flag"), protocol).alias("strand"), cigar_ops(F.col("cigar")).alias("ops"))
+    body = F.filter("ops", lambda x: ~x["op"].isin("S", "H"))
+    final = F.element_at("ops", -1)
+    on_read = lambda x: F.when(x["op"].isin("M", "I", "=", "X"), x["n"]).otherwise(F.lit(0))
+    on_ref = lambda x: F.when(x["op"].isin("M", "D", "N", "=", "X"), x["n"]).otherwise(F.lit(0))
+    length = F.aggregate("body", F.lit(0), lambda a, x: a + on_read(x))
+    clip = F.when((F.size("ops") > 1) & (final["op"] == "S"), final["n"]).otherwise(F.lit(0))
+    flat = ops.filter(F.size("ops") > 0).select("*", body.alias("body"), clip.alias("clip")).select("experiment", "read_id", "chrom", "pos", "strand", "clip", "body", length.alias("length"))
+    none = F.lit(None).cast("int")
+    place = F.struct(F.col("pos").alias("g"), F.lit(0).alias("r"))
+    start = F.struct(F.col("pos").alias("g"), F.lit(0).alias("r"), none.alias("first"), none.alias("last"), F.array(place).alias("gaps"), F.array().cast("array<struct<start:int,end:int>>").alias("junctions"))
+
+    def step(a: Column, x: Column) -> Column:
+        r, g = a["r"] + on_read(x), a["g"] + on_ref(x)
+        read, ref = x["op"].isin("M", "I", "=", "X"), x["op"].isin("M", "D", "N", "=", "X")
+        end = F.col("length") - bases
+        first = F.when(read & (a["r"] < bases) & (r >= bases), a["g"] + F.when(ref, bases - a["r"]).otherwise(0)).otherwise(a["first"])
+        last = F.when(read & (r > end) & (a["r"] <= end), a["g"] + 1 + F.when(ref, end - a["r"]).otherwise(0)).otherwise(a["last"])
+        gap = F.when(read != ref, F.concat(a["gaps"], F.array(F.struct(g.alias("g"), r.alias("r"))))).otherwise(a["gaps"])
+        junction = F.when(x["op"] == "N", F.concat(a["junctions"], F.array(F.struct(a["g"].alias("start"), (a["g"] + x["n"] + 1).alias("end"))))).otherwise(a["junctions"])
+        return F.struct(g.alias("g"), r.alias("r"), first.alias("first"), last.alias("last"), gap.alias("gaps"), junction.alias("junctions"))
+
+    walked = flat.withColumn("w", F.aggregate("body", start, step))
+    return walked.select("experiment", "read_id", "chrom", "strand", "pos", F.coalesce("w.first", F.lit(-10)).alias("first"), F.coalesce("w.last", F.lit(-10)).alias("last"), "w.gaps", "w.junctions", "length", "clip")
+
+
+def intron_hits(spans: DataFrame, introns: DataFrame, bases: int = 8) -> DataFrame:
+    """experiment, read_id, gene_id, start, end, offset: the introns that each read is evidence for, and how far the
+    intron's start lies from the last base that may be in it, in read bases.
+
+    spans: of intron_spans; introns: gene_id, chrom, strand, start, end. Strands must fit, and a read with a junction that
+    meets the intron is evidence against it. Reads meet introns by chromosome and bin.
+    """
+    own = introns.select("gene_id", "chrom", F.col("strand").alias("i_strand"), "start", "end")
+    wide = spans.filter("last >= 0").select("experiment", "read_id", "chrom", "strand", "pos", "first", "last", "gaps", "junctions", "length", "clip", F.least("first", "last").alias("start"), F.greatest("first", "last").alias("end"))
+    pairs = overlaps(wide, own, ["chrom"]).filter("r_end >= first and r_start <= last and (strand = '.' or strand = r_i_strand)")
+    crossed = F.exists("junctions", lambda j: (j["start"] <= F.col("r_end")) & (F.col("r_start") <= j["end"]))
+    before = F.element_at(F.filter("gaps", lambda g: g["g"] < F.col("r_start")), -1)
+    inside = F.col("pos") + 1 >= F.col("r_start")
+    relative = F.when(inside, F.col("pos") + 1 - F.col("r_start")).otherwise(before["g"] + 1 - F.col("r_start") - before["r"])
+    return pairs.filter(~crossed).select("experiment", "read_id", F.col("r_gene_id").alias("gene_id"), F.col("r_start").alias("start"), F.col("r_end").alias("end"), (F.col("length") - bases + relative + F.col("clip")).alias("offset"))
+
+
+def intron_reads(hits: DataFrame) -> DataFrame:
+    """gene_id, start, end, experiment, reads: reads of each intron; a read counts once. hits: of intron_hits."""
+    return hits.groupBy("gene_id", "start", "end", "experiment").agg(F.count_distinct("read_id").alias("reads"))
+
+
+def intron_rates(hits: DataFrame, lengths: DataFrame) -> DataFrame:
+    """experiment, gene_id, start, end, bin, rate: reads of each of an intron's eff_len bins over the positions in it.
+    hits: of intron_hits; lengths: experiment, eff_len (> 0), a row for each of the few experiments."""
+    size = (F.col("end") - F.col("start") + 1 + F.col("eff_len")).cast("long")
+    placed = hits.join(F.broadcast(lengths), "experiment").filter((F.col("offset") >= 0) & (F.col("offset") < size) & (F.col("eff_len") > 0))
+    found, positions = intron_bin(F.col("offset").cast("long"), size, F.col("eff_len"))
+    each = placed.select("experiment", "gene_id", "start", "end", found.cast("int").alias("bin"), positions.alias("positions"))
+    return each.groupBy("experiment", "gene_id", "start", "end", "bin").agg((F.count(F.lit(1)) / F.max("positions")).alias("rate"))
+
+
+def intron_summary(rates: DataFrame) -> DataFrame:
+    """experiment, gene_id, start, end, reads (whole part of the rates' sum), npos (bins with reads)."""
+    return rates.groupBy("experiment", "gene_id", "start", "end").agg(F.floor(F.sum("rate") + 1e-9).alias("reads"), F.count(F.lit(1)).alias("npos"))
+
+
+def matched_introns(found: DataFrame, introns: DataFrame) -> DataFrame:
+    """gene_id, start, end, experiment, reads, npos: an experiment's introns given to the splicegraph's introns (gene_id,
+    start, end) of their gene that they meet, both a base wider on either side, so that introns without a base meet too.
+    Of several that meet one the last counts, by start and end. A gene's introns are few, so they meet by gene."""
+    own = introns.select("gene_id", F.col("start").alias("i_start"), F.col("end").alias("i_end"))
+    met = found.join(own, "gene_id").filter((F.col("i_start") - 2 < F.col("end")) & (F.col("i_end") > F.col("start") - 2))
+    last = F.max(F.struct("start", "end", "reads", "npos")).alias("x")
+    return met.groupBy("gene_id", "i_start", "i_end", "experiment").agg(last).select("gene_id", F.col("i_start").alias("start"), F.col("i_end").alias("end"), "experiment", "x.reads", "x.npos")
 
 
-def intron_bin(offset: Column, length: Column, eff_len: int) -> tuple[Column, Column]:
+def intron_bin(offset: Column, length: Column, eff_len: int | Column) -> tuple[Column, Column]:
     """Bin of a raw offset in [0, length) dealt to eff_len bins, and the bin's positions: the first length mod eff_len
     bins hold one more."""
     small = F.floor(length / eff_len)

@@ -53,14 +53,22 @@ def cassette(edges: DataFrame) -> DataFrame:
 
 def tandem_cassette(edges: DataFrame, inner: bool = False) -> DataFrame:
     """A connection past two exons or more of which each is joined to the next, the outer ones at its coordinates; inner: also
-    first_end and last_start, where the inner exons begin and end."""
+    first_end and last_start, where the inner exons begin and end, and bases, the inner exons' lengths together.
+
+    Of several connections between two exons the one with the least start and end stands for them; the first step is the one
+    that ends first, the last the one that starts last."""
     s, n = side(edges, "s"), side(edges, "n")
-    steps = s.filter("s_dst - s_src > 2").join(n, KEY).filter("n_dst = n_src + 1 and n_src >= s_src and n_dst <= s_dst")
-    fits = F.when(F.col("n_src") == F.col("s_src"), F.col("n_start") == F.col("s_start")).otherwise(True) & F.when(F.col("n_dst") == F.col("s_dst"), F.col("n_end") == F.col("s_end")).otherwise(True)
-    counted = steps.filter(fits).groupBy(*KEY, "s_src", "s_dst", "s_start", "s_end").agg(
-        F.count_distinct("n_src").alias("n"), F.min(F.when(F.col("n_src") == F.col("s_src"), F.col("n_end"))).alias("first_end"), F.max(F.when(F.col("n_dst") == F.col("s_dst"), F.col("n_start"))).alias("last_start")
+    first, last = F.col("n_src") == F.col("s_src"), F.col("n_dst") == F.col("s_dst")
+    fits = F.when(first, F.col("n_start") == F.col("s_start")).otherwise(True) & F.when(last, F.col("n_end") == F.col("s_end")).otherwise(True)
+    ways = s.filter("s_dst - s_src > 2").join(n, KEY).filter("n_dst = n_src + 1 and n_src >= s_src and n_dst <= s_dst").filter(fits)
+    span = ["s_src", "s_dst", "s_start", "s_end"]
+    steps = ways.groupBy(*KEY, *span, "n_src", "n_dst").agg(F.min(F.struct("n_start", "n_end")).alias("x"), F.max("n_start").alias("late"))
+    start, end = F.when(last, F.col("late")).otherwise(F.col("x.n_start")), F.col("x.n_end")
+    counted = steps.groupBy(*KEY, *span).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(first, end)).alias("first_end"), F.max(F.when(last, start)).alias("last_start"),
+        (F.sum(F.when(~first, start)) - F.sum(F.when(~last, end)) + F.count(F.lit(1)) - 1).alias("bases"),
     )
-    return counted.filter("n = s_dst - s_src").select(*KEY, F.col("s_src").alias("c1"), F.col("s_dst").alias("c2"), "s_start", "s_end", (F.col("n") - 1).alias("exons"), *(["first_end", "last_start"] if inner else []))
+    return counted.filter("n = s_dst - s_src").select(*KEY, F.col("s_src").alias("c1"), F.col("s_dst").alias("c2"), "s_start", "s_end", (F.col("n") - 1).alias("exons"), *(["first_end", "last_start", "bases"] if inner else []))
 
 
 def multi_exon_spanning(edges: DataFrame) -> DataFrame:
@@ -98,16 +106,39 @@ def alternative_sites(edges: DataFrame) -> DataFrame:
     return pairs.join(strands, "gene_id").select(*KEY, kind.alias("kind"), F.col("a_src").alias("e1"), F.col("a_dst").alias("e2"), F.col("a_start").alias("proximal_start"), F.col("a_end").alias("proximal_end"), F.col("b_start").alias("distal_start"), F.col("b_end").alias("distal_end"))
 
 
+def intron_islands(edges: DataFrame) -> DataFrame:
+    """gene_id, module_idx, exon, next, island: a module's exons in order with the next one; exons that are joined from one to
+    the next by introns have one island."""
+    nodes = edges.select(*KEY, F.explode(F.array("src", "dst")).alias("exon")).distinct()
+    w = W.partitionBy(*KEY).orderBy("exon")
+    steps = edges.filter("is_intron").select(*KEY, F.col("src").alias("exon"), F.col("dst").alias("next"), F.lit(True).alias("_on")).distinct()
+    ordered = nodes.withColumn("next", F.lead("exon").over(w)).join(steps, [*KEY, "exon", "next"], "left")
+    breaks = F.when(F.col("_on").isNull(), 1).otherwise(0)
+    return ordered.withColumn("island", F.coalesce(F.sum(breaks).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select(*KEY, "exon", "next", "island")
+
+
 def putative_alternative_sites(edges: DataFrame, inner: bool = False) -> DataFrame:
-    """As a cassette, but one side of the middle exon is joined by an intron: kind p_alt5 (intron first, on plus) or p_alt3;
-    inner: also whether the intron is left and the junction's coordinates."""
+    """As a cassette, but one side of the middle exon is joined by an intron, or by a chain of introns through the exons
+    between: kind p_alt5 (intron first, on plus) or p_alt3; not where a junction between the two exons that the intron joins
+    shares the outer coordinate. inner: also whether the intron is left, and the junction's and the intron's coordinates, of
+    a chain those of its first intron."""
     s, i, j = side(edges, "s"), side(edges, "i", True), side(edges, "j")
-    first = s.join(i, KEY).filter("i_src = s_src and i_dst < s_dst").join(j, KEY).filter("j_src = i_dst and j_dst = s_dst and j_end = s_end").withColumn("left", F.lit(True)).withColumn("mid", F.col("i_dst"))
-    second = s.join(j, KEY).filter("j_src = s_src and j_dst < s_dst and j_start = s_start").join(i, KEY).filter("i_src = j_dst and i_dst = s_dst").withColumn("left", F.lit(False)).withColumn("mid", F.col("j_dst"))
-    cols = [*KEY, "left", F.col("s_src").alias("c1"), F.col("mid").alias("a1"), F.col("s_dst").alias("c2"), "s_start", "s_end", "j_start", "j_end"]
+    islands = intron_islands(edges)
+    at = lambda p: islands.select(*KEY, *(F.col(c).alias(f"{p}_{c}") for c in ("exon", "next", "island")))
+    before = s.join(j, KEY).filter("j_src > s_src and j_dst = s_dst and j_end = s_end").withColumns({"left": F.lit(True), "from": F.col("s_src"), "to": F.col("j_src")})
+    behind = s.join(j, KEY).filter("j_src = s_src and j_dst < s_dst and j_start = s_start").withColumns({"left": F.lit(False), "from": F.col("j_dst"), "to": F.col("s_dst")})
+    base = before.unionByName(behind)
+    direct = base.join(i, KEY).filter("i_src = from and i_dst = to")
+    joined = edges.filter("is_intron").select(*KEY, F.col("src").alias("from"), F.col("dst").alias("to")).distinct()
+    linked = base.join(joined, [*KEY, "from", "to"], "left_anti").join(at("x"), KEY).filter("x_exon = from").join(at("y"), KEY).filter("y_exon = to and y_island = x_island")
+    chained = linked.join(i, KEY).filter("i_src = x_exon and i_dst = x_next").select(direct.columns)
+    both = direct.unionByName(chained).withColumn("a1", F.when(F.col("left"), F.col("to")).otherwise(F.col("from")))
+    rival = edges.filter("not is_intron").select(*KEY, F.col("src").alias("from"), F.col("dst").alias("to"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    same = F.when(F.col("left"), F.col("r_start") == F.col("s_start")).otherwise(F.col("r_end") == F.col("s_end"))
+    kept_ = both.alias("b").join(rival.alias("r"), [F.col(f"b.{c}") == F.col(f"r.{c}") for c in (*KEY, "from", "to")] + [same], "left_anti")
     strands = edges.select("gene_id", "strand").distinct()
-    both = first.select(*cols).unionByName(second.select(*cols)).join(strands, "gene_id")
-    return both.withColumn("kind", F.when(F.col("left") == (F.col("strand") == "+"), "p_alt5").otherwise("p_alt3")).select(*KEY, "kind", "c1", "a1", "c2", "s_start", "s_end", *(["left", "j_start", "j_end"] if inner else [])).distinct()
+    named = kept_.select(*KEY, "left", F.col("s_src").alias("c1"), "a1", F.col("s_dst").alias("c2"), "s_start", "s_end", "j_start", "j_end", "i_start", "i_end").join(strands, "gene_id")
+    return named.withColumn("kind", F.when(F.col("left") == (F.col("strand") == "+"), "p_alt5").otherwise("p_alt3")).select(*KEY, "kind", "c1", "a1", "c2", "s_start", "s_end", *(["left", "j_start", "j_end", "i_start", "i_end"] if inner else [])).distinct()
 
 
 def alternative_introns(edges: DataFrame) -> DataFrame:
@@ -116,16 +147,18 @@ def alternative_introns(edges: DataFrame) -> DataFrame:
     return i.join(j, KEY).filter("j_src = i_src or j_dst = i_dst").groupBy(*KEY, F.col("i_src").alias("c1"), F.col("i_dst").alias("c2"), F.col("i_start").alias("start"), F.col("i_end").alias("end")).agg(F.count(F.lit(1)).alias("spliced"))
 
 
-def alternative_ends(edges: DataFrame) -> DataFrame:
+def alternative_ends(edges: DataFrame, half: DataFrame | None = None) -> DataFrame:
     """Two exons that nothing leaves (enters), joined to one exon: kind last (first on minus) and the reverse.
 
-    The proximal one has the shorter connection."""
+    The proximal one has the shorter connection. half: gene_id, exon of half exons, which have putative ends instead."""
     strands = edges.select("gene_id", "strand").distinct()
     dead = lambda here, there: edges.select("gene_id", F.col(there).alias("exon")).distinct().join(edges.select("gene_id", F.col(here).alias("exon")).distinct(), ["gene_id", "exon"], "left_anti")
 
     def pairs(ref: str, end: str, last: bool) -> DataFrame:
         ways = edges.filter("not is_intron").groupBy(*KEY, F.col(ref).alias("ref"), F.col(end).alias("exon")).agg(F.min(F.col("end") - F.col("start")).alias("length"))
         ends = ways.join(dead(ref, end), ["gene_id", "exon"])
+        if half is not None:
+            ends = ends.join(half.select("gene_id", "exon").distinct(), ["gene_id", "exon"], "left_anti")
         a, b = (ends.select(*KEY, "ref", F.col("exon").alias(f"{p}_exon"), F.col("length").alias(f"{p}_length")) for p in ("proximal", "distal"))
         return a.join(b, [*KEY, "ref"]).filter("proximal_length < distal_length or (proximal_length = distal_length and proximal_exon < distal_exon)").withColumn("right", F.lit(last))
 
@@ -133,6 +166,31 @@ def alternative_ends(edges: DataFrame) -> DataFrame:
     return both.withColumn("kind", F.when(F.col("right") == (F.col("strand") == "+"), "last").otherwise("first")).select(*KEY, "kind", "ref", "proximal_exon", "distal_exon")
 
 
+def putative_ends(edges: DataFrame, half: DataFrame) -> DataFrame:
+    """gene_id, module_idx, kind (p_last, p_first), ref, half, other, half_start, half_end, other_start, other_end, distal:
+    a half exon at the end (beginning) of transcripts, which a connection joins to a full exon that is also joined, on the
+    same side, to another one; distal: whether the half exon's connection is the longer one.
+
+    half: gene_id, exon of half exons. A half exon that is left (entered) again in its module is no end, and one that is
+    joined to half exons only isn't either; its reference exon may be a half exon then as any other.
+    """
+    strands = edges.select("gene_id", "strand").distinct()
+    halves = half.select("gene_id", "exon").distinct()
+
+    def ends(ref: str, end: str, last: bool) -> DataFrame:
+        into = edges.select(*KEY, F.col(ref).alias("ref"), F.col(end).alias("half"), F.col("start").alias("half_start"), F.col("end").alias("half_end")).distinct()
+        own = into.join(halves.withColumnRenamed("exon", "half"), ["gene_id", "half"])
+        own = own.join(edges.select(*KEY, F.col(ref).alias("half")).distinct(), [*KEY, "half"], "left_anti")
+        full = own.select(*KEY, "half", "ref").distinct().join(halves.withColumnRenamed("exon", "ref"), ["gene_id", "ref"], "left_anti").select(*KEY, "half").distinct()
+        others = edges.select(*KEY, F.col(ref).alias("ref"), F.col(end).alias("other"), F.col("start").alias("other_start"), F.col("end").alias("other_end")).distinct()
+        return own.join(full, [*KEY, "half"], "left_semi").join(others, [*KEY, "ref"]).filter("other <> half").withColumn("right", F.lit(last))
+
+    both = ends("src", "dst", True).unionByName(ends("dst", "src", False)).join(strands, "gene_id")
+    distal = F.col("half_end") - F.col("half_start") > F.col("other_end") - F.col("other_start")
+    named = both.withColumns({"kind": F.when(F.col("right") == (F.col("strand") == "+"), "p_last").otherwise("p_first"), "distal": distal})
+    return named.select(*KEY, "kind", "ref", "half", "other", "half_start", "half_end", "other_start", "other_end", "distal", "right")
+
+
 def constitutive(edges: DataFrame) -> DataFrame:
     """The only edge between its two exons, which no other edge leaves or enters on these sides."""
     w = lambda c: F.count(F.lit(1)).over(W.partitionBy("gene_id", c))
@@ -151,12 +209,45 @@ def orphans(edges: DataFrame, exons: DataFrame) -> DataFrame:
     return edges.filter("not is_intron").select("gene_id", "start", "end").distinct().join(touching, ["gene_id", "start", "end"], "left_anti")
 
 
+def chains(edges: DataFrame, here: str, there: str) -> DataFrame:
+    """gene_id, exon, regions: what lies before (here dst, there src) or behind an exon on the one way that there is.
+
+    From an exon that one connection only enters, the exon before it follows if that connection is the only one that leaves
+    it, and so on; introns on the way are named too, even one whose exon doesn't follow. Every exon knows its own step;
+    steps are put together by pointer doubling, each round an equi-join and a written table, so chains of n exons take
+    log2 n rounds.
+    """
+    name = F.concat(F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit("i"))
+    w = lambda c: F.count(F.lit(1)).over(W.partitionBy("gene_id", c))
+    one = edges.withColumns({"_n": w(here), "_m": w(there)}).filter("_n = 1")
+    intron = F.when(F.col("is_intron"), F.array(name)).otherwise(F.array().cast("array<string>"))
+    goes = F.col("_m") == 1
+    now = kept(one.select("gene_id", F.col(here).alias("exon"), F.when(goes, F.concat(intron, F.array(F.col(there).cast("string")))).otherwise(intron).alias("regions"), F.when(goes, F.col(there)).alias("next")))
+    while not now.filter("next is not null").isEmpty():
+        ahead = now.select("gene_id", F.col("exon").alias("next"), F.col("regions").alias("more"), F.col("next").alias("after"))
+        met = now.join(ahead, ["gene_id", "next"], "left")
+        now = kept(met.select("gene_id", "exon", F.concat("regions", F.coalesce("more", F.array().cast("array<string>"))).alias("regions"), F.col("after").alias("next")))
+    return now.drop("next")
+
+
 def primer_regions(edges: DataFrame) -> DataFrame:
-    """Exons that two or more edges leave or enter: n_out, n_in."""
-    out = edges.groupBy("gene_id", F.col("src").alias("exon")).agg(F.count(F.lit(1)).alias("n_out"))
-    into = edges.groupBy("gene_id", F.col("dst").alias("exon")).agg(F.count(F.lit(1)).alias("n_in"))
-    both = out.join(into, ["gene_id", "exon"], "full").na.fill(0, ["n_out", "n_in"])
-    return both.filter("n_out >= 2 or n_in >= 2")
+    """gene_id, module_idx, kind (source, target), exon, edges, at_module_edge, edge_of_transcript, regions: the exons that
+    two connections or more leave or enter, and the constitutive exons and introns on their other side, nearest first, where
+    primers can lie.
+
+    kind is along the strand. at_module_edge: the exon begins (ends) its module; edge_of_transcript: nothing is on its other
+    side."""
+    found = None
+    for here, there, left in (("src", "dst", True), ("dst", "src", False)):
+        many = edges.groupBy(*KEY, "strand", F.col(here).alias("exon")).agg(F.count(F.lit(1)).alias("edges"))
+        total = edges.groupBy("gene_id", F.col(here).alias("exon")).agg(F.count(F.lit(1)).alias("all"))
+        outer = edges.groupBy(*KEY).agg((F.min("src") if left else F.max("dst")).alias("outer"))
+        other = edges.select("gene_id", F.col(there).alias("exon"), F.lit(False).alias("edge_of_transcript")).distinct()
+        part = many.join(total, ["gene_id", "exon"]).filter("all > 1").join(outer, KEY).join(other, ["gene_id", "exon"], "left").join(chains(edges, there, here), ["gene_id", "exon"], "left")
+        kind = F.when((F.col("strand") == "+") == F.lit(left), "source").otherwise("target")
+        part = part.select(*KEY, kind.alias("kind"), "exon", "edges", (F.col("exon") == F.col("outer")).alias("at_module_edge"), F.coalesce("edge_of_transcript", F.lit(True)).alias("edge_of_transcript"), F.coalesce(F.array_join("regions", ";"), F.lit("")).alias("regions"))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def all_events(edges: DataFrame) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import histogram as H
 from ..functions import kernels as K
 from .evidence import min_experiments
 
@@ -43,16 +48,36 @@ def pooled(coverage: DataFrame, keys: list[str]) -> DataFrame:
     return summed.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("rep", "x"))), lambda s: s["x"]).alias("boots"))
 
 
-def mean_psi(coverage: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds mean_psi: over the replicates the median of (x + 1 / n) / (total + 1), n the connections of the LSV and total
-    their sum in the replicate. keys: of the LSV; coverage has boots by connection."""
-    w = W.partitionBy(*keys)
-    n = F.count(F.lit(1)).over(w)
-    each = coverage.withColumn("n", n)
-    long = each.select("*", F.posexplode("boots").alias("rep", "x"))
-    total = F.sum("x").over(W.partitionBy(*keys, "rep"))
-    psi = long.withColumn("psi", (F.col("x") + 1.0 / F.col("n")) / (total + 1.0))
-    return psi.groupBy(*keys, "junc_idx").agg(F.median("psi").alias("mean_psi"))
+def dense(rows: DataFrame, connections: DataFrame, keys: list[str], value: str = "boots") -> DataFrame:
+    """keys, lsv_id, has_intron, connections array<struct<junc_idx, value>>: a row for each LSV that rows have under a key,
+    with all connections that the splicegraph gives it, in order; zeros where rows have none. So an LSV has as many
+    connections in every experiment and group, and what is shuffled is only what was seen.
+
+    rows: keys, lsv_id, junc_idx, value (a number, or an array of replicates); connections: lsv_id, junc_idx, is_intron.
+    Rows of connections that the splicegraph lacks are left out.
+    """
+    lsvs = connections.groupBy("lsv_id").agg(F.sort_array(F.collect_set("junc_idx")).alias("juncs"), F.bool_or("is_intron").alias("has_intron"))
+    seen = rows.groupBy(*keys, "lsv_id").agg(F.map_from_entries(F.collect_list(F.struct("junc_idx", value))).alias("seen"))
+    kind = rows.schema[value].dataType.simpleString()
+    none = F.transform(F.map_values("seen")[0], lambda _: F.lit(0.0)) if kind.startswith("array") else F.lit(0).cast(kind)
+    every = F.transform("juncs", lambda j: F.struct(j.alias("junc_idx"), F.coalesce(F.try_element_at("seen", j), none).alias(value)))
+    return seen.join(lsvs, "lsv_id").select(*keys, "lsv_id", "has_intron", every.alias("connections"))
+
+
+def median_of(values: Column) -> Column:
+    """The median of an array of numbers."""
+    ordered, n = F.sort_array(values), F.size(values)
+    return (F.get(ordered, ((n - 1) / 2).cast("int")) + F.get(ordered, (n / 2).cast("int"))) / 2
+
+
+def mean_psi(lsvs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lsv_id, junc_idx, mean_psi: over the replicates the median of (x + 1 / n) / (total + 1), n the connections of
+    the LSV and total their sum in the replicate. lsvs: of dense()."""
+    zeros = F.transform(F.col("connections")[0]["boots"], lambda _: F.lit(0.0))
+    totals = F.aggregate("connections", zeros, lambda a, c: F.zip_with(a, c["boots"], lambda x, y: x + y))
+    each = lsvs.select(*keys, "lsv_id", F.size("connections").alias("n"), totals.alias("totals"), F.explode("connections").alias("c"))
+    psi = F.zip_with("c.boots", "totals", lambda x, t: (x + 1.0 / F.col("n")) / (t + 1.0))
+    return each.select(*keys, "lsv_id", F.col("c.junc_idx").alias("junc_idx"), psi.alias("psi")).select(*keys, "lsv_id", "junc_idx", median_of(F.col("psi")).alias("mean_psi"))
 
 
 def bootstrap(rows: DataFrame, keys: list[str], replicates: int = 30, limit: float = 1e-7) -> DataFrame:
@@ -90,38 +115,72 @@ def bootstrap(rows: DataFrame, keys: list[str], replicates: int = 30, limit: flo
     return seeded.mapInPandas(run, f"{typed}, reads long, npos long, boots array<double>")
 
 
-def alpha_beta(boots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Beta parameters by connection and replicate of an LSV's replicates (connections x replicates)."""
-    n = len(boots)
-    return boots + 1 / n, boots.sum(0) - boots + 1 - 1 / n
+@dataclass
+class Unrolled:
+    """The connections of a batch of LSVs, one after another: the LSV of each row, its junc_idx, replicates, the
+    replicates' sums over the LSV, and the LSV's number of connections."""
+
+    lsv: np.ndarray
+    junc_idx: np.ndarray
+    boots: np.ndarray
+    totals: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Unrolled:
+        sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = column.flatten()
+        lsv = np.repeat(np.arange(len(sizes)), sizes)
+        lists = flat.field("boots")
+        boots = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+        sums = np.add.reduceat(boots, np.cumsum(sizes) - sizes, axis=0)
+        return cls(lsv, flat.field("junc_idx").to_numpy(zero_copy_only=False), boots, sums[lsv], sizes[lsv])
 
+    def alpha_beta(self) -> tuple[np.ndarray, np.ndarray]:
+        """Beta parameters by connection and replicate, with the prior 1 / n, (n - 1) / n."""
+        share = 1 / self.n[:, None]
+        return self.boots + share, self.totals - self.boots + 1 - share
 
-def psi_bins(boots: np.ndarray, bins: int = BINS, average: bool = True) -> np.ndarray:
-    """Posterior histograms by connection: the mean over the replicates of the beta's masses in equal bins."""
-    a, b = alpha_beta(boots)
+    def means(self) -> np.ndarray:
+        """The median over the replicates of the posterior means."""
+        return np.median((self.boots + 1 / self.n[:, None]) / (self.totals + 1), 1)
+
+
+def psi_masses(a: np.ndarray, b: np.ndarray, bins: int) -> np.ndarray:
+    """Posterior histograms (rows x replicates x bins): the beta's masses in equal bins."""
     mass = np.diff(K.beta_cdf(np.linspace(0, 1, bins + 1), a[..., None], b[..., None]), axis=-1) + 1e-20
-    mass /= mass.sum(-1, keepdims=True)
-    return mass.mean(1) if average else mass
+    return mass / mass.sum(-1, keepdims=True)
 
 
-def by_lsv(coverage: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each LSV with its connections' replicates in order."""
-    return coverage.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("junc_idx", "boots"))).alias("connections"))
+BLOCK = 2048  # rows that a kernel works on at a time
 
 
-def psi_posterior(coverage: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, junc_idx, bins (40) of pooled coverage."""
-    typed = ", ".join(f"{k} {coverage.schema[k].dataType.simpleString()}" for k in keys)
+def blocks(n: int) -> Iterator[slice]:
+    return (slice(at, at + BLOCK) for at in range(0, n, BLOCK))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def lists_of(values: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists."""
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(np.ascontiguousarray(values).ravel()))
+
+
+def psi_posterior(lsvs: DataFrame, keys: list[str], bins: int = BINS) -> DataFrame:
+    """keys, lsv_id, junc_idx, bins: the mean over the replicates of the connections' posterior histograms. lsvs: of
+    dense()."""
+    typed = ", ".join(f"{k} {lsvs.schema[k].dataType.simpleString()}" for k in (*keys, "lsv_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                boots = np.array([c["boots"] for c in row.connections], float)
-                rows += [(*(getattr(row, k) for k in keys), c["junc_idx"], h) for c, h in zip(row.connections, psi_bins(boots))]
-            yield pd.DataFrame(rows, columns=[*keys, "junc_idx", "bins"])
+            if not batch.num_rows:
+                continue
+            u = Unrolled.of(batch.column("connections"))
+            a, b = u.alpha_beta()
+            found = np.concatenate([psi_masses(a[x], b[x], bins).mean(1) for x in blocks(len(a))])
+            own = [batch.column(k).take(pa.array(u.lsv)) for k in (*keys, "lsv_id")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(u.junc_idx, pa.int32()), lists_of(found)], [*keys, "lsv_id", "junc_idx", "bins"])
 
-    return by_lsv(coverage, keys).mapInPandas(run, f"{typed}, junc_idx int, bins array<double>")
+    return lsvs.select(*keys, "lsv_id", "connections").mapInArrow(run, f"{typed}, junc_idx int, bins array<double>")
 
 
 def default_prior(spike: float = 0.95, width: float = 0.05) -> np.ndarray:
@@ -131,76 +190,153 @@ def default_prior(spike: float = 0.95, width: float = 0.05) -> np.ndarray:
     return np.log(p / p.sum())
 
 
-def collapsed(joint: np.ndarray) -> np.ndarray:
-    """Sums of the diagonals of (.., 20, 20) matrices: 39 differences, second less first."""
-    return np.stack([np.trace(joint, k, -2, -1) for k in range(-(SIDE - 1), SIDE)], -1)
+def prior_matrix(log_prior: np.ndarray) -> np.ndarray:
+    """The prior of each pair of bins (first, second), which depends on their difference alone."""
+    i = np.arange(SIDE)
+    matrix = np.exp(log_prior[i[None, :] - i[:, None] + SIDE - 1])
+    return matrix / matrix.sum()
+
+
+def diagonals() -> np.ndarray:
+    """(400, 39) zeros and ones: the difference, second less first, that each pair of bins belongs to."""
+    i = np.arange(SIDE)
+    return (np.arange(2 * SIDE - 1) == (i[None, :] - i[:, None] + SIDE - 1).ravel()[:, None]).astype(float)
+
+
+def collapsed_prior(log_prior: np.ndarray) -> np.ndarray:
+    """The prior of the 39 differences: that of their pairs, summed up."""
+    return prior_matrix(log_prior).ravel() @ diagonals()
+
 
+def without_prior(changes: DataFrame, junction_prior: np.ndarray, intron_prior: np.ndarray) -> DataFrame:
+    """changes (of delta_psi) with its bins divided by the prior that was used for the LSV, normalised again."""
+    prior = F.when(F.col("has_intron"), F.array(*map(F.lit, collapsed_prior(intron_prior).tolist()))).otherwise(F.array(*map(F.lit, collapsed_prior(junction_prior).tolist())))
+    return changes.withColumn("bins", H.without_prior(F.col("bins"), prior))
 
-def delta_psi(first: DataFrame, second: DataFrame, prior: np.ndarray | None = None) -> DataFrame:
-    """lsv_id, junc_idx, bins (39), g1_bins, g2_bins (20) of LSVs in both groups' pooled coverage.
+
+def joint_posterior(p: np.ndarray, q: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Mean over the replicates of the normalised products of both groups' histograms (rows x replicates x 20) and the
+    prior of their pairs (rows x 20 x 20): rows x 20 x 20."""
+    weight = 1 / (np.matmul(p, matrix) * q).sum(-1, keepdims=True)
+    return np.matmul((p * weight).transpose(0, 2, 1), q) * matrix / p.shape[1]
+
+
+def delta_psi(first: DataFrame, second: DataFrame, junction_prior: np.ndarray | None = None, intron_prior: np.ndarray | None = None) -> DataFrame:
+    """lsv_id, has_intron, junc_idx, bins (39), g1_bins, g2_bins (20), mean_psi_1, mean_psi_2 of every connection of the LSVs that both
+    groups have. first, second: of dense(), so that a connection that only one group uses stays.
 
     For each replicate the product of both groups' histograms and the prior of their difference, normalised; their mean,
-    collapsed to the differences.
+    collapsed to the differences. LSVs with an intron have a prior of their own. Means are medians over the replicates of
+    the posterior means.
     """
-    log_prior = default_prior() if prior is None else prior
-    i = np.arange(SIDE)
-    matrix = np.exp(log_prior[i[None, :] - i[:, None] + SIDE - 1])
-    matrix /= matrix.sum()
-    one, two = by_lsv(first, ["lsv_id"]).withColumnRenamed("connections", "c1"), by_lsv(second, ["lsv_id"]).withColumnRenamed("connections", "c2")
+    matrices = np.stack([prior_matrix(default_prior() if x is None else x) for x in (junction_prior, intron_prior)])
+    both = first.select("lsv_id", "has_intron", F.col("connections").alias("c1")).join(second.select("lsv_id", F.col("connections").alias("c2")), "lsv_id")
+    names = ["lsv_id", "has_intron", "junc_idx", "bins", "g1_bins", "g2_bins", "mean_psi_1", "mean_psi_2"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        along = diagonals()
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                juncs = sorted({c["junc_idx"] for c in row.c1} & {c["junc_idx"] for c in row.c2})
-                if len(juncs) < 2:
-                    continue
-                get = lambda cs: psi_bins(np.array([c["boots"] for c in cs if c["junc_idx"] in juncs], float), SIDE, False)
-                p, q = get(row.c1), get(row.c2)
-                joint = np.einsum("jrx,jry->jrxy", p, q) * matrix
-                joint /= joint.sum((-2, -1), keepdims=True)
-                rows += [(row.lsv_id, int(j), d, x, y) for j, d, x, y in zip(juncs, collapsed(joint.mean(1)), p.mean(1), q.mean(1))]
-            yield pd.DataFrame(rows, columns=["lsv_id", "junc_idx", "bins", "g1_bins", "g2_bins"])
-
-    return one.join(two, "lsv_id").mapInPandas(run, "lsv_id string, junc_idx int, bins array<double>, g1_bins array<double>, g2_bins array<double>")
-
-
-def prior_of(differences: DataFrame, least: int = 100, spike: float = 0.075, centre: float = 0.325, weighted: bool = False) -> np.ndarray:
-    """Log prior from empirical differences (column x): equal parts of a flat one and two betas fitted by moments to the
-    small and the middle differences; the default one when there are `least` or fewer. What reaches the driver is one
-    row of counts and moments."""
-    size = F.abs("x")
-    small, middle = size <= spike, (size > spike) & (size <= centre)
-    got = differences.agg(F.count("x").alias("n"), F.count(F.when(small, 1)).alias("n1"), F.count(F.when(middle, 1)).alias("n2"), F.var_samp(F.when(small, F.col("x"))).alias("v1"), F.var_samp(F.when(middle, F.col("x"))).alias("v2")).first()
-    if got.n <= least or not got.v1 or not got.v2:
-        return default_prior()
+            if not batch.num_rows:
+                continue
+            one, two = Unrolled.of(batch.column("c1")), Unrolled.of(batch.column("c2"))
+            kind = batch.column("has_intron").to_numpy(zero_copy_only=False).astype(np.int64)[one.lsv]
+            (a1, b1), (a2, b2) = one.alpha_beta(), two.alpha_beta()
+            change, left, right = [], [], []
+            for x in blocks(len(a1)):
+                p, q = psi_masses(a1[x], b1[x], SIDE), psi_masses(a2[x], b2[x], SIDE)
+                change.append(joint_posterior(p, q, matrices[kind[x]]).reshape(len(p), -1) @ along)
+                left.append(p.mean(1))
+                right.append(q.mean(1))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(one.lsv)) for c in ("lsv_id", "has_intron")), pa.array(one.junc_idx, pa.int32()), *(lists_of(np.concatenate(x)) for x in (change, left, right)), pa.array(one.means()), pa.array(two.means())], names)
+
+    return both.mapInArrow(run, "lsv_id string, has_intron boolean, junc_idx int, bins array<double>, g1_bins array<double>, g2_bins array<double>, mean_psi_1 double, mean_psi_2 double")
+
+
+def best_differences(first: DataFrame, second: DataFrame, connections: DataFrame, most: int = 2) -> DataFrame:
+    """is_intron, x: the empirical differences of PSI, both ways, of the first connections of LSVs with at most `most`
+    connections; is_intron where the LSV has an intron. first, second: lsv_id, junc_idx, psi of the best sets."""
+    lsvs = connections.groupBy("lsv_id").agg(F.count_distinct("junc_idx").alias("n"), F.min("junc_idx").alias("junc_idx"), F.bool_or("is_intron").alias("is_intron")).filter(F.col("n") <= most)
+    side = lambda df, name: df.select("lsv_id", "junc_idx", F.col("psi").alias(name))
+    met = lsvs.join(side(first, "x1"), ["lsv_id", "junc_idx"]).join(side(second, "x2"), ["lsv_id", "junc_idx"])
+    return met.select("is_intron", F.explode(F.array(F.col("x2") - F.col("x1"), F.col("x1") - F.col("x2"))).alias("x"))
+
+
+def fitted_prior(n: int, n1: int, n2: int, v1: float | None, v2: float | None, least: int, weighted: bool) -> np.ndarray | None:
+    """Log prior of a mixture from counts and variances of the small and the middle differences; None if there are `least`
+    differences or fewer, or nothing varies."""
+    if n <= least or not v1 or not v2:
+        return None
     edges = np.linspace(0, 1, 2 * SIDE)
     parts = []
-    for v in (got.v1, got.v2):
-        a = 0.5 * (0.25 / (v / 4) - 1)  # moments of (x + 1) / 2 around 0.5
-        parts.append(np.diff(K.beta_cdf(edges, max(a, 1.0), max(a, 1.0))))
+    for v in (v1, v2):
+        a = max(0.5 * (0.25 / (v / 4) - 1), 1.0)  # moments of (x + 1) / 2 around 0.5
+        parts.append(np.diff(K.beta_cdf(edges, a, a)))
     parts.append(np.full(2 * SIDE - 1, 1 / (2 * SIDE - 1)))
-    weight = np.array([got.n1, got.n2, got.n - got.n1 - got.n2], float) + 1 if weighted else np.ones(3)
+    weight = np.array([n1, n2, n - n1 - n2], float) + 1 if weighted else np.ones(3)
     mixed = sum(w * p for w, p in zip(weight / weight.sum(), parts)) + 1e-12
     return np.log(mixed / mixed.sum())
 
 
-def psi_samples(coverage: DataFrame, samples: int = 100) -> DataFrame:
-    """experiment, lsv_id, junc_idx, sample_idx, psi: draws from the mixture over replicates of the beta posteriors; sample
-    0 is the median of the posterior means. Seeded by experiment, LSV and connection."""
-    rows = by_lsv(coverage, ["experiment", "lsv_id"]).withColumn("seed", F.xxhash64("experiment", "lsv_id"))
+def priors_of(differences: DataFrame, least: int = 100, spike: float = 0.075, centre: float = 0.325, weighted: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Log priors of junction and of intron LSVs from empirical differences (is_intron, x): equal parts of a flat one and
+    two betas fitted by moments to the small and the middle differences.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    With `least` or fewer differences of junction LSVs both are the default one; with as few of intron LSVs these have the
+    junctions' prior. What reaches the driver is a row of counts and moments for each kind.
+    """
+    size = F.abs("x")
+    small, middle = size <= spike, (size > spike) & (size <= centre)
+    got = differences.groupBy("is_intron").agg(F.count("x").alias("n"), F.count(F.when(small, 1)).alias("n1"), F.count(F.when(middle, 1)).alias("n2"), F.var_samp(F.when(small, F.col("x"))).alias("v1"), F.var_samp(F.when(middle, F.col("x"))).alias("v2"))
+    fit = {r.is_intron: fitted_prior(r.n, r.n1, r.n2, r.v1, r.v2, least, weighted) for r in got.collect()}
+    junction = fit.get(False)
+    if junction is None:
+        return default_prior(), default_prior()
+    intron = fit.get(True)
+    return junction, junction if intron is None else intron
+
+
+def least_samples(std: float, experiments: int) -> int:
+    """How many draws of each experiment keep the standard error of a group's histogram under std: its variance is at most
+    1 / (4 experiments draws)."""
+    return max(1, math.ceil(1 / (4 * experiments * std * std)))
+
+
+def psi_samples(lsvs: DataFrame, samples: int = 100, drawn: int = 0, bins: int = BINS) -> DataFrame:
+    """experiment, lsv_id, junc_idx, psi array<double> (1 + samples), shares array<double> (bins).
+
+    psi: first the median over the replicates of the posterior means, then draws from the mixture over the replicates of
+    the beta posteriors; shares: the parts in equal bins of all max(samples, drawn) draws, which don't leave the task
+    otherwise. Seeded by experiment, LSV and connection. lsvs: of dense() by experiment.
+    """
+    total = max(samples, drawn, 1)
+    rows = lsvs.select("experiment", "lsv_id", "connections", F.xxhash64("experiment", "lsv_id").alias("seed"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                a, b = alpha_beta(np.array([c["boots"] for c in row.connections], float))
-                for k, c in enumerate(row.connections):
-                    rng = np.random.default_rng((row.seed + c["junc_idx"]) & (1 << 63) - 1)
-                    pick = rng.integers(0, a.shape[1], samples)
-                    psi = np.concatenate(([np.median(a[k] / (a[k] + b[k]))], rng.beta(a[k][pick], b[k][pick])))
-                    yield pd.DataFrame({"experiment": row.experiment, "lsv_id": row.lsv_id, "junc_idx": c["junc_idx"], "sample_idx": np.arange(samples + 1, dtype=np.int32), "psi": psi})
-
-    return rows.mapInPandas(run, "experiment int, lsv_id string, junc_idx int, sample_idx int, psi double")
+            if not batch.num_rows:
+                continue
+            u = Unrolled.of(batch.column("connections"))
+            a, b = u.alpha_beta()
+            seeds = batch.column("seed").to_numpy()[u.lsv] + u.junc_idx
+            psi, shares = np.empty((len(a), samples + 1)), np.empty((len(a), bins))
+            psi[:, 0] = u.means()
+            for k, seed in enumerate(seeds.tolist()):
+                rng = np.random.default_rng(seed & (1 << 63) - 1)
+                pick = rng.integers(0, a.shape[1], total)
+                draws = rng.beta(a[k][pick], b[k][pick])
+                psi[k, 1:] = draws[:samples]
+                shares[k] = np.bincount(np.minimum((draws * bins).astype(int), bins - 1), minlength=bins) / total
+            own = [batch.column(c).take(pa.array(u.lsv)) for c in ("experiment", "lsv_id")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(u.junc_idx, pa.int32()), lists_of(psi), lists_of(shares)], ["experiment", "lsv_id", "junc_idx", "psi", "shares"])
+
+    return rows.mapInArrow(run, f"experiment {lsvs.schema['experiment'].dataType.simpleString()}, lsv_id string, junc_idx int, psi array<double>, shares array<double>")
+
+
+def sampled_histograms(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, experiments, bins: the mean of the experiments' shares of draws in each bin. samples: of psi_samples()."""
+    each = samples.select(*keys, "experiment", F.posexplode("shares").alias("bin", "share"))
+    by_bin = each.groupBy(*keys, "bin").agg(F.avg("share").alias("share"), F.count_distinct("experiment").alias("experiments"))
+    return by_bin.groupBy(*keys).agg(F.max("experiments").alias("experiments"), F.transform(F.sort_array(F.collect_list(F.struct("bin", "share"))), lambda x: x["share"]).alias("bins"))
 
 
 def empirical_psi(summed: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from ..functions import kernels as K
 
 KEY = ["lsv_id", "junc_idx"]
+VARIES = 1e-24  # squared standard errors up to this are rounding
 
 
 def group_summary(psi: DataFrame) -> DataFrame:
@@ -79,46 +81,92 @@ def heterogen_nonchanging(both: DataFrame, p: str = "p", p_least: float = 0.05,
     return both.withColumn("nonchanging", (F.col(p) >= p_least) & (F.greatest("a_iqr", "b_iqr") <= iqr) & (F.abs("dpsi") <= dpsi))
 
 
-def ttest_p(x: np.ndarray, y: np.ndarray) -> tuple[float, float | None]:
-    if len(x) < 2 or len(y) < 2:
-        return 1.0, None
-    e1, e2 = x.var(ddof=1) / len(x), y.var(ddof=1) / len(y)
-    if e1 + e2 <= 0:
-        return 1.0, None
-    dof = (e1 + e2) ** 2 / (e1**2 / (len(x) - 1) + e2**2 / (len(y) - 1))
-    return float(K.t_two_sided((x.mean() - y.mean()) / np.sqrt(e1 + e2), dof)), None
+@dataclass
+class Ordered:
+    """Columns of samples of two groups, each column in order: `first` marks the first group's values; `last` where the
+    last of a run of equal values is; n, m: the groups' sizes."""
 
+    x: np.ndarray
+    y: np.ndarray
+    values: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
 
-def wilcoxon_p(x: np.ndarray, y: np.ndarray) -> tuple[float, float | None]:
-    both = np.concatenate((x, y))
-    _, place, ties = np.unique(both, return_inverse=True, return_counts=True)
-    ranks = (np.cumsum(ties) - (ties - 1) / 2)[place]
-    u = ranks[: len(x)].sum() - len(x) * (len(x) + 1) / 2
-    return K.u_test(u, len(x), len(y), list(ties)), None
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray) -> Ordered:
+        both = np.concatenate((x, y))
+        order = np.argsort(both, axis=0, kind="stable")
+        values = np.take_along_axis(both, order, 0)
+        last = np.concatenate((values[1:] != values[:-1], np.ones((min(1, len(both)), both.shape[1]), bool)))
+        return cls(x, y, values, order < len(x), last)
 
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first and the last place of the run of equal values that each value is in."""
+        at = np.arange(len(self.values))[:, None]
+        begins = np.concatenate((np.ones((min(1, len(self.last)), self.last.shape[1]), bool), self.last[:-1]))
+        first = np.maximum.accumulate(np.where(begins, at, 0), axis=0)
+        final = np.minimum.accumulate(np.where(self.last, at, len(at))[::-1], axis=0)[::-1]
+        return first, final
 
-def splits(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.unique(np.concatenate((x, y)))
-    return np.searchsorted(np.sort(x), at, "right"), np.searchsorted(np.sort(y), at, "right")
+    def below(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many values of each group lie up to and with each place."""
+        return np.cumsum(self.first, axis=0), np.cumsum(~self.first, axis=0)
 
 
-def tnom_p(x: np.ndarray, y: np.ndarray) -> tuple[float, float | None]:
-    if not len(x) or not len(y):
-        return 1.0, None
-    a, b = splits(x, y)
-    score = int(min(len(x), len(y), np.minimum(a + len(y) - b, len(x) - a + b).min()))
-    return K.tnom_p(score, len(x), len(y)), float(score)
+Tested = tuple[np.ndarray, np.ndarray]
 
 
-def infoscore_p(x: np.ndarray, y: np.ndarray) -> tuple[float, float | None]:
-    if not len(x) or not len(y):
-        return 1.0, None
-    a, b = splits(x, y)
-    score = min(K.entropy(i, j) + K.entropy(len(x) - i, len(y) - j) for i, j in zip(a.tolist(), b.tolist()))
-    return K.info_p(round(score, 9), len(x), len(y)), float(score)
+def ttest(o: Ordered) -> Tested:
+    n, m, none = len(o.x), len(o.y), np.full(o.x.shape[1], np.nan)
+    if n < 2 or m < 2:
+        return np.ones(len(none)), none
+    e1, e2 = o.x.var(0, ddof=1) / n, o.y.var(0, ddof=1) / m
+    some = e1 + e2 > VARIES
+    safe = np.where(some, e1 + e2, 1.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dof = np.where(some, safe * safe / (e1 * e1 / (n - 1) + e2 * e2 / (m - 1)), 1.0)
+    return np.where(some, K.t_two_sided((o.x.mean(0) - o.y.mean(0)) / np.sqrt(safe), dof), 1.0), none
 
 
-TESTS: dict[str, Callable] = {"INFOSCORE": infoscore_p, "TNOM": tnom_p, "TTEST": ttest_p, "WILCOXON": wilcoxon_p}
+def wilcoxon(o: Ordered) -> Tested:
+    n, m = len(o.x), len(o.y)
+    begin, end = o.runs()
+    u = np.where(o.first, (begin + end) / 2 + 1, 0).sum(0) - n * (n + 1) / 2
+    size = end - begin + 1.0
+    return K.u_tests(u, n, m, np.where(o.last, size**3 - size, 0).sum(0)), np.full(o.x.shape[1], np.nan)
+
+
+def by_score(scores: np.ndarray, p: Callable[[float], float]) -> np.ndarray:
+    """p of each score, computed once for each distinct one."""
+    distinct, place = np.unique(scores, return_inverse=True)
+    return np.array([p(s) for s in distinct.tolist()])[place]
+
+
+def tnom_test(o: Ordered) -> Tested:
+    n, m = len(o.x), len(o.y)
+    if not n or not m:
+        return np.ones(o.x.shape[1]), np.full(o.x.shape[1], np.nan)
+    a, b = o.below()
+    wrong = np.where(o.last, np.minimum(a + m - b, n - a + b), n + m).min(0)
+    score = np.minimum(wrong, min(n, m))
+    return by_score(score, lambda s: K.tnom_p(int(s), n, m)), score.astype(float)
+
+
+def infoscore_test(o: Ordered) -> Tested:
+    n, m = len(o.x), len(o.y)
+    if not n or not m:
+        return np.ones(o.x.shape[1]), np.full(o.x.shape[1], np.nan)
+    a, b = o.below()
+
+    def term(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where((x > 0) & (y > 0), -(x * np.log(x / (x + y)) + y * np.log(y / (x + y))), 0.0)
+
+    score = np.where(o.last, term(a, b) + term(n - a, m - b), np.inf).min(0)
+    return by_score(np.round(score, 9), lambda s: K.info_p(s, n, m)), score
+
+
+TESTS: dict[str, Callable[[Ordered], Tested]] = {"INFOSCORE": infoscore_test, "TNOM": tnom_test, "TTEST": ttest, "WILCOXON": wilcoxon}
 
 
 def chosen_tests(names: list[str]) -> list[str]:
@@ -133,21 +181,32 @@ def chosen_tests(names: list[str]) -> list[str]:
 def tests_of_samples(samples: DataFrame, names: list[str], quantile: float = 0.95, first: str = "A") -> DataFrame:
     """lsv_id, junc_idx, stat, p_mean, p_quantile, score.
 
-    samples: grp, experiment, lsv_id, junc_idx, sample_idx, psi. For each sample index the test compares the experiments
-    of both groups; p_mean is that of sample 0, p_quantile the quantile over the others, score the median of theirs.
+    samples: grp, experiment, lsv_id, junc_idx, psi array<double>, whose place 0 is the mean and the others draws. At each
+    place the test compares the experiments of both groups; p_mean is that of place 0, p_quantile the quantile over the
+    draws, score the median of theirs (null where a test has none, or there are no draws). A connection's experiments meet
+    in one row, all its places are tested at once.
     """
     chosen = chosen_tests(names)
-    grouped = samples.filter("psi is not null").groupBy(*KEY, "sample_idx").agg(F.sort_array(F.collect_list(F.when(F.col("grp") == first, F.col("psi")))).alias("x"), F.sort_array(F.collect_list(F.when(F.col("grp") != first, F.col("psi")))).alias("y"))
+    of = lambda own: F.transform(F.sort_array(F.collect_list(F.when(own, F.struct("experiment", "psi")))), lambda s: s["psi"])
+    grouped = samples.groupBy(*KEY).agg(of(F.col("grp") == first).alias("x"), of(F.col("grp") != first).alias("y"))
+
+    def matrix(rows, width: int) -> np.ndarray:
+        return np.array([np.asarray(r, float) for r in rows]).reshape(-1, width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name in chosen:
-                found = [TESTS[name](np.asarray(x, float), np.asarray(y, float)) for x, y in zip(batch["x"], batch["y"])]
-                yield batch[[*KEY, "sample_idx"]].assign(stat=name, p=[p for p, _ in found], score=[s for _, s in found])
-
-    each = grouped.mapInPandas(run, "lsv_id string, junc_idx int, sample_idx int, stat string, p double, score double")
-    drawn = F.col("sample_idx") > 0
-    return each.groupBy(*KEY, "stat").agg(F.max(F.when(~drawn, F.col("p"))).alias("p_mean"), F.percentile(F.when(drawn, F.col("p")), F.lit(quantile)).alias("p_quantile"), F.median(F.when(drawn, F.col("score"))).alias("score"))
+            out = []
+            for lsv, junc, x, y in zip(batch["lsv_id"], batch["junc_idx"], batch["x"], batch["y"]):
+                width = len((x if len(x) else y)[0])
+                ordered = Ordered.of(matrix(x, width), matrix(y, width))
+                for name in chosen:
+                    p, score = TESTS[name](ordered)
+                    drawn = width > 1
+                    middle = float(np.median(score[1:])) if drawn else np.nan
+                    out.append((lsv, junc, name, p[0], float(np.quantile(p[1:], quantile)) if drawn else None, None if np.isnan(middle) else middle))
+            yield pd.DataFrame(out, columns=[*KEY, "stat", "p_mean", "p_quantile", "score"])
+
+    return grouped.mapInPandas(run, "lsv_id string, junc_idx int, stat string, p_mean double, p_quantile double, score double")
 
 
 def group_heat_map(summary: DataFrame) -> DataFrame:

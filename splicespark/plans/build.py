@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as E
 from ..operators import structure as S
+from ..operators.quant import dense
 from ..sources import driver_views as V
 
 KEYS = ["gene_id", "lsv_id", "junc_idx"]
@@ -197,23 +198,106 @@ def junction_gene_distances(spark, sf_dir):
     return S.gene_distance(found).groupBy("gene_id", "distance").agg(F.count(F.lit(1)).alias("junctions"))
 
 
+# Every admissible read, spliced or not: what its introns must meet, and where it parts from the reference.
+SPANS_SQL = f"""WITH {V.ALIGNMENTS_SQL}, {V.GENE_INTERVALS_SQL}, al AS (SELECT *, row_number() OVER () AS id, regexp_extract_all(cigar, '[0-9]+[MIDNSHPX=]') AS os FROM alignments WHERE flag & 260 = 0),
+  op AS (SELECT id, k, CAST(regexp_extract(o, '[0-9]+') AS INT) AS n, right(o, 1) AS c FROM (SELECT id, unnest(os) AS o, generate_subscripts(os, 1) AS k FROM al)),
+  st AS (SELECT *, CASE WHEN c IN ('M', 'I', '=', 'X') THEN n ELSE 0 END AS dr, CASE WHEN c IN ('M', 'D', 'N', '=', 'X') THEN n ELSE 0 END AS dg FROM op WHERE c NOT IN ('S', 'H')),
+  wk AS (SELECT *, coalesce(sum(dr) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r, coalesce(sum(dg) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g, sum(dr) OVER (PARTITION BY id) AS len FROM st),
+  sp AS (SELECT id, any_value(len) AS len, max(CASE WHEN dr > 0 AND r < 8 AND r + dr >= 8 THEN g + CASE WHEN dg > 0 THEN 8 - r ELSE 0 END END) AS f, max(CASE WHEN dr > 0 AND r + dr > len - 8 AND r <= len - 8 THEN 1 + g + CASE WHEN dg > 0 THEN len - 8 - r ELSE 0 END END) AS l FROM wk GROUP BY id),
+  gp AS (SELECT id, 0 AS g, 0 AS r FROM al UNION ALL SELECT id, g + dg, r + dr FROM wk WHERE (dr > 0) <> (dg > 0)),
+  cl AS (SELECT id, coalesce(max(n) FILTER (c = 'S' AND k = len(os) AND k > 1), 0) AS clip FROM al JOIN op USING (id) GROUP BY id),
+  rd AS (SELECT al.id, experiment, read_id, chrom, pos, CASE WHEN ((flag & 16) <> 0) = ((flag & 128) <> 0) THEN '+' ELSE '-' END AS strand, pos + coalesce(f, -10 - pos) AS f, pos + l AS l, sp.len, clip FROM al JOIN sp USING (id) JOIN cl USING (id) WHERE l IS NOT NULL),
+  hit AS (SELECT rd.*, i.gene_id, i."start" AS i_s, i."end" AS i_e FROM rd JOIN introns i ON rd.chrom = i.chrom AND i."end" >= rd.f AND i."start" <= rd.l AND {{strand}} WHERE NOT EXISTS (SELECT 1 FROM wk WHERE wk.id = rd.id AND wk.c = 'N' AND rd.pos + wk.g <= i."end" AND i."start" <= rd.pos + wk.g + wk.n + 1)),
+  ofs AS (SELECT h.experiment, h.read_id, h.gene_id, i_s, i_e, len - 8 + clip + CASE WHEN pos + 1 >= i_s THEN pos + 1 - i_s ELSE (SELECT max_by(pos + gp.g + 1 - i_s - gp.r, gp.g * 100000 + gp.r) FROM gp WHERE gp.id = h.id AND pos + gp.g < i_s) END AS o FROM hit h)"""
+LONG_INTRONS_SQL = """introns AS (SELECT gene_id, chrom, strand, "start" + 201 AS "start", "end" - 201 AS "end" FROM gene_intervals WHERE "end" - "start" > 410)"""
+
+
+def long_introns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gene_id, chrom, strand, start, end: between the exons at both ends of a gene, as the annotation has them."""
+    return V.gene_intervals(spark, sf_dir).filter("end - start > 410").select("gene_id", "chrom", "strand", (F.col("start") + 201).alias("start"), (F.col("end") - 201).alias("end"))
+
+
+@query(f"""{SPANS_SQL.replace("al AS (", f"{LONG_INTRONS_SQL}, al AS (", 1).format(strand="true")} SELECT gene_id, CAST(i_s AS INT) AS "start", CAST(i_e AS INT) AS "end", experiment, count(DISTINCT read_id) AS reads FROM hit GROUP BY ALL""")
+def intron_reads(spark, sf_dir):
+    spans = E.intron_spans(V.alignments(spark, sf_dir))
+    return E.intron_reads(E.intron_hits(spans, long_introns(spark, sf_dir)))
+
+
+def stranded_introns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intron hits by strand, with their bins' rates."""
+    reads = V.alignments(spark, sf_dir)
+    hits = E.intron_hits(E.intron_spans(reads, protocol="forward"), long_introns(spark, sf_dir))
+    return E.intron_rates(hits, E.effective_length(reads))
+
+
+RATES_SQL = f"""{SPANS_SQL.replace("al AS (", f"{LONG_INTRONS_SQL}, al AS (", 1).format(strand="rd.strand = i.strand")}, el AS (SELECT experiment, greatest(0, max(seq_len) + 1 - 16) AS eff FROM alignments GROUP BY experiment),
+  pl AS (SELECT o.*, eff, (i_e - i_s + 1 + eff) // eff AS small, (i_e - i_s + 1 + eff) % eff AS extra FROM ofs o JOIN el USING (experiment) WHERE o >= 0 AND o < i_e - i_s + 1 + eff),
+  bn AS (SELECT *, CASE WHEN o < extra * (small + 1) THEN o // (small + 1) ELSE extra + (o - extra * (small + 1)) // greatest(small, 1) END AS bin FROM pl),
+  rates AS (SELECT experiment, gene_id, CAST(i_s AS INT) AS "start", CAST(i_e AS INT) AS "end", CAST(bin AS INT) AS bin, count(*) / CAST(max(CASE WHEN bin < extra THEN small + 1 ELSE small END) AS DOUBLE) AS rate FROM bn GROUP BY ALL)"""
+
+
+@query(f"""{RATES_SQL} SELECT experiment, gene_id, "start", "end", bin, round(rate, 6) AS rate FROM rates""")
+def intron_coverage_rates(spark, sf_dir):
+    return stranded_introns(spark, sf_dir).withColumn("rate", F.round("rate", 6))
+
+
+def gene_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gene_id, chrom, strand, start, end: of each gene an exon at either end, and a de-novo one between if it is long."""
+    genes, c = V.gene_intervals(spark, sf_dir), F.col
+    exon = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
+    ends = [exon(c("start"), c("start") + 200), exon(c("end") - 200, c("end"))]
+    size = c("end") - c("start")
+    parts = F.when(size >= 1200, F.array(ends[0], exon(c("start") + 500, c("start") + 700), ends[1])).when(size > 410, F.array(*ends)).otherwise(F.array(exon(c("start"), c("end"))))
+    return genes.select("gene_id", "chrom", "strand", F.explode(parts).alias("x")).select("gene_id", "chrom", "strand", "x.start", "x.end")
+
+
+GENE_EXONS_SQL = """ex AS (SELECT gene_id, strand, unnest(CASE WHEN "end" - "start" >= 1200 THEN [{'s': "start", 'e': "start" + 200}, {'s': "start" + 500, 'e': "start" + 700}, {'s': "end" - 200, 'e': "end"}]
+    WHEN "end" - "start" > 410 THEN [{'s': "start", 'e': "start" + 200}, {'s': "end" - 200, 'e': "end"}] ELSE [{'s': "start", 'e': "end"}] END) AS x FROM gene_intervals),
+  xs AS (SELECT gene_id, strand, x.s AS s, x.e AS e FROM ex), gi AS (SELECT gene_id, lag(e) OVER w + 1 AS "start", s - 1 AS "end" FROM xs WINDOW w AS (PARTITION BY gene_id ORDER BY s)),
+  own_introns AS (SELECT * FROM gi WHERE "start" IS NOT NULL AND "start" <= "end" + 1)"""
+
+
+def splicegraph_introns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.potential_introns(gene_exons(spark, sf_dir))
+
+
 @query(
-    f"""{CIGAR_SQL}, {V.GENE_INTERVALS_SQL}, spans AS (SELECT experiment, read_id, chrom, pos + 1 AS "start", pos + sum(CASE WHEN c IN ('M','D','N') THEN n ELSE 0 END) AS "end" FROM walked GROUP BY experiment, read_id, chrom, pos),
-    js AS (SELECT read_id, pos + g AS js, pos + g + n + 1 AS je FROM walked WHERE c = 'N'),
-    introns AS (SELECT gene_id, chrom, "start" + 200 AS "start", "end" AS "end" FROM gene_intervals WHERE "end" > "start" + 208),
-    hits AS (SELECT s.*, i.gene_id, i."start" AS i_s, i."end" AS i_e FROM spans s JOIN introns i ON s.chrom = i.chrom AND s."start" <= i."end" AND i."start" <= s."end" WHERE least(s."end", i."end") - greatest(s."start", i."start") + 1 >= 8)
-    SELECT gene_id, CAST(i_s AS INT) AS "start", CAST(i_e AS INT) AS "end", experiment, count(DISTINCT read_id) AS reads FROM hits
-    WHERE NOT EXISTS (SELECT 1 FROM js WHERE js.read_id = hits.read_id AND js.js < hits.i_e AND js.je > hits.i_s) GROUP BY ALL"""
+    f"""{RATES_SQL}, {GENE_EXONS_SQL}, sm AS (SELECT experiment, gene_id, "start", "end", CAST(floor(sum(rate) + 1e-9) AS BIGINT) AS reads, count(*) AS npos FROM rates GROUP BY ALL)
+    SELECT gene_id, i."start", i."end", experiment, max_by(reads, sm."end") AS reads, max_by(npos, sm."end") AS npos FROM sm JOIN own_introns i USING (gene_id) WHERE i."start" - 2 < sm."end" AND i."end" > sm."start" - 2 GROUP BY ALL"""
 )
-def intron_reads(spark, sf_dir):
-    reads = E.admissible(V.alignments(spark, sf_dir)).filter(F.col("cigar").contains("N"))
-    ops = reads.select("experiment", "read_id", "chrom", "pos", E.cigar_ops(F.col("cigar")).alias("ops"))
-    on_ref = lambda x: F.when(x["op"].isin("M", "D", "N"), x["n"]).otherwise(F.lit(0))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    walk = F.aggregate("ops", F.struct(F.col("pos").alias("at"), empty.alias("j")), lambda a, x: F.struct((a["at"] + on_ref(x)).alias("at"), F.when(x["op"] == "N", F.concat(a["j"], F.array(F.struct(a["at"].alias("start"), (a["at"] + x["n"] + 1).alias("end"))))).otherwise(a["j"]).alias("j")))
-    spans = ops.withColumn("w", walk).select("experiment", "read_id", "chrom", (F.col("pos") + 1).alias("start"), F.col("w.at").alias("end"), F.col("w.j").alias("junctions"))
-    genes = V.gene_intervals(spark, sf_dir).filter("end > start + 208")
-    return E.intron_reads(spans, genes.select("gene_id", "chrom", (F.col("start") + 200).alias("start"), "end"))
+def splicegraph_intron_reads(spark, sf_dir):
+    """An experiment's introns, which the annotation gave, as evidence for the introns of a splicegraph with de-novo exons."""
+    return E.matched_introns(E.intron_summary(stranded_introns(spark, sf_dir)), splicegraph_introns(spark, sf_dir))
+
+
+@query(
+    f"""{RATES_SQL}, {GENE_EXONS_SQL}, sm AS (SELECT experiment, gene_id, "start", "end", CAST(floor(sum(rate) + 1e-9) AS BIGINT) AS reads, count(*) AS npos FROM rates GROUP BY ALL),
+    ir AS (SELECT gene_id, i."start", i."end", experiment, max_by(reads, sm."end") AS reads, max_by(npos, sm."end") AS npos FROM sm JOIN own_introns i USING (gene_id) WHERE i."start" - 2 < sm."end" AND i."end" > sm."start" - 2 GROUP BY ALL),
+    h AS (SELECT al.experiment, al.chrom, CASE WHEN ((flag & 16) <> 0) = ((flag & 128) <> 0) THEN '+' ELSE '-' END AS strand, CAST(al.pos + g AS INT) AS "start", CAST(al.pos + g + n + 1 AS INT) AS "end", r + coalesce((SELECT n FROM op WHERE op.id = al.id AND op.k = 1 AND op.c = 'S'), 0) AS o FROM wk JOIN al USING (id) WHERE c = 'N' AND r >= 8 AND wk.len - r >= 8),
+    k AS (SELECT experiment, chrom, strand, "start", "end", count(*) AS reads, count(DISTINCT o) AS npos FROM h GROUP BY ALL), j AS (SELECT DISTINCT chrom, strand, "start", "end" FROM k), {STAGED_SQL},
+    js AS (SELECT DISTINCT gene_id, "start", "end" FROM found),
+    jr AS (SELECT gene_id, f."start", f."end", experiment, sum(reads) AS reads, sum(npos) AS npos FROM found f JOIN k ON k.chrom = f.chrom AND k.strand = f.strand AND k."start" = f."start" AND k."end" = f."end" GROUP BY ALL),
+    cn AS (SELECT gene_id, strand, s, e, true AS rt, js."start", js."end", false AS is_intron FROM js JOIN xs USING (gene_id) WHERE js."start" BETWEEN s AND e UNION ALL SELECT gene_id, strand, s, e, false, js."start", js."end", false FROM js JOIN xs USING (gene_id) WHERE js."end" BETWEEN s AND e
+      UNION ALL SELECT gene_id, strand, s, e, true, i."start", i."end", true FROM own_introns i JOIN xs USING (gene_id) WHERE i."start" - 1 = e UNION ALL SELECT gene_id, strand, s, e, false, i."start", i."end", true FROM own_introns i JOIN xs USING (gene_id) WHERE i."end" + 1 = s),
+    lv AS (SELECT *, gene_id || ':' || CASE WHEN rt = (strand = '+') THEN 's' ELSE 't' END || ':' || s || '-' || e AS lsv_id, count(*) OVER w AS n, row_number() OVER (PARTITION BY gene_id, s, e, rt ORDER BY is_intron, "start" * CASE strand WHEN '-' THEN -1 ELSE 1 END, "end" * CASE strand WHEN '-' THEN -1 ELSE 1 END) - 1 AS junc_idx FROM cn WINDOW w AS (PARTITION BY gene_id, s, e, rt)),
+    lr AS (SELECT lsv_id, junc_idx, x.experiment, coalesce(ir.reads, jr.reads) AS reads, coalesce(ir.npos, jr.npos) AS npos FROM lv JOIN (SELECT DISTINCT experiment FROM alignments) x ON true LEFT JOIN ir ON is_intron AND ir.gene_id = lv.gene_id AND ir."start" = lv."start" AND ir."end" = lv."end" AND ir.experiment = x.experiment
+      LEFT JOIN jr ON NOT is_intron AND jr.gene_id = lv.gene_id AND jr."start" = lv."start" AND jr."end" = lv."end" AND jr.experiment = x.experiment WHERE n > 1)
+    SELECT lsv_id, CAST(junc_idx AS INT) AS junc_idx, experiment, CAST(coalesce(reads, 0) AS BIGINT) AS reads, CAST(coalesce(npos, 0) AS BIGINT) AS npos FROM lr QUALIFY count(reads) OVER (PARTITION BY lsv_id, experiment) > 0"""
+)
+def exon_lsv_coverage(spark, sf_dir):
+    """From alignments, spliced or not, to the coverage of junctions and introns in the LSVs of both sides of every exon,
+    of the experiments that show something of the LSV."""
+    reads = V.alignments(spark, sf_dir)
+    keys = ["experiment", "chrom", "strand", "start", "end"]
+    counts = E.summary(E.positional_counts(E.junction_hits(reads, protocol="forward"), keys, "offset"), keys)
+    found = genes_of(spark, sf_dir, counts)
+    introns = splicegraph_introns(spark, sf_dir)
+    lsvs = S.exon_lsvs(gene_exons(spark, sf_dir), found.select("gene_id", "start", "end").distinct(), introns)
+    evidence = E.matched_counts(counts, found).withColumn("is_intron", F.lit(False))
+    evidence = evidence.unionByName(E.matched_introns(E.intron_summary(stranded_introns(spark, sf_dir)), introns).withColumn("is_intron", F.lit(True)))
+    seen = lsvs.join(evidence, ["gene_id", "start", "end", "is_intron"]).select("experiment", "lsv_id", "junc_idx", F.array(F.col("reads").cast("double"), F.col("npos").cast("double")).alias("x"))
+    every = dense(seen, lsvs, ["experiment"], "x").select("experiment", "lsv_id", F.explode("connections").alias("c"))
+    return every.select("lsv_id", "c.junc_idx", "experiment", F.col("c.x")[0].cast("long").alias("reads"), F.col("c.x")[1].cast("long").alias("npos"))
 
 
 @query(
@@ -227,23 +311,34 @@ def intron_bin_rates(spark, sf_dir):
     return binned.groupBy("experiment", "chrom", "bin").agg(F.round(F.count(F.lit(1)) / F.first("size"), 6).alias("rate"))
 
 
+# Connections as a build has them: exitrons (an exon to itself), boundaries of transcripts, some simplified.
+BUILT_SQL = f"""WITH {V.MODULE_EDGES_SQL}, p AS (SELECT *, (("start" + "end") // 10) % 3 <> 0 AS passed, ("start" + "end") % 13 = 0 AS simplify FROM module_edges
+    UNION ALL SELECT DISTINCT gene_id, src, src, CAST(1000 * src + 150 AS INT), CAST(1000 * src + 250 AS INT), false, true, false FROM module_edges UNION ALL SELECT DISTINCT gene_id, -1, dst, -2, CAST(1000 * dst + 100 AS INT), false, true, false FROM module_edges),
+  us AS (SELECT * FROM p WHERE src <> dst AND "start" <> -2 AND "end" <> -2 AND NOT simplify)"""
+
+
+def built_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, c = V.module_edges(spark, sf_dir), F.col
+    own = edges.withColumns({"passed": F.floor((c("start") + c("end")) / 10) % 3 != 0, "simplify": (c("start") + c("end")) % 13 == 0})
+    row = lambda exon, src, dst, s, e: edges.select("gene_id", c(exon).alias("x")).distinct().select("gene_id", src.cast("int").alias("src"), dst.cast("int").alias("dst"), s.cast("int").alias("start"), e.cast("int").alias("end"), F.lit(False).alias("is_intron"), F.lit(True).alias("passed"), F.lit(False).alias("simplify"))
+    x = c("x")
+    return own.unionByName(row("src", x, x, 1000 * x + 150, 1000 * x + 250)).unionByName(row("dst", F.lit(-1), x, F.lit(-2), 1000 * x + 100))
+
+
 @query(
-    f"""WITH {V.MODULE_EDGES_SQL}, p AS (SELECT *, (("start" + "end") // 10) % 3 <> 0 AS passed FROM module_edges), sides AS (SELECT gene_id, src AS exon, 's' AS side, passed FROM p UNION ALL SELECT gene_id, dst, 't', passed FROM p)
+    f"""{BUILT_SQL}, sides AS (SELECT gene_id, src AS exon, 's' AS side, passed FROM us UNION ALL SELECT gene_id, dst, 't', passed FROM us)
     SELECT gene_id, exon, side, count(*) AS usable, CAST(sum(CAST(passed AS INT)) AS BIGINT) AS passing FROM sides GROUP BY ALL HAVING count(*) >= 2 AND sum(CAST(passed AS INT)) >= 1"""
 )
 def lsv_detection(spark, sf_dir):
-    edges = V.module_edges(spark, sf_dir).withColumn("passed", F.floor((F.col("start") + F.col("end")) / 10) % 3 != 0)
-    return S.lsv_sides(S.usable_sides(edges))
+    return S.lsv_sides(S.usable_sides(built_edges(spark, sf_dir)))
 
 
 @query(
-    f"""WITH {V.MODULE_EDGES_SQL}, p AS (SELECT *, (("start" + "end") // 10) % 3 <> 0 AS passed FROM module_edges),
-    o AS (SELECT gene_id, src, count(*) AS n_out FROM p GROUP BY ALL), i AS (SELECT gene_id, dst, count(*) AS n_in FROM p GROUP BY ALL)
-    SELECT gene_id, src, dst, "start", "end", is_intron, passed FROM p JOIN o USING (gene_id, src) JOIN i USING (gene_id, dst) WHERE n_out = 1 AND n_in = 1 AND passed"""
+    f"""{BUILT_SQL}, o AS (SELECT gene_id, src, count(*) AS n_out FROM us GROUP BY ALL), i AS (SELECT gene_id, dst, count(*) AS n_in FROM us GROUP BY ALL)
+    SELECT gene_id, src, dst, "start", "end", is_intron, passed FROM us JOIN o USING (gene_id, src) JOIN i USING (gene_id, dst) WHERE n_out = 1 AND n_in = 1 AND passed"""
 )
 def constitutive_junctions(spark, sf_dir):
-    edges = V.module_edges(spark, sf_dir).withColumn("passed", F.floor((F.col("start") + F.col("end")) / 10) % 3 != 0)
-    return S.constitutive(edges).select("gene_id", "src", "dst", "start", "end", "is_intron", "passed")
+    return S.constitutive(built_edges(spark, sf_dir)).select("gene_id", "src", "dst", "start", "end", "is_intron", "passed")
 
 
 LSV_SETS_SQL = f"""WITH {V.MODULE_EDGES_SQL}, sides AS (SELECT gene_id, gene_id || ':s:' || src AS lsv_id, 's' AS kind, "start" || '-' || "end" AS c FROM module_edges WHERE "start" % 3 <> 1 UNION ALL SELECT gene_id, gene_id || ':t:' || dst, 't', "start" || '-' || "end" FROM module_edges WHERE "end" % 4 <> 2),
@@ -264,28 +359,39 @@ def lsv_redundancy(spark, sf_dir):
 
 
 @query(
-    f"""{WITH_SUMMARY}, r AS (SELECT grp, experiment, gene_id, junc_idx % 2 AS src, junc_idx AS dst, reads, lsv_id, CAST(junc_idx AS INT) AS "start", CAST(junc_idx + 10 AS INT) AS "end" FROM summary),
-    o AS (SELECT grp, gene_id, lsv_id, "start", "end", reads >= 0.3 * sum(reads) OVER (PARTITION BY experiment, lsv_id, src) AND reads >= 4 AS s_ok, reads >= 0.3 * sum(reads) OVER (PARTITION BY experiment, lsv_id, dst) AND reads >= 4 AS d_ok FROM r),
-    c AS (SELECT grp, lsv_id, "start", "end", sum(CAST(s_ok AS INT)) AS s, sum(CAST(d_ok AS INT)) AS d FROM o GROUP BY ALL)
-    SELECT lsv_id AS gene_id, "start", "end", NOT bool_or(s >= 2 OR d >= 2) AS simplify FROM c GROUP BY ALL"""
+    f"""{WITH_SUMMARY}, r AS (SELECT grp, experiment, lsv_id, junc_idx % 2 AS src, junc_idx AS dst, reads, CAST(junc_idx AS INT) AS "start", CAST(junc_idx + 10 AS INT) AS "end", CASE WHEN junc_idx = 3 THEN 8 WHEN junc_idx % 2 = 0 THEN 4 ELSE 6 END AS least FROM summary),
+    o AS (SELECT grp, lsv_id, "start", "end", reads >= 0.3 * sum(reads) OVER (PARTITION BY experiment, lsv_id, src) AND reads >= least AS s_ok, reads >= 0.3 * sum(reads) OVER (PARTITION BY experiment, lsv_id, dst) AND reads >= least AS d_ok FROM r),
+    c AS (SELECT grp, lsv_id, "start", "end", sum(CAST(s_ok AS INT)) AS s, sum(CAST(d_ok AS INT)) AS d FROM o GROUP BY ALL), z AS (SELECT grp, greatest(1, least(count(DISTINCT experiment), ceil(count(DISTINCT experiment) * 0.5))) AS need FROM summary GROUP BY grp)
+    SELECT lsv_id AS gene_id, "start", "end", NOT bool_or(s >= need OR d >= need) AS simplify FROM c JOIN z USING (grp) GROUP BY ALL"""
 )
 def simplifier(spark, sf_dir):
-    j = F.col("junc_idx")
-    reads = summary_of(spark, sf_dir).select("grp", "experiment", F.col("lsv_id").alias("gene_id"), (j % 2).alias("src"), j.alias("dst"), j.alias("start"), (j + 10).alias("end"), "reads")
-    return S.simplified(reads, None, share=0.3, min_reads=4, min_experiments=2)
-
-
-@query(
-    f"""{MERGED_SQL}, tj AS (SELECT DISTINCT gene_id, "end" + ("end" % 3) * 350 AS "start", nx - (nx % 4) * 370 AS "end" FROM (SELECT *, lead("start") OVER (PARTITION BY gene_id, transcript_id ORDER BY "start", "end") AS nx FROM transcript_exons) WHERE nx IS NOT NULL),
-    known AS (SELECT * FROM merged), sites AS (SELECT gene_id, "end" AS site, 0 AS donor FROM tj UNION SELECT gene_id, "start", 1 FROM tj),
-    pr AS (SELECT *, row_number() OVER (PARTITION BY gene_id, site, donor ORDER BY greatest(a_start - site, site - a_end, 0), a_start, a_end) AS r FROM (SELECT s.*, k."start" AS a_start, k."end" AS a_end FROM sites s JOIN known k ON s.gene_id = k.gene_id AND s.site >= k."start" - (CASE donor WHEN 1 THEN 0 ELSE 400 END) AND s.site <= k."end" + (CASE donor WHEN 1 THEN 400 ELSE 0 END))),
-    old AS (SELECT k.gene_id, least(k."start", coalesce(min(site), k."start")) AS "start", greatest(k."end", coalesce(max(site), k."end")) AS "end", k."start" AS annotated_start, k."end" AS annotated_end, true AS annotated FROM known k LEFT JOIN (SELECT * FROM pr WHERE r = 1) p ON p.gene_id = k.gene_id AND p.a_start = k."start" AND p.a_end = k."end" GROUP BY k.gene_id, k."start", k."end"),
-    free AS (SELECT * FROM sites s WHERE NOT EXISTS (SELECT 1 FROM pr WHERE pr.gene_id = s.gene_id AND pr.site = s.site AND pr.donor = s.donor)),
-    o AS (SELECT *, CASE WHEN donor = 0 AND coalesce(lag(donor) OVER (PARTITION BY gene_id ORDER BY site, donor), 1) = 1 THEN 1 ELSE 0 END AS new FROM free),
-    ru AS (SELECT *, sum(new) OVER (PARTITION BY gene_id ORDER BY site, donor ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM o),
-    en AS (SELECT gene_id, run, min(site) FILTER (donor = 0) AS a, max(site) FILTER (donor = 0) AS la, min(site) FILTER (donor = 1) AS fd, max(site) FILTER (donor = 1) AS d FROM ru GROUP BY ALL)
-    SELECT * FROM old UNION ALL SELECT gene_id, a, d, -1, -1, false FROM en WHERE fd - la <= 800 UNION ALL SELECT gene_id, a, -1, -1, -1, false FROM en WHERE a IS NOT NULL AND (fd - la <= 800) IS NOT TRUE UNION ALL SELECT gene_id, -1, d, -1, -1, false FROM en WHERE d IS NOT NULL AND (fd - la <= 800) IS NOT TRUE"""
-)
+    j, hits = F.col("junc_idx"), summary_of(spark, sf_dir)
+    reads = hits.select("experiment", F.col("lsv_id").alias("gene_id"), (j % 2).alias("src"), j.alias("dst"), j.alias("start"), (j + 10).alias("end"), (j == 3).alias("is_intron"), (j % 2 == 0).alias("annotated"), "reads")
+    groups = V.hit_lines(spark, sf_dir).select("grp", "experiment").distinct()
+    return S.simplified(reads, groups, share=0.3, min_annotated=4, min_denovo=6, min_intron=8, min_experiments=0.5)
+
+
+SWEEP_SQL = f"""WITH RECURSIVE {MERGED_SQL.removeprefix("WITH ")}, tj AS (SELECT DISTINCT gene_id, CAST("end" + ("end" % 3) * 350 AS INT) AS "start", CAST(nx - (nx % 4) * 370 AS INT) AS "end" FROM (SELECT *, lead("start") OVER (PARTITION BY gene_id, transcript_id ORDER BY "start", "end") AS nx FROM transcript_exons) WHERE nx IS NOT NULL),
+  sites AS MATERIALIZED (SELECT gene_id, site, donor, row_number() OVER (PARTITION BY gene_id ORDER BY site, donor) AS i FROM (SELECT gene_id, "end" AS site, 0 AS donor FROM tj UNION ALL SELECT gene_id, "start", 1 FROM tj) WHERE site > 0),
+  sweep(gene_id, i, o, d, f, found) USING KEY (gene_id) AS (SELECT DISTINCT gene_id, CAST(0 AS BIGINT) AS i, CAST([] AS INT[]) AS o, CAST(NULL AS INT) AS d, CAST(NULL AS INT) AS f, CAST([] AS STRUCT(s INT, e INT, l BOOLEAN, r BOOLEAN)[]) AS found FROM sites
+    UNION ALL SELECT w.gene_id, s.i, CASE WHEN donor = 1 THEN o[1:len(o) - 1] WHEN len(o) > 0 AND d IS NOT NULL THEN [site] ELSE list_append(o, site) END,
+      CASE WHEN donor = 1 THEN site WHEN len(o) = 0 OR d IS NOT NULL THEN NULL ELSE d END, CASE WHEN donor = 0 AND (len(o) = 0 OR d IS NOT NULL) THEN site ELSE f END,
+      CASE WHEN donor = 1 THEN list_append(found, {{'s': CASE WHEN len(o) > 0 THEN o[len(o)] ELSE coalesce(f, site - 10) END, 'e': site, 'l': len(o) > 0 OR f IS NOT NULL, 'r': true}})
+        WHEN len(o) > 0 AND d IS NOT NULL THEN list_concat(found, list_transform(list_reverse(o), lambda x: {{'s': x, 'e': d, 'l': true, 'r': true}})) ELSE found END
+    FROM sweep w JOIN sites s ON s.gene_id = w.gene_id AND s.i = w.i + 1),
+  swept AS (SELECT gene_id, list_concat(found, list_transform(list_reverse(o), lambda x: {{'s': x, 'e': coalesce(d, x + 10), 'l': true, 'r': d IS NOT NULL}})) AS spans FROM sweep),
+  spans AS MATERIALIZED (SELECT gene_id, unnest(spans) AS x, generate_subscripts(spans, 1) AS i FROM swept),
+  walk(gene_id, i, x) USING KEY (gene_id) AS (SELECT gene_id, CAST(0 AS BIGINT) AS i, list({{'ks': CAST("start" AS INT), 'ke': CAST("end" AS INT), 's': CAST("start" AS INT), 'e': CAST("end" AS INT), 'a': CAST("start" AS INT), 'b': CAST("end" AS INT)}}) AS x FROM merged GROUP BY gene_id
+    UNION ALL SELECT gene_id, i, list_concat(x, list_filter(new, lambda y: NOT list_contains(list_transform(x, lambda z: [z.ks, z.ke]), [y.ks, y.ke]))) FROM (
+      SELECT gene_id, i, CASE WHEN m IS NULL THEN x ELSE list_transform(x, lambda z: CASE WHEN z.ks = m.ks AND z.ke = m.ke THEN {{'ks': z.ks, 'ke': z.ke, 's': CASE WHEN s < z.s AND s >= z.s - 400 THEN s ELSE z.s END, 'e': CASE WHEN e > z.e AND e <= z.e + 400 THEN e ELSE z.e END, 'a': z.a, 'b': z.b}} ELSE z END) END AS x,
+        list_filter(CASE WHEN m IS NULL AND e - s <= 400 THEN [{{'ks': CASE WHEN l THEN s ELSE e - 10 END, 'ke': CASE WHEN r THEN e ELSE s + 10 END, 's': CASE WHEN l THEN s ELSE -1 END, 'e': CASE WHEN r THEN e ELSE -1 END, 'a': -1, 'b': -1}}]
+          WHEN m IS NULL OR (s < m.s - 400 AND e > m.e + 400) THEN [{{'ks': s, 'ke': s + 10, 's': s, 'e': -1, 'a': -1, 'b': -1}}, {{'ks': e - 10, 'ke': e, 's': -1, 'e': e, 'a': -1, 'b': -1}}]
+          WHEN s < m.s - 400 THEN [{{'ks': s, 'ke': s + 10, 's': s, 'e': -1, 'a': -1, 'b': -1}}] WHEN e > m.e + 400 THEN [{{'ks': e - 10, 'ke': e, 's': -1, 'e': e, 'a': -1, 'b': -1}}] ELSE [] END, lambda y: e >= s) AS new
+      FROM (SELECT w.gene_id, p.i, w.x, p.x.s AS s, p.x.e AS e, p.x.l AS l, p.x.r AS r, CASE WHEN p.x.e >= p.x.s THEN list_sort(list_filter(w.x, lambda z: z.s <> -1 AND z.e <> -1 AND p.x.s <= z.e AND p.x.e >= z.s))[1] END AS m FROM walk w JOIN spans p ON p.gene_id = w.gene_id AND p.i = w.i + 1))),
+  done AS (SELECT gene_id, unnest(x) AS x FROM walk)"""
+
+
+@query(f"""{SWEEP_SQL} SELECT gene_id, x.s AS "start", x.e AS "end", x.a AS annotated_start, x.b AS annotated_end, x.a <> -1 AS annotated FROM done""")
 def detected_exons(spark, sf_dir):
     tx = V.transcript_exons(spark, sf_dir)
     j = S.transcript_junctions(tx).filter("start <> -2 and end <> -2").select("gene_id", (F.col("start") + F.col("start") % 3 * 350).alias("start"), (F.col("end") - F.col("end") % 4 * 370).alias("end")).distinct()

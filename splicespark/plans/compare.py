@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions.lsv import joined
 from ..operators import compare as C
+from ..operators import structure as S
 from ..sources import driver_views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,11 +182,39 @@ def singly_unique(spark, sf_dir):
     return C.singly_unique(quant_of(spark, sf_dir), prob=0.3)
 
 
-@query(f"""{QUANT_SQL}, b AS (SELECT DISTINCT gene_id, lsv_id, junc_idx, "start", "end", "end" // 700 AS alt FROM q WHERE junc_idx <= 2), e AS (SELECT gene_id, lsv_id, arg_max("start", ("end" - "start", -"start")) AS s, arg_max("end", ("end" - "start", -"start")) AS t, list(DISTINCT alt) AS alts FROM b GROUP BY ALL),
-  g AS (SELECT gene_id, s AS excl_start, t AS excl_end, count(*) AS lsvs, min(list_sort(alts)) AS a, max(list_sort(alts)) AS b FROM e GROUP BY ALL) SELECT gene_id, excl_start, excl_end, lsvs, CASE WHEN lsvs = 1 THEN 'single' WHEN lsvs > 2 THEN 'complex' WHEN list_has_any(a, b) THEN 'cassette' ELSE 'matched' END AS kind FROM g""")
+def quant_exons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gene_id, start, end: the exons of the compared genes, 20 bases behind and before the connections' ends, merged."""
+    q = quant_of(spark, sf_dir)
+    left = q.select("gene_id", (F.col("start") - 20).alias("start"), F.col("start").alias("end"))
+    return S.merged_exons(left.unionByName(q.select("gene_id", F.col("end").alias("start"), (F.col("end") + 20).alias("end"))))
+
+
+def touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.touched_exons(quant_of(spark, sf_dir).select("gene_id", "lsv_id", "junc_idx", "start", "end").distinct(), quant_exons(spark, sf_dir))
+
+
+TOUCHED_SQL = f"""{QUANT_SQL}, xe AS (SELECT gene_id, "start" - 20 AS s, "start" AS e FROM q UNION SELECT gene_id, "end", "end" + 20 FROM q),
+  xm AS (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY gene_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NOT FALSE THEN 1 ELSE 0 END AS new FROM xe),
+  xi AS (SELECT *, sum(new) OVER (PARTITION BY gene_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM xm),
+  ex AS (SELECT gene_id, min(s) AS e_start, max(e) AS e_end FROM xi GROUP BY gene_id, island),
+  pt AS (SELECT DISTINCT gene_id, lsv_id, junc_idx, 'start' AS side, "start" AS place FROM q UNION SELECT DISTINCT gene_id, lsv_id, junc_idx, 'end', "end" FROM q),
+  tc AS (SELECT gene_id, lsv_id, junc_idx, side, e_start, e_end FROM pt JOIN ex USING (gene_id) WHERE place BETWEEN e_start AND e_end)"""
+
+
+@query(
+    f"""{TOUCHED_SQL}, rf AS (SELECT gene_id, lsv_id, min(e_start) AS ref_start, min_by(e_end, e_start) AS ref_end FROM tc WHERE side = 'start' GROUP BY ALL),
+    b AS (SELECT q.gene_id, q.lsv_id, ref_start, ref_end, q."start", q."end", e_start, e_end, greatest(e_start - ref_end, ref_start - e_end, 0) AS far FROM (SELECT DISTINCT gene_id, lsv_id, junc_idx, "start", "end" FROM q WHERE junc_idx <= 2) q JOIN rf USING (gene_id, lsv_id) JOIN tc ON tc.side = 'end' AND tc.gene_id = q.gene_id AND tc.lsv_id = q.lsv_id AND tc.junc_idx = q.junc_idx AND q."end" BETWEEN e_start AND e_end),
+    o AS (SELECT *, row_number() OVER (PARTITION BY gene_id, lsv_id ORDER BY far DESC, "end" - "start" DESC, "start") AS f, row_number() OVER (PARTITION BY gene_id, lsv_id ORDER BY far, "end" - "start", "start" DESC) AS l FROM b),
+    e AS (SELECT gene_id, lsv_id, max(CASE WHEN f = 1 THEN "start" END) AS s, max(CASE WHEN f = 1 THEN "end" END) AS t, max(CASE WHEN l = 1 THEN e_start || '-' || e_end END) AS alt FROM o GROUP BY ALL)
+    SELECT gene_id, s AS excl_start, t AS excl_end, count(*) AS lsvs, CASE WHEN count(*) = 1 THEN 'single' WHEN count(*) > 2 THEN 'complex' WHEN count(DISTINCT alt) = 1 THEN 'cassette' ELSE 'matched' END AS kind FROM e GROUP BY ALL"""
+)
 def cassette_groups(spark, sf_dir):
-    q = quant_of(spark, sf_dir).filter("junc_idx <= 2").select("gene_id", "lsv_id", "junc_idx", "start", "end", F.floor(F.col("end") / 700).alias("alt_exon")).distinct()
-    return C.cassette_groups(q)
+    met = touched(spark, sf_dir)
+    ref = met.filter("side = 'start'").groupBy("gene_id", "lsv_id").agg(F.min(F.struct("e_start", "e_end")).alias("r")).select("gene_id", "lsv_id", F.col("r.e_start").alias("ref_start"), F.col("r.e_end").alias("ref_end"))
+    alt = met.filter("side = 'end'").select("gene_id", "lsv_id", "junc_idx", F.col("e_start").alias("alt_start"), F.col("e_end").alias("alt_end"))
+    own = quant_of(spark, sf_dir).filter("junc_idx <= 2").select("gene_id", "lsv_id", "junc_idx", "start", "end").distinct()
+    binary = own.join(ref, ["gene_id", "lsv_id"]).join(alt, ["gene_id", "lsv_id", "junc_idx"]).filter("end between alt_start and alt_end")
+    return C.cassette_groups(binary.drop("junc_idx"))
 
 
 @query(f"{QUANT_SQL}, l AS (SELECT *, max(junc_idx) OVER (PARTITION BY comparison, lsv_id) AS last FROM q WHERE ends_with(lsv_type, 'i')) SELECT DISTINCT lsv_id FROM l WHERE junc_idx = last AND greatest(psi1, psi2) > 0.5")
@@ -193,9 +222,24 @@ def intron_using_lsvs(spark, sf_dir):
     return C.uses_intron(quant_of(spark, sf_dir), 0.5)
 
 
-@query(f'{QUANT_SQL}, e AS (SELECT gene_id, lsv_id, "start" AS p FROM q UNION ALL SELECT gene_id, lsv_id, "end" FROM q) SELECT gene_id, CAST(p // 1000 AS BIGINT) AS exon, count(DISTINCT lsv_id) AS lsvs FROM e GROUP BY ALL')
+@query(f"{TOUCHED_SQL} SELECT gene_id, e_start, e_end, count(DISTINCT lsv_id) AS lsvs, string_agg(DISTINCT lsv_id, ';' ORDER BY lsv_id) AS lsv_ids FROM tc GROUP BY ALL")
 def exon_index(spark, sf_dir):
-    return C.exon_index(quant_of(spark, sf_dir))
+    return C.exon_index(touched(spark, sf_dir))
+
+
+@query(f'{TOUCHED_SQL}, pl AS (SELECT gene_id, max("start") AS place FROM q GROUP BY gene_id) SELECT DISTINCT gene_id, place, e_start, e_end, lsv_id FROM tc JOIN pl USING (gene_id) WHERE place BETWEEN e_start AND e_end')
+def exon_lookup(spark, sf_dir):
+    """The LSVs of the exon that holds a coordinate: each gene's last start of a connection."""
+    return C.lsvs_at(touched(spark, sf_dir), quant_of(spark, sf_dir).groupBy("gene_id").agg(F.max("start").alias("place")))
+
+
+@query(f"""{TOUCHED_SQL}, w AS (SELECT DISTINCT lsv_id AS query, gene_id, e_start, e_end FROM tc WHERE junc_idx = 1 QUALIFY lsv_id = min(lsv_id) OVER (PARTITION BY gene_id)), n AS (SELECT query, gene_id, count(*) AS n FROM w GROUP BY ALL)
+  SELECT w.query, w.gene_id, t.lsv_id FROM w JOIN (SELECT DISTINCT gene_id, lsv_id, e_start, e_end FROM tc) t USING (gene_id, e_start, e_end) JOIN n ON n.query = w.query AND n.gene_id = w.gene_id GROUP BY w.query, w.gene_id, t.lsv_id, n HAVING count(*) = n""")
+def exon_constrained_lsvs(spark, sf_dir):
+    """For connection 1 of each gene's first LSV, the LSVs that touch both of its exons."""
+    met = touched(spark, sf_dir)
+    own = met.filter("junc_idx = 1").withColumn("query", F.min("lsv_id").over(W.partitionBy("gene_id"))).filter("lsv_id = query")
+    return C.lsvs_of_all(met, own.select("query", "gene_id", "e_start", "e_end"))
 
 
 @query(f"{QUANT_SQL} SELECT comparison, lsv_id FROM q GROUP BY ALL HAVING round(sum(CASE WHEN dpsi > 0 THEN dpsi ELSE 0 END), 9) >= 0.2")
@@ -245,3 +289,26 @@ LISTED = lambda form, c: f"string_agg(printf('{form}', {c}), ';' ORDER BY junc_i
   string_agg("start" || '-' || "end", ';' ORDER BY junc_idx) AS junctions_coords FROM q GROUP BY ALL""")
 def dpsi_rows(spark, sf_dir):
     return C.dpsi_rows(quant_of(spark, sf_dir))
+
+
+@query(f"""{QUANT_SQL}, k AS (SELECT * FROM q WHERE lsv_type IN ('s|1e1.1o1|1e2.1o1', 't|1e1.1o1|1e2.1o1') AND NOT ends_with(lsv_type, 'i') AND gene_id IN (SELECT 'g' || p_partkey FROM part WHERE p_size < 25)), m AS (SELECT comparison, lsv_id FROM k GROUP BY ALL HAVING max(abs(dpsi)) >= 0.45)
+  SELECT comparison, lsv_id, junc_idx FROM k JOIN m USING (comparison, lsv_id)""")
+def changing_cassettes(spark, sf_dir):
+    """Cassette LSVs of a list of ids (those of the genes of small parts) that change by 0.45 somewhere."""
+    genes = V.table(spark, sf_dir, "part").filter("p_size < 25").select(F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("gene_id"))
+    q = quant_of(spark, sf_dir)
+    ids = q.select("gene_id", "lsv_id").distinct().join(genes, "gene_id", "left_semi")
+    return C.of_events(q, 0.45, cassettes=True, introns=False, ids=ids).select("comparison", "lsv_id", "junc_idx")
+
+
+@query(f"""{QUANT_SQL}, w AS (SELECT gene_id, min("start") AS "start", min_by("end", ("start", "end")) AS "end" FROM q GROUP BY gene_id) SELECT comparison, lsv_id, junc_idx, q."start", q."end" FROM q JOIN w ON w.gene_id = q.gene_id AND w."start" = q."start" AND w."end" = q."end" """)
+def junction_lookup(spark, sf_dir):
+    """The LSVs, in every comparison, with each gene's first junction."""
+    q = quant_of(spark, sf_dir)
+    first = q.groupBy("gene_id").agg(F.min(F.struct("start", "end")).alias("x")).select("gene_id", "x.start", "x.end")
+    return C.with_junction(q, first)
+
+
+@query(f"""{QUANT_SQL} SELECT comparison, lsv_id, max_by("start", junc_idx) AS "start", max_by("end", junc_idx) AS "end" FROM q WHERE ends_with(lsv_type, 'i') GROUP BY ALL""")
+def intron_coordinates(spark, sf_dir):
+    return C.intron_coordinates(quant_of(spark, sf_dir))

@@ -36,7 +36,8 @@ EDGES_SQL = f"""WITH {V.MODULE_EDGES_SQL}, picked AS (SELECT *, CASE WHEN CAST(s
   firsts AS (SELECT DISTINCT gene_id, src FROM cuts WHERE cut),
   m AS (SELECT p.*, (SELECT count(*) FROM firsts f WHERE f.gene_id = p.gene_id AND f.src <= p.src) AS m FROM picked p),
   e AS (SELECT gene_id, strand, src, dst, "start", "end", is_intron, CAST(CASE WHEN strand = '-' THEN max(m) OVER (PARTITION BY gene_id) - m + 1 ELSE m END AS INT) AS module_idx FROM m),
-  j AS (SELECT * FROM e WHERE NOT is_intron), i AS (SELECT * FROM e WHERE is_intron)"""
+  j AS (SELECT * FROM e WHERE NOT is_intron), i AS (SELECT * FROM e WHERE is_intron),
+  nx AS (SELECT *, EXISTS (SELECT 1 FROM i WHERE i.gene_id = o.gene_id AND i.module_idx = o.module_idx AND i.src = o.n AND i.dst = o.nxt) AS joined FROM (SELECT gene_id, module_idx, n, lead(n) OVER (PARTITION BY gene_id, module_idx ORDER BY n) AS nxt FROM (SELECT gene_id, module_idx, src AS n FROM e UNION SELECT gene_id, module_idx, dst FROM e)) o)"""
 CASSETTE_SQL = """SELECT DISTINCT s.gene_id, s.module_idx, s.src AS c1, a.dst AS a1, s.dst AS c2, s."start" AS s_start, s."end" AS s_end, a."end" AS a1_start, b."start" AS a1_end FROM j s JOIN j a USING (gene_id, module_idx) JOIN j b USING (gene_id, module_idx)
   WHERE a.src = s.src AND a."start" = s."start" AND a.dst < s.dst AND b.src = a.dst AND b.dst = s.dst AND b."end" = s."end" """
 TANDEM_SQL = """SELECT gene_id, module_idx, s_src AS c1, s_dst AS c2, s_start, s_end, n - 1 AS exons FROM (SELECT s.gene_id, s.module_idx, s.src AS s_src, s.dst AS s_dst, s."start" AS s_start, s."end" AS s_end, count(DISTINCT n.src) AS n FROM j s JOIN j n USING (gene_id, module_idx)
@@ -47,9 +48,13 @@ MXE_SQL = """SELECT DISTINCT p.gene_id, p.module_idx, p.src AS c1, p.dst AS a1,
 SITES_SQL = """SELECT a.gene_id, a.module_idx, CASE WHEN (a.strand = '-' AND a."start" = b."start") OR (a.strand = '+' AND a."end" = b."end") THEN 'alt5' WHEN (a.strand = '-' AND a."end" = b."end") OR (a.strand = '+' AND a."start" = b."start") THEN 'alt3' ELSE 'alt3and5' END AS kind,
   a.src AS e1, a.dst AS e2, a."start" AS proximal_start, a."end" AS proximal_end, b."start" AS distal_start, b."end" AS distal_end FROM j a JOIN j b ON a.gene_id = b.gene_id AND a.module_idx = b.module_idx AND a.src = b.src AND a.dst = b.dst
   AND (a."end" - a."start" < b."end" - b."start" OR (a."end" - a."start" = b."end" - b."start" AND a."start" < b."start"))"""
-PUTATIVE_SQL = """SELECT DISTINCT gene_id, module_idx, CASE WHEN is_left = (strand = '+') THEN 'p_alt5' ELSE 'p_alt3' END AS kind, c1, a1, c2, s_start, s_end FROM (
-  SELECT s.gene_id, s.module_idx, s.strand, true AS is_left, s.src AS c1, i.dst AS a1, s.dst AS c2, s."start" AS s_start, s."end" AS s_end FROM j s JOIN i USING (gene_id, module_idx) JOIN j x USING (gene_id, module_idx) WHERE i.src = s.src AND i.dst < s.dst AND x.src = i.dst AND x.dst = s.dst AND x."end" = s."end"
-  UNION ALL SELECT s.gene_id, s.module_idx, s.strand, false, s.src, x.dst, s.dst, s."start", s."end" FROM j s JOIN j x USING (gene_id, module_idx) JOIN i USING (gene_id, module_idx) WHERE x.src = s.src AND x.dst < s.dst AND x."start" = s."start" AND i.src = x.dst AND i.dst = s.dst)"""
+PUTATIVE_INNER = """SELECT b.*, i."start" AS i_start, i."end" AS i_end FROM (
+    SELECT s.gene_id, s.module_idx, s.strand, true AS is_left, s.src AS f, x.src AS t, s.src AS c1, x.src AS a1, s.dst AS c2, s."start" AS s_start, s."end" AS s_end, x."start" AS j_start, x."end" AS j_end FROM j s JOIN j x USING (gene_id, module_idx) WHERE x.src > s.src AND x.dst = s.dst AND x."end" = s."end"
+    UNION ALL SELECT s.gene_id, s.module_idx, s.strand, false, x.dst, s.dst, s.src, x.dst, s.dst, s."start", s."end", x."start", x."end" FROM j s JOIN j x USING (gene_id, module_idx) WHERE x.src = s.src AND x.dst < s.dst AND x."start" = s."start") b
+  JOIN i ON i.gene_id = b.gene_id AND i.module_idx = b.module_idx AND i.src = f WHERE (i.dst = t OR (NOT EXISTS (SELECT 1 FROM i d WHERE d.gene_id = b.gene_id AND d.module_idx = b.module_idx AND d.src = f AND d.dst = t)
+    AND EXISTS (SELECT 1 FROM nx WHERE nx.gene_id = b.gene_id AND nx.module_idx = b.module_idx AND nx.n = f AND nx.nxt = i.dst) AND NOT EXISTS (SELECT 1 FROM nx WHERE nx.gene_id = b.gene_id AND nx.module_idx = b.module_idx AND nx.n >= f AND nx.n < t AND NOT nx.joined)))
+  AND NOT EXISTS (SELECT 1 FROM j r WHERE r.gene_id = b.gene_id AND r.module_idx = b.module_idx AND r.src = f AND r.dst = t AND CASE WHEN is_left THEN r."start" = s_start ELSE r."end" = s_end END)"""
+PUTATIVE_SQL = f"""SELECT DISTINCT gene_id, module_idx, CASE WHEN is_left = (strand = '+') THEN 'p_alt5' ELSE 'p_alt3' END AS kind, c1, a1, c2, s_start, s_end FROM ({PUTATIVE_INNER})"""
 INTRON_SQL = """SELECT i.gene_id, i.module_idx, i.src AS c1, i.dst AS c2, i."start", i."end", count(*) AS spliced FROM i JOIN j USING (gene_id, module_idx) WHERE j.src = i.src OR j.dst = i.dst GROUP BY ALL"""
 ENDS_SQL = """SELECT gene_id, module_idx, CASE WHEN is_right = (strand = '+') THEN 'last' ELSE 'first' END AS kind, ref, proximal_exon, distal_exon FROM (
   SELECT a.gene_id, a.module_idx, a.strand, true AS is_right, a.ref, a.exon AS proximal_exon, b.exon AS distal_exon FROM outs a JOIN outs b ON a.gene_id = b.gene_id AND a.module_idx = b.module_idx AND a.ref = b.ref AND (a.length < b.length OR (a.length = b.length AND a.exon < b.exon))
@@ -140,7 +145,40 @@ def event_orphan(spark, sf_dir):
     return M.orphans(e, exons_of(e))
 
 
-@query(f"{EDGES_SQL}, o AS (SELECT gene_id, src AS exon, count(*) AS n_out FROM e GROUP BY ALL), t AS (SELECT gene_id, dst AS exon, count(*) AS n_in FROM e GROUP BY ALL) SELECT gene_id, exon, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in FROM o FULL JOIN t USING (gene_id, exon) WHERE n_out >= 2 OR n_in >= 2")
+HALF_SQL = """, hf AS (SELECT gene_id, CAST(k AS INT) AS exon FROM (SELECT DISTINCT gene_id FROM e), (SELECT unnest(range(17)) AS k) WHERE (CAST(substr(gene_id, 2) AS INT) + k) % 6 = 5)"""
+
+
+def half_exons_of(edges: DataFrame) -> DataFrame:
+    """gene_id, exon: every sixth exon, from a place that depends on the gene."""
+    number = F.substring("gene_id", 2, 9).cast("int")
+    return edges.select("gene_id").distinct().select("gene_id", F.explode(F.array(*map(F.lit, range(17)))).alias("exon")).filter((number + F.col("exon")) % 6 == 5)
+
+
+def putative_ends_sql() -> str:
+    side = lambda ref, end, right: f"""SELECT a.gene_id, a.module_idx, a.strand, {right} AS is_right, a.{ref} AS ref, a.{end} AS half, b.{end} AS other, a."start" AS half_start, a."end" AS half_end, b."start" AS other_start, b."end" AS other_end FROM e a JOIN e b ON b.gene_id = a.gene_id AND b.module_idx = a.module_idx AND b.{ref} = a.{ref} AND b.{end} <> a.{end}
+    WHERE (a.gene_id, a.{end}) IN (SELECT (gene_id, exon) FROM hf) AND NOT EXISTS (SELECT 1 FROM e n WHERE n.gene_id = a.gene_id AND n.module_idx = a.module_idx AND n.{ref} = a.{end}) AND EXISTS (SELECT 1 FROM e n WHERE n.gene_id = a.gene_id AND n.module_idx = a.module_idx AND n.{end} = a.{end} AND (n.gene_id, n.{ref}) NOT IN (SELECT (gene_id, exon) FROM hf))"""
+    return f"""SELECT DISTINCT gene_id, module_idx, CASE WHEN is_right = (strand = '+') THEN 'p_last' ELSE 'p_first' END AS kind, ref, half, other, half_start, half_end, other_start, other_end, half_end - half_start > other_end - other_start AS is_distal, is_right FROM ({side("src", "dst", "true")} UNION ALL {side("dst", "src", "false")})"""
+
+
+@query(f"{EDGES_SQL}{HALF_SQL} SELECT gene_id, module_idx, kind, ref, half, other, half_start, half_end, other_start, other_end, is_distal AS distal FROM ({putative_ends_sql()})")
+def event_putative_ends(spark, sf_dir):
+    e = edges_of(spark, sf_dir)
+    return M.putative_ends(e, half_exons_of(e)).drop("right")
+
+
+@query(
+    EDGES_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, dg AS (SELECT gene_id, exon, count(*) FILTER (left_) AS n_out, count(*) FILTER (NOT left_) AS n_in FROM (SELECT gene_id, src AS exon, true AS left_ FROM e UNION ALL SELECT gene_id, dst, false FROM e) GROUP BY ALL),
+    rf AS (SELECT DISTINCT e.gene_id, module_idx, strand, exon, is_left, count(*) OVER (PARTITION BY e.gene_id, module_idx, exon, is_left) AS edges FROM (SELECT gene_id, module_idx, strand, src AS exon, true AS is_left FROM e UNION ALL SELECT gene_id, module_idx, strand, dst, false FROM e) e),
+    ref AS (SELECT rf.*, CASE WHEN is_left THEN n_out ELSE n_in END AS own, CASE WHEN is_left THEN n_in ELSE n_out END AS other FROM rf JOIN dg USING (gene_id, exon)),
+    wk AS (SELECT gene_id, exon, is_left, exon AS at, 0 AS k, CAST([] AS VARCHAR[]) AS regions, true AS going FROM ref WHERE own > 1
+      UNION ALL SELECT w.gene_id, w.exon, w.is_left, CASE WHEN w.is_left THEN e.src ELSE e.dst END, k + 1, list_concat(regions, list_concat(CASE WHEN e.is_intron THEN [e."start" || '-' || e."end" || 'i'] ELSE [] END, CASE WHEN (CASE WHEN w.is_left THEN d.n_out ELSE d.n_in END) = 1 THEN [CAST(d.exon AS VARCHAR)] ELSE [] END)), (CASE WHEN w.is_left THEN d.n_out ELSE d.n_in END) = 1
+      FROM wk w JOIN dg h ON h.gene_id = w.gene_id AND h.exon = w.at JOIN e ON e.gene_id = w.gene_id AND (CASE WHEN w.is_left THEN e.dst ELSE e.src END) = w.at JOIN dg d ON d.gene_id = w.gene_id AND d.exon = (CASE WHEN w.is_left THEN e.src ELSE e.dst END)
+      WHERE going AND (CASE WHEN w.is_left THEN h.n_in ELSE h.n_out END) = 1),
+    lw AS (SELECT gene_id, exon, is_left, max_by(regions, k) AS regions FROM wk GROUP BY ALL)
+    SELECT r.gene_id, r.module_idx, CASE WHEN (r.strand = '+') = r.is_left THEN 'source' ELSE 'target' END AS kind, r.exon, edges, r.exon = (SELECT CASE WHEN r.is_left THEN min(src) ELSE max(dst) END FROM e WHERE e.gene_id = r.gene_id AND e.module_idx = r.module_idx) AS at_module_edge, other = 0 AS edge_of_transcript, array_to_string(regions, ';') AS regions
+    FROM ref r JOIN lw ON lw.gene_id = r.gene_id AND lw.exon = r.exon AND lw.is_left = r.is_left WHERE own > 1"""
+)
 def primer_regions(spark, sf_dir):
     return M.primer_regions(edges_of(spark, sf_dir))
 
@@ -248,45 +286,56 @@ def ranged(*rows: tuple[str, str, str, str, str]) -> str:
 
 
 ONE = """SELECT gene_id, module_idx, src, dst, min((("start"), ("end"))) AS x FROM j GROUP BY ALL"""
-SITES_FROM = f"""(SELECT *, proximal_start = distal_start OR kind = 'alt3and5' AS l FROM ({SITES_SQL}))"""
-sites = lambda names: ranged(*((n, "CASE WHEN l THEN 's' ELSE 't' END", "CASE WHEN l THEN e1 ELSE e2 END", f"{p}_start", f"{p}_end") for n, p in zip(names, ("proximal", "distal"))))
+ANY = """SELECT gene_id, module_idx, src, dst, min((("start"), ("end"))) AS x FROM e GROUP BY ALL"""
+# Every exon side with two connections or more is an LSV here, so both sides of two connections between the same exons are.
+SITES_FROM = f"""(SELECT *, proximal_start = distal_start AS l FROM ({SITES_SQL}))"""
+sites = ranged(*((n, "CASE WHEN l THEN 's' ELSE 't' END", "CASE WHEN l THEN e1 ELSE e2 END", f"{p}_start", f"{p}_end") for n, p in (("Proximal", "proximal"), ("Distal", "distal"))))
+both_sites = ranged(*((f"{e}_{f}_{j}", side, e.lower(), f"{p}_start", f"{p}_end") for e, f, side in (("E1", "E2", "s"), ("E2", "E1", "t")) for j, p in (("J1", "proximal"), ("J2", "distal"))))
 ends = lambda kind: f"""SELECT z.gene_id, z.module_idx, concat_ws('_', ref, proximal_exon, distal_exon, sd) AS event, NULL::INT AS event_size, {ranged(('Proximal', 'sd', 'ref', 'p.x[1]', 'p.x[2]'), ('Distal', 'sd', 'ref', 'd.x[1]', 'd.x[2]'))} AS rows
   FROM (SELECT q.*, CASE WHEN ('{kind}' = 'last') = (strand = '+') THEN 's' ELSE 't' END AS sd FROM ({ENDS_SQL}) q JOIN (SELECT DISTINCT gene_id, strand FROM e) USING (gene_id) WHERE kind = '{kind}') z
   JOIN ({ONE}) p ON p.gene_id = z.gene_id AND p.module_idx = z.module_idx AND p.src = CASE WHEN sd = 's' THEN ref ELSE proximal_exon END AND p.dst = CASE WHEN sd = 's' THEN proximal_exon ELSE ref END
   JOIN ({ONE}) d ON d.gene_id = z.gene_id AND d.module_idx = z.module_idx AND d.src = CASE WHEN sd = 's' THEN ref ELSE distal_exon END AND d.dst = CASE WHEN sd = 's' THEN distal_exon ELSE ref END"""
-putative = lambda kind: f"""SELECT DISTINCT gene_id, module_idx, concat_ws('_', c1, a1, c2, s_start, s_end, j_start, j_end) AS event, NULL::INT AS event_size, {ranged(*((n, "CASE WHEN is_left THEN 't' ELSE 's' END", "CASE WHEN is_left THEN c2 ELSE c1 END", f"{p}_start", f"{p}_end") for n, p in (("Distal", "s"), ("Proximal", "j"))))} AS rows
-  FROM ({PUTATIVE_SQL[PUTATIVE_SQL.index('FROM (') + 6:].rstrip()[:-1].replace('s."end" AS s_end FROM', 's."end" AS s_end, x."start" AS j_start, x."end" AS j_end FROM').replace('s."start", s."end" FROM', 's."start", s."end", x."start", x."end" FROM')}) WHERE CASE WHEN is_left = (strand = '+') THEN 'p_alt5' ELSE 'p_alt3' END = '{kind}'"""
+past = [("Distal", "s", "c1", "s_start", "s_end"), ("Distal", "t", "c2", "s_start", "s_end")]
+way = lambda side, exon, intron: ("Intron" if intron else "Proximal", side, exon, "i_start" if intron else "j_start", "i_end" if intron else "j_end")
+putative = lambda kind: f"""SELECT DISTINCT p.gene_id, module_idx, concat_ws('_', c1, a1, c2, s_start, s_end, j_start, j_end, i_start, i_end) AS event, i_end - i_start + 1 + abs(x_end - x_start) + 1 AS event_size, CASE WHEN is_left THEN {ranged(past[0], way("s", "c1", True), past[1], way("t", "c2", False))} ELSE {ranged(past[0], way("s", "c1", False), past[1], way("t", "c2", True))} END AS rows
+  FROM ({PUTATIVE_INNER}) p JOIN (SELECT gene_id, dst AS a1, min("end") AS x_start FROM e GROUP BY ALL) USING (gene_id, a1) JOIN (SELECT gene_id, src AS a1, max("start") AS x_end FROM e GROUP BY ALL) USING (gene_id, a1) WHERE CASE WHEN is_left = (strand = '+') THEN 'p_alt5' ELSE 'p_alt3' END = '{kind}'"""
 EVENT_SQL = {
     "cassette": f"""SELECT gene_id, module_idx, concat_ws('_', c1, a1, c2, s_start, s_end, a1_start, a1_end) AS event, a1_end - a1_start + 1 AS event_size, {ranged(("C1_C2", "s", "c1", "s_start", "s_end"), ("C1_A", "s", "c1", "s_start", "a1_start"), ("C2_C1", "t", "c2", "s_start", "s_end"), ("C2_A", "t", "c2", "a1_end", "s_end"))} AS rows FROM ({CASSETTE_SQL})""",
-    "tandem_cassette": f"""SELECT gene_id, module_idx, concat_ws('_', c1, c2, s_start, s_end) AS event, l - f + 1 AS event_size, {ranged(("C1_C2", "s", "c1", "s_start", "s_end"), ("C1_A", "s", "c1", "s_start", "f"), ("C2_C1", "t", "c2", "s_start", "s_end"), ("C2_A_Last", "t", "c2", "l", "s_end"))} AS rows
-      FROM (SELECT t.*, (SELECT min("end") FROM j x WHERE x.gene_id = t.gene_id AND x.module_idx = t.module_idx AND x.src = c1 AND x.dst = c1 + 1 AND x."start" = s_start) AS f, (SELECT max("start") FROM j x WHERE x.gene_id = t.gene_id AND x.module_idx = t.module_idx AND x.dst = c2 AND x.src = c2 - 1 AND x."end" = s_end) AS l FROM ({TANDEM_SQL}) t)""",
-    "mutually_exclusive": f"""SELECT m.gene_id, m.module_idx, concat_ws('_', c1, a1, a2, c2) AS event, u.x[1] - x.x[2] + 1 AS event_size, {ranged(("C1_A1", "s", "c1", "x.x[1]", "x.x[2]"), ("C1_A2", "s", "c1", "y.x[1]", "y.x[2]"), ("C2_A1", "t", "c2", "u.x[1]", "u.x[2]"), ("C2_A2", "t", "c2", "v.x[1]", "v.x[2]"))} AS rows FROM ({MXE_SQL}) m
+    "tandem_cassette": f"""SELECT gene_id, module_idx, concat_ws('_', c1, c2, s_start, s_end) AS event, sum(st) FILTER (src <> c1) - sum(en) FILTER (dst <> c2) + count(*) - 1 AS event_size, {ranged(("C1_C2", "s", "c1", "s_start", "s_end"), ("C1_A", "s", "c1", "s_start", "min(en) FILTER (src = c1)"), ("C2_C1", "t", "c2", "s_start", "s_end"), ("C2_A_Last", "t", "c2", "max(st) FILTER (dst = c2)", "s_end"))} AS rows
+      FROM (SELECT *, mn.b AS en, CASE WHEN dst = c2 THEN mx ELSE mn.a END AS st FROM (SELECT t.gene_id, t.module_idx, c1, c2, s_start, s_end, x.src, x.dst, min({{'a': x."start", 'b': x."end"}}) AS mn, max(x."start") AS mx FROM ({TANDEM_SQL}) t JOIN j x ON x.gene_id = t.gene_id AND x.module_idx = t.module_idx AND x.src >= c1 AND x.dst <= c2 AND x.dst = x.src + 1 AND (x.src <> c1 OR x."start" = s_start) AND (x.dst <> c2 OR x."end" = s_end)
+      GROUP BY t.gene_id, t.module_idx, c1, c2, s_start, s_end, x.src, x.dst)) GROUP BY gene_id, module_idx, c1, c2, s_start, s_end""",
+    "mutually_exclusive": f"""SELECT m.gene_id, m.module_idx, concat_ws('_', c1, a1, a2, c2) AS event, NULL::INT AS event_size, {ranged(("C1_A1", "s", "c1", "x.x[1]", "x.x[2]"), ("C1_A2", "s", "c1", "y.x[1]", "y.x[2]"), ("C2_A1", "t", "c2", "u.x[1]", "u.x[2]"), ("C2_A2", "t", "c2", "v.x[1]", "v.x[2]"))} AS rows FROM ({MXE_SQL}) m
       """ + " ".join(f"JOIN ({ONE}) {p} ON {p}.gene_id = m.gene_id AND {p}.module_idx = m.module_idx AND {p}.src = {a} AND {p}.dst = {b}" for p, a, b in (("x", "c1", "a1"), ("y", "c1", "a2"), ("u", "a1", "c2"), ("v", "a2", "c2"))),
-    **{k: f"""SELECT gene_id, module_idx, concat_ws('_', e1, e2, proximal_start, proximal_end, distal_start, distal_end) AS event, abs(proximal_start - distal_start) + abs(proximal_end - distal_end) AS event_size, {sites(("J1", "J2") if k == "alt3and5" else ("Proximal", "Distal"))} AS rows FROM {SITES_FROM} WHERE kind = '{k}'""" for k in ("alt5", "alt3", "alt3and5")},
-    "alternative_intron": f"""SELECT gene_id, module_idx, concat_ws('_', c1, c2, "start", "end") AS event, "end" - "start" + 1 AS event_size, {ranged(("C1_C2_intron", "s", "c1", '"start"', '"end"'), ("C2_C1_intron", "t", "c2", '"start"', '"end"'))} AS rows FROM ({INTRON_SQL})
-      UNION ALL SELECT i.gene_id, i.module_idx, concat_ws('_', c1, c2, i."start", i."end"), i."end" - i."start" + 1, {ranged(("C1_C2_spliced", "s", "c1", 'j."start"', 'j."end"'))} FROM ({INTRON_SQL}) i JOIN j ON j.gene_id = i.gene_id AND j.module_idx = i.module_idx AND j.src = c1
-      UNION ALL SELECT i.gene_id, i.module_idx, concat_ws('_', c1, c2, i."start", i."end"), i."end" - i."start" + 1, {ranged(("C2_C1_spliced", "t", "c2", 'j."start"', 'j."end"'))} FROM ({INTRON_SQL}) i JOIN j ON j.gene_id = i.gene_id AND j.module_idx = i.module_idx AND j.dst = c2""",
+    **{k: f"""SELECT gene_id, module_idx, concat_ws('_', e1, e2, proximal_start, proximal_end, distal_start, distal_end) AS event, {"NULL::INT" if k == "alt3and5" else "abs(proximal_start - distal_start) + abs(proximal_end - distal_end)"} AS event_size, {both_sites if k == "alt3and5" else sites} AS rows FROM {SITES_FROM} WHERE kind = '{k}'""" for k in ("alt5", "alt3", "alt3and5")},
+    "alternative_intron": f"""SELECT DISTINCT i.gene_id, i.module_idx, concat_ws('_', i.src, i.dst, i."start", i."end", j.src, j.dst, j."start", j."end") AS event, i."end" - i."start" + 1 AS event_size, CASE WHEN j.dst = i.dst THEN {ranged(("C2_C1_intron", "t", "i.dst", 'i."start"', 'i."end"'), ("C2_C1_spliced", "t", "i.dst", 'j."start"', 'j."end"'))}
+      ELSE {ranged(("C1_C2_intron", "s", "i.src", 'i."start"', 'i."end"'), ("C1_C2_spliced", "s", "i.src", 'j."start"', 'j."end"'))} END AS rows FROM i JOIN j USING (gene_id, module_idx) WHERE j.src = i.src OR j.dst = i.dst""",
     "first": ends("first"),
     "last": ends("last"),
-    "multi_exon_spanning": f"""SELECT gene_id, module_idx, concat_ws('_', c1, c2, s_start, s_end) AS event, c2 - c1 - 1 AS event_size, {ranged(("C1_C2", "s", "c1", "s_start", "s_end"), ("C2_C1", "t", "c2", "s_start", "s_end"))} AS rows FROM ({SPANNING_SQL})""",
+    "multi_exon_spanning": f"""SELECT z.gene_id, z.module_idx, concat_ws('_', c1, c2, s_start, s_end) AS event, NULL::INT AS event_size, {ranged(("C1_C2", "s", "c1", "s_start", "s_end"), ("C1_A", "s", "c1", "p.x[1]", "p.x[2]"), ("C2_C1", "t", "c2", "s_start", "s_end"), ("A_C2", "t", "c2", "q.x[1]", "q.x[2]"))} AS rows FROM ({SPANNING_SQL}) z
+      LEFT JOIN ({ANY}) p ON p.gene_id = z.gene_id AND p.module_idx = z.module_idx AND p.src = c1 AND p.dst = nearest LEFT JOIN ({ANY}) q ON q.gene_id = z.gene_id AND q.module_idx = z.module_idx AND q.src = nearest_in AND q.dst = c2""",
     "p_alt5": putative("p_alt5"),
     "p_alt3": putative("p_alt3"),
     "constitutive": f"""SELECT gene_id, module_idx, concat_ws('_', src, dst, "start", "end") AS event, NULL::INT AS event_size, {ranged(("C1_C2", "s", "src", '"start"', '"end"'), ("C2_C1", "t", "dst", '"start"', '"end"'))} AS rows FROM (SELECT *, count(*) OVER (PARTITION BY gene_id, src) AS o, count(*) OVER (PARTITION BY gene_id, dst) AS t FROM e) WHERE o = 1 AND t = 1""",
+    **{k: f"""SELECT gene_id, module_idx, concat_ws('_', ref, half, other, half_start, half_end, other_start, other_end) AS event, NULL::INT AS event_size, CASE WHEN is_distal THEN {ranged(("Proximal", "CASE WHEN is_right THEN 's' ELSE 't' END", "ref", "other_start", "other_end"), ("Distal", "CASE WHEN is_right THEN 's' ELSE 't' END", "ref", "half_start", "half_end"))}
+      ELSE {ranged(("Proximal", "CASE WHEN is_right THEN 's' ELSE 't' END", "ref", "half_start", "half_end"), ("Distal", "CASE WHEN is_right THEN 's' ELSE 't' END", "ref", "other_start", "other_end"))} END AS rows FROM ({putative_ends_sql()}) WHERE kind = '{k}'""" for k in ("p_first", "p_last")},
+    "exitron": f"""SELECT DISTINCT gene_id, module_idx, concat_ws('_', exon, "start", "end") AS event, NULL::INT AS event_size, {ranged(("exitron", "s", "exon", '"start"', '"end"'), ("exitron", "t", "exon", '"start"', '"end"'))} AS rows FROM j JOIN x USING (gene_id) WHERE "start" > e_start AND "end" < e_end""",
+    "orphan": f"""SELECT DISTINCT gene_id, module_idx, concat_ws('_', src, dst, "start", "end") AS event, NULL::INT AS event_size, CASE WHEN o > 1 THEN {ranged(("Orphan", "s", "src", '"start"', '"end"'))} ELSE {ranged(("Orphan", "t", "dst", '"start"', '"end"'))} END AS rows
+      FROM (SELECT *, count(*) OVER (PARTITION BY gene_id, src) AS o, count(*) OVER (PARTITION BY gene_id, dst) AS t FROM e) k WHERE NOT is_intron AND (o > 1 OR t > 1) AND NOT EXISTS (SELECT 1 FROM x WHERE x.gene_id = k.gene_id AND (k."start" BETWEEN e_start AND e_end OR k."end" BETWEEN e_start AND e_end))""",
 }
 
 
 def rows_query(kind: str) -> None:
-    sql = f"""{EDGES_SQL}{ENDS_WITH}, ev AS ({EVENT_SQL[kind]}), r AS (SELECT gene_id, concat_ws('_', gene_id, module_idx, '{kind}', event) AS event_id, event_size, unnest(rows) AS r FROM ev),
+    sql = f"""{EDGES_SQL}{ENDS_WITH}{EXONS_SQL if kind in R.NEED_EXONS else ""}{HALF_SQL if kind in R.NEED_HALF else ""}, ev AS ({EVENT_SQL[kind]}), r AS (SELECT gene_id, concat_ws('_', gene_id, module_idx, '{kind}', event) AS event_id, event_size, unnest(rows) AS r FROM ev),
       lv AS (SELECT gene_id, 's' AS side, src AS exon FROM e GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT gene_id, 't', dst FROM e GROUP BY gene_id, dst HAVING count(*) > 1), mk AS (SELECT gene_id, "start", "end", min(strand) AS strand, bool_and(("start" + "end") % 7 = 0) AS de_novo FROM e GROUP BY ALL)
-      SELECT event_id, r.junction_name AS junction_name, r.side AS side, mk."start", mk."end", CASE WHEN strand = '-' THEN mk."end" || '-' || mk."start" ELSE mk."start" || '-' || mk."end" END AS along, CAST(event_size AS INT) AS event_size, de_novo, CASE WHEN lv.exon IS NOT NULL THEN r.gene_id || ':' || lv.side || ':' || lv.exon END AS lsv_id
-      FROM r JOIN mk ON mk.gene_id = r.gene_id AND mk."start" = r.r.s AND mk."end" = r.r.e LEFT JOIN lv ON lv.gene_id = r.gene_id AND lv.side = r.r.side AND lv.exon = r.r.exon"""
+      SELECT event_id, r.junction_name AS junction_name, r.side AS side, CAST(r.r.s AS INT) AS "start", CAST(r.r.e AS INT) AS "end", CASE WHEN strand = '-' THEN mk."end" || '-' || mk."start" ELSE mk."start" || '-' || mk."end" END AS along, CAST(event_size AS INT) AS event_size, de_novo, CASE WHEN lv.exon IS NOT NULL THEN r.gene_id || ':' || lv.side || ':' || lv.exon END AS lsv_id
+      FROM r LEFT JOIN mk ON mk.gene_id = r.gene_id AND mk."start" = r.r.s AND mk."end" = r.r.e LEFT JOIN lv ON lv.gene_id = r.gene_id AND lv.side = r.r.side AND lv.exon = r.r.exon"""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = edges_of(spark, sf_dir).withColumn("de_novo", (F.col("start") + F.col("end")) % 7 == 0)
-        return R.event_rows(e, kind).withColumn("event_size", F.col("event_size").cast("int"))
+        return R.event_rows(e, kind, exons_of(e) if kind in R.NEED_EXONS else None, half=half_exons_of(e) if kind in R.NEED_HALF else None).withColumn("event_size", F.col("event_size").cast("int"))
 
     QUERIES[f"rows_{kind}"], SQL[f"rows_{kind}"] = run, sql
 
 
-for _kind in R.TYPES:
+for _kind in (*R.TYPES, *R.NEED_EXONS, *R.NEED_HALF):
     rows_query(_kind)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +38,10 @@ QUANTIFIABLE_SQL = f"""{WITH_SUMMARY}, sizes AS (SELECT grp, count(DISTINCT expe
   ok AS (SELECT grp, experiment, lsv_id FROM summary GROUP BY ALL HAVING bool_or(reads >= 10 AND npos >= 3)),
   quantifiable AS (SELECT grp, lsv_id, count(*) AS experiments FROM ok GROUP BY ALL),
   good AS (SELECT q.* FROM quantifiable q JOIN sizes USING (grp) WHERE experiments >= greatest(1, least(size, ceil(size * 0.5))))"""
-FOLDS_SQL = f"""{QUANTIFIABLE_SQL},
+FOLDS_SQL = f"""{QUANTIFIABLE_SQL}, {V.LSV_CONNECTIONS_SQL},
   folded AS (SELECT c.grp, c.lsv_id, junc_idx, r.r AS rep, CAST(sum(CASE WHEN position % 5 <> r.r THEN reads ELSE 0 END) AS DOUBLE) * 1.25 AS x FROM counts c JOIN good USING (grp, lsv_id), (SELECT unnest(range(5)) AS r) r GROUP BY ALL),
-  n AS (SELECT *, count(*) OVER (PARTITION BY grp, lsv_id, rep) AS n, sum(x) OVER (PARTITION BY grp, lsv_id, rep) AS total FROM folded)"""
+  whole AS (SELECT grp, lsv_id, junc_idx, rep, coalesce(x, 0) AS x FROM good JOIN connections USING (lsv_id) CROSS JOIN (SELECT unnest(range(5)) AS rep) LEFT JOIN folded USING (grp, lsv_id, junc_idx, rep)),
+  n AS (SELECT *, count(*) OVER (PARTITION BY grp, lsv_id, rep) AS n, sum(x) OVER (PARTITION BY grp, lsv_id, rep) AS total FROM whole)"""
 
 
 def pooled_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,15 +53,26 @@ def pooled_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.fold_replicates(counts.join(good, ["grp", "lsv_id"], "left_semi"), keys)
 
 
+def dense_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pooled replicates of all connections of the quantifiable LSVs, a row for each group and LSV."""
+    return Q.dense(pooled_coverage(spark, sf_dir), V.lsv_connections(spark, sf_dir), ["grp"])
+
+
 def sample_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """grp, experiment, lsv_id, junc_idx, psi: posterior mean of every experiment in which the LSV passes."""
+    """grp, experiment, lsv_id, junc_idx, psi: posterior mean of every connection in every experiment in which the LSV
+    passes."""
     summed = summary_of(spark, sf_dir)
     ok = Q.passing_lsvs(summed)
     kept = summed.join(ok, ["grp", "experiment", "lsv_id"], "left_semi")
-    return Q.empirical_psi(kept, ["experiment", "lsv_id"]).select("grp", "experiment", "lsv_id", "junc_idx", F.round("psi", 9).alias("psi"))
+    every = Q.dense(kept, V.lsv_connections(spark, sf_dir), ["grp", "experiment"], "reads")
+    n, total = F.size("connections"), F.aggregate("connections", F.lit(0).cast("long"), lambda a, c: a + c["reads"])
+    each = every.select("grp", "experiment", "lsv_id", n.alias("n"), total.alias("total"), F.explode("connections").alias("c"))
+    return each.select("grp", "experiment", "lsv_id", "c.junc_idx", F.round((F.col("c.reads") + 1.0 / F.col("n")) / (F.col("total") + 1.0), 9).alias("psi"))
 
 
-SAMPLE_SQL = f"""{QUANTIFIABLE_SQL}, samples AS (SELECT grp, experiment, lsv_id, junc_idx, round(reads / CAST(sum(reads) OVER (PARTITION BY experiment, lsv_id) AS DOUBLE), 9) AS psi FROM summary JOIN ok USING (grp, experiment, lsv_id))"""
+SAMPLE_SQL = f"""{QUANTIFIABLE_SQL}, {V.LSV_CONNECTIONS_SQL}, every AS (SELECT grp, experiment, lsv_id, junc_idx, coalesce(reads, 0) AS reads, count(*) OVER w AS n, sum(coalesce(reads, 0)) OVER w AS total
+    FROM ok JOIN connections USING (lsv_id) LEFT JOIN summary USING (grp, experiment, lsv_id, junc_idx) WINDOW w AS (PARTITION BY experiment, lsv_id)),
+  samples AS (SELECT grp, experiment, lsv_id, junc_idx, round((reads + 1.0 / CAST(n AS DOUBLE)) / (total + 1.0), 9) AS psi FROM every)"""
 
 
 @query(f"{QUANTIFIABLE_SQL} SELECT * FROM good")
@@ -76,7 +90,7 @@ def both_group_lsvs(spark, sf_dir):
 @query(f"{FOLDS_SQL} SELECT grp, lsv_id, junc_idx, round(median((x + 1.0 / n) / (total + 1.0)), 6) AS mean_psi FROM n GROUP BY ALL")
 def psi_of_groups(spark, sf_dir):
     """Flagship: PSI of every quantifiable LSV of both groups."""
-    return rounded(Q.mean_psi(pooled_coverage(spark, sf_dir), ["grp", "lsv_id"]), "mean_psi")
+    return rounded(Q.mean_psi(dense_coverage(spark, sf_dir), ["grp"]), "mean_psi")
 
 
 @query(f"{FOLDS_SQL} SELECT lsv_id, junc_idx, CAST(rep AS INT) AS rep, sum(x) AS x FROM folded GROUP BY ALL")
@@ -148,13 +162,26 @@ def info_score(spark, sf_dir):
     return rounded(S.info_score(sample_psi(spark, sf_dir)), "score")
 
 
+# p of Welch's test: the incomplete beta function by its series, on the side where the argument is at most a half.
+TTEST_SQL = """st AS (SELECT lsv_id, junc_idx, count(psi) FILTER (grp = 'A') AS n1, count(psi) FILTER (grp = 'B') AS n2, avg(psi) FILTER (grp = 'A') - avg(psi) FILTER (grp = 'B') AS d,
+    var_samp(psi) FILTER (grp = 'A') / count(psi) FILTER (grp = 'A') AS e1, var_samp(psi) FILTER (grp = 'B') / count(psi) FILTER (grp = 'B') AS e2 FROM {samples} GROUP BY ALL),
+  dof AS (SELECT *, n1 > 1 AND n2 > 1 AND e1 + e2 > 1e-24 AS varies, (e1 + e2) * (e1 + e2) / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)) AS v, d * d / (e1 + e2) AS t2 FROM st),
+  side AS (SELECT *, v / (v + t2) > 0.5 AS turned, CASE WHEN v / (v + t2) > 0.5 THEN t2 / (v + t2) ELSE v / (v + t2) END AS z, CASE WHEN v / (v + t2) > 0.5 THEN 0.5 ELSE v / 2 END AS a, CASE WHEN v / (v + t2) > 0.5 THEN v / 2 ELSE 0.5 END AS b FROM dof WHERE varies),
+  part AS (SELECT lsv_id, junc_idx, any_value(turned) AS turned, any_value(CASE WHEN z > 0 THEN exp(a * ln(z) + b * ln(1 - z) + lgamma(a + b) - lgamma(a + 1) - lgamma(b)) ELSE 0 END)
+    * sum(CASE WHEN z > 0 THEN exp(lgamma(a + 1) + lgamma(a + b + k) - lgamma(a + 1 + k) - lgamma(a + b) + k * ln(z)) ELSE 0 END) AS i FROM side, (SELECT unnest(range(120)) AS k) GROUP BY lsv_id, junc_idx),
+  ttest AS (SELECT lsv_id, junc_idx, coalesce(CASE WHEN turned THEN 1 - i ELSE i END, 1.0) AS p FROM dof LEFT JOIN part USING (lsv_id, junc_idx))"""
+
+
 @query(
-    f"""{SUMMARY_SQL}, b AS (SELECT a.lsv_id, a.junc_idx, a.q75 - a.q25 AS a_iqr, b.q75 - b.q25 AS b_iqr, b.median_psi - a.median_psi AS dpsi FROM gs a JOIN gs b ON a.lsv_id = b.lsv_id AND a.junc_idx = b.junc_idx AND a.grp = 'A' AND b.grp = 'B')
-    SELECT lsv_id, junc_idx, round(abs(dpsi), 6) >= 0.1 AS changing, round(greatest(a_iqr, b_iqr), 6) <= 0.1 AND round(abs(dpsi), 6) <= 0.05 AS nonchanging FROM b"""
+    f"""{SUMMARY_SQL}, {TTEST_SQL.format(samples="samples")}, b AS (SELECT a.lsv_id, a.junc_idx, a.q75 - a.q25 AS a_iqr, b.q75 - b.q25 AS b_iqr, b.median_psi - a.median_psi AS dpsi FROM gs a JOIN gs b ON a.lsv_id = b.lsv_id AND a.junc_idx = b.junc_idx AND a.grp = 'A' AND b.grp = 'B')
+    SELECT lsv_id, junc_idx, round(p, 6) AS p, round(p, 6) <= 0.05 AND round(abs(dpsi), 6) >= 0.1 AS changing, round(p, 6) >= 0.05 AND round(greatest(a_iqr, b_iqr), 6) <= 0.1 AND round(abs(dpsi), 6) <= 0.05 AS nonchanging FROM b JOIN ttest USING (lsv_id, junc_idx)"""
 )
 def heterogen_classes(spark, sf_dir):
-    both = rounded(S.two_groups(S.group_summary(sample_psi(spark, sf_dir))), "a_iqr", "b_iqr", "dpsi").withColumn("p", F.lit(0.05))
-    return S.heterogen_nonchanging(S.heterogen_changing(both, dpsi=0.1)).select("lsv_id", "junc_idx", "changing", "nonchanging")
+    """Changing and non-changing connections by Welch's test of their experiments."""
+    samples = sample_psi(spark, sf_dir)
+    p = S.tests_of_samples(samples.withColumn("psi", F.array("psi")), ["TTEST"]).select("lsv_id", "junc_idx", F.round("p_mean", 6).alias("p"))
+    both = rounded(S.two_groups(S.group_summary(samples)), "a_iqr", "b_iqr", "dpsi").join(p, ["lsv_id", "junc_idx"])
+    return S.heterogen_nonchanging(S.heterogen_changing(both, dpsi=0.1)).select("lsv_id", "junc_idx", "p", "changing", "nonchanging")
 
 
 def test_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,10 +254,12 @@ def sample_histogram(spark, sf_dir):
 
 
 def experiment_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicates of all connections of the LSVs that pass in an experiment, a row for each experiment and LSV."""
     keys = ["experiment", "lsv_id", "junc_idx"]
     counts = E.positional_counts(V.read_hits(spark, sf_dir), ["grp", *keys], "position")
     ok = Q.passing_lsvs(summary_of(spark, sf_dir))
-    return Q.fold_replicates(counts.join(ok, ["grp", "experiment", "lsv_id"], "left_semi"), keys)
+    seen = Q.fold_replicates(counts.join(ok, ["grp", "experiment", "lsv_id"], "left_semi"), keys)
+    return Q.dense(seen, V.lsv_connections(spark, sf_dir), ["experiment"])
 
 
 @query()
@@ -243,22 +272,151 @@ def bootstrap_replicates(spark, sf_dir):
 
 @query()
 def psi_posterior(spark, sf_dir):
-    return Q.psi_posterior(pooled_coverage(spark, sf_dir), ["grp", "lsv_id"])
+    return Q.psi_posterior(dense_coverage(spark, sf_dir), ["grp"])
+
+
+def quadrature(pieces: int = 4, nodes: int = 16) -> str:
+    """A table of places u and weights w: Gauss-Legendre nodes in equal pieces of [0, 1]."""
+    t, w = np.polynomial.legendre.leggauss(nodes)
+    rows = ((piece + (x + 1) / 2) / pieces for piece in range(pieces) for x in t)
+    return "SELECT * FROM (VALUES " + ", ".join(f"({u!r}, {v!r})" for u, v in zip(map(float, rows), [float(x) / 2 / pieces for x in w] * pieces)) + ") q (u, w)"
+
+
+def masses_sql(table: str, keys: str, bins: int, name: str) -> str:
+    """Tables {name}_d and {name}: keys, bin, m, the beta(a, b) masses in equal bins of the rows of `table`, by
+    quadrature. In the first and the last bin the 12th root of the distance from the end is the variable: there the
+    density has a pole of order 1 - 1 / n, n at most 4."""
+    edge = f"power({1 / bins!r}, 1.0 / 12)"
+    log = "exp((a - 1) * ln(x) + (b - 1) * ln(1 - x) + lgamma(a + b) - lgamma(a) - lgamma(b))"
+    return f"""{name}_d AS (SELECT {keys}, bin, u, w, a, b, CASE WHEN bin = 0 THEN power({edge} * u, 12) WHEN bin = {bins - 1} THEN 1 - power({edge} * u, 12) ELSE (bin + u) / {bins} END AS x, CASE WHEN bin IN (0, {bins - 1}) THEN {edge} * 12 * power({edge} * u, 11) ELSE {1 / bins!r} END AS dx
+    FROM {table}, (SELECT CAST(unnest(range({bins})) AS INT) AS bin) CROSS JOIN ({quadrature()})),
+  {name} AS (SELECT {keys}, bin, sum(w * dx * CASE WHEN bin = {bins - 1} THEN exp((a - 1) * ln(x) + (b - 1) * 12 * ln({edge} * u) + lgamma(a + b) - lgamma(a) - lgamma(b)) ELSE {log} END) AS m FROM {name}_d GROUP BY {keys}, bin)"""
+
+
+POSTERIOR_SQL = f"{FOLDS_SQL}, ab AS (SELECT grp, lsv_id, junc_idx, rep, x + 1.0 / n AS a, total - x + 1 - 1.0 / n AS b FROM n)"
+
+
+@query(
+    f"""{POSTERIOR_SQL}, {masses_sql("ab", "grp, lsv_id, junc_idx, rep", 40, "mass")}, h AS (SELECT grp, lsv_id, junc_idx, bin, avg(m) AS m FROM mass GROUP BY ALL)
+    SELECT grp, lsv_id, junc_idx, round(sum(m * (bin + 0.5) / 40), 5) AS mean, round(sqrt(sum(m * power((bin + 0.5) / 40, 2)) - power(sum(m * (bin + 0.5) / 40), 2)), 5) AS stdev, round(max(m), 5) AS highest FROM h GROUP BY ALL"""
+)
+def posterior_moments(spark, sf_dir):
+    """Mean, standard deviation and highest bin of the posterior histograms."""
+    h, b = Q.psi_posterior(dense_coverage(spark, sf_dir), ["grp"]), F.col("bins")
+    return rounded(h.select("grp", "lsv_id", "junc_idx", H.expected(b, 40, 0.0, 1.0).alias("mean"), F.sqrt(H.variance(b, 40, 0.0, 1.0)).alias("stdev"), F.array_max(b).alias("highest")), "mean", "stdev", "highest", digits=5)
+
+
+def change_of_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple]:
+    """Differences of PSI of the two groups, and the priors used, fitted to the best sets' LSVs, junctions and introns apart."""
+    connections, best = V.lsv_connections(spark, sf_dir), best_set_psi(spark, sf_dir)
+    side = lambda df, g: df.filter(F.col("grp") == g).drop("grp")
+    priors = Q.priors_of(Q.best_differences(side(best, "A"), side(best, "B"), connections, most=4))
+    whole = dense_coverage(spark, sf_dir)
+    return Q.delta_psi(side(whole, "A"), side(whole, "B"), *priors), priors
 
 
 @query()
 def delta_psi(spark, sf_dir):
-    c = pooled_coverage(spark, sf_dir)
-    best = best_set_psi(spark, sf_dir)
-    side = lambda g, n: best.filter((F.col("grp") == g) & (F.col("junc_idx") == 0)).select("lsv_id", F.col("psi").alias(n))
-    prior = Q.prior_of(side("A", "x1").join(side("B", "x2"), "lsv_id").select(F.explode(F.array(F.col("x2") - F.col("x1"), F.col("x1") - F.col("x2"))).alias("x")))
-    return Q.delta_psi(c.filter("grp = 'A'").drop("grp"), c.filter("grp = 'B'").drop("grp"), prior)
+    return change_of_groups(spark, sf_dir)[0]
+
+
+BEST_SQL = """ok20 AS (SELECT grp, experiment, lsv_id FROM summary GROUP BY ALL HAVING bool_or(reads >= 20 AND npos >= 10)), best AS (SELECT grp, lsv_id FROM ok20 GROUP BY ALL HAVING count(*) >= 2),
+  bs AS (SELECT grp, lsv_id, junc_idx, sum(reads) AS reads FROM summary JOIN best USING (grp, lsv_id) GROUP BY ALL),
+  bp AS (SELECT grp, lsv_id, junc_idx, round(coalesce(reads / CAST(nullif(sum(reads) OVER w, 0) AS DOUBLE), 1.0 / count(*) OVER w), 6) AS psi FROM bs WINDOW w AS (PARTITION BY grp, lsv_id)),
+  kinds AS (SELECT lsv_id, min(junc_idx) AS junc_idx, bool_or(is_intron) AS is_intron FROM connections GROUP BY lsv_id),
+  df AS (SELECT is_intron, unnest([y.psi - x.psi, x.psi - y.psi]) AS x FROM kinds k JOIN bp x ON x.grp = 'A' AND x.lsv_id = k.lsv_id AND x.junc_idx = k.junc_idx JOIN bp y ON y.grp = 'B' AND y.lsv_id = k.lsv_id AND y.junc_idx = k.junc_idx)"""
+PRIOR_SQL = f"""{BEST_SQL}, mo AS (SELECT is_intron, count(*) AS n, var_samp(x) FILTER (abs(x) <= 0.075) AS v1, var_samp(x) FILTER (abs(x) > 0.075 AND abs(x) <= 0.325) AS v2 FROM df GROUP BY is_intron),
+  fit AS (SELECT * FROM mo WHERE n > 100 AND v1 > 0 AND v2 > 0), own AS (SELECT k.is_intron, CASE WHEN NOT EXISTS (SELECT 1 FROM fit WHERE NOT is_intron) THEN NULL ELSE EXISTS (SELECT 1 FROM fit f WHERE f.is_intron = k.is_intron) AND k.is_intron END AS source FROM (SELECT unnest([true, false]) AS is_intron) k),
+  shapes AS (SELECT is_intron, c, greatest(0.5 * (0.25 / (v / 4) - 1), 1.0) AS a, greatest(0.5 * (0.25 / (v / 4) - 1), 1.0) AS b FROM (SELECT is_intron, unnest([1, 2]) AS c, unnest([v1, v2]) AS v FROM fit)),
+  {masses_sql("shapes", "is_intron, c", 39, "pm")},
+  mixed AS (SELECT is_intron, bin, (sum(m) + {1 / 39!r}) / 3 + 1e-12 AS p FROM pm GROUP BY is_intron, bin),
+  spike AS (SELECT CAST(unnest(range(39)) AS INT) AS bin), dflt AS (SELECT bin, 0.95 * exp(-0.5 * power((bin - 19) / 20.0 / 0.05, 2)) / sum(exp(-0.5 * power((bin - 19) / 20.0 / 0.05, 2))) OVER () + {0.05 / 39!r} AS p FROM spike),
+  prior AS (SELECT o.is_intron, m.bin, p FROM own o JOIN mixed m ON m.is_intron = o.source UNION ALL SELECT o.is_intron, bin, p FROM own o, dflt WHERE o.source IS NULL)"""
+
+
+CHANGE_SQL = f"""{POSTERIOR_SQL}, {PRIOR_SQL}, {masses_sql("ab", "grp, lsv_id, junc_idx, rep", 20, "mass")},
+    lsv AS (SELECT lsv_id, bool_or(is_intron) AS is_intron FROM connections GROUP BY lsv_id),
+    j AS (SELECT x.lsv_id, x.junc_idx, x.rep, y.bin - x.bin AS d, x.m * y.m * p AS m FROM mass x JOIN mass y ON x.grp = 'A' AND y.grp = 'B' AND x.lsv_id = y.lsv_id AND x.junc_idx = y.junc_idx AND x.rep = y.rep JOIN lsv ON lsv.lsv_id = x.lsv_id JOIN prior ON prior.is_intron = lsv.is_intron AND prior.bin = y.bin - x.bin + 19),
+    z AS (SELECT lsv_id, junc_idx, rep, d, sum(m) AS m FROM j GROUP BY ALL), nz AS (SELECT *, m / sum(m) OVER (PARTITION BY lsv_id, junc_idx, rep) AS s FROM z),
+    h AS (SELECT lsv_id, junc_idx, d + 19 AS i, avg(s) AS b, -1.0 + (d + 19) * (2.0 / 39) AS lo FROM nz GROUP BY ALL)"""
+
+
+@query(
+    f"""{CHANGE_SQL},
+    mp AS (SELECT grp, lsv_id, junc_idx, median((x + 1.0 / n) / (total + 1.0)) AS psi FROM n GROUP BY ALL),
+    q AS (SELECT lsv_id, junc_idx, sum(b * (-1.0 + (i + 0.5) * (2.0 / 39))) AS mean, sum(b) - {AREA.format(t=0.2)} AS p FROM h GROUP BY ALL)
+    SELECT q.lsv_id, q.junc_idx, round(x.psi, 5) AS mean_psi_1, round(y.psi, 5) AS mean_psi_2, round(mean, 5) AS mean_dpsi, round(p, 5) AS changing FROM q JOIN mp x ON x.grp = 'A' AND x.lsv_id = q.lsv_id AND x.junc_idx = q.junc_idx JOIN mp y ON y.grp = 'B' AND y.lsv_id = q.lsv_id AND y.junc_idx = q.junc_idx"""
+)
+def delta_psi_moments(spark, sf_dir):
+    """Means of both groups, expected difference and mass beyond 0.2 of the posterior differences."""
+    b = F.col("bins")
+    found = change_of_groups(spark, sf_dir)[0].select("lsv_id", "junc_idx", "mean_psi_1", "mean_psi_2", H.expected(b, 39, -1.0, 1.0).alias("mean_dpsi"), H.share_outside(b, 39, 0.2).alias("changing"))
+    return rounded(found, "mean_psi_1", "mean_psi_2", "mean_dpsi", "changing", digits=5)
+
+
+@query(
+    f"""{CHANGE_SQL}, cp AS (SELECT is_intron, bin AS i, p * (20 - abs(bin - 19)) AS p FROM prior), dv AS (SELECT h.lsv_id, h.junc_idx, h.i, h.lo, h.b / p AS q FROM h JOIN lsv USING (lsv_id) JOIN cp ON cp.is_intron = lsv.is_intron AND cp.i = h.i),
+    rm AS (SELECT lsv_id, junc_idx, i, lo, q / sum(q) OVER (PARTITION BY lsv_id, junc_idx) AS b FROM dv), x AS (SELECT lsv_id, junc_idx, abs(sum(b * (-1.0 + (i + 0.5) * (2.0 / 39)))) AS d, {AREA.format(t=0.05)} AS p FROM rm GROUP BY ALL)
+    SELECT lsv_id, junc_idx, round(d, 5) AS abs_dpsi, round(p, 5) AS non_changing, round(d, 5) <= 0.05 AS is_nonchanging FROM x"""
+)
+def delta_psi_without_prior(spark, sf_dir):
+    """Absolute expected difference and mass within 0.05 after the prior is taken out, and who doesn't change by that."""
+    found, priors = change_of_groups(spark, sf_dir)
+    b = F.col("bins")
+    bare = Q.without_prior(found, *priors).select("lsv_id", "junc_idx", F.abs(H.expected(b, 39, -1.0, 1.0)).alias("abs_dpsi"), H.share_within(b, 39, 0.05).alias("non_changing"))
+    return rounded(bare, "abs_dpsi", "non_changing", digits=5).withColumn("is_nonchanging", F.col("abs_dpsi") <= 0.05)
+
+
+def with_group(samples: DataFrame) -> DataFrame:
+    return samples.withColumn("grp", F.when(F.col("experiment") < 4, "A").otherwise("B"))
 
 
 @query()
 def heterogen_tests(spark, sf_dir):
-    samples = Q.psi_samples(experiment_coverage(spark, sf_dir), samples=20)
-    return S.tests_of_samples(samples.withColumn("grp", F.when(F.col("experiment") < 4, "A").otherwise("B")), ["ALL"])
+    return S.tests_of_samples(with_group(Q.psi_samples(experiment_coverage(spark, sf_dir), samples=20)), ["ALL"])
+
+
+# p of the rank tests by trying all orders of up to 4 and 4 values.
+RANK_TESTS_SQL = """orders AS (SELECT n, m, k FROM (SELECT unnest(range(1, 5)) AS n), (SELECT unnest(range(1, 5)) AS m), (SELECT unnest(range(256)) AS k) WHERE k < (1 << (n + m)::INT) AND bit_count(k) = n),
+  cut AS (SELECT n, m, k, i, bit_count(k & ((1 << i::INT) - 1)) AS a FROM orders, (SELECT unnest(range(9)) AS i) WHERE i <= n + m),
+  every AS (SELECT n, m, k, min(least(a + m - (i - a), n - a + (i - a))) AS t, min(ent(a, i - a) + ent(n - a, m - (i - a))) AS e FROM cut GROUP BY ALL),
+  us AS (SELECT n, m, k, sum(CASE WHEN (k >> i::INT) & 1 = 1 AND (k >> j::INT) & 1 = 0 AND j < i AND i < n + m THEN 1 ELSE 0 END) AS u FROM orders, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j) GROUP BY ALL),
+  r AS (SELECT *, rank() OVER (PARTITION BY lsv_id, junc_idx ORDER BY psi) + (count(*) OVER (PARTITION BY lsv_id, junc_idx, psi) - 1) / 2.0 AS r FROM s0),
+  u AS (SELECT lsv_id, junc_idx, count(*) FILTER (grp = 'A') AS n1, count(*) FILTER (grp = 'B') AS n2, coalesce(sum(r) FILTER (grp = 'A'), 0) - count(*) FILTER (grp = 'A') * (count(*) FILTER (grp = 'A') + 1) / 2.0 AS u FROM r GROUP BY ALL),
+  vs AS (SELECT lsv_id, junc_idx, psi, count(*) FILTER (grp = 'A') AS c1, count(*) FILTER (grp = 'B') AS c2 FROM s0 GROUP BY ALL),
+  bs2 AS (SELECT lsv_id, junc_idx, sum(c1) OVER o AS a, sum(c2) OVER o AS b, sum(c1) OVER w AS n1, sum(c2) OVER w AS n2 FROM vs WINDOW w AS (PARTITION BY lsv_id, junc_idx), o AS (PARTITION BY lsv_id, junc_idx ORDER BY psi ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  sc AS (SELECT lsv_id, junc_idx, n1, n2, least(min(least(a + n2 - b, n1 - a + b)), n1, n2) AS t, min(ent(a, b) + ent(n1 - a, n2 - b)) AS e FROM bs2 GROUP BY lsv_id, junc_idx, n1, n2),
+  ranked AS (SELECT lsv_id, junc_idx, 'TNOM' AS stat, CASE WHEN count(k) = 0 THEN 1.0 ELSE count(k) FILTER (every.t <= sc.t) / CAST(count(k) AS DOUBLE) END AS p FROM sc LEFT JOIN every ON n = n1 AND m = n2 GROUP BY lsv_id, junc_idx
+    UNION ALL SELECT lsv_id, junc_idx, 'INFOSCORE', CASE WHEN count(k) = 0 THEN 1.0 ELSE count(k) FILTER (every.e <= sc.e + 1e-8) / CAST(count(k) AS DOUBLE) END FROM sc LEFT JOIN every ON n = n1 AND m = n2 GROUP BY lsv_id, junc_idx
+    UNION ALL SELECT lsv_id, junc_idx, 'WILCOXON', CASE WHEN count(k) = 0 THEN 1.0 ELSE least(1.0, 2.0 * count(k) FILTER (us.u <= floor(least(u.u, n1 * n2 - u.u))) / count(k)) END FROM u LEFT JOIN us ON n = n1 AND m = n2 GROUP BY lsv_id, junc_idx
+    UNION ALL SELECT lsv_id, junc_idx, 'TTEST', p FROM ttest)"""
+
+
+def entropy_sql(text: str) -> str:
+    """text with ent(a, b) written out: a + b times the entropy of the shares."""
+    term = lambda m: f"(CASE WHEN ({m[1]}) > 0 AND ({m[2]}) > 0 THEN -(({m[1]}) * ln(({m[1]}) / CAST(({m[1]}) + ({m[2]}) AS DOUBLE)) + ({m[2]}) * ln(({m[2]}) / CAST(({m[1]}) + ({m[2]}) AS DOUBLE))) ELSE 0 END)"
+    return re.sub(r"ent\(((?:[^(),]|\([^()]*\))+), ((?:[^(),]|\([^()]*\))+)\)", term, text)
+
+
+MEAN_SAMPLES_SQL = f"""{QUANTIFIABLE_SQL}, {V.LSV_CONNECTIONS_SQL},
+  fe AS (SELECT c.experiment, c.lsv_id, junc_idx, rep, CAST(sum(CASE WHEN position % 5 <> rep THEN reads ELSE 0 END) AS DOUBLE) * 1.25 AS x FROM counts c JOIN ok USING (grp, experiment, lsv_id), (SELECT unnest(range(5)) AS rep) GROUP BY ALL),
+  we AS (SELECT grp, experiment, lsv_id, junc_idx, rep, coalesce(x, 0) AS x FROM ok JOIN connections USING (lsv_id) CROSS JOIN (SELECT unnest(range(5)) AS rep) LEFT JOIN fe USING (experiment, lsv_id, junc_idx, rep)),
+  ne AS (SELECT *, count(*) OVER (PARTITION BY experiment, lsv_id, rep) AS n, sum(x) OVER (PARTITION BY experiment, lsv_id, rep) AS total FROM we),
+  s0 AS (SELECT grp, experiment, lsv_id, junc_idx, median((x + 1.0 / CAST(n AS DOUBLE)) / (total + 1.0)) AS psi FROM ne GROUP BY ALL)"""
+
+
+@query(f"""{MEAN_SAMPLES_SQL}, {TTEST_SQL.format(samples="s0")}, {entropy_sql(RANK_TESTS_SQL)} SELECT lsv_id, junc_idx, stat, round(p, 6) AS p FROM ranked""")
+def heterogen_mean_tests(spark, sf_dir):
+    """The four tests of the experiments' posterior means: what heterogen_tests has without draws."""
+    tested = S.tests_of_samples(with_group(Q.psi_samples(experiment_coverage(spark, sf_dir), samples=0)), ["ALL"])
+    return rounded(tested.select("lsv_id", "junc_idx", "stat", F.col("p_mean").alias("p")), "p")
+
+
+@query()
+def sampled_histograms(spark, sf_dir):
+    """By group and connection the histogram of draws, as many as keep its standard error under 0.01."""
+    samples = Q.psi_samples(experiment_coverage(spark, sf_dir), samples=0, drawn=Q.least_samples(0.01, experiments=4))
+    return Q.sampled_histograms(with_group(samples), ["grp", "lsv_id", "junc_idx"])
 
 
 @query(f"{SUMMARY_SQL}, d AS (SELECT a.lsv_id, max(abs(b.median_psi - a.median_psi)) AS m FROM gs a JOIN gs b ON a.lsv_id = b.lsv_id AND a.junc_idx = b.junc_idx AND a.grp < b.grp GROUP BY ALL) SELECT lsv_id, round(any_value(m), 6) AS max_abs_dpsi, round(max(q75 - q25), 6) AS max_iqr, min(n) AS min_quantified FROM gs LEFT JOIN d USING (lsv_id) GROUP BY lsv_id")
@@ -267,7 +425,7 @@ def heterogen_index(spark, sf_dir):
 
 
 def heterogen_list(g: str, c: str, name: str) -> str:
-    value = f"CAST(coalesce({g}.{c}, 0) AS VARCHAR)" if c == "n" else f"coalesce(printf('%.4f', round(round({g}.{c}, 6), 4)), 'NA')"
+    value = f"CAST(coalesce({g}.{c}, 0) AS VARCHAR)" if c == "n" else f"coalesce(printf('%.4f', CAST(round(CAST(round({g}.{c}, 6) AS DECIMAL(18, 6)), 4) AS DOUBLE)), 'NA')"
     return f"string_agg({value}, ';' ORDER BY k.junc_idx) AS {g}_{name}"
 
 

@@ -85,7 +85,7 @@ def long_read_exon_counts(spark, sf_dir):
 
 
 OTHERS_SQL = f"""{EDGES_SQL}{ENDS_WITH}, used AS ({" UNION ALL ".join(f"SELECT gene_id, module_idx, '{k}' AS k, event, r.side AS side, r.exon AS exon, r.s AS s, r.e AS t FROM (SELECT *, unnest(rows) AS r FROM ({EVENT_SQL[k]}))" for k in R.TYPES if k != "constitutive")}),
-  mkd AS (SELECT DISTINCT u.* FROM used u), lv AS (SELECT gene_id, 's' AS side, src AS exon, min(module_idx) AS module_idx FROM e GROUP BY gene_id, src HAVING count(*) > 1 UNION ALL SELECT gene_id, 't', dst, min(module_idx) FROM e GROUP BY gene_id, dst HAVING count(*) > 1),
+  mkd AS (SELECT DISTINCT u.* FROM used u WHERE s IS NOT NULL), lv AS (SELECT gene_id, 's' AS side, src AS exon, min(module_idx) AS module_idx FROM e GROUP BY gene_id, src HAVING count(*) > 1 UNION ALL SELECT gene_id, 't', dst, min(module_idx) FROM e GROUP BY gene_id, dst HAVING count(*) > 1),
   ul AS (SELECT gene_id, module_idx, string_agg(lsv, ';' ORDER BY lsv) AS lsvs FROM (SELECT gene_id, module_idx, gene_id || ':' || side || ':' || exon AS lsv FROM lv WHERE NOT EXISTS (SELECT 1 FROM mkd u WHERE u.gene_id = lv.gene_id AND u.side = lv.side AND u.exon = lv.exon)) GROUP BY ALL),
   ue AS (SELECT gene_id, module_idx, string_agg(x, ';' ORDER BY x) AS junctions FROM (SELECT DISTINCT gene_id, module_idx, "start" || '-' || "end" AS x FROM e WHERE NOT EXISTS (SELECT 1 FROM mkd u WHERE u.gene_id = e.gene_id AND u.s = e."start" AND u.t = e."end")) GROUP BY ALL),
   o AS (SELECT gene_id, module_idx, lsvs, coalesce(junctions, '') AS junctions FROM ul LEFT JOIN ue USING (gene_id, module_idx))"""
@@ -97,7 +97,7 @@ def other_events(spark, sf_dir):
 
 
 @query(
-    f"""{OTHERS_SQL}, ev AS (SELECT DISTINCT gene_id, module_idx, k, event FROM used), c AS (SELECT gene_id, module_idx, count(*) AS n, count(*) FILTER (k = 'multi_exon_spanning') AS sp, count(*) FILTER (k = 'tandem_cassette') AS tc, count(*) FILTER (k = 'alternative_intron') AS ai, count(*) FILTER (k = 'p_alt3') AS p3, count(*) FILTER (k = 'p_alt5') AS p5 FROM ev GROUP BY ALL)
+    f"""{OTHERS_SQL}, ev AS (SELECT DISTINCT gene_id, module_idx, k, event FROM mkd), c AS (SELECT gene_id, module_idx, count(*) AS n, count(*) FILTER (k = 'multi_exon_spanning') AS sp, count(*) FILTER (k = 'tandem_cassette') AS tc, count(*) FILTER (k = 'alternative_intron') AS ai, count(*) FILTER (k = 'p_alt3') AS p3, count(*) FILTER (k = 'p_alt5') AS p5 FROM ev GROUP BY ALL)
     SELECT a.gene_id, a.module_idx, coalesce(n, 0) + CASE WHEN lsvs IS NULL THEN 0 ELSE 1 END AS total, (coalesce(n, 0) > 1 AND NOT (n = 2 AND ((sp = 1 AND tc = 1) OR (ai = 1 AND (p3 = 1 OR p5 = 1))))) OR coalesce(junctions, '') <> '' AS is_complex
     FROM (SELECT DISTINCT gene_id, module_idx FROM e) a LEFT JOIN c USING (gene_id, module_idx) LEFT JOIN o USING (gene_id, module_idx)"""
 )
@@ -117,7 +117,7 @@ def module_complexity(spark, sf_dir):
 def heterogen_tested_classes(spark, sf_dir):
     """Changing and non-changing connections by the exact U test of their experiments."""
     samples = sample_psi(spark, sf_dir)
-    p = T.tests_of_samples(samples.withColumn("sample_idx", F.lit(0)), ["WILCOXON"]).select("lsv_id", "junc_idx", F.col("p_mean").alias("p"))
+    p = T.tests_of_samples(samples.withColumn("psi", F.array("psi")), ["WILCOXON"]).select("lsv_id", "junc_idx", F.col("p_mean").alias("p"))
     both = rounded(T.two_groups(T.group_summary(samples)), "a_iqr", "b_iqr", "dpsi").join(p, ["lsv_id", "junc_idx"])
     found = T.heterogen_nonchanging(T.heterogen_changing(both, dpsi=0.1))
     return found.select("lsv_id", "junc_idx", F.round("p", 6).alias("p"), "changing", "nonchanging")

@@ -203,12 +203,21 @@ def long_read_exon_parts(spark, sf_dir):
     return R.exon_parts(long_exons(spark, sf_dir), S.merged_exons(V.transcript_exons(spark, sf_dir)))
 
 
-@query(f"""{LONG_SQL}, {LONG_EXONS}, sh AS (SELECT * FROM merged), d AS (SELECT DISTINCT gene_id, "start", "end" FROM long), p AS (SELECT d.*, s."start" AS s, s."end" AS e FROM d JOIN sh s ON d.gene_id = s.gene_id AND s."start" <= d."end" AND d."start" <= s."end"), w AS (SELECT gene_id, s, e, min("start") AS l, max("end") AS h FROM p GROUP BY ALL)
-  SELECT sh.gene_id, least("start", coalesce(l, "start")) AS "start", greatest("end", coalesce(h, "end")) AS "end", CASE WHEN l IS NULL THEN 'short' ELSE 'both' END AS source FROM sh LEFT JOIN w ON sh.gene_id = w.gene_id AND sh."start" = w.s AND sh."end" = w.e UNION ALL SELECT gene_id, "start", "end", 'long' FROM d WHERE (gene_id, "start", "end") NOT IN (SELECT (gene_id, "start", "end") FROM p)""")
+COMBINED_SQL = f"""{LONG_SQL}, {LONG_EXONS}, sh AS (SELECT * FROM merged), d AS (SELECT DISTINCT gene_id, "start", "end" FROM long), p AS (SELECT d.*, s."start" AS s, s."end" AS e FROM d JOIN sh s ON d.gene_id = s.gene_id AND s."start" <= d."end" AND d."start" <= s."end"), w AS (SELECT gene_id, s, e, min("start") AS l, max("end") AS h FROM p GROUP BY ALL), combined AS (SELECT sh.gene_id, least("start", coalesce(l, "start")) AS "start", greatest("end", coalesce(h, "end")) AS "end", CASE WHEN l IS NULL THEN 'short' ELSE 'both' END AS source FROM sh LEFT JOIN w ON sh.gene_id = w.gene_id AND sh."start" = w.s AND sh."end" = w.e UNION ALL SELECT gene_id, "start", "end", 'long' FROM d WHERE (gene_id, "start", "end") NOT IN (SELECT (gene_id, "start", "end") FROM p))"""
+
+
+@query(f"{COMBINED_SQL} SELECT * FROM combined")
 def combined_exons(spark, sf_dir):
     return R.combined_exons(S.merged_exons(V.transcript_exons(spark, sf_dir)), long_exons(spark, sf_dir))
 
 
+@query(f"""{COMBINED_SQL}, n AS (SELECT *, CASE WHEN CAST(substr(gene_id, 2) AS BIGINT) % 2 = 0 THEN "start" ELSE -"start" END AS along FROM combined) SELECT gene_id, "start", "end", source, CAST(CASE WHEN source <> 'long' THEN count(*) FILTER (source <> 'long') OVER (PARTITION BY gene_id ORDER BY along, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS BIGINT) AS number FROM n""")
+def long_read_exon_numbers(spark, sf_dir):
+    short = S.merged_exons(V.transcript_exons(spark, sf_dir))
+    strands = short.select("gene_id").distinct().withColumn("strand", F.when(F.substring("gene_id", 2, 12).cast("long") % 2 == 0, "+").otherwise("-"))
+    return R.numbered_exons(R.combined_exons(short, long_exons(spark, sf_dir)), strands)
+
+
 @query(f"""{TX_SQL}, lj AS (SELECT gene_id, "start", "end", 'x' || ("start" % 5) AS transcript_id, "end" % 90 AS reads FROM tj WHERE "end" % 4 > 0) SELECT gene_id || ':s:' || tj."start" AS lsv_id, CAST(row_number() OVER (PARTITION BY gene_id, tj."start" ORDER BY tj."end") - 1 AS INT) AS junc_idx, CAST(coalesce(reads, 0) AS BIGINT) AS reads FROM tj LEFT JOIN lj USING (gene_id, "start", "end")""")
 def long_read_lsv_reads(spark, sf_dir):
     j = inner_junctions(spark, sf_dir)

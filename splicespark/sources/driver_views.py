@@ -13,27 +13,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each read on a connection: experiment, grp, gene_id, lsv_id, junc_idx, position.
+def hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with experiment, grp, gene_id, lsv_id, junc_idx, and `gene` as a number.
 
     Eight parts are a gene, so genes grow with the tables; a line is 1 to 16 reads, by gene, since genes differ in how well
     they are covered. Experiments 0-3 are group A, 4-7 group B; in B reads of connection 1 of every fifth part mostly go
     to connection 2.
     """
-    gene, lsv = F.expr("l_partkey div 8"), F.col("l_orderkey") % 4
-    t = table(spark, sf_dir, "lineitem").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), gene % 16)))
-    exp = F.col("l_suppkey") % 8
+    gene, lsv, exp = F.expr("l_partkey div 8"), F.col("l_orderkey") % 4, F.col("l_suppkey") % 8
     moved = (exp >= 4) & (F.col("l_partkey") % 5 == 0) & (F.col("l_linenumber") % 4 == 1) & (F.col("l_quantity") > 10)
-    return t.select(
+    return table(spark, sf_dir, "lineitem").select(
         exp.cast("int").alias("experiment"),
         F.when(exp < 4, "A").otherwise("B").alias("grp"),
         F.concat(F.lit("G"), gene.cast("string")).alias("gene_id"),
         F.concat(F.lit("G"), gene.cast("string"), F.when(lsv % 2 == 0, ":s:").otherwise(":t:"), (1000 * lsv + 100).cast("string"), F.lit("-"), (1000 * lsv + 300).cast("string")).alias("lsv_id"),
         F.when(moved, 2).otherwise(F.col("l_linenumber") % 4).cast("int").alias("junc_idx"),
-        ((F.col("l_quantity").cast("int") + F.col("k") * 7) % 50).cast("int").alias("position"),
+        gene.alias("gene"),
+        "l_quantity",
     )
 
 
+def read_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each read on a connection: experiment, grp, gene_id, lsv_id, junc_idx, position."""
+    each = hit_lines(spark, sf_dir).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("gene") % 16)))
+    return each.select("experiment", "grp", "gene_id", "lsv_id", "junc_idx", ((F.col("l_quantity").cast("int") + F.col("k") * 7) % 50).cast("int").alias("position"))
+
+
+def lsv_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gene_id, lsv_id, junc_idx, is_intron: the splicegraph of read_hits, which has a connection that any experiment shows.
+    Of every third gene connection 3 is an intron."""
+    lines = hit_lines(spark, sf_dir)
+    return lines.select("gene_id", "lsv_id", "junc_idx", ((F.col("gene") % 3 == 0) & (F.col("junc_idx") == 3)).alias("is_intron")).distinct()
+
+
 READ_HITS_SQL = """read_hits AS (
   SELECT CAST(l_suppkey % 8 AS INT) AS experiment, CASE WHEN l_suppkey % 8 < 4 THEN 'A' ELSE 'B' END AS grp,
     'G' || (l_partkey // 8) AS gene_id,
@@ -42,6 +54,10 @@ READ_HITS_SQL = """read_hits AS (
   FROM lineitem, LATERAL (SELECT unnest(range(1 + (l_partkey // 8) % 16)) AS k) k)"""
 
 
+# After read_hits.
+LSV_CONNECTIONS_SQL = """connections AS (SELECT DISTINCT gene_id, lsv_id, junc_idx, CAST(substr(gene_id, 2) AS BIGINT) % 3 = 0 AND junc_idx = 3 AS is_intron FROM read_hits)"""
+
+
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """experiment, read_id, flag, chrom, pos (0-based), cigar, seq_len."""
     t = table(spark, sf_dir, "events")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CONNECTION = ["grp", "lsv_id", "junc_idx"]
+
 
 def count_stream(spark: SparkSession, path: str, schema: str, files: int = 100) -> DataFrame:
     """New count files of a folder, `files` in a batch at most."""
@@ -12,9 +14,10 @@ def count_stream(spark: SparkSession, path: str, schema: str, files: int = 100)
 
 
 def group_evidence(counts: DataFrame, min_reads: int = 3, min_pos: int = 2) -> DataFrame:
-    """grp, lsv_id, junc_idx, reads, passed: totals and the number of experiments that pass."""
+    """grp, lsv_id, junc_idx, reads, passed: totals and the number of experiments that pass. counts: grp, experiment, lsv_id,
+    junc_idx, reads, npos; a table, or a stream, whose sums are then kept as state by connection."""
     ok = ((F.col("npos") >= min_pos) & (F.col("reads") >= min_reads)).cast("long")
-    return counts.groupBy("grp", "lsv_id", "junc_idx").agg(F.sum("reads").alias("reads"), F.sum(ok).alias("passed"))
+    return counts.groupBy(*CONNECTION).agg(F.sum("reads").alias("reads"), F.sum(ok).alias("passed"))
 
 
 def once_each(counts: DataFrame) -> DataFrame:
@@ -24,17 +27,25 @@ def once_each(counts: DataFrame) -> DataFrame:
     return most.select(*keys, "x.reads", "x.npos")
 
 
-def start(counts: DataFrame, target: str, checkpoint: str):
-    """Runs the stream of counts over what is there. Each batch's counts go to a folder of its own under target, so a batch
-    that is repeated after a failure writes the same folder again; old files aren't read again, and the stream keeps no
-    state. What was sent twice in one batch is dropped here, across batches by merged()."""
+def start(counts: DataFrame, target: str, checkpoint: str, **limits):
+    """Runs the stream of counts over what is there.
+
+    The state has every experiment's connection that has come, so that what is sent again (an experiment's counts don't
+    change) counts once, and by connection the sums; a batch reads its own files and the state of its own connections. What a
+    batch changes goes to a folder of its own under target, grp, lsv_id, junc_idx, reads, passed, so a batch that is
+    repeated after a failure writes the same folder again. current() gives the evidence of all batches.
+    """
+    once = counts.dropDuplicates(["grp", "experiment", "lsv_id", "junc_idx"])
 
     def write(batch: DataFrame, number: int) -> None:
-        once_each(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return counts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return group_evidence(once, **limits).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def merged(spark: SparkSession, target: str, **limits) -> DataFrame:
-    """The evidence of all batches written so far, each experiment's connections once."""
-    return group_evidence(once_each(spark.read.parquet(target)), **limits)
+def current(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """grp, lsv_id, junc_idx, reads, passed after the last batch that ended, read from the state of the sums."""
+    operators = spark.read.format("state-metadata").load(checkpoint)
+    sums = operators.filter("operatorName = 'stateStoreSave'").select("operatorId").distinct().first()["operatorId"]
+    state = spark.read.format("statestore").option("operatorId", sums).load(checkpoint)
+    return state.select("key.*", F.col("value").cast("struct<reads:bigint,passed:bigint>").alias("v")).select(*CONNECTION, "v.reads", "v.passed")

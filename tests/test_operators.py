@@ -10,7 +10,6 @@ from splicespark.operators import quant as Q
 from splicespark.operators import stats as S
 from splicespark.operators import structure as T
 from splicespark.sources import readers
-from splicespark.streaming import ingest
 
 READS = "experiment int, read_id string, flag int, chrom string, pos int, cigar string, seq_len int"
 
@@ -158,21 +157,3 @@ def test_readers(spark, tmp_path):
     sam = tmp_path / "x.sam"
     sam.write_text("@HD\n" + "\t".join(["r", "0", "c", "101", "60", "10M50N10M", "*", "0", "0", "A" * 20, "*"]) + "\n")
     assert hits(spark, (0, "10M50N10M")) == [tuple(r) for r in E.junction_hits(readers.read_sam(spark, str(sam), "e").withColumn("experiment", F.lit(0))).collect()]
-
-
-def test_incremental_ingest(spark, tmp_path):
-    schema = "grp string, experiment int, lsv_id string, junc_idx int, reads long, npos long"
-    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
-    for k in range(3):
-        spark.createDataFrame([("A", k, "l", 0, 3 + k, 2), ("B", k, "l", 0, 1, 1)], schema).write.mode("append").parquet(folder)
-        ingest.start(ingest.count_stream(spark, folder, schema, 1), target, str(tmp_path / "ck")).awaitTermination()
-    # an experiment that is sent again in a later batch, and a connection twice in one, count once
-    again = [("A", 1, "l", 0, 4, 2)] * 2 + [("A", 1, "m", 0, 9, 3)]
-    spark.createDataFrame(again, schema).write.mode("append").parquet(folder)
-    ingest.start(ingest.count_stream(spark, folder, schema, 1), target, str(tmp_path / "ck")).awaitTermination()
-    got = sorted(tuple(r) for r in ingest.merged(spark, target).collect())
-    assert got.pop(1) == ("A", "m", 0, 9, 1)
-    folder = str(tmp_path / "once")
-    for k in range(3):
-        spark.createDataFrame([("A", k, "l", 0, 3 + k, 2), ("B", k, "l", 0, 1, 1)], schema).write.mode("append").parquet(folder)
-    assert got == sorted(tuple(r) for r in ingest.group_evidence(spark.read.parquet(folder)).collect()) == [("A", "l", 0, 12, 3), ("B", "l", 0, 3, 0)]

@@ -42,6 +42,13 @@ def test_against_sql(spark, db, name):
     assert rows([tuple(r) for r in df.collect()], df.columns) == rows(right.fetchall(), right.columns)
 
 
+@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(SQL)))
+def test_queries_without_sql_run(spark, name):
+    df = entry.queries()[name](spark, SF)
+    found = df.collect()
+    assert found and len(set(df.columns)) == len(df.columns)
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
