@@ -30,14 +30,19 @@ def query(sql: str | None = None):
 WITH_SUMMARY = f"WITH {V.READ_HITS_SQL}, counts AS (SELECT experiment, grp, gene_id, lsv_id, junc_idx, position, count(*) AS reads FROM read_hits GROUP BY ALL), summary AS (SELECT experiment, grp, gene_id, lsv_id, junc_idx, CAST(sum(reads) AS BIGINT) AS reads, count(*) AS npos FROM counts GROUP BY ALL), flags AS (SELECT *, npos >= 2 AND reads >= 3 AS pass_build, npos >= 2 AND reads >= 5 AS pass_denovo FROM summary)"
 
 
+def position_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads by experiment, connection and position: what all summaries and replicates are made from, so that a query that
+    needs several of these shuffles the reads once."""
+    return E.positional_counts(V.read_hits(spark, sf_dir), ["experiment", "grp", *KEYS], "position")
+
+
 def summary_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["experiment", "grp", *KEYS]
-    return E.summary(E.positional_counts(V.read_hits(spark, sf_dir), keys, "position"), keys)
+    return E.summary(position_counts(spark, sf_dir), ["experiment", "grp", *KEYS])
 
 
 @query(f"{WITH_SUMMARY} SELECT * FROM counts")
 def positional_counts(spark, sf_dir):
-    return E.positional_counts(V.read_hits(spark, sf_dir), ["experiment", "grp", *KEYS], "position")
+    return position_counts(spark, sf_dir)
 
 
 @query(f"{WITH_SUMMARY} SELECT * FROM flags")

@@ -14,7 +14,7 @@ from ..operators import evidence as E
 from ..operators import quant as Q
 from ..operators import stats as S
 from ..sources import driver_views as V
-from .build import WITH_SUMMARY, summary_of
+from .build import WITH_SUMMARY, position_counts, summary_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,9 +46,8 @@ FOLDS_SQL = f"""{QUANTIFIABLE_SQL}, {V.LSV_CONNECTIONS_SQL},
 
 def pooled_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replicates of the quantifiable LSVs, pooled by group."""
-    hits = V.read_hits(spark, sf_dir)
     keys = ["grp", "lsv_id", "junc_idx"]
-    counts = E.positional_counts(hits, keys, "position")
+    counts = position_counts(spark, sf_dir)
     good = Q.quantifiable(summary_of(spark, sf_dir)).select("grp", "lsv_id")
     return Q.fold_replicates(counts.join(good, ["grp", "lsv_id"], "left_semi"), keys)
 
@@ -256,7 +255,7 @@ def sample_histogram(spark, sf_dir):
 def experiment_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replicates of all connections of the LSVs that pass in an experiment, a row for each experiment and LSV."""
     keys = ["experiment", "lsv_id", "junc_idx"]
-    counts = E.positional_counts(V.read_hits(spark, sf_dir), ["grp", *keys], "position")
+    counts = position_counts(spark, sf_dir)
     ok = Q.passing_lsvs(summary_of(spark, sf_dir))
     seen = Q.fold_replicates(counts.join(ok, ["grp", "experiment", "lsv_id"], "left_semi"), keys)
     return Q.dense(seen, V.lsv_connections(spark, sf_dir), ["experiment"])

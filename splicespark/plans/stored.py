@@ -8,14 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import compare as C
 from ..operators import event_rows as R
+from ..operators import evidence as E
 from ..operators import longread as L
 from ..operators import stats as T
 from ..operators import structure as S
 from ..operators.tables import shared_folder
 from ..sources import driver_views as V
 from ..sources import readers, stored
-from .build import MERGED_SQL
+from .build import CIGAR_SQL, MERGED_SQL, WITH_SUMMARY, summary_of
+from .compare import LISTED, NAMES, QUANT_SQL, quant_of
 from .modules import EDGES_SQL, ENDS_WITH, EVENT_SQL, edges_of
 from .quant import FOLDS_SQL, SUMMARY_SQL, psi_of_groups, rounded, sample_psi
 from .summarize import LONG_SQL, TX_SQL, inner_junctions, transcript_counts
@@ -121,3 +124,39 @@ def heterogen_tested_classes(spark, sf_dir):
     both = rounded(T.two_groups(T.group_summary(samples)), "a_iqr", "b_iqr", "dpsi").join(p, ["lsv_id", "junc_idx"])
     found = T.heterogen_nonchanging(T.heterogen_changing(both, dpsi=0.1))
     return found.select("lsv_id", "junc_idx", F.round("p", 6).alias("p"), "changing", "nonchanging")
+
+
+@query(
+    f"""{CIGAR_SQL}, k AS (SELECT experiment, chrom || ':' || CASE WHEN ((flag & 16) <> 0) = ((flag & 128) <> 0) THEN '+' ELSE '-' END || ':' || (pos + g) || '-' || (pos + g + n + 1) AS id, r + clip AS o FROM walked WHERE c = 'N' AND r >= 8 AND length - r >= 8)
+    SELECT experiment, id, false AS is_intron, count(*) AS reads, count(DISTINCT o) AS npos FROM k GROUP BY experiment, id"""
+)
+def stored_counts(spark, sf_dir):
+    """Each experiment's junction counts, written and read again."""
+    hits, path = E.junction_hits(V.alignments(spark, sf_dir), protocol="forward"), folder(spark)
+    place = ["experiment", "chrom", "strand", "start", "end"]
+    counts = E.summary(E.positional_counts(hits, place, "offset"), place)
+    rows = counts.select("experiment", E.junction_id(*(F.col(c) for c in place[1:])).alias("id"), F.lit(False).alias("is_intron"), "reads", "npos")
+    stored.write_counts(rows, path, {"strandness": "forward"})
+    return stored.read_counts(spark, path).select("experiment", "id", "is_intron", "reads", "npos")
+
+
+@query(f"""{WITH_SUMMARY}, {V.LSV_CONNECTIONS_SQL}, t AS (SELECT lsv_id, split_part(lsv_id, ':', 2) || '|' || count(*) || CASE WHEN bool_or(is_intron) THEN 'i' ELSE '' END AS lsv_type FROM connections GROUP BY lsv_id) SELECT experiment, lsv_id, junc_idx, reads, npos, lsv_type FROM summary JOIN t USING (lsv_id)""")
+def stored_lsv_coverage(spark, sf_dir):
+    """Coverage of LSVs by experiment and the table of their types, written and read again."""
+    path = folder(spark)
+    types = V.lsv_connections(spark, sf_dir).groupBy("lsv_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("is_intron").alias("i"))
+    text = F.concat(F.split_part("lsv_id", F.lit(":"), F.lit(2)), F.lit("|"), F.col("n").cast("string"), F.when(F.col("i"), "i").otherwise("")).alias("lsv_type")
+    stored.write_lsv_coverage(summary_of(spark, sf_dir).select("experiment", "lsv_id", "junc_idx", "reads", "npos"), types.select("lsv_id", text), path)
+    return stored.read_lsv_coverage(spark, path).select("experiment", "lsv_id", "junc_idx", "reads", "npos", "lsv_type")
+
+
+@query(f"""{QUANT_SQL} SELECT comparison, split_part(comparison, '_', 1) AS first, split_part(comparison, '_', 2) AS second, 0.2::DOUBLE AS threshold, lsv_id, lsv_type, {LISTED('%.4f', 'dpsi')} AS mean_dpsi FROM q GROUP BY ALL""")
+def result_files(spark, sf_dir):
+    """Result tables of three comparisons, written with metadata in their headers and read with it."""
+    path = folder(spark)
+    rows = C.dpsi_rows(quant_of(spark, sf_dir)).select("comparison", "lsv_id", "lsv_type", "mean_dpsi")
+    stored.write_result_files(rows, path, {n: {"group_names": n.split("_"), "threshold": 0.2} for n in NAMES})
+    found, heads = stored.read_result_files(spark, path)
+    value = lambda place, name: F.get_json_object("metadata", place).alias(name)
+    own = heads.select("comparison", value("$.group_names[0]", "first"), value("$.group_names[1]", "second"), value("$.threshold", "threshold").cast("double").alias("threshold"))
+    return found.join(F.broadcast(own), "comparison").select("comparison", "first", "second", "threshold", "lsv_id", "lsv_type", "mean_dpsi")

@@ -59,3 +59,47 @@ def write_result_slices(rows: DataFrame, path: str, slices: int = SLICES) -> Non
 def recombined(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The slices of a result table as one."""
     return spark.read.csv(path, sep="\t", header=True, schema=f"{schema}, slice int").drop("slice")
+
+
+def write_counts(rows: DataFrame, path: str, metadata: dict | None = None) -> None:
+    """Counts of junctions and introns (experiment, id, is_intron, reads, npos, and replicates if there are any), a folder for
+    each experiment, in order of id; the run's metadata beside."""
+    rows.repartitionByRange("experiment", "id").sortWithinPartitions("experiment", "id").write.partitionBy("experiment").parquet(path, mode="overwrite")
+    rows.sparkSession.createDataFrame([(json.dumps(metadata or {}, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.meta")
+
+
+def read_counts(spark: SparkSession, path: str, experiments: list[int] | None = None) -> DataFrame:
+    """Stored counts; of the experiments named, where some are: only their folders are read."""
+    rows = spark.read.parquet(path)
+    return rows if experiments is None else rows.filter(F.col("experiment").isin(*experiments))
+
+
+def write_lsv_coverage(coverage: DataFrame, types: DataFrame, path: str) -> None:
+    """Coverage of LSVs' connections (experiment, lsv_id, junc_idx, ...) by experiment, and the table of the LSVs' types."""
+    coverage.repartitionByRange("experiment", "lsv_id").sortWithinPartitions("experiment", "lsv_id", "junc_idx").write.partitionBy("experiment").parquet(f"{path}/coverage", mode="overwrite")
+    types.select("lsv_id", "lsv_type").distinct().write.parquet(f"{path}/types", mode="overwrite")
+
+
+def read_lsv_coverage(spark: SparkSession, path: str, experiments: list[int] | None = None) -> DataFrame:
+    """Stored coverage with lsv_type."""
+    return read_counts(spark, f"{path}/coverage", experiments).join(spark.read.parquet(f"{path}/types"), "lsv_id", "left")
+
+
+def write_result_files(rows: DataFrame, path: str, metadata: dict[str, dict], key: str = "comparison") -> None:
+    """A tab-separated file for each value of key, in a folder of its own: its metadata as JSON lines that begin with `# `, the
+    header, and the rows in order; NA for nulls. A file has a row for each LSV of a comparison at most, and one task writes
+    it."""
+    names = [c for c in rows.columns if c != key]
+    text = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("NA")) for c in names))
+    body = rows.select(key, F.lit(1 << 30).alias("_at"), text.alias("value"))
+    heads = [(k, i, line) for k, m in metadata.items() for i, line in enumerate([*("# " + x for x in json.dumps(m, indent=2).split("\n")), "\t".join(names)])]
+    head = rows.sparkSession.createDataFrame(heads, f"{key} string, _at int, value string")
+    whole = head.unionByName(body.join(F.broadcast(head.select(key).distinct()), key, "left_semi"))
+    whole.repartition(key).sortWithinPartitions(key, "_at", "value").drop("_at").write.partitionBy(key).text(path, mode="overwrite")
+
+
+def read_result_files(spark: SparkSession, path: str, key: str = "comparison") -> tuple[DataFrame, DataFrame]:
+    """The rows of all result files of a folder, as texts, with key; and key, metadata (JSON text) of their headers."""
+    lines = spark.read.text(path).filter(F.startswith("value", F.lit("#"))).select(key, F.struct(F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"^#\s?", "").alias("text")).alias("x"))
+    heads = lines.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["text"]), "\n").alias("metadata"))
+    return spark.read.option("comment", "#").csv(path, sep="\t", header=True, nullValue="NA"), heads
