@@ -17,6 +17,7 @@ from .graph import components
 SEED = 42
 GROUP = 50_000  # fingerprints in a trie that one task joins; larger ones are split along the trie
 SPLIT_BITS = 8
+BLOCK_ROWS = 256  # rows of a component whose shingles are counted together
 BAND_ROWS = 32  # texts with one band's sample that are all compared; those of larger sets meet by their rarest shingles
 
 
@@ -225,6 +226,44 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, key: Column, words: int) -> D
     return written(found.groupBy("_row").agg(F.first("set").alias("set")))
 
 
+def in_blocks(sets: DataFrame) -> DataFrame:
+    """sets with salt: with component it names a block of about BLOCK_ROWS rows of one component at most."""
+    sizes = written(sets.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks")))
+    return sets.join(sizes, "component").select("_row", "component", "set", F.pmod(F.xxhash64("_row"), F.col("blocks")).alias("salt"))
+
+
+def rarest_shingles(blocked: DataFrame) -> DataFrame:
+    """_row, component, n, h, place: of each set of n shingles the first n - ceil(4n / 5) + 1, rarest first, that another set
+    has too; place counts from 1. blocked: of in_blocks().
+
+    Rows of a component are alike, so a block has few distinct shingles for its rows; these, with their counts in the block,
+    are what is shuffled, to be added up and to come back, and of the sets only the first shingles are rows.
+    """
+
+    def distinct(key: tuple, block: pa.Table) -> pa.Table:
+        shingles, n = np.unique(block["set"].combine_chunks().flatten().to_numpy(), return_counts=True)
+        return pa.table({"component": np.full(len(n), key[0].as_py()), "salt": np.full(len(n), key[1].as_py()), "h": shingles, "n": n})
+
+    def first(block: pa.Table, known: pa.Table) -> pa.Table:
+        order = np.argsort(known["h"].to_numpy(), kind="stable")
+        shingles, count = known["h"].to_numpy()[order], known["c"].to_numpy()[order]
+        rows: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 5]
+        for row, component, own in zip(block["_row"].to_pylist(), block["component"].to_pylist(), block["set"]):
+            h = own.values.to_numpy()
+            at = np.minimum(np.searchsorted(shingles, h), max(0, len(shingles) - 1))
+            c = np.where(shingles[at] == h, count[at], 1) if len(shingles) else np.ones(len(h), np.int64)
+            by = np.lexsort((h, c))[: len(h) - (4 * len(h) + 4) // 5 + 1]
+            place = np.flatnonzero(c[by] > 1)
+            rows.append([np.full(len(place), row), np.full(len(place), component), np.full(len(place), len(h)), h[by][place], place + 1])
+        return pa.table(dict(zip(("_row", "component", "n", "h", "place"), map(np.concatenate, zip(*rows)))))
+
+    by_block = blocked.groupBy("component", "salt")
+    partial = written(by_block.applyInArrow(distinct, "component long, salt long, h long, n long"))
+    counts = written(partial.groupBy("h").agg(F.sum("n").alias("c")).filter("c > 1"))
+    known = partial.join(counts, "h").select("component", "salt", "h", "c")
+    return by_block.cogroup(known.groupBy("component", "salt")).applyInArrow(first, "_row long, component long, n long, h long, place long")
+
+
 def rarest_meet(sets: DataFrame) -> DataFrame:
     """Pairs a, b of the rows of sets with every pair of Jaccard similarity 0.8 or more among them that isn't in one
     `component` already.
@@ -232,11 +271,7 @@ def rarest_meet(sets: DataFrame) -> DataFrame:
     With the shingles of all in one order, rarest first, such a pair shares one of the first n - ceil(4n / 5) + 1 of the
     larger set and one of the first m - ceil(8m / 9) + 1 of the smaller. A passage in many texts comes last in this order.
     """
-    each = sets.select("_row", "component", F.size("set").alias("n"), F.explode("set").alias("h"))
-    counted = each.join(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "h")
-    place = F.row_number().over(W.partitionBy("_row").orderBy("c", "h"))
-    first = counted.withColumn("place", place).filter("c > 1 and place <= n - (4 * n + 4) div 5 + 1")
-    first = written(first.select("_row", "component", "n", "h", "place"))
+    first = written(rarest_shingles(written(in_blocks(sets))))
     mixed = first.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("h")
     first = first.join(mixed, "h")
     large = first.select(F.col("_row").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), "h")
