@@ -294,10 +294,27 @@ def event_changing(junctions: DataFrame, primary: float = 0.2, secondary: float
     return one.groupBy("event").agg(F.bool_or("c").alias("changing"))
 
 
-def event_nonchanging(junctions: DataFrame, most: float = 0.05, share: float = 1.0, primary: float = 0.2) -> DataFrame:
-    """event, nonchanging: no junction changes, and `share` of the results are within `most`."""
+def event_nonchanging(junctions: DataFrame, most: float = 0.05, share: float = 1.0, primary: float = 0.2, least_reads: float | None = None) -> DataFrame:
+    """event, nonchanging: no junction changes, and `share` of the results are within `most`; with least_reads also every LSV
+    of the event has as many, the median reads of its junctions in the event added up.
+
+    junctions: event, comparison, dpsi, and with least_reads lsv_id, junction, median_reads (null where the splicegraph has
+    none; an LSV without any isn't asked)."""
     size = F.abs("dpsi")
-    return junctions.groupBy("event").agg(((F.coalesce(F.max(size), F.lit(1.0)) < primary) & (F.avg(F.when(size <= most, 1.0).otherwise(0.0)) >= share)).alias("nonchanging"))
+    found = junctions.groupBy("event").agg(((F.coalesce(F.max(size), F.lit(1.0)) < primary) & (F.avg(F.when(size <= most, 1.0).otherwise(0.0)) >= share)).alias("nonchanging"))
+    if least_reads is None:
+        return found
+    by_lsv = junctions.select("event", "lsv_id", "junction", "median_reads").distinct().groupBy("event", "lsv_id").agg(F.sum("median_reads").alias("reads"))
+    enough = by_lsv.groupBy("event").agg(F.bool_and(F.coalesce(F.col("reads") >= least_reads, F.lit(True))).alias("_enough"))
+    return found.join(enough, "event").select("event", (F.col("nonchanging") & F.col("_enough")).alias("nonchanging"))
+
+
+def event_nonchanging_by_comparison(junctions: DataFrame, comparisons: list[str], most: float = 0.05) -> DataFrame:
+    """event and a column for each comparison: whether all results of the event's junctions in it are within `most`; null
+    where it has none."""
+    one = junctions.filter("dpsi is not null").groupBy("event", "comparison").agg(F.bool_and(F.abs("dpsi") <= most).alias("c"))
+    every = junctions.select("event").distinct()
+    return every.join(one.groupBy("event").pivot("comparison", comparisons).agg(F.first("c")), "event", "left")
 
 
 def event_changing_by_comparison(junctions: DataFrame, comparisons: list[str], primary: float = 0.2, secondary: float = 0.1) -> DataFrame:

@@ -219,6 +219,28 @@ def event_changing_by_comparison(spark, sf_dir):
     return M.event_changing_by_comparison(event_junctions(spark, sf_dir), ["x_y", "x_z"])
 
 
+READ_SQL = JUNCTIONS_SQL.replace("q AS (SELECT event,", "q AS (SELECT event, CASE WHEN k = 2 THEN 't' ELSE 's' END AS lsv_id, k AS junction, CASE WHEN (s_start + k) % 5 <> 0 OR k = 1 THEN (s_end + a1_start + k * 7) % 9 END AS median_reads,", 1)
+
+
+@query(f"""{READ_SQL}, b AS (SELECT event, coalesce(max(abs(dpsi)), 1) < 0.29 AND avg(CASE WHEN abs(dpsi) <= 0.15 THEN 1.0 ELSE 0 END) >= 0.4 AS ok FROM q GROUP BY ALL), lr AS (SELECT event, bool_and(coalesce(n >= 4, true)) AS enough FROM (SELECT event, lsv_id, sum(median_reads) AS n FROM (SELECT DISTINCT event, lsv_id, junction, median_reads FROM q) GROUP BY ALL) GROUP BY event)
+  SELECT event, ok AND enough AS nonchanging FROM b JOIN lr USING (event)""")
+def event_nonchanging_reads(spark, sf_dir):
+    """Events that don't change and whose LSVs have reads enough."""
+    c = M.cassette(edges_of(spark, sf_dir)).withColumn("event", F.concat_ws("_", "gene_id", "module_idx", "c1", "a1", "c2", "s_start", "s_end"))
+    k = F.explode(F.array(*map(F.lit, range(3)))).alias("junction")
+    rows = c.select("event", "s_start", "s_end", "a1_start", "a1_end", k)
+    k = F.col("junction")
+    known = rows.select("event", "junction", "s_start", "s_end", "a1_start", "a1_end", F.when(k == 2, "t").otherwise("s").alias("lsv_id"), F.when(((F.col("s_start") + k) % 5 != 0) | (k == 1), (F.col("s_end") + F.col("a1_start") + k * 7) % 9).alias("median_reads"), F.explode(F.array(F.lit(0), F.lit(1))).alias("g"))
+    value = ((F.col("s_start") * 3 + F.col("s_end") + F.col("a1_start") * 7 + k * 13 + F.col("g") * 29) % 61 - 30) / 100.0
+    valued = known.withColumn("dpsi", F.when((F.col("s_start") + F.col("a1_end") + k) % 17 != 0, value))
+    return M.event_nonchanging(valued, 0.15, 0.4, 0.29, least_reads=4)
+
+
+@query(f"""{JUNCTIONS_SQL}, o AS (SELECT event, comparison, bool_and(abs(dpsi) <= 0.2) AS c FROM q WHERE dpsi IS NOT NULL GROUP BY ALL) SELECT event, bool_or(c) FILTER (comparison = 'x_y') AS x_y, bool_or(c) FILTER (comparison = 'x_z') AS x_z FROM (SELECT DISTINCT event FROM q) LEFT JOIN o USING (event) GROUP BY ALL""")
+def event_nonchanging_by_comparison(spark, sf_dir):
+    return M.event_nonchanging_by_comparison(event_junctions(spark, sf_dir), ["x_y", "x_z"], 0.2)
+
+
 VALUED_SQL = f"""{EDGES_SQL}, v AS (SELECT *, CASE WHEN (src + dst) % 3 = 0 THEN NULL ELSE gene_id || ':s:' || src END AS lsv_id, (("start" * 3 + "end" * 7) % 1999 - 999) / 1000.0 AS dpsi, ("start" + "end") // 10 % 7 AS max_reads, ("start" * 11 + "end") // 10 % 10 / 100.0 AS max_psi FROM e)"""
 
 

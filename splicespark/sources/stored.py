@@ -95,7 +95,7 @@ def write_result_files(rows: DataFrame, path: str, metadata: dict[str, dict], ke
     heads = [(k, i, line) for k, m in metadata.items() for i, line in enumerate([*("# " + x for x in json.dumps(m, indent=2).split("\n")), "\t".join(names)])]
     head = rows.sparkSession.createDataFrame(heads, f"{key} string, _at int, value string")
     whole = head.unionByName(body.join(F.broadcast(head.select(key).distinct()), key, "left_semi"))
-    whole.repartition(key).sortWithinPartitions(key, "_at", "value").drop("_at").write.partitionBy(key).text(path, mode="overwrite")
+    whole.repartition(key).sortWithinPartitions(key, "_at", "value").drop("_at").write.mode("overwrite").partitionBy(key).text(path)
 
 
 def read_result_files(spark: SparkSession, path: str, key: str = "comparison") -> tuple[DataFrame, DataFrame]:

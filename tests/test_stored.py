@@ -1,5 +1,7 @@
 """Stored tables, long-read files and unclassified events on hand-made rows."""
 
+import json
+
 import pytest
 
 from splicespark.operators import event_rows, longread
@@ -56,3 +58,24 @@ def test_other_events_and_complexity(spark):
     assert others == {"O": ("O:s:0;O:t:3", "1300-3100;2300-4100;300-1100;300-2100;4300-3100")}
     found = {x.gene_id: (x.total, x.is_complex) for x in event_rows.module_complexity(edges).collect()}
     assert found == {"C": (1, False), "O": (1, True)}
+
+
+def test_counts_by_experiment(spark, tmp_path):
+    rows = [(k % 3, f"c:+:{k}-{k + 9}", k % 2 == 0, k, k % 5) for k in range(30)]
+    counts = spark.createDataFrame(rows, "experiment int, id string, is_intron boolean, reads long, npos long")
+    stored.write_counts(counts, str(tmp_path / "c"), {"strandness": "none"})
+    some = stored.read_counts(spark, str(tmp_path / "c"), [1])
+    assert sorted((r.experiment, r.id) for r in some.collect()) == sorted((r[0], r[1]) for r in rows if r[0] == 1)
+    assert "PartitionFilters: [" in (plan := some._jdf.queryExecution().toString()) and "experiment" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert stored.read_counts(spark, str(tmp_path / "c")).count() == 30
+
+
+def test_result_files_with_headers(spark, tmp_path):
+    rows = spark.createDataFrame([("a_b", "l2", "0.1;0.2"), ("a_b", "l1", None), ("c_d", "l#3", "0.5")], "comparison string, lsv_id string, dpsi string")
+    path = str(tmp_path / "r")
+    stored.write_result_files(rows, path, {"a_b": {"group_names": ["a", "b"], "n": 1}, "c_d": {"group_names": ["c", "d"], "n": 2}})
+    found, heads = stored.read_result_files(spark, path)
+    assert sorted(tuple(r) for r in found.select("comparison", "lsv_id", "dpsi").collect()) == [("a_b", "l1", None), ("a_b", "l2", "0.1;0.2"), ("c_d", "l#3", "0.5")]
+    assert {r.comparison: json.loads(r.metadata)["group_names"] for r in heads.collect()} == {"a_b": ["a", "b"], "c_d": ["c", "d"]}
+    file = next((tmp_path / "r" / "comparison=a_b").glob("part-*")).read_text().splitlines()
+    assert file[0] == "# {" and file[file.index("lsv_id\tdpsi") - 1] == "# }" and file[-2:] == ["l1\tNA", "l2\t0.1;0.2"]
