@@ -34,9 +34,16 @@ def multi_gene_regions(edges: DataFrame) -> DataFrame:
     return run.groupBy("gene_id", "region").agg(F.count(F.lit(1)).alias("modules"))
 
 
-def valid_modules(edges: DataFrame, least_edges: int = 2) -> DataFrame:
-    """Edges of modules of `least_edges` edges or more."""
-    return edges.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*KEY))).filter(F.col("_n") >= least_edges).drop("_n")
+def valid_modules(edges: DataFrame, least_edges: int = 2, lsvs: DataFrame | None = None, changing: DataFrame | None = None) -> DataFrame:
+    """Edges of modules of `least_edges` edges or more (1 keeps constitutive ones); with lsvs also of modules that hold one of
+    these LSVs, with changing of modules that hold one of those that change. lsvs, changing: gene_id, exon, side (s: the exon
+    is left in the module, t: it is entered)."""
+    found = edges.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*KEY))).filter(F.col("_n") >= least_edges).drop("_n")
+    sides = edges.select(*KEY, F.explode(F.array(F.struct(F.col("src").alias("exon"), F.lit("s").alias("side")), F.struct(F.col("dst").alias("exon"), F.lit("t").alias("side")))).alias("x")).select(*KEY, "x.*").distinct()
+    for wanted in (lsvs, changing):
+        if wanted is not None:
+            found = found.join(sides.join(wanted, ["gene_id", "exon", "side"], "left_semi").select(*KEY).distinct(), KEY, "left_semi")
+    return found
 
 
 def side(edges: DataFrame, p: str, introns: bool | None = False) -> DataFrame:
@@ -366,11 +373,15 @@ def resolved_junctions(edges: DataFrame) -> DataFrame:
     return j.join(starts, ["gene_id", "src"], "left").join(ends, ["gene_id", "dst"], "left").distinct()
 
 
-def decomplexified(edges: DataFrame, reads: int = 1, psi: float = 0.05, dpsi: float = 0.0) -> DataFrame:
-    """Edges with enough reads in some experiment and enough PSI and change in some result; those without any result go.
+def decomplexified(edges: DataFrame, reads: int = 1, psi: float = 0.05, dpsi: float = 0.0, keep: bool = False) -> DataFrame:
+    """Edges with enough reads in some experiment and, of what their results have of PSI and change, enough of each in some
+    result; those without any result stay if they are constitutive, or with keep.
 
-    edges: also max_reads, max_psi, max_dpsi (null: no result)."""
-    return edges.filter((F.col("max_reads") >= reads) & (F.col("max_psi") >= psi) & (F.abs("max_dpsi") >= dpsi))
+    edges: also max_reads, max_psi, max_dpsi (null: no result), and is_constitutive if any can be."""
+    stay = F.lit(keep) | (F.coalesce("is_constitutive", F.lit(False)) if "is_constitutive" in edges.columns else F.lit(False))
+    none = F.col("max_psi").isNull() & F.col("max_dpsi").isNull()
+    enough = F.coalesce(F.col("max_psi") >= psi, F.lit(True)) & F.coalesce(F.abs("max_dpsi") >= dpsi, F.lit(True))
+    return edges.filter((F.col("max_reads") >= reads) & F.when(none, stay).otherwise(enough))
 
 
 def edge_quantification(edges: DataFrame, quant: DataFrame) -> DataFrame:

@@ -254,10 +254,28 @@ def heatmap_rows(spark, sf_dir):
     return M.heatmap_rows(valued_edges(spark, sf_dir))
 
 
-@query(f"""{VALUED_SQL} SELECT gene_id, src, dst, "start", "end", is_intron FROM v WHERE max_reads >= 1 AND max_psi >= 0.05 AND abs(CASE WHEN lsv_id IS NOT NULL THEN dpsi END) >= 0""")
+RESULTS_SQL = f"""{VALUED_SQL}, w AS (SELECT *, CASE WHEN src % 4 <> 1 OR lsv_id IS NOT NULL THEN max_psi END AS p, CASE WHEN lsv_id IS NOT NULL THEN abs(dpsi) END AS d, dst % 3 = 0 AS c FROM v)"""
+
+
+@query(f"""{RESULTS_SQL} SELECT gene_id, src, dst, "start", "end", is_intron FROM w WHERE max_reads >= 1 AND CASE WHEN p IS NULL AND d IS NULL THEN c ELSE coalesce(p >= 0.05, true) AND coalesce(d >= 0.1, true) END""")
 def decomplexified(spark, sf_dir):
-    e = valued_edges(spark, sf_dir).withColumn("max_dpsi", F.when(F.col("lsv_id").isNotNull(), F.col("dpsi")))
-    return M.decomplexified(e).select("gene_id", "src", "dst", "start", "end", "is_intron")
+    there = F.col("lsv_id").isNotNull()
+    e = valued_edges(spark, sf_dir).withColumns({"max_psi": F.when((F.col("src") % 4 != 1) | there, F.col("max_psi")), "max_dpsi": F.when(there, F.col("dpsi")), "is_constitutive": F.col("dst") % 3 == 0})
+    return M.decomplexified(e, dpsi=0.1).select("gene_id", "src", "dst", "start", "end", "is_intron")
+
+
+@query(
+    f"""{EDGES_SQL}, lv AS (SELECT gene_id, src AS exon, 's' AS side, max(abs(("start" * 3 + "end" * 7) % 1999 - 999)) AS d FROM e GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT gene_id, dst, 't', max(abs(("start" * 3 + "end" * 7) % 1999 - 999)) FROM e GROUP BY gene_id, dst HAVING count(*) > 1),
+    ok AS (SELECT e.gene_id, e.module_idx FROM e JOIN lv ON lv.gene_id = e.gene_id AND ((lv.side = 's' AND lv.exon = e.src) OR (lv.side = 't' AND lv.exon = e.dst)) GROUP BY ALL HAVING max(d) >= 800)
+    SELECT gene_id, module_idx, count(*) AS n FROM e JOIN ok USING (gene_id, module_idx) GROUP BY ALL HAVING count(*) >= 2"""
+)
+def changing_modules(spark, sf_dir):
+    """Modules that hold an LSV with a large change."""
+    e = edges_of(spark, sf_dir).withColumn("d", F.abs((F.col("start") * 3 + F.col("end") * 7) % 1999 - 999))
+    lsvs = R.lsv_sides(e)
+    largest = e.groupBy("gene_id", F.col("src").alias("exon")).agg(F.max("d").alias("m")).withColumn("side", F.lit("s")).unionByName(e.groupBy("gene_id", F.col("dst").alias("exon")).agg(F.max("d").alias("m")).withColumn("side", F.lit("t")))
+    changing = lsvs.join(largest, ["gene_id", "exon", "side"]).filter("m >= 800").select("gene_id", "exon", "side")
+    return M.valid_modules(e, lsvs=lsvs, changing=changing).groupBy("gene_id", "module_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""{VALUED_SQL} SELECT gene_id, "start", "end", round(coalesce(avg(CASE WHEN lsv_id IS NOT NULL THEN dpsi END), -1), 6) AS value FROM v GROUP BY ALL""")

@@ -127,3 +127,37 @@ def test_primer_chains(spark):
     assert got == {("source", 0): (True, True, ""), ("source", 1): (False, False, "300-1100i")}  # exon 0 has two ways out: the intron alone
     long = edges_of(spark, *((k, k + 1, 1000 * k + 300, 1000 * k + 1100) for k in range(40)), (40, 41, 40300, 41100), (40, 42, 40300, 42100))
     assert M.primer_regions(long).filter("kind = 'source'").first().regions == ";".join(map(str, range(39, -1, -1)))
+
+
+def test_valid_modules(spark):
+    rows = [("g", "+", 0, 1, 300, 1100, False, 1), ("g", "+", 0, 2, 300, 2100, False, 1), ("g", "+", 1, 2, 1300, 2100, False, 1), ("g", "+", 2, 3, 2300, 3100, False, 2), ("g", "+", 3, 4, 3300, 4100, False, 3), ("g", "+", 3, 4, 3310, 4100, False, 3)]
+    e = spark.createDataFrame(rows, SCHEMA)
+    of = lambda **k: sorted({r.module_idx for r in M.valid_modules(e, **k).collect()})
+    lsvs = R.lsv_sides(e).select("gene_id", "exon", "side")
+    assert of() == [1, 3] and of(least_edges=1) == [1, 2, 3] and of(least_edges=1, lsvs=lsvs) == [1, 3]
+    some = spark.createDataFrame([("g", 3, "s"), ("g", 2, "s"), ("h", 0, "s")], "gene_id string, exon int, side string")
+    assert of(lsvs=lsvs, changing=some) == [3] and of(lsvs=lsvs, changing=some.limit(0)) == []
+    # exon 2 is entered in module 1 and left in module 2: its target is not of module 2
+    entered = spark.createDataFrame([("g", 2, "t")], "gene_id string, exon int, side string")
+    assert of(least_edges=1, lsvs=entered) == [1]
+
+
+def test_decomplexified_by_what_is_known(spark):
+    rows = [("psi", 5, 0.5, None, False), ("low", 5, 0.01, None, False), ("dpsi", 5, None, -0.3, False), ("still", 5, 0.5, 0.01, True), ("none", 5, None, None, False), ("constitutive", 5, None, None, True), ("unread", 0, 0.5, 0.5, True)]
+    e = spark.createDataFrame(rows, "name string, max_reads int, max_psi double, max_dpsi double, is_constitutive boolean")
+    of = lambda df, **k: {r.name for r in M.decomplexified(df, **k).collect()}
+    assert of(e, dpsi=0.1) == {"psi", "dpsi", "constitutive"}
+    assert of(e, dpsi=0.1, keep=True) == {"psi", "dpsi", "constitutive", "none"}
+    assert of(e.drop("is_constitutive"), reads=0) == {"psi", "dpsi", "still", "unread"}
+
+
+def test_events_that_do_not_change(spark):
+    schema = "event string, comparison string, lsv_id string, junction int, dpsi double, median_reads int"
+    rows = [("a", "x", "s", 0, 0.01, 3), ("a", "y", "s", 0, 0.02, 3), ("a", "x", "s", 1, 0.03, 2), ("a", "x", "t", 2, 0.0, None), ("b", "x", "s", 0, 0.01, 1), ("b", "y", "s", 0, 0.01, 1), ("c", "x", "s", 0, 0.5, 9), ("d", "x", "s", 0, None, 9)]
+    e = spark.createDataFrame(rows, schema)
+    of = lambda **k: {r.event: r.nonchanging for r in M.event_nonchanging(e, **k).collect()}
+    assert of() == {"a": True, "b": True, "c": False, "d": False}
+    assert of(least_reads=5) == {"a": True, "b": False, "c": False, "d": False}  # 3 + 2 at s; nothing is known of t
+    assert of(least_reads=6)["a"] is False
+    by = {r.event: (r.x, r.y) for r in M.event_nonchanging_by_comparison(e, ["x", "y"]).collect()}
+    assert by == {"a": (True, True), "b": (True, True), "c": (False, None), "d": (None, None)}
