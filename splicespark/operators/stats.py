@@ -25,8 +25,9 @@ def group_summary(psi: DataFrame) -> DataFrame:
 
 def two_groups(summary: DataFrame, first: str = "A", second: str = "B") -> DataFrame:
     """Both groups' summaries side by side, and dpsi: second less first median."""
-    side = lambda g, p: summary.filter(F.col("grp") == g).select(*KEY, *(F.col(c).alias(f"{p}_{c}") for c in ("n", "median_psi", "iqr")))
-    return side(first, "a").join(side(second, "b"), KEY).withColumn("dpsi", F.col("b_median_psi") - F.col("a_median_psi"))
+    of = lambda g, p: [F.max(F.when(F.col("grp") == g, F.col(c))).alias(f"{p}_{c}") for c in ("n", "median_psi", "iqr")]
+    both = summary.groupBy(*KEY).agg(*of(first, "a"), *of(second, "b")).filter("a_n is not null and b_n is not null")
+    return both.withColumn("dpsi", F.col("b_median_psi") - F.col("a_median_psi"))
 
 
 def welch(psi: DataFrame, first: str = "A", second: str = "B") -> DataFrame:
