@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from splicespark.operators import evidence as E
 from splicespark.operators import quant as Q
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +34,17 @@ def test_passing_in_one_pass_is_the_same(spark):
         good = Q.quantifiable(summed, value)
         assert sorted(Q.in_quantifiable(summed, groups, value).select(summed.columns).collect()) == sorted(summed.join(good, ["grp", "lsv_id"], "left_semi").select(summed.columns).collect())
         assert sorted(good.collect()) == sorted(Q.quantifiable(summed, value, groups=groups).collect())
+
+
+@pytest.mark.parametrize("name", ["junction_genes", "junction_gene_distances"])
+def test_no_bin_of_genes_is_one_array(spark, name):
+    assert "genes#" not in plan_of(entry.queries()[name](spark, SF))
+
+
+def test_gene_exons_outside_the_gene_count(spark):
+    genes = spark.createDataFrame([("a", "c", "+", 20_000, 21_000), ("b", "c", "+", 20_000, 21_000), ("m", "c", "-", 500, 900)], "gene_id string, chrom string, strand string, start int, end int")
+    exons = spark.createDataFrame([("a", 16_000, 16_500), ("a", 20_500, 20_900), ("b", 20_500, 20_900)], "gene_id string, start int, end int")
+    none = spark.createDataFrame([], "gene_id string, start int, end int")
+    rows = spark.createDataFrame([("c", "+", 16_400, 20_200), ("c", ".", 20_100, 20_950), ("c", "+", 100, 200)], "chrom string, strand string, start int, end int")
+    found = sorted(tuple(r)[2:] for r in E.junction_genes(rows, genes, exons, none).collect())
+    assert found == [(16_400, 20_200, "a", 2), (20_100, 20_950, "a", 3), (20_100, 20_950, "b", 3)]
