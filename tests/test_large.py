@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from splicespark.operators import evidence as E
 from splicespark.operators import quant as Q
+from splicespark.operators import structure as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +49,12 @@ def test_gene_exons_outside_the_gene_count(spark):
     rows = spark.createDataFrame([("c", "+", 16_400, 20_200), ("c", ".", 20_100, 20_950), ("c", "+", 100, 200)], "chrom string, strand string, start int, end int")
     found = sorted(tuple(r)[2:] for r in E.junction_genes(rows, genes, exons, none).collect())
     assert found == [(16_400, 20_200, "a", 2), (20_100, 20_950, "a", 3), (20_100, 20_950, "b", 3)]
+
+
+def test_gene_overlaps_shuffle_no_pairs(spark):
+    rows = [("a", "c", 1, 5000), ("b", "c", 4000, 4100), ("b", "d", 10, 20), ("e", "d", 20, 3000), ("f", "c", 5001, 5002), ("b", "c", 4500, 4600)]
+    genes = spark.createDataFrame(rows, "gene_id string, chrom string, start int, end int")
+    assert sorted(map(tuple, T.gene_overlaps(genes).collect())) == [("a", "b"), ("b", "e")]
+    single = T.gene_overlaps(genes.limit(2).unionByName(genes.filter("gene_id = 'f'")))
+    assert sorted(map(tuple, single.collect())) == [("a", "b")]
+    assert sum("gene_id_1" in k and "gene_id_2" in k for k in exchanges(T.gene_overlaps(genes))) == 1
