@@ -58,3 +58,13 @@ def test_gene_overlaps_shuffle_no_pairs(spark):
     single = T.gene_overlaps(genes.limit(2).unionByName(genes.filter("gene_id = 'f'")))
     assert sorted(map(tuple, single.collect())) == [("a", "b")]
     assert sum("gene_id_1" in k and "gene_id_2" in k for k in exchanges(T.gene_overlaps(genes))) == 1
+
+
+def test_reads_of_introns_counts_a_read_once(spark):
+    rows = [("r", 0, "20M"), ("r", 5, "20M"), ("s", 5, "20M"), ("t", 5, "5M50N15M"), ("u", 300, "20M")]
+    reads = spark.createDataFrame([(1, name, 0, "c", pos, cigar, 20) for name, pos, cigar in rows], "experiment int, read_id string, flag int, chrom string, pos int, cigar string, seq_len int")
+    introns = spark.createDataFrame([("a", "c", "+", 10, 200), ("b", "c", "+", 10, 200), ("z", "c", "-", 12, 40)], "gene_id string, chrom string, strand string, start int, end int")
+    spans = E.intron_spans(reads)
+    found = E.reads_of_introns(spans, introns)
+    assert sorted(found.select("gene_id", "start", "end", "experiment", "reads").collect()) == sorted(E.intron_reads(E.intron_hits(spans, introns)).collect())
+    assert {(r.gene_id, r.reads) for r in found.collect()} == {("a", 2), ("b", 2), ("z", 2)}
