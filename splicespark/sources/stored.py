@@ -41,7 +41,7 @@ def read_splicegraph(spark: SparkSession, path: str, name: str, genes: list[str]
 
 def write_quantifications(rows: DataFrame, path: str, group: str = "grp", metadata: dict | None = None) -> None:
     """Quantified connections (means, statistics, arrays of bins) in a folder for each group, the run's metadata beside."""
-    rows.write.partitionBy(group).parquet(path, mode="overwrite")
+    rows.hint("rebalance", group).write.partitionBy(group).parquet(path, mode="overwrite")  # few files, large groups in several
     text = json.dumps(metadata or {}, indent=2)
     rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.meta")
 

@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from splicespark.operators import evidence as E
 from splicespark.operators import quant as Q
 from splicespark.operators import structure as T
+from splicespark.sources import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +69,10 @@ def test_reads_of_introns_counts_a_read_once(spark):
     found = E.reads_of_introns(spans, introns)
     assert sorted(found.select("gene_id", "start", "end", "experiment", "reads").collect()) == sorted(E.intron_reads(E.intron_hits(spans, introns)).collect())
     assert {(r.gene_id, r.reads) for r in found.collect()} == {("a", 2), ("b", 2), ("z", 2)}
+
+
+def test_quantifications_are_few_files(spark, tmp_path):
+    rows = spark.range(400).selectExpr("if(id % 2 = 0, 'A', 'B') AS grp", "id").repartition(40, "id")
+    stored.write_quantifications(rows, str(tmp_path / "q"))
+    assert len(list((tmp_path / "q").rglob("*.parquet"))) <= 8
+    assert stored.read_quantifications(spark, str(tmp_path / "q"))[0].count() == 400
