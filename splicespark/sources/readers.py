@@ -2,24 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.histogram import let
+
 GFF_COLUMNS = ("seqid", "source", "type", "start", "end", "score", "strand", "phase", "attributes")
 
 
 def parsed_gff(lines: DataFrame) -> DataFrame:
     """GFF3 lines (column value) as rows: `.` is null, percent signs are decoded, attributes a map; a repeated key's values
-    are joined by commas. Comments and lines without nine columns are left out."""
-    kept = lines.filter(~F.startswith("value", F.lit("#"))).select(F.split("value", "\t").alias("c")).filter(F.size("c") == 9)
+    are joined by commas. Comments and lines without nine columns are left out.
+
+    Columns and attributes come from explode, which filters on them don't pass: a line is split once, its attributes are
+    read once, and not at all where the other columns rule it out."""
+    kept = lines.filter(~F.startswith("value", F.lit("#"))).select(once(F.split("value", "\t")).alias("c")).filter(F.size("c") == 9)
     at = lambda k: F.get("c", F.lit(k))
     field = lambda k: F.when(at(k) != ".", at(k))
-    decoded = lambda c: F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
-    pairs = F.filter(F.split(at(8), ";"), lambda x: F.contains(x, F.lit("=")))
-    entries = F.transform(pairs, lambda x: F.struct(decoded(F.trim(F.regexp_extract(x, "^([^=]*)=", 1))).alias("key"), decoded(F.regexp_extract(x, "=(.*)$", 1)).alias("value")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    grouped = F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_join(F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"]), ",")))
-    return kept.select(decoded(field(0)).alias("seqid"), field(1).alias("source"), field(2).alias("type"), field(3).try_cast("int").alias("start"), field(4).try_cast("int").alias("end"), field(5).try_cast("double").alias("score"), field(6).alias("strand"), field(7).alias("phase"), F.when(at(8) != ".", grouped).alias("attributes"))
+    placed = kept.select(decoded(field(0)).alias("seqid"), field(1).alias("source"), field(2).alias("type"), field(3).try_cast("int").alias("start"), field(4).try_cast("int").alias("end"), field(5).try_cast("double").alias("score"), field(6).alias("strand"), field(7).alias("phase"), at(8).alias("_text"))
+    return placed.select("*", once(F.when(F.col("_text") != ".", gff_attributes(F.col("_text")))).alias("attributes")).drop("_text")
+
+
+def once(value: Column) -> Column:
+    """value, as a generator's one row."""
+    return F.explode_outer(F.array(value))
+
+
+def decoded(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("%")), F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))).otherwise(text)
+
+
+def gff_attributes(text: Column) -> Column:
+    """The map of a GFF3 line's ninth column."""
+    pairs = F.filter(F.split(text, ";"), lambda x: F.contains(x, F.lit("=")))
+    entries = F.transform(pairs, lambda x: F.struct(decoded(F.trim(F.substring_index(x, "=", 1))).alias("key"), decoded(F.regexp_extract(x, "=(.*)$", 1)).alias("value")))
+    values = lambda e, key: F.array_join(F.transform(F.filter(e, lambda x: x["key"] == key), lambda x: x["value"]), ",")
+    return let(entries, lambda e: let(F.array_distinct(F.transform(e, lambda x: x["key"])), lambda keys: F.map_from_arrays(keys, F.transform(keys, lambda key: values(e, key)))))
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:

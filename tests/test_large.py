@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from splicespark.operators import evidence as E
 from splicespark.operators import quant as Q
 from splicespark.operators import structure as T
-from splicespark.sources import stored
+from splicespark.sources import readers, stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,3 +76,18 @@ def test_quantifications_are_few_files(spark, tmp_path):
     stored.write_quantifications(rows, str(tmp_path / "q"))
     assert len(list((tmp_path / "q").rglob("*.parquet"))) <= 8
     assert stored.read_quantifications(spark, str(tmp_path / "q"))[0].count() == 400
+
+
+@pytest.mark.parametrize("name", ["gff_exons", "gff_genes"])
+def test_gff_attributes_are_read_once(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if re.match(r"[\s:+-]*Filter ", line)]
+    assert filters and not any("map_from_arrays" in line for line in filters)
+
+
+def test_gff_attributes(spark):
+    texts = ["ID=a;Name=x%20y+z;tag=1;tag=2%2C3", "Parent=p=q; ID = b;none;=v", "k%3D=%zz;K=", "."]
+    lines = spark.createDataFrame([("\t".join(["c%201", ".", "gene", "1", "x", ".", "+", ".", t]),) for t in texts] + [("#c",), ("a\tb",)], "value string")
+    found = [(r.seqid, r.start, r.end, r.attributes) for r in readers.parsed_gff(lines).collect()]
+    maps = [{"ID": "a", "Name": "x y+z", "tag": "1,2,3"}, {"Parent": "p=q", "ID": " b", "": "v"}, {"k=": "", "K": ""}, None]
+    assert found == [("c 1", 1, None, m) for m in maps]
