@@ -8,6 +8,8 @@ import __spark_entry__ as entry
 from splicespark.operators import evidence as E
 from splicespark.operators import quant as Q
 from splicespark.operators import structure as T
+from splicespark.plans import build
+from splicespark.sources import driver_views as V
 from splicespark.sources import readers, stored
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +93,34 @@ def test_gff_attributes(spark):
     found = [(r.seqid, r.start, r.end, r.attributes) for r in readers.parsed_gff(lines).collect()]
     maps = [{"ID": "a", "Name": "x y+z", "tag": "1,2,3"}, {"Parent": "p=q", "ID": " b", "": "v"}, {"k=": "", "K": ""}, None]
     assert found == [("c 1", 1, None, m) for m in maps]
+
+
+@pytest.mark.parametrize("name", ["sample_histogram", "info_score", "both_group_lsvs", "best_set_psi", "stored_lsv_coverage", "psi_posterior"])
+def test_summaries_have_no_row_for_each_read(spark, name):
+    query = entry.queries()[name]
+    if name == "stored_lsv_coverage":
+        query = build.summary_of
+    plan = plan_of(query(spark, SF))
+    assert "positions#" in plan and not re.search(r"Generate explode\(sequence", plan)
+
+
+def test_summary_of_bundles(spark):
+    rows = [("a", [1, 6, 11]), ("a", [1, 6, 11]), ("a", [49, None]), ("b", [7]), ("c", [])]
+    bundles = spark.createDataFrame(rows, "k string, positions array<int>")
+    each = bundles.selectExpr("k", "explode(positions) AS position")
+    old = Q.folded(E.positional_counts(each, ["k"], "position"), ["k"])
+    new = E.summary_of_bundles(bundles, ["k"], folds=5).select(old.columns)
+    assert sorted(map(tuple, new.filter("k <> 'c'").collect())) == sorted(map(tuple, old.collect()))
+    assert tuple(new.filter("k = 'c'").first()) == ("c", 0, 0, 0, 0, 0, 0, 0)
+
+
+@pytest.mark.parametrize("name", ["read_hits", "summary"])
+def test_bundles_are_the_reads(spark, name):
+    hits = V.read_hits(spark, SF)
+    if name == "read_hits":
+        each = V.read_bundles(spark, SF).selectExpr("experiment", "lsv_id", "junc_idx", "explode(positions) AS position")
+        assert not each.exceptAll(hits.select(each.columns)).count() and each.count() == hits.count()
+    else:
+        keys = ["experiment", "lsv_id", "junc_idx"]
+        old = E.summary(E.positional_counts(hits, keys, "position"), keys)
+        assert sorted(map(tuple, build.summary_of(spark, SF).select(old.columns).collect())) == sorted(map(tuple, old.collect()))
