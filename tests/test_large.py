@@ -2,9 +2,12 @@
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
+from splicespark.functions import kernels as K
 from splicespark.operators import evidence as E
 from splicespark.operators import quant as Q
 from splicespark.operators import structure as T
@@ -124,3 +127,16 @@ def test_bundles_are_the_reads(spark, name):
         keys = ["experiment", "lsv_id", "junc_idx"]
         old = E.summary(E.positional_counts(hits, keys, "position"), keys)
         assert sorted(map(tuple, build.summary_of(spark, SF).select(old.columns).collect())) == sorted(map(tuple, old.collect()))
+
+
+def test_equal_stacks_and_posteriors_are_worked_out_once(spark, monkeypatch):
+    tried = []
+    inner = K.poisson_above
+    monkeypatch.setattr(K, "poisson_above", lambda k, mean: tried.append(len(k)) or inner(k, mean))
+    v, begin, n = Q.without_stacks(pa.array([[2, 0, 1, 900], [1, 2, 900], [], [900, 800], [0]]), 1e-7)
+    assert [v[b : b + k].tolist() for b, k in zip(begin, n)] == [[1, 2], [1, 2], [], [800, 900], []] and tried == [5]
+    cdf = K.beta_cdf
+    monkeypatch.setattr(K, "beta_cdf", lambda x, a, b: tried.append(len(a)) or cdf(x, a, b))
+    a, b = np.array([[1.5, 2.0], [2.0, 1.5]]), np.array([[3.0, 4.0], [4.0, 3.0]])
+    h = Q.psi_masses(a, b, 40)
+    assert tried[1:] == [2] and (h[0, 0] == h[1, 1]).all() and (h[0, 1] == h[1, 0]).all() and abs(h[0, 0] - np.diff(cdf(np.linspace(0, 1, 41), 1.5, 3.0))).max() < 1e-12
