@@ -140,3 +140,25 @@ def test_equal_stacks_and_posteriors_are_worked_out_once(spark, monkeypatch):
     a, b = np.array([[1.5, 2.0], [2.0, 1.5]]), np.array([[3.0, 4.0], [4.0, 3.0]])
     h = Q.psi_masses(a, b, 40)
     assert tried[1:] == [2] and (h[0, 0] == h[1, 1]).all() and (h[0, 1] == h[1, 0]).all() and abs(h[0, 0] - np.diff(cdf(np.linspace(0, 1, 41), 1.5, 3.0))).max() < 1e-12
+
+
+@pytest.mark.parametrize("name", ["best_set_psi"])
+def test_lsvs_are_numbers_and_places_are_bits(spark, name):
+    df = entry.queries()[name](spark, SF)
+    keys = [k for k in exchanges(df) if "lsv_id#" in k]
+    assert keys and all(re.search(r"\blsv_id#\d+L", k) for k in keys)
+    assert "collect_set" not in plan_of(df)
+
+
+@pytest.mark.parametrize("numbers", [True, False])
+def test_places_as_bits_are_the_reads(spark, tmp_path, numbers):
+    odd = [None, -3.0, -60.0, 0.0, 1.0, 49.0, 50.0, 51.0, 1e6 + 7]
+    rows = [(o, 8 * gene + 5, s, n, q) for gene in (0, 1, 7, 15, 16, 31) for k, q in enumerate(odd) for o, s, n in ((k % 2, 0, 1), (k % 3, k % 3, 2), (6, 5, 1))]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    keys = ["experiment", "lsv_id", "junc_idx"]
+    found = E.summary_of_masks(V.read_masks(spark, str(tmp_path), numbers), keys, folds=5)
+    found = V.named(found).select("experiment", "lsv_id", "junc_idx", *found.columns[3:]) if numbers else found
+    bundles = E.summary_of_bundles(V.read_bundles(spark, str(tmp_path)), keys, folds=5)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, bundles.select(found.columns).collect()))
+    hits = E.summary(E.positional_counts(V.read_hits(spark, str(tmp_path)), keys, "position"), keys)
+    assert sorted(map(tuple, found.select(hits.columns).collect())) == sorted(map(tuple, hits.collect()))
