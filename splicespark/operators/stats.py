@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -18,9 +18,19 @@ VARIES = 1e-24  # squared standard errors up to this are rounding
 
 
 def group_summary(psi: DataFrame) -> DataFrame:
-    """lsv_id, junc_idx, grp, n, median_psi, q25, q75, iqr over the samples that are quantified."""
-    found = psi.groupBy(*KEY, "grp").agg(F.count("psi").alias("n"), F.median("psi").alias("median_psi"), F.percentile("psi", F.lit(0.25)).alias("q25"), F.percentile("psi", F.lit(0.75)).alias("q75"))
-    return found.withColumn("iqr", F.col("q75") - F.col("q25"))
+    """lsv_id, junc_idx, grp, n, median_psi, q25, q75, iqr over the samples that are quantified; quantiles lie between the
+    values on both sides of their place. A connection's samples in a group are ordered once, as rows, and no list or map."""
+    own = W.partitionBy(*KEY, "grp")
+    placed = psi.select(*KEY, "grp", "psi", F.row_number().over(own.orderBy(F.col("psi").asc_nulls_last())).alias("_place")).withColumn("n", F.count("psi").over(own))
+
+    def quantile(share: float) -> Column:
+        at = (F.col("n") - 1) * F.lit(share)
+        low, high = F.floor(at), F.ceil(at)
+        value = lambda k: F.max(F.when(F.col("_place") == k + 1, F.col("psi"))).over(own)
+        return F.when(value(low) == value(high), value(low)).otherwise((high - at) * value(low) + (at - low) * value(high))
+
+    found = placed.withColumns({"median_psi": quantile(0.5), "q25": quantile(0.25), "q75": quantile(0.75)}).filter("_place = 1")
+    return found.select(*KEY, "grp", "n", "median_psi", "q25", "q75", (F.col("q75") - F.col("q25")).alias("iqr"))
 
 
 def two_groups(summary: DataFrame, first: str = "A", second: str = "B") -> DataFrame:
@@ -210,18 +220,24 @@ def tests_of_samples(samples: DataFrame, names: list[str], quantile: float = 0.9
     return grouped.mapInPandas(run, "lsv_id string, junc_idx int, stat string, p_mean double, p_quantile double, score double")
 
 
+def later_groups() -> Column:
+    """array<struct<g2, m2>>: the groups of a connection behind a row's own, and their medians."""
+    every = F.collect_list(F.struct(F.col("grp").alias("g2"), F.col("median_psi").alias("m2"))).over(W.partitionBy(*KEY))
+    return F.filter(every, lambda x: x["g2"] > F.col("grp"))
+
+
 def group_heat_map(summary: DataFrame) -> DataFrame:
-    """lsv_id, junc_idx, g1, g2, dpsi for each ordered pair of groups."""
-    one = summary.select(*KEY, F.col("grp").alias("g1"), F.col("median_psi").alias("m1"))
-    two = summary.select(*KEY, F.col("grp").alias("g2"), F.col("median_psi").alias("m2"))
-    return one.join(two, KEY).filter("g1 < g2").select(*KEY, "g1", "g2", (F.col("m2") - F.col("m1")).alias("dpsi"))
+    """lsv_id, junc_idx, g1, g2, dpsi for each ordered pair of groups. A connection's groups are one window, so that the
+    summary is worked out once."""
+    each = summary.select(*KEY, F.col("grp").alias("g1"), "median_psi", later_groups().alias("_later")).select(*KEY, "g1", "median_psi", F.explode("_later").alias("o"))
+    return each.select(*KEY, "g1", "o.g2", (F.col("o.m2") - F.col("median_psi")).alias("dpsi"))
 
 
 def heterogen_index(summary: DataFrame) -> DataFrame:
     """lsv_id, max_abs_dpsi (over connections and pairs of groups), max_iqr, min_quantified: what an index shows of an LSV."""
-    change = group_heat_map(summary).groupBy("lsv_id").agg(F.max(F.abs("dpsi")).alias("max_abs_dpsi"))
-    own = summary.groupBy("lsv_id").agg(F.max("iqr").alias("max_iqr"), F.min("n").alias("min_quantified"))
-    return own.join(change, "lsv_id", "left").select("lsv_id", "max_abs_dpsi", "max_iqr", "min_quantified")
+    most = F.array_max(F.transform("_later", lambda x: F.abs(x["m2"] - F.col("median_psi"))))
+    each = summary.withColumn("_later", later_groups()).withColumn("_most", most)
+    return each.groupBy("lsv_id").agg(F.max("_most").alias("max_abs_dpsi"), F.max("iqr").alias("max_iqr"), F.min("n").alias("min_quantified"))
 
 
 def heterogen_rows(summary: DataFrame, groups: list[str]) -> DataFrame:

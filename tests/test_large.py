@@ -5,11 +5,13 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from splicespark.functions import kernels as K
 from splicespark.operators import evidence as E
 from splicespark.operators import quant as Q
+from splicespark.operators import stats as S
 from splicespark.operators import structure as T
 from splicespark.plans import build
 from splicespark.sources import driver_views as V
@@ -142,12 +144,12 @@ def test_equal_stacks_and_posteriors_are_worked_out_once(spark, monkeypatch):
     assert tried[1:] == [2] and (h[0, 0] == h[1, 1]).all() and (h[0, 1] == h[1, 0]).all() and abs(h[0, 0] - np.diff(cdf(np.linspace(0, 1, 41), 1.5, 3.0))).max() < 1e-12
 
 
-@pytest.mark.parametrize("name", ["best_set_psi"])
+@pytest.mark.parametrize("name", ["best_set_psi", "median_dpsi", "both_group_lsvs", "welch_statistic"])
 def test_lsvs_are_numbers_and_places_are_bits(spark, name):
     df = entry.queries()[name](spark, SF)
     keys = [k for k in exchanges(df) if "lsv_id#" in k]
     assert keys and all(re.search(r"\blsv_id#\d+L", k) for k in keys)
-    assert "collect_set" not in plan_of(df)
+    assert not re.search(r"collect_set\(positions", plan_of(df))
 
 
 @pytest.mark.parametrize("numbers", [True, False])
@@ -162,3 +164,34 @@ def test_places_as_bits_are_the_reads(spark, tmp_path, numbers):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, bundles.select(found.columns).collect()))
     hits = E.summary(E.positional_counts(V.read_hits(spark, str(tmp_path)), keys, "position"), keys)
     assert sorted(map(tuple, found.select(hits.columns).collect())) == sorted(map(tuple, hits.collect()))
+
+
+@pytest.mark.parametrize("name", ["median_dpsi", "heterogen_index"])
+def test_summary_of_groups_is_worked_out_once(spark, name):
+    plan = plan_of(entry.queries()[name](spark, SF))
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "percentile" not in plan
+
+
+def test_samples_in_one_pass_are_the_same(spark):
+    rows = [(g, e, lsv, j, 5 * e + 6 * j, 2 + j) for g, e in (("A", 0), ("A", 1), ("B", 4), ("B", 5)) for lsv in "xyz" for j in range(4) if (e + j + ord(lsv)) % 3 and (lsv != "z" or e > 0)]
+    summed = spark.createDataFrame(rows, "grp string, experiment int, lsv_id string, junc_idx int, reads long, npos long")
+    connections = summed.select("lsv_id", "junc_idx", F.lit(False).alias("is_intron"))
+    every = Q.dense(Q.in_passing(summed), connections, ["grp", "experiment"], "reads")
+    expected = sorted((r.grp, r.experiment, r.lsv_id, c.junc_idx, (c.reads + 1 / len(r.connections)) / (sum(x.reads for x in r.connections) + 1)) for r in every.collect() for c in r.connections)
+    found = Q.samples_of(summed)
+    assert sorted(map(tuple, found.select("grp", "experiment", "lsv_id", "junc_idx", "psi").collect())) == expected
+    assert len(expected) > len({r[:4] for r in expected} & {r[:4] for r in rows}) > 0
+
+
+def test_group_summary_and_heat_map_are_the_same(spark):
+    values = {("x", 0, "A"): [0.1, None, 0.7, 0.4], ("x", 0, "B"): [0.25, 0.25], ("x", 0, "C"): [0.9], ("x", 1, "A"): [None], ("x", 1, "C"): [0.3, 0.2, 0.2, 0.8, 0.55], ("y", 0, "B"): [0.5]}
+    psi = spark.createDataFrame([(*k, v) for k, vs in values.items() for v in vs], "lsv_id string, junc_idx int, grp string, psi double")
+    new = S.group_summary(psi).collect()
+    old = psi.groupBy("lsv_id", "junc_idx", "grp").agg(F.count("psi").alias("n"), F.median("psi").alias("median_psi"), F.percentile("psi", F.lit(0.25)).alias("q25"), F.percentile("psi", F.lit(0.75)).alias("q75"))
+    old = old.withColumn("iqr", F.col("q75") - F.col("q25"))
+    assert sorted(map(str, new)) == sorted(map(str, old.select(new[0].__fields__).collect()))
+    one, two = old.selectExpr("lsv_id", "junc_idx", "grp AS g1", "median_psi AS m1"), old.selectExpr("lsv_id", "junc_idx", "grp AS g2", "median_psi AS m2")
+    pairs = one.join(two, ["lsv_id", "junc_idx"]).filter("g1 < g2").selectExpr("lsv_id", "junc_idx", "g1", "g2", "m2 - m1 AS dpsi").collect()
+    assert len(pairs) == 4 and sorted(map(str, S.group_heat_map(S.group_summary(psi)).collect())) == sorted(map(str, pairs))
+    index = {r.lsv_id: (r.max_abs_dpsi, r.min_quantified) for r in S.heterogen_index(S.group_summary(psi)).collect()}
+    assert index == {"x": (max(abs(r.dpsi) for r in pairs if r.dpsi is not None), 0), "y": (None, 1)}
