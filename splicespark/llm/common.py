@@ -47,10 +47,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of df from a table in the shared folder: cuts the lineage, survives lost executors."""
+# For rows of megabytes: a writer holds 100 rows before it looks at the size of a page or a row group, a reader the arrays of a group.
+LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 8, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8}
+
+
+def written(df: DataFrame, large: bool = False) -> DataFrame:
+    """The rows of df from a table in the shared folder: cuts the lineage, survives lost executors. large: rows of up to
+    megabytes, of which a task holds few."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(LARGE_ROWS if large else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -19,6 +19,7 @@ from .common import written
 FIRST = "/opt/tokenizers/byte_bpe_50k.json"
 SECOND = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 20  # bytes of text that are aligned at a time; a longer text is a chunk of its own
+ROW = 100  # bytes that a text's figures count for, so that empty texts fill chunks too
 RUN, SHORT = 8192, 32  # words that the first and the second tokenizer encode together
 SPACE = "▁"  # stands for a space in the second vocabulary
 
@@ -200,8 +201,8 @@ def digests(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray
 
 
 def chunks(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows of a batch with about `most` bytes of text together."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    """Consecutive rows of a batch with about `most` bytes of text, and of figures, together."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + ROW
     group = (np.cumsum(sizes) - sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), len(sizes)]
     for x, y in zip(cuts[:-1], cuts[1:]):
@@ -235,7 +236,7 @@ def aligned_chunks(docs: DataFrame, key: str, text: str, first: str, second: str
                 number += 1
             pa.default_memory_pool().release_unused()  # a worker that waits holds the vocabularies only
 
-    return written(docs.select(key, text).mapInArrow(run, f"chunk long, keys array<{kind}>, n_a array<long>, n_b array<long>, n_links array<long>, digests array<string>, codes array<int>, pairs array<long>, counts array<long>"))
+    return written(docs.select(key, text).mapInArrow(run, f"chunk long, keys array<{kind}>, n_a array<long>, n_b array<long>, n_links array<long>, digests array<string>, codes array<int>, pairs array<long>, counts array<long>"), large=True)
 
 
 def partial_counts(done: DataFrame) -> DataFrame:
@@ -262,28 +263,43 @@ def align_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", fi
 
     Null and empty texts, and texts whose tokens' bytes aren't the text's in either vocabulary, have no tokens: zeros and
     an empty digest. Repeated and null keys are documents of their own; other columns are ignored; an empty table gives no
-    rows. Texts are aligned in chunks; of a chunk only its distinct pairs are shuffled, to the corpus counts and back.
+    rows. Texts are aligned in chunks; of a chunk only its distinct pairs are shuffled, to the corpus counts and back, where
+    they follow their chunk in order, so that a task holds one chunk and no lists are collected.
     """
     done = aligned_chunks(docs, key, text, first, second)
     partial, kind = partial_counts(done), docs.schema[key].dataType.simpleString()
     found = totals(partial, vocabulary(first, second).n_b)
-    met = partial.join(found, "pair").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "count", "best"))).alias("_known"))
-    known = met.select(F.col("chunk").alias("_chunk"), F.col("_known.count").alias("count"), F.col("_known.best").alias("best"))
-    whole = done.select("chunk", "keys", "n_a", "n_b", "n_links", "digests", "codes").join(known, F.col("chunk") == F.col("_chunk"), "left").drop("_chunk", "chunk")
+    whole = F.struct("keys", "n_a", "n_b", "n_links", "digests", "codes")
+    known = partial.join(found, "pair").select("chunk", "place", "count", "best", F.lit(None).cast(done.select(whole.alias("x")).schema["x"].dataType).alias("whole"))
+    heads = done.select("chunk", F.lit(-1).alias("place"), F.lit(None).cast("long").alias("count"), F.lit(None).cast("boolean").alias("best"), whole.alias("whole"))
+    rows = heads.unionByName(known).repartition("chunk").sortWithinPartitions("chunk", "place")
+
+    def scored(head: dict[str, pa.Array], parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """The texts of a chunk. parts: the counts of its pairs, in order of their places."""
+        sizes, code = head["n_links"].to_numpy(), head["codes"].to_numpy()
+        columns = [np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64) for k in (3, 2)]
+        sums = [pa.array(summed(x[code], sizes)) for x in columns]
+        links = head["n_links"]
+        return pa.RecordBatch.from_arrays([head["keys"], head["n_a"], head["n_b"], links, links, *sums, head["digests"]], [key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, parts = None, []
         for batch in batches:
-            for k in range(batch.num_rows):
-                keys, n_a, n_b, links, digest, codes, count, best = (c[k].values for c in batch.columns)
-                sizes, code = links.to_numpy(), codes.to_numpy()
-                if len(code):
-                    sums = [summed(x.to_numpy(zero_copy_only=False).astype(np.int64)[code], sizes) for x in (best, count)]
-                else:
-                    sums = [np.zeros(len(sizes), np.int64)] * 2
-                yield pa.RecordBatch.from_arrays([keys, n_a, n_b, links, links, *map(pa.array, sums), digest], [key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+            at = np.flatnonzero(batch.column(1).to_numpy() < 0).tolist()
+            for x, y in zip([-1, *at], [*at, batch.num_rows]):
+                if x >= 0:
+                    if head is not None:
+                        yield scored(head, parts)
+                    row = batch.column(4)
+                    head, parts = {f.name: row.field(i)[x].values for i, f in enumerate(row.type)}, []
+                if y > x + 1:
+                    parts.append(batch.slice(x + 1, y - x - 1).select([0, 1, 2, 3]))
+            del batch
             pa.default_memory_pool().release_unused()
+        if head is not None:
+            yield scored(head, parts)
 
-    return whole.mapInArrow(run, f"{key} {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    return rows.mapInArrow(run, f"{key} {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
 def pair_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", first: str = FIRST, second: str = SECOND) -> DataFrame:

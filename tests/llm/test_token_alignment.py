@@ -5,11 +5,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from splicespark.llm import token_alignment as T
+from splicespark.llm.common import written
 from splicespark.llm.queries import QUERIES
 
 ODD = [
@@ -117,3 +119,18 @@ def test_query(spark, words):
     right, _ = brute([d.text for d in docs], words)
     got = {r[0]: tuple(r)[1:] for r in QUERIES["op12_token_alignment"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {d.doc_id: x for d, x in zip(docs, right)}
+
+
+def test_a_task_holds_one_chunk(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = T.align_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+    empty = pa.record_batch([pa.array(range(100_000)), pa.array([""] * 100_000)], ["doc_id", "text"])
+    assert max(c.num_rows for c in T.chunks(empty, T.CHUNK)) <= T.CHUNK // T.ROW + 1
+
+
+def test_large_rows_are_written_few_at_a_time(spark):
+    rows = spark.range(0, 24, 1, 1).selectExpr("id", "transform(sequence(1, 100000), x -> xxhash64(id, x)) AS x")
+    files = written(rows, large=True).inputFiles()
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups for f in files]
+    assert sum(groups) > len(files)
