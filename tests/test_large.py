@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from splicespark.functions import kernels as K
 from splicespark.operators import evidence as E
+from splicespark.operators import placing as P
 from splicespark.operators import quant as Q
 from splicespark.operators import stats as S
 from splicespark.operators import structure as T
@@ -195,3 +196,44 @@ def test_group_summary_and_heat_map_are_the_same(spark):
     assert len(pairs) == 4 and sorted(map(str, S.group_heat_map(S.group_summary(psi)).collect())) == sorted(map(str, pairs))
     index = {r.lsv_id: (r.max_abs_dpsi, r.min_quantified) for r in S.heterogen_index(S.group_summary(psi)).collect()}
     assert index == {"x": (max(abs(r.dpsi) for r in pairs if r.dpsi is not None), 0), "y": (None, 1)}
+
+
+@pytest.mark.parametrize("name", ["junction_genes", "junction_gene_distances", "alignment_lsv_coverage"])
+def test_pairs_of_junctions_and_genes_are_not_shuffled(spark, name):
+    keys = exchanges(entry.queries()[name](spark, SF))
+    assert keys and not any("gene_id#" in k and ("start#" in k or "end#" in k) for k in keys)
+
+
+def test_placing_has_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(P, "PAIRS", 50)
+    rng = np.random.default_rng(5)
+    genes = [(f"g{k}", "c" if k % 3 else "d", "+-"[k % 2], s, s + n) for k, (s, n) in enumerate(zip(rng.integers(0, 20_000, 60).tolist(), rng.choice([40, 900, 6000], 60).tolist()))]
+    genes.append(("same", *genes[1][1:]))
+    exons = [(g, x, x + 150) for g, _, _, s, e in genes if g != "g7" for x in (s, (s + e) // 2, e - 150)] + [("g9", 0, 30), ("g1", -1, 500)]
+    exons += [("same", *x[1:]) for x in exons if x[0] == "g1"]
+    rows = [("c" if k % 4 else "d", "+-."[k % 3], s, s + n) for k, (s, n) in enumerate(zip((rng.integers(0, 60, 300) * 400).tolist(), rng.choice([-20, 60, 200, 950, 1000, 1001, 2500, 9000], 300).tolist()))]
+    marked = lambda s, e, a, b: (s % 3 == 0) & (a <= s) & (s <= b)
+    full = lambda g: [(s, e) for n, s, e in exons if n == g and s >= 0 and e >= 0]
+    for rule in (P.Rule(), P.Rule(3000, 100, True), P.Rule(annotated=marked)):
+        right = set()
+        for chrom, strand, s, e in set(rows):
+            found = {}
+            for g, c, t, a, b in genes:
+                if c != chrom or strand not in (".", t) or s < a - rule.reach or e > b + rule.reach or (s < a and e > b):
+                    continue
+                touches = any(x <= s <= y or x <= e <= y for x, y in full(g))
+                if rule.annotated and marked(s, e, a, b):
+                    found[g] = 1
+                elif rule.full_intergene or (s >= a and e <= b) or touches:
+                    near = any(x < s <= y + rule.near for x, y in full(g)) and any(x - rule.near <= e < y for x, y in full(g))
+                    found[g] = 2 if near else 3
+            right |= {(chrom, strand, s, e, g, x) for g, x in found.items() if x == min(found.values())}
+        frames = (spark.createDataFrame(rows, "chrom string, strand string, start int, end int").distinct(), spark.createDataFrame(genes, "gene_id string, chrom string, strand string, start int, end int"), spark.createDataFrame(exons, "gene_id string, start int, end int"))
+        got = [tuple(r) for r in P.genes_of_junctions(*frames, rule).collect()]
+        assert len(got) == len(set(got)) and set(got) == right and {x[-1] for x in right} >= {3}
+        far = {}
+        for _, _, s, e, g, _ in right:
+            a, b = next((a, b) for n, _, _, a, b in genes if n == g)
+            key = (g, max(0, a - s, e - b))
+            far[key] = far.get(key, 0) + 1
+        assert {(r.gene_id, r.distance): r.junctions for r in P.gene_distances(*frames, rule).collect()} == far
