@@ -235,6 +235,43 @@ def touched_exons(connections: DataFrame, exons: DataFrame) -> DataFrame:
     return overlaps(points, full, ["gene_id"]).select("gene_id", "lsv_id", "junc_idx", "side", F.col("r_start").alias("e_start"), F.col("r_end").alias("e_end"))
 
 
+def touched_merged(connections: DataFrame, reach: int = 20) -> DataFrame:
+    """gene_id, lsv_id, junc_idx, start, end, s_start, s_end, e_start, e_end: the exons that a connection's start and end lie
+    in, when a gene's exons are `reach` bases before the starts and behind the ends of its connections, merged. It is what
+    touched_exons has of these exons; an end lies in the one that its own bases became part of, so that nothing is joined,
+    and all is worked out where a gene's connections are.
+
+    connections: gene_id, lsv_id, junc_idx, start, end, each once."""
+    key = ["gene_id", "lsv_id", "junc_idx", "start", "end"]
+    side = lambda at, s, e: F.struct(F.lit(at).alias("side"), s.cast("int").alias("x"), e.cast("int").alias("y"))
+    sides = F.array(side("s", F.col("start") - reach, F.col("start")), side("e", F.col("end"), F.col("end") + reach))
+    each = connections.select(*key, F.explode(sides).alias("p")).select(*key, "p.*").filter("x is not null")
+    along = W.partitionBy("gene_id").orderBy("x", "y")
+    before = F.max("y").over(along.rowsBetween(W.unboundedPreceding, -1))
+    cut = each.withColumn("_new", F.coalesce((F.col("x") > before).cast("int"), F.lit(1)))
+    island = cut.withColumn("_island", F.sum("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    whole = W.partitionBy("gene_id", "_island")
+    held = island.withColumns({"_from": F.min("x").over(whole), "_to": F.max("y").over(whole)})
+    of = lambda at, name: [F.max(F.when(F.col("side") == at, F.col(c))).alias(f"{name}_{n}") for c, n in (("_from", "start"), ("_to", "end"))]
+    return held.groupBy(*key).agg(*of("s", "s"), *of("e", "e"))
+
+
+def touched_rows(touched: DataFrame) -> DataFrame:
+    """What touched_exons has, from touched_merged."""
+    side = lambda name, n: F.struct(F.lit(name).alias("side"), F.col(f"{n}_start").alias("e_start"), F.col(f"{n}_end").alias("e_end"))
+    each = touched.select("gene_id", "lsv_id", "junc_idx", F.explode(F.array(side("start", "s"), side("end", "e"))).alias("x"))
+    return each.select("gene_id", "lsv_id", "junc_idx", "x.*").filter("e_start is not null")
+
+
+def lsvs_of_first(touched: DataFrame) -> DataFrame:
+    """query, gene_id, lsv_id: what lsvs_of_all has when a gene's query are the exons of connection 1 of one of its LSVs, the
+    number `query` of touched's rows; worked out where a gene's connections are."""
+    exon = F.struct("e_start", "e_end")
+    asked = F.collect_set(F.when((F.col("junc_idx") == 1) & (F.col("lsv_id") == F.col("query")), exon)).over(W.partitionBy("gene_id"))
+    own = touched.withColumn("_asked", asked).groupBy("gene_id", "lsv_id").agg(F.collect_set(exon).alias("_own"), F.first("_asked").alias("_asked"), F.first("query").alias("query"))
+    return own.filter((F.size("_asked") > 0) & (F.size(F.array_except("_asked", "_own")) == 0)).select("query", "gene_id", "lsv_id")
+
+
 def exon_index(touched: DataFrame) -> DataFrame:
     """gene_id, e_start, e_end, lsvs, lsv_ids: the LSVs that a connection joins to each exon. touched: of touched_exons."""
     return touched.groupBy("gene_id", "e_start", "e_end").agg(F.count_distinct("lsv_id").alias("lsvs"), F.array_join(F.sort_array(F.collect_set("lsv_id")), ";").alias("lsv_ids"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from splicespark.functions import kernels as K
+from splicespark.operators import compare as C
 from splicespark.operators import evidence as E
 from splicespark.operators import placing as P
 from splicespark.operators import quant as Q
@@ -237,3 +238,18 @@ def test_placing_has_all_pairs(spark, monkeypatch):
             key = (g, max(0, a - s, e - b))
             far[key] = far.get(key, 0) + 1
         assert {(r.gene_id, r.distance): r.junctions for r in P.gene_distances(*frames, rule).collect()} == far
+
+
+@pytest.mark.parametrize("name", ["cassette_groups", "exon_constrained_lsvs"])
+def test_connections_are_shuffled_once_by_gene(spark, name):
+    keys = exchanges(entry.queries()[name](spark, SF))
+    assert len(keys) == 1 and keys[0].startswith("gene_id#")
+
+
+def test_merged_exons_hold_their_ends(spark):
+    rows = [(g, g * 10 + k % 3, k, s, s + n) for g in (1, 2) for k, (s, n) in enumerate([(100, 50), (115, 300), (400, 10), (430, 900), (2000, 30), (2021, 5)])]
+    c = spark.createDataFrame([*rows, (2, 29, 7, None, 50)], "gene_id long, lsv_id long, junc_idx int, start int, end int")
+    ends = c.selectExpr("gene_id", "start - 20 AS start", "start AS end").unionByName(c.selectExpr("gene_id", "end AS start", "end + 20 AS end")).dropna()
+    right = C.touched_exons(c, T.merged_exons(ends))
+    got = C.touched_rows(C.touched_merged(c)).select(right.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, right.collect())) and got.count() == 25
