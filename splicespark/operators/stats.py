@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,6 +15,7 @@ from pyspark.sql import Window as W
 from ..functions import kernels as K
 
 KEY = ["lsv_id", "junc_idx"]
+COLUMNS = 1 << 16  # places of connections that are tested at once
 VARIES = 1e-24  # squared standard errors up to this are rounding
 
 
@@ -195,29 +197,47 @@ def tests_of_samples(samples: DataFrame, names: list[str], quantile: float = 0.9
     samples: grp, experiment, lsv_id, junc_idx, psi array<double>, whose place 0 is the mean and the others draws. At each
     place the test compares the experiments of both groups; p_mean is that of place 0, p_quantile the quantile over the
     draws, score the median of theirs (null where a test has none, or there are no draws). A connection's experiments meet
-    in one row, all its places are tested at once.
+    in one row; connections with as many experiments in either group are tested at once, all their places together.
     """
-    chosen = chosen_tests(names)
+    chosen, label = chosen_tests(names), samples.schema["lsv_id"].dataType.simpleString()
     of = lambda own: F.transform(F.sort_array(F.collect_list(F.when(own, F.struct("experiment", "psi")))), lambda s: s["psi"])
     grouped = samples.groupBy(*KEY).agg(of(F.col("grp") == first).alias("x"), of(F.col("grp") != first).alias("y"))
 
-    def matrix(rows, width: int) -> np.ndarray:
-        return np.array([np.asarray(r, float) for r in rows]).reshape(-1, width)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tested(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[str, np.ndarray, list, list]]:
+        """x, y: connections x experiments x places."""
+        rows, width = len(x), x.shape[2]
+        columns = lambda v: v.transpose(1, 0, 2).reshape(v.shape[1], rows * width)
+        ordered = Ordered.of(columns(x), columns(y))
+        for name in chosen:
+            p, score = (v.reshape(rows, width) for v in TESTS[name](ordered))
+            if width == 1:
+                yield name, p[:, 0], [None] * rows, [None] * rows
+            else:
+                middle = np.median(score[:, 1:], 1)
+                yield name, p[:, 0], np.quantile(p[:, 1:], quantile, axis=1).tolist(), [None if np.isnan(s) else s for s in middle.tolist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for lsv, junc, x, y in zip(batch["lsv_id"], batch["junc_idx"], batch["x"], batch["y"]):
-                width = len((x if len(x) else y)[0])
-                ordered = Ordered.of(matrix(x, width), matrix(y, width))
-                for name in chosen:
-                    p, score = TESTS[name](ordered)
-                    drawn = width > 1
-                    middle = float(np.median(score[1:])) if drawn else np.nan
-                    out.append((lsv, junc, name, p[0], float(np.quantile(p[1:], quantile)) if drawn else None, None if np.isnan(middle) else middle))
-            yield pd.DataFrame(out, columns=[*KEY, "stat", "p_mean", "p_quantile", "score"])
-
-    return grouped.mapInPandas(run, "lsv_id string, junc_idx int, stat string, p_mean double, p_quantile double, score double")
+            sides = []
+            for c in ("x", "y"):
+                lists = batch.column(c)
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                values = lists.flatten()
+                sides.append((sizes, np.cumsum(sizes) - sizes, values.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(values).to_numpy(zero_copy_only=False)))
+            width = max(int(s[3].max(initial=0)) for s in sides)
+            if not width:
+                continue
+            matrices = [s[2].reshape(-1, width) for s in sides]
+            for n, m in sorted(set(zip(sides[0][0].tolist(), sides[1][0].tolist()))):
+                same = np.flatnonzero((sides[0][0] == n) & (sides[1][0] == m))
+                for at in range(0, len(same), max(1, COLUMNS // width)):
+                    some = same[at : at + max(1, COLUMNS // width)]
+                    x, y = (v[s[1][some][:, None] + np.arange(k)] if k else np.zeros((len(some), 0, width)) for v, s, k in zip(matrices, sides, (n, m)))
+                    keys = [batch.column(c).take(pa.array(some)) for c in KEY]
+                    for name, mean, above, score in tested(x, y):
+                        yield pa.RecordBatch.from_arrays([*keys, pa.array([name] * len(some)), pa.array(mean), pa.array(above, pa.float64()), pa.array(score, pa.float64())], [*KEY, "stat", "p_mean", "p_quantile", "score"])
+
+    return grouped.mapInArrow(run, f"lsv_id {label}, junc_idx int, stat string, p_mean double, p_quantile double, score double")
 
 
 def later_groups() -> Column:

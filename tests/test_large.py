@@ -253,3 +253,24 @@ def test_merged_exons_hold_their_ends(spark):
     right = C.touched_exons(c, T.merged_exons(ends))
     got = C.touched_rows(C.touched_merged(c)).select(right.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, right.collect())) and got.count() == 25
+
+
+def test_means_are_those_of_the_posteriors(spark):
+    keys = ["experiment", "lsv_id", "junc_idx"]
+    summed = build.summary_of(spark, SF, folds=5)
+    old = Q.mean_psi(Q.dense(Q.boots_of_folds(Q.in_passing(summed), keys), summed.withColumn("is_intron", F.lit(False)), ["experiment"]), ["experiment"])
+    right = {tuple(r)[:3]: r.mean_psi for r in old.collect()}
+    got = {(r.experiment, r.lsv_id, r.junc_idx): r.psi for r in Q.mean_samples_of(summed).collect()}
+    assert got.keys() == right.keys() and max(abs(got[k] - right[k]) for k in right) < 1e-12
+
+
+def test_connections_are_tested_at_once(spark, monkeypatch):
+    rows = [(g, e, lsv, 0, [0.1 * e + lsv / 7 * (g == "A"), 0.3 + e / 9]) for lsv in range(6) for g, e in (("A", 0), ("A", 1), ("A", 2), ("B", 3), ("B", 4)) if lsv != 5 or g == "A"]
+    samples = spark.createDataFrame(rows, "grp string, experiment int, lsv_id long, junc_idx int, psi array<double>")
+    found = {(r.lsv_id, r.stat): tuple(r)[3:] for r in S.tests_of_samples(samples, ["ALL"]).collect()}
+    assert len(found) == 24
+    for lsv in range(6):
+        one = S.tests_of_samples(samples.filter(F.col("lsv_id") == lsv), ["ALL"]).collect()
+        assert all(tuple(r)[3:] == pytest.approx(found[lsv, r.stat], abs=1e-12) for r in one) and len(one) == 4
+    plan = plan_of(entry.queries()["heterogen_mean_tests"](spark, SF))
+    assert "shares#" not in plan and plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
