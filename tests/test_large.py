@@ -274,3 +274,14 @@ def test_connections_are_tested_at_once(spark, monkeypatch):
         assert all(tuple(r)[3:] == pytest.approx(found[lsv, r.stat], abs=1e-12) for r in one) and len(one) == 4
     plan = plan_of(entry.queries()["heterogen_mean_tests"](spark, SF))
     assert "shares#" not in plan and plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
+
+
+def test_genes_of_one_start_are_met_as_lists(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"g{k}", "cd"[k % 2], s, s + n) for k, (s, n) in enumerate(zip((rng.integers(0, 12, 40) * 300).tolist(), rng.choice([0, 299, 300, 2500], 40).tolist()))] + [("g3", "c", 5000, 5100), ("x", "d", 5050, 5000), ("y", "d", 4900, 5060)]
+    genes = spark.createDataFrame(rows, "gene_id string, chrom string, start int, end int")
+    right = {(min(a[0], b[0]), max(a[0], b[0])) for a in rows[:-2] for b in rows[:-2] if a[0] != b[0] and a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]}
+    for most in (1, 3, 1000):
+        got = [tuple(r) for r in T.gene_overlaps(genes.filter("gene_id not in ('x', 'y')"), most).collect()]
+        assert len(got) == len(set(got)) and set(got) == right
+    assert "ids#" in plan_of(T.gene_overlaps(genes))
